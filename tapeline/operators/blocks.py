@@ -156,6 +156,41 @@ def running(
     return joined.drop("_b", *inputs, *[f"_c_{o}" for o in specs])
 
 
+def curve(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    order: list[str],
+    block: Column,
+    start: float = 0.0,
+    floor_at_start: bool = True,
+) -> DataFrame:
+    """Running total, its peak and the fall from the peak, in ``order``.
+
+    Each block yields its total and its highest partial sum; the scan over the
+    blocks gives every block its base and the peak so far.
+    """
+    rows = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(_FIRST, 0)
+    local = df.withColumn("_b", block).withColumn("_s", F.sum(F.coalesce(value, F.lit(0.0))).over(rows))
+    local = local.withColumn("_m", F.max("_s").over(rows))
+    per_block = local.groupBy(*keys, "_b").agg(
+        F.sum(F.coalesce(value, F.lit(0.0))).alias("_t"), F.max("_s").alias("_h")
+    )
+    scan = Window.partitionBy(*keys).orderBy("_b").rowsBetween(_FIRST, -1)
+    based = per_block.withColumn("_base", F.coalesce(F.sum("_t").over(scan), F.lit(0.0)))
+    based = based.withColumn("_peak", F.max(F.col("_base") + F.col("_h")).over(scan)).select(
+        *keys, "_b", "_base", "_peak"
+    )
+    total = F.col("_base") + F.col("_s")
+    highs = [F.col("_peak"), F.col("_base") + F.col("_m")] + ([F.lit(0.0)] if floor_at_start else [])
+    return (
+        local.join(based, [*keys, "_b"])
+        .withColumns({"equity": start + total, "peak": start + F.greatest(*highs)})
+        .withColumn("drawdown", F.col("peak") - F.col("equity"))
+        .drop("_b", "_s", "_m", "_base", "_peak")
+    )
+
+
 def _damped_sum(damp: float):
     return lambda acc, c: acc * damp + c
 
