@@ -5,6 +5,8 @@ from importlib import import_module
 MODULES = [
     "structure_queries",
     "journal_queries",
+    "outcome_queries",
+    "signal_queries",
 ]
 
 

@@ -49,55 +49,128 @@ def extreme_tree(bars: DataFrame, fan: int = FAN):
     return level1, level2, level3
 
 
-def first_touch(
+def _last_hit(values: Column, stop: Column, level: Column, strict: Column) -> Column:
+    """0-based position <= stop whose value is below the level, the last one; null if none."""
+    hits = F.transform(values, lambda v, i: (i <= stop) & ((v < level) | (~strict & (v == level))))
+    found = F.array_position(F.reverse(hits), True)
+    return F.when(found > 0, F.size(values) - found)
+
+
+def search(
     levels: DataFrame,
-    bars: DataFrame,
-    start: str,
+    tree,
+    at: str,
     level: Column,
     falling: Column,
-    strict: Column | bool = False,
-    out: str = "touch_idx",
+    strict: Column | bool,
+    out: str,
+    backward: bool = False,
     fan: int = FAN,
-    tree=None,
 ) -> DataFrame:
-    """Add ``out``: the first bar number >= ``start`` that reaches the level.
+    """Add ``out``: the bar nearest to ``at`` (itself included) that reaches the level.
 
-    ``falling``: the low must come down to the level, else the high must rise
-    to it.  ``strict``: beyond the level instead of up to it.
+    ``falling``: a low at or below the level counts, else a high at or above
+    it.  ``strict``: beyond the level instead of up to it.  Forward finds the
+    first such bar from ``at`` on, ``backward`` the last one up to ``at``.
     """
-    level1, level2, level3 = tree if tree is not None else extreme_tree(bars, fan)
+    level1, level2, level3 = tree
     strict = F.lit(strict) if isinstance(strict, bool) else strict
     keyed = levels.withColumns(
         {
             "_down": falling,
             "_lvl": F.when(falling, level).otherwise(-level),
             "_strict": strict,
-            "_blk": F.floor(F.col(start) / fan).cast("long"),
+            "_blk": F.floor(F.col(at) / fan).cast("long"),
         }
     )
     side = F.when(F.col("_down"), F.col("lows")).otherwise(F.col("neg_highs"))
-    hit = lambda begin: _first_hit(side, begin, F.col("_lvl"), F.col("_strict"))
+    find, edge, shift = (_last_hit, F.lit(fan), -1) if backward else (_first_hit, F.lit(0), 1)
+    hit = lambda bound: find(side, bound, F.col("_lvl"), F.col("_strict"))
 
-    def step(df, table, on, name, begin):
+    def step(df, table, on, name, bound):
         slim = table.select(*on.keys(), "lows", "neg_highs")
         for column, source in on.items():
             slim = slim.withColumnRenamed(column, source)
-        return df.join(slim, list(on.values()), "left").withColumn(name, hit(begin)).drop("lows", "neg_highs")
+        return df.join(slim, list(on.values()), "left").withColumn(name, hit(bound)).drop("lows", "neg_highs")
 
-    df = step(keyed, level1, {"symbol": "symbol", "blk": "_blk"}, "_own", F.col(start) % fan)
+    df = step(keyed, level1, {"symbol": "symbol", "blk": "_blk"}, "_own", F.col(at) % fan)
     df = df.withColumn("_sup", F.when(F.col("_own").isNull(), F.floor(F.col("_blk") / fan).cast("long")))
-    df = step(df, level2, {"symbol": "symbol", "sup": "_sup"}, "_insup", F.col("_blk") % fan + 1)
+    df = step(df, level2, {"symbol": "symbol", "sup": "_sup"}, "_insup", F.col("_blk") % fan + shift)
     df = df.withColumn(
         "_sym", F.when(F.col("_sup").isNotNull() & F.col("_insup").isNull(), F.col("symbol"))
     )
-    df = step(df, level3, {"symbol": "_sym"}, "_top", F.col("_sup") + 1)
-    df = step(df, level2.withColumnRenamed("sup", "_s"), {"symbol": "symbol", "_s": "_top"}, "_down2", F.lit(0))
+    df = step(df, level3, {"symbol": "_sym"}, "_top", F.col("_sup") + shift)
+    df = step(df, level2.withColumnRenamed("sup", "_s"), {"symbol": "symbol", "_s": "_top"}, "_down2", edge)
     df = df.withColumn(
         "_far",
         F.coalesce(F.col("_sup") * fan + F.col("_insup"), F.col("_top") * fan + F.col("_down2")),
     )
-    df = step(df, level1.withColumnRenamed("blk", "_f"), {"symbol": "symbol", "_f": "_far"}, "_bar", F.lit(0))
+    df = step(df, level1.withColumnRenamed("blk", "_f"), {"symbol": "symbol", "_f": "_far"}, "_bar", edge)
     result = F.coalesce(F.col("_blk") * fan + F.col("_own"), F.col("_far") * fan + F.col("_bar"))
     return df.withColumn(out, result.cast("long")).drop(
         "_down", "_lvl", "_strict", "_blk", "_own", "_sup", "_insup", "_sym", "_top", "_down2", "_far", "_bar"
     )
+
+
+def first_touch(
+    levels: DataFrame,
+    bars: DataFrame,
+    start: str,
+    level: Column,
+    falling: Column,
+    strict: Column | bool = False,
+    out: str = "touch_idx",
+    fan: int = FAN,
+    tree=None,
+) -> DataFrame:
+    """Add ``out``: the first bar number >= ``start`` that reaches the level."""
+    tree = tree if tree is not None else extreme_tree(bars, fan)
+    return search(levels, tree, start, level, falling, strict, out, fan=fan)
+
+
+def range_extremes(rows: DataFrame, tree, start: str, end: str, low: str, high: str, fan: int = FAN) -> DataFrame:
+    """Lowest low and highest high of bars ``start..end`` (inclusive) per row.
+
+    The range is the tail of one block, whole blocks, and the head of another;
+    whole blocks are read from at most two super blocks and the top, so the
+    cost per row does not grow with the length of the range.
+    """
+    level1, level2, level3 = tree
+    s, e = F.col(start), F.col(end)
+    df = rows.withColumns(
+        {
+            "_bs": F.floor(s / fan).cast("long"),
+            "_be": F.floor(e / fan).cast("long"),
+        }
+    ).withColumns(
+        {
+            "_us": F.when(F.col("_be") - F.col("_bs") > 1, F.floor((F.col("_bs") + 1) / fan).cast("long")),
+            "_ue": F.when(F.col("_be") - F.col("_bs") > 1, F.floor((F.col("_be") - 1) / fan).cast("long")),
+        }
+    ).withColumn("_ut", F.when(F.col("_ue") - F.col("_us") > 1, F.col("symbol")))
+
+    def part(df, table, on, tag, first, last):
+        slim = table.select(*on.keys(), F.col("lows").alias("_l"), F.col("neg_highs").alias("_h"))
+        for column, source in on.items():
+            slim = slim.withColumnRenamed(column, source)
+        cut = lambda c: F.array_min(F.slice(F.col(c), first + 1, F.greatest(last - first + 1, F.lit(0))))
+        joined = df.join(slim, list(on.values()), "left")
+        return joined.withColumns({f"_{tag}l": cut("_l"), f"_{tag}h": cut("_h")}).drop("_l", "_h")
+
+    same = F.col("_bs") == F.col("_be")
+    df = part(df, level1, {"symbol": "symbol", "blk": "_bs"}, "a", (s % fan).cast("int"),
+              F.when(same, e % fan).otherwise(fan - 1).cast("int"))
+    df = part(df, level1, {"symbol": "symbol", "blk": "_be"}, "b", F.lit(0), F.when(~same, e % fan).otherwise(-1).cast("int"))
+    one = F.col("_us") == F.col("_ue")
+    df = part(df, level2, {"symbol": "symbol", "sup": "_us"}, "c", ((F.col("_bs") + 1) % fan).cast("int"),
+              F.when(one, (F.col("_be") - 1) % fan).otherwise(fan - 1).cast("int"))
+    df = part(df, level2, {"symbol": "symbol", "sup": "_ue"}, "d", F.lit(0),
+              F.when(~one, (F.col("_be") - 1) % fan).otherwise(-1).cast("int"))
+    df = part(df, level3, {"symbol": "_ut"}, "e", (F.col("_us") + 1).cast("int"), (F.col("_ue") - 1).cast("int"))
+    valid = e >= s
+    return df.withColumns(
+        {
+            low: F.when(valid, F.least(*[F.col(f"_{t}l") for t in "abcde"])),
+            high: F.when(valid, -F.least(*[F.col(f"_{t}h") for t in "abcde"])),
+        }
+    ).drop("_bs", "_be", "_us", "_ue", "_ut", *[f"_{t}{x}" for t in "abcde" for x in "lh"])

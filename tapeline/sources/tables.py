@@ -81,3 +81,15 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("leverage"),
         F.col("l_quantity").cast("int").alias("bars_held"),
     )
+
+
+def break_signals(bars_: DataFrame, broken: DataFrame, reward: float = 2.0, buffer: float = 0.005) -> DataFrame:
+    """A signal per structure break: stop beyond the bar, target at ``reward`` R."""
+    b = bars_.join(broken.select("symbol", "bar_idx", "sign"), ["symbol", "bar_idx"]).filter("close > 0")
+    up = F.col("sign") > 0
+    stop = F.when(up, F.col("low") * (1 - buffer)).otherwise(F.col("high") * (1 + buffer))
+    return b.withColumn("stop", stop).select(
+        F.concat_ws("-", "symbol", "bar_idx").alias("sig_id"), "symbol", "ts", "bar_idx", "n_bars",
+        F.col("sign").alias("direction"), F.col("close").alias("entry"), "stop",
+        (F.col("close") + F.col("sign") * reward * F.abs(F.col("close") - F.col("stop"))).alias("target"),
+    ).filter("abs(entry - stop) > 0")
