@@ -7,6 +7,8 @@ MODULES = [
     "journal_queries",
     "outcome_queries",
     "signal_queries",
+    "join_queries",
+    "label_queries",
 ]
 
 

@@ -124,3 +124,13 @@ TRADES = """trades AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+SAMPLES = """samples AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id, l_shipdate AS ts, (year(l_shipdate) - 1995)::INT AS "window",
+         'S' || l_suppkey AS symbol, (['crypto', 'forex', 'stocks', 'commodities'])[(l_suppkey % 4 + 1)::INT] AS asset_class,
+         l_linenumber % 3 AS label_action, CASE WHEN edge > 0 THEN 1 WHEN edge < 0 THEN 2 ELSE 3 END AS label_outcome,
+         edge * 40 AS label_rr, l_quantity / 10 AS mfe, l_tax * 20 AS mae, 1 + l_quantity / 20 AS tp_rr, l_tax AS cost_rr,
+         (l_partkey % 5)::INT AS mech, CASE WHEN l_partkey % 5 = 1 THEN l_quantity / 10 + 1 END AS post_tp,
+         l_extendedprice / l_quantity / 1000 AS x_price, l_tax AS x_tax, l_quantity / 50 AS x_quantity
+  FROM (SELECT *, round(l_discount - 0.05, 2) + 0.0 AS edge FROM lineitem))"""

@@ -30,4 +30,4 @@ def r(column: Column | str, digits: int = 6) -> Column:
 
 def R(expr: str, digits: int = 6) -> str:  # noqa: N802
     """The SQL twin of ``r``; adding zero turns -0.0 into 0.0."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(({expr})::DOUBLE, {digits}) + 0.0)"

@@ -119,3 +119,66 @@ def fan_out(signals: DataFrame, bars: DataFrame, horizon: int, start: int = 1, i
         F.col("close").alias("bar_close"),
     )
     return steps.join(path, ["symbol", "_bar"]).withColumnRenamed("_bar", "path_idx")
+
+
+def purge(signals: DataFrame, windows: DataFrame, tail_seconds: int, ts: str = "ts") -> DataFrame:
+    """Drop signals whose holding span meets a test window (closed ends).
+
+    ``windows`` is a parameter table (``test_start, test_end``) with one row
+    per walk-forward window, so it is broadcast.
+    """
+    w = F.broadcast(windows.select(F.col("test_start").alias("_a"), F.col("test_end").alias("_z")))
+    last = F.timestamp_micros(F.unix_micros(F.col(ts)) + tail_seconds * 1_000_000)
+    return signals.join(w, (F.col(ts) <= F.col("_z")) & (last >= F.col("_a")), "left_anti")
+
+
+def overlaps_any(zones: DataFrame, others: DataFrame, keys: list[str], low: str, high: str, width: float) -> DataFrame:
+    """Add ``overlaps``: does any other zone of the key share a price with this one.
+
+    A zone overlaps when, among the others that begin at or below its top, the
+    highest end reaches its bottom: a running maximum along the price axis, in
+    price chunks of ``width``.
+    """
+    mine = zones.select(F.struct(*zones.columns).alias("_row"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                        F.col(high).alias("_p"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_end"))
+    theirs = others.select(F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"),
+                           *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(low).alias("_p"),
+                           F.lit(0).alias("_side"), F.col(high).alias("_end"))
+    both = mine.unionByName(theirs).withColumn("_at", F.struct("_p", "_side"))
+    reach = running(both, [f"_k_{k}" for k in keys], {"_m": ("max", F.col("_end"))}, "_at",
+                    F.floor(F.col("_p") / width).cast("long"))
+    found = F.coalesce(F.col("_m") >= F.col(f"_row.{low}"), F.lit(False))
+    return reach.filter("_row is not null").select("_row.*", found.alias("overlaps"))
+
+
+def correlation_conflicts(
+    candidates: DataFrame, held: DataFrame, returns: DataFrame, limit: float = 0.7, min_points: int = 20
+) -> DataFrame:
+    """Candidates whose returns correlate beyond ``limit`` with a held symbol.
+
+    ``held`` is the open book (bounded by the position limit), so only
+    candidate x held pairs are formed, matched on time.
+    """
+    mine = returns.join(candidates.select("symbol"), "symbol", "left_semi").select("symbol", "ts", F.col("ret").alias("_a"))
+    book = returns.join(held.select("symbol"), "symbol", "left_semi").select(
+        F.col("symbol").alias("held_symbol"), "ts", F.col("ret").alias("_b")
+    )
+    pairs = mine.join(book, "ts").filter("symbol <> held_symbol").groupBy("symbol", "held_symbol").agg(
+        F.corr("_a", "_b").alias("correlation"), F.count(F.lit(1)).alias("points")
+    )
+    return pairs.withColumn("conflict", (F.abs("correlation") > limit) & (F.col("points") >= min_points))
+
+
+def dataset_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-3) -> DataFrame:
+    """Per column: rows on both sides, on one side only, and beyond tolerance."""
+    tall = lambda d: d.unpivot(keys, columns, "column", "value")
+    a = tall(old).withColumnRenamed("value", "old").withColumn("_o", F.lit(1))
+    b = tall(new).withColumnRenamed("value", "new").withColumn("_n", F.lit(1))
+    j = a.join(b, [*keys, "column"], "full")
+    both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
+    return j.groupBy("column").agg(
+        F.count_if(both).alias("both"),
+        F.count_if(F.col("_n").isNull()).alias("only_old"),
+        F.count_if(F.col("_o").isNull()).alias("only_new"),
+        F.count_if(both & (F.abs(F.col("old") - F.col("new")) > tolerance)).alias("different"),
+    )

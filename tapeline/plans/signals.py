@@ -127,13 +127,13 @@ def volume_ok(rows: DataFrame, back: int = 20, ratio: float = 1.2) -> DataFrame:
 
 def attach(rows: DataFrame, state: DataFrame, tf: str, columns: dict[str, str], p: SignalParams, how: str = "left") -> DataFrame:
     """Columns of the coarse bar that contains (strict: precedes) each row."""
-    side = state.filter(F.col("symbol").endswith(f"|{tf}"))
+    side = state.filter(F.col("tf") == tf)
     key = F.col("ts")
     if p.strict:
         nxt = framed(side, KEYS, lambda w: {"_next": F.lead("ts").over(w)}, after=1)
         side, key = nxt.filter("_next is not null"), F.col("_next")
     side = side.select(
-        F.regexp_extract("symbol", r"^(.*)\|", 1).alias("sym"),
+        "sym",
         key.alias("_bin"),
         *[F.col(c).alias(o) for c, o in columns.items()],
     )
@@ -199,9 +199,7 @@ def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams)
 
 def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, decision_tf: str = "5m") -> DataFrame:
     """Decision bars with all flags, the score and the reason a bar is dropped."""
-    mine = t["bars"].filter(F.col("tf") == decision_tf).select("symbol", "bar_idx", "sym")
-    rows = state.filter(F.col("symbol").endswith(f"|{decision_tf}")).join(mine, ["symbol", "bar_idx"])
-    rows = volume_ok(rows)
+    rows = volume_ok(state.filter(F.col("tf") == decision_tf))
     trig = {"trigger_up": F.col("break_sign") > 0, "trigger_dn": F.col("break_sign") < 0}
     rows = S.recent_flag(rows, trig, p.trigger_bars)
     rows = framed(

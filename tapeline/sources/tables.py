@@ -93,3 +93,30 @@ def break_signals(bars_: DataFrame, broken: DataFrame, reward: float = 2.0, buff
         F.col("sign").alias("direction"), F.col("close").alias("entry"), "stop",
         (F.col("close") + F.col("sign") * reward * F.abs(F.col("close") - F.col("stop"))).alias("target"),
     ).filter("abs(entry - stop) > 0")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as labelled training samples (results in R)."""
+    li = table(spark, sf_dir, "lineitem")
+    edge = F.round(F.col("l_discount") - 0.05, 2)
+    mech = F.col("l_partkey") % 5
+    mfe = F.col("l_quantity") / 10
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sample_id"),
+        F.col("l_shipdate").alias("ts"),
+        (F.year("l_shipdate") - 1995).alias("window"),
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
+        class_of(F.col("l_suppkey")).alias("asset_class"),
+        (F.col("l_linenumber") % 3).alias("label_action"),
+        F.when(edge > 0, 1).when(edge < 0, 2).otherwise(3).alias("label_outcome"),
+        (edge * 40).alias("label_rr"),
+        mfe.alias("mfe"),
+        (F.col("l_tax") * 20).alias("mae"),
+        (1 + F.col("l_quantity") / 20).alias("tp_rr"),
+        F.col("l_tax").alias("cost_rr"),
+        mech.cast("int").alias("mech"),
+        F.when(mech == 1, mfe + 1).alias("post_tp"),
+        (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("x_price"),
+        F.col("l_tax").alias("x_tax"),
+        (F.col("l_quantity") / 50).alias("x_quantity"),
+    )
