@@ -9,6 +9,8 @@ MODULES = [
     "signal_queries",
     "join_queries",
     "label_queries",
+    "portfolio_queries",
+    "validation_queries",
 ]
 
 

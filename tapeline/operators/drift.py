@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Drift limits.
-MINOR_KS, MAJOR_KS, MINOR_PSI, MAJOR_PSI = 0.10, 0.20, 0.10, 0.25
+MINOR_KS, MAJOR_KS, MINOR_PSI, MAJOR_PSI = 0.10, 0.25, 0.10, 0.25
 
 
 def tall(df: DataFrame, features: list[str]) -> DataFrame:

@@ -143,7 +143,7 @@ def shuffled_drawdowns(trades: DataFrame, n_simulations: int, tie: str, seed: in
     per simulation; pieces are reduced to (sum, highest and lowest partial sum,
     worst fall) and joined in order, so a permutation is never in one task.
     """
-    growth = F.greatest(1 + F.col("risk") * F.least(F.greatest(F.col("rr"), F.lit(-2.0)), F.lit(10.0)), F.lit(1e-12))
+    growth = F.greatest(1 + F.col("risk") * F.least(F.greatest(F.col("rr"), F.lit(-2.0)), F.lit(15.0)), F.lit(1e-12))
     steps = trades.select(tie, F.ln(growth).alias("g"))
     sims = trades.sparkSession.range(n_simulations).select(F.col("id").alias("sim"))
     order = F.xxhash64(F.lit(seed), F.col("sim"), F.col(tie))
