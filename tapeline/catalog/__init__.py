@@ -9,6 +9,7 @@ MODULES = [
     "signal_queries",
     "join_queries",
     "label_queries",
+    "market_queries",
     "portfolio_queries",
     "validation_queries",
 ]

@@ -144,12 +144,6 @@ def overfit_acceptance_gates(spark, sf):
     return out.select("asset_class", "passed", F.array_join("failed", ",").alias("failed"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("overfit_parameter_grid", "SELECT count(*) AS combos, count(DISTINCT (a, b)) AS cells, (SELECT count(*) FROM orders) AS orders FROM range(8) t(a), range(6) u(b), range(3) v(c), range(3) w(d)")
-def overfit_parameter_grid(spark, sf):
-    g = G.parameter_grid(spark).agg(F.count(F.lit(1)).alias("combos"), F.countDistinct("threshold", "min_rr").alias("cells"))
-    return g.crossJoin(T.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("orders")))
-
-
 @query(
     "model_agreement",
     with_(SAMPLES) + f"""SELECT mfe >= 2.5 AS old, x_price >= 1.2::DOUBLE AS new, count(*) AS rows, count(*) FILTER (label_outcome = 1) AS wins,

@@ -6,6 +6,8 @@ the start value is an input on the seed bar.  See ``blocks.recursion``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -182,3 +184,74 @@ def macd(bars: DataFrame, size: int = RECURSION_BLOCK) -> DataFrame:
         F.when(enough, F.col("_hist")).otherwise(0.0).alias("macd_hist"),
         F.when(enough, F.col("_prev")).otherwise(0.0).alias("macd_prev"),
     )
+
+
+# ---- training form of ADX ---------------------------------------------------
+#
+# DI[i] = min((DI[i-1]*(p-1) + DM[i]) / p / ATR[i] * 100, 100), zero without ATR.
+# Every step is x -> min(A*x + B, C) with A >= 0, and so is any chain of steps:
+# a block is summarised by its (A, B, C), the blocks are walked once, and each
+# block is then solved from its own start value.
+
+
+def _di_steps(pdf: pd.DataFrame, period: int, dm: str):
+    i, atr, move = pdf["bar_idx"].to_numpy(), pdf["atr"].to_numpy(), pdf[dm].to_numpy()
+    live = (atr > 0) & (i > period)
+    a = np.where(live, (period - 1) / period / np.where(atr > 0, atr, 1.0) * 100, 0.0)
+    b = np.where(live, move / period / np.where(atr > 0, atr, 1.0) * 100, 0.0)
+    seed = (i == period) & (atr > 0)
+    b = np.where(seed, pdf[f"{dm}0"].to_numpy() / np.where(atr > 0, atr, 1.0) * 100, b)
+    c = np.where(live, 100.0, np.where(seed, np.inf, 0.0))
+    return a, b, c
+
+
+def adx_training(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame:
+    """ADX as the training features use it: 25 until ``2*period`` bars exist."""
+    rows = _moves_with_means(wilder(bars, period), period).withColumn("_b", F.floor(F.col(_I) / size).cast("long"))
+    slim = rows.select("symbol", "_b", _I, "atr", "_pdm", "_mdm", "_pdm0", "_mdm0")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_idx")
+        out = {"symbol": pdf["symbol"].iloc[0], "_b": pdf["_b"].iloc[0]}
+        for tag in ("_pdm", "_mdm"):
+            total = (1.0, 0.0, np.inf)
+            for a, b, c in zip(*_di_steps(pdf, period, tag)):
+                total = (a * total[0], a * total[1] + b, min(a * total[2] + b if a else np.inf, c))
+            out.update({f"{tag}{n}": v for n, v in zip("abc", total)})
+        return pd.DataFrame([out])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        for tag in ("_pdm", "_mdm"):
+            x, start = 0.0, []
+            for a, b, c in zip(pdf[f"{tag}a"], pdf[f"{tag}b"], pdf[f"{tag}c"]):
+                start.append(x)
+                x = min(a * x + b, c)
+            pdf[f"{tag}_in"] = start
+        return pdf[["symbol", "_b", "_pdm_in", "_mdm_in"]]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_idx")
+        for tag, out in (("_pdm", "pdi"), ("_mdm", "mdi")):
+            x, got = float(pdf[f"{tag}_in"].iloc[0]), []
+            for a, b, c in zip(*_di_steps(pdf, period, tag)):
+                x = min(a * x + b, c)
+                got.append(x)
+            pdf[out] = got
+        return pdf[["symbol", "bar_idx", "pdi", "mdi"]]
+
+    sums = ", ".join(f"{t}{n} double" for t in ("_pdm", "_mdm") for n in "abc")
+    folded = slim.groupBy("symbol", "_b").applyInPandas(fold, f"symbol string, _b long, {sums}")
+    starts = folded.groupBy("symbol").applyInPandas(walk, "symbol string, _b long, _pdm_in double, _mdm_in double")
+    solved = slim.join(starts, ["symbol", "_b"]).groupBy("symbol", "_b").applyInPandas(
+        solve, "symbol string, bar_idx long, pdi double, mdi double"
+    )
+    total = F.col("pdi") + F.col("mdi")
+    dx = F.when((F.col(_I) >= period) & (total > 0), F.abs(F.col("pdi") - F.col("mdi")) / total * 100).otherwise(0.0)
+    j = bars.join(solved, ["symbol", _I]).withColumn("_dx", dx)
+    seeded = framed(j, KEYS, lambda w: {"_dx0": F.avg("_dx").over(w.rowsBetween(-period, 0))}, before=period)
+    smooth = recursion(
+        seeded, KEYS, {"_adx": _seeded(F.col("_dx"), F.col("_dx0"), 2 * period, (period - 1) / period, 1 / period)}
+    )
+    ready = (F.col("n_bars") >= 2 * period + 1) & (F.col(_I) >= 2 * period)
+    return smooth.select(*bars.columns, F.when(ready, F.col("_adx")).otherwise(25.0).alias("adx_training"))
