@@ -12,6 +12,8 @@ MODULES = [
     "market_queries",
     "portfolio_queries",
     "validation_queries",
+    "source_queries",
+    "stream_queries",
 ]
 
 
