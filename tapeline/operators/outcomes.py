@@ -14,9 +14,18 @@ from pyspark.sql.window import Window
 from tapeline.operators.asof import fan_out
 from tapeline.operators.touch import extreme_tree, first_touch, range_extremes
 
-PATH = Window.partitionBy("sig_id").orderBy("step")
-SO_FAR = PATH.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = PATH.rowsBetween(Window.unboundedPreceding, -1)
+def path_window():
+    """The bars of one signal in order; a path is at most one horizon long."""
+    return Window.partitionBy("sig_id").orderBy("step")
+
+
+def so_far():
+    return path_window().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return path_window().rowsBetween(Window.unboundedPreceding, -1)
+
 
 
 def funding_cost_r(is_crypto: Column, bars_held: Column, entry: Column, risk: Column) -> Column:
@@ -73,7 +82,7 @@ def resolve(
         F.col("direction") > 0, F.greatest(F.col("stop"), net_even)
     ).otherwise(F.least(F.col("stop"), net_even))
     reaches = F.col("fav") >= ratchet_r
-    marked = path.withColumn("was", F.coalesce(F.max(reaches.cast("int")).over(BEFORE), F.lit(0)) == 1)
+    marked = path.withColumn("was", F.coalesce(F.max(reaches.cast("int")).over(before()), F.lit(0)) == 1)
     both = ~F.col("was") & reaches & _beyond(F.col("worst"), F.col("stop"))
     ratcheted = F.col("was") | reaches
     level = F.when(ratcheted, moved).otherwise(F.col("stop"))
@@ -126,9 +135,9 @@ def forward_paths(
     net_even = F.col("entry") + F.col("entry") * (commission * 2 + slippage * 2) * F.col("direction")
     rows = path.withColumns(
         {
-            "be_on": F.coalesce(F.max(reaches.cast("int")).over(SO_FAR), F.lit(0)) == 1,
-            "mfe": F.greatest(F.max("fav").over(SO_FAR), F.lit(0.0)),
-            "mae": F.greatest(F.max("adv").over(SO_FAR), F.lit(0.0)),
+            "be_on": F.coalesce(F.max(reaches.cast("int")).over(so_far()), F.lit(0)) == 1,
+            "mfe": F.greatest(F.max("fav").over(so_far()), F.lit(0.0)),
+            "mae": F.greatest(F.max("adv").over(so_far()), F.lit(0.0)),
             "bars_held": F.col("step") + 2,
             "unrealized": (F.col("bar_close") - F.col("entry")) * F.col("direction") / F.col("risk"),
         }
@@ -146,7 +155,7 @@ def forward_paths(
             ),
         }
     )
-    ended = F.coalesce(F.max(F.col("mech").isNotNull().cast("int")).over(BEFORE), F.lit(0)) == 1
+    ended = F.coalesce(F.max(F.col("mech").isNotNull().cast("int")).over(before()), F.lit(0)) == 1
     return rows.withColumn("_ended", ended).filter(~F.col("_ended")).drop("_ended")
 
 
@@ -212,7 +221,7 @@ def simulate(
     )
     after = _path(hits, bars, post_bars, 1)
     crossed = (F.col("bar_close") - F.col("entry")) * F.col("direction") < 0
-    after = after.withColumn("_over", F.coalesce(F.max(crossed.cast("int")).over(BEFORE), F.lit(0)) == 1)
+    after = after.withColumn("_over", F.coalesce(F.max(crossed.cast("int")).over(before()), F.lit(0)) == 1)
     post = after.filter(~F.col("_over")).groupBy("sig_id").agg(
         F.max("fav").alias("_pf"),
         F.min((F.col("bar_close") - F.col("entry")) * F.col("direction") / F.col("risk")).alias("_pw"),
@@ -229,8 +238,8 @@ def simulate(
 
 def exit_episodes(path: DataFrame, results: DataFrame, horizon: int) -> DataFrame:
     """One row per bar of a trade with exit features and the hold label."""
-    prev = F.coalesce(F.lag("unrealized").over(PATH), F.lit(0.0))
-    in_profit = F.sum((F.col("unrealized") > 0).cast("int")).over(SO_FAR)
+    prev = F.coalesce(F.lag("unrealized").over(path_window()), F.lit(0.0))
+    in_profit = F.sum((F.col("unrealized") > 0).cast("int")).over(so_far())
     clip = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     rows = path.withColumns(
         {
@@ -264,7 +273,7 @@ def retrodict(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     """Limit entry that must be touched first, then stop/target/timeout in R."""
     path = _path(signals, bars, horizon, 1)
     touch = (F.col("bar_low") <= F.col("entry")) & (F.col("entry") <= F.col("bar_high"))
-    rows = path.withColumn("in", F.max(touch.cast("int")).over(SO_FAR) == 1)
+    rows = path.withColumn("in", F.max(touch.cast("int")).over(so_far()) == 1)
     stop = F.col("in") & _beyond(F.col("worst"), F.col("stop"))
     target = F.col("in") & ((F.col("best") - F.col("target")) * F.col("direction") >= 0)
     event = F.when(stop & target, "ambiguous_sl").when(stop, "sl").when(target, "tp")
@@ -327,5 +336,5 @@ def after_exit(exits: DataFrame, bars: DataFrame, bars_after: int = 50) -> DataF
     path = fan_out(exits, bars, bars_after, 1)
     move = (F.col("bar_close") - F.col("exit_price")) * F.col("direction") / F.col("exit_price")
     return path.withColumn("cumulative_pct", move).withColumn(
-        "best_missed", F.greatest(F.max("cumulative_pct").over(SO_FAR), F.lit(0.0))
+        "best_missed", F.greatest(F.max("cumulative_pct").over(so_far()), F.lit(0.0))
     )

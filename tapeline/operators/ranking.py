@@ -50,7 +50,7 @@ def opportunities(scans: DataFrame, cycle: str, weights: dict[str, float] | None
     total = sum((F.col(f"z_{c}") * w for c, w in weights.items()), F.lit(0.0))
     total = F.least(F.when(F.col("has_signal"), total * 1.2).otherwise(total), F.lit(1.0))
     ranked = scored.withColumn("score", total).filter(F.col("score") >= least)
-    w = Window.partitionBy(cycle).orderBy(F.desc("score"), "symbol")
+    w = Window.partitionBy(cycle).orderBy(F.desc(F.round("score", 9)), "symbol")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tapeline.operators.sampling import hash_order
@@ -17,12 +18,12 @@ EULER_MASCHERONI = 0.5772156649015329  # fixed value
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda x: _NORMAL.inv_cdf(x) if 0 < x < 1 else np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: _NORMAL.cdf(x) if x == x else np.nan)
 
