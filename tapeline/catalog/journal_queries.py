@@ -87,6 +87,12 @@ def journal_period_stats(spark, sf):
     return out.select("period", "trades", *[r(c).alias(c) for c in out.columns if c not in ("period", "trades")])
 
 
+def _pnl(spark, sf):
+    """Closed trades with the columns a curve needs, stored."""
+    t = J.closed(T.trades(spark, sf))
+    return materialize(t.select("trade_id", "asset_class", "exit_time", "pnl", "outcome", "rr_actual"))
+
+
 @query(
     "journal_equity_curve",
     with_(TRADES, EQUITY_SQL)
@@ -94,7 +100,7 @@ def journal_period_stats(spark, sf):
     {R('(equity - peak) / peak')} AS drawdown FROM eq""",
 )
 def journal_equity_curve(spark, sf):
-    out = J.equity_curve(materialize(T.trades(spark, sf)))
+    out = J.equity_curve(_pnl(spark, sf))
     return out.select("trade_id", "exit_time", r("equity", 4).alias("equity"), r("peak", 4).alias("peak"),
                       r("drawdown").alias("drawdown"))
 
@@ -105,7 +111,7 @@ def journal_equity_curve(spark, sf):
     + f"SELECT trade_id, exit_time, {R('equity', 4)} AS equity FROM eq ORDER BY exit_time DESC, trade_id DESC LIMIT 500",
 )
 def journal_equity_tail(spark, sf):
-    out = J.equity_curve(materialize(T.trades(spark, sf)))
+    out = J.equity_curve(_pnl(spark, sf))
     last = out.orderBy(F.desc("exit_time"), F.desc("trade_id")).limit(500)
     return last.select("trade_id", "exit_time", r("equity", 4).alias("equity")).orderBy("exit_time", "trade_id")
 
@@ -215,7 +221,7 @@ _M = {"total_pnl": 4, "max_drawdown": 6, "avg_rr": 6, "profit_factor": 6, "pf_re
     + ", ".join(f"{R(c, d)} AS {c}" for c, d in _M.items()) + " FROM z",
 )
 def journal_run_metrics(spark, sf):
-    m = J.run_metrics(materialize(T.trades(spark, sf)), ["asset_class"])
+    m = J.run_metrics(_pnl(spark, sf), ["asset_class"])
     return m.select("asset_class", "total_trades", "n_wins", "n_losses", "n_breakeven", *[r(c, d).alias(c) for c, d in _M.items()])
 
 

@@ -8,7 +8,6 @@ from tapeline.catalog.fragments import SAMPLES, TRADES, with_
 from tapeline.catalog.registry import R, query, r
 from tapeline.operators import labels as L
 from tapeline.operators import sampling as P
-from tapeline.session import materialize
 from tapeline.sources import tables as T
 
 SM = with_(SAMPLES)
@@ -181,7 +180,7 @@ def what_if_exits(spark, sf):
         "original": L.clip(F.col("label_rr"), -1.0, 20.0), "tp_adjusted": L.what_if_tp(q * 6), "fixed_be": L.what_if_be(F.lit(1.5)),
         "model_be": L.what_if_be(q * 3), "sl_adjusted": L.what_if_sl(q * 2 - 1),
     }
-    out = L.r_metrics(materialize(e), variants, "ts", "sample_id")
+    out = L.r_metrics(e, variants, "ts", "sample_id")
     return out.select("variant", "n_trades", r("sharpe").alias("sharpe"), r("pf").alias("pf"), r("win_rate").alias("win_rate"), r("max_dd", 4).alias("max_dd"))
 
 

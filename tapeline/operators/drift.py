@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeline.session import materialize
+
 # Drift limits.
 MINOR_KS, MAJOR_KS, MINOR_PSI, MAJOR_PSI = 0.10, 0.25, 0.10, 0.25
 
@@ -69,17 +71,25 @@ def psi(counts: DataFrame, buckets: int = 10) -> DataFrame:
     return fixed.groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
+def _moments(counts: DataFrame) -> DataFrame:
+    """Mean and population deviation of both sides from the value counts."""
+    mean = lambda c: F.sum(F.col("value") * F.col(c)) / F.sum(c)
+    means = counts.groupBy("feature").agg(mean("l").alias("live_mean"), mean("t").alias("train_mean"))
+    off = counts.join(F.broadcast(means), "feature")
+    dev = lambda c, m: F.sqrt(F.sum(F.pow(F.col("value") - F.col(m), 2) * F.col(c)) / F.sum(c))
+    return off.groupBy("feature").agg(
+        F.first("live_mean").alias("live_mean"), F.first("train_mean").alias("train_mean"),
+        dev("l", "live_mean").alias("live_std"), dev("t", "train_mean").alias("train_std"),
+    )
+
+
 def drift_report(train: DataFrame, live: DataFrame, features: list[str], critical: list[str], important: list[str]) -> DataFrame:
     """KS, PSI, means, deviations and severity per feature."""
-    counts = value_counts(train, live, features)
-    moments = lambda d, p: tall(d, features).groupBy("feature").agg(
-        F.avg("value").alias(f"{p}_mean"), F.stddev_pop("value").alias(f"{p}_std")
-    )
+    counts = materialize(value_counts(train, live, features))
     out = (
         ks_statistic(counts)
         .join(psi(counts), "feature", "left")
-        .join(moments(live, "live"), "feature")
-        .join(moments(train, "train"), "feature")
+        .join(_moments(counts), "feature")
         .withColumn("psi", F.coalesce("psi", F.lit(0.0)))
     )
     major = (F.col("ks") > MAJOR_KS) | (F.col("psi") > MAJOR_PSI)

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tapeline.functions.scores import clip
 from tapeline.operators.blocks import curve
 from tapeline.operators.journal import day_number
+from tapeline.session import materialize
 
 # Bounds of the hindsight targets.
 SL_BUFFER, SL_FLOOR, SL_CAP = 1.1, 1.0, 3.0
@@ -200,7 +201,7 @@ def what_if_sl(predicted: Column) -> Column:
 def r_metrics(rows: DataFrame, variants: dict[str, Column], ts: str, tie: str) -> DataFrame:
     """Sharpe, profit factor, win rate and drawdown of R series, one row per variant."""
     tall = rows.select(ts, tie, *[c.alias(n) for n, c in variants.items()]).unpivot([ts, tie], list(variants), "variant", "rr")
-    run = curve(tall, ["variant"], "rr", [ts, tie], day_number(ts), floor_at_start=False)
+    run = curve(materialize(tall), ["variant"], "rr", [ts, tie], day_number(ts), floor_at_start=False)
     dev = F.stddev_pop("rr")
     gain, loss = F.sum(F.when(F.col("rr") > 0, F.col("rr")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("rr") < 0, F.col("rr")).otherwise(0.0)))
     return run.groupBy("variant").agg(

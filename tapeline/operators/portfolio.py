@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tapeline.functions.scores import risk_fraction
 from tapeline.operators.blocks import curve, running
 from tapeline.operators.greedy import greedy_keep
+from tapeline.session import materialize
 
 # Loss limits of the breaker.
 DAILY_LIMIT, WEEKLY_LIMIT, ALLTIME_LIMIT, HEAT_LIMIT = 0.03, 0.05, 0.08, 1.00
@@ -177,8 +178,8 @@ def breaker_status(trades: DataFrame, keys: list[str]) -> DataFrame:
     day_no = F.floor(F.unix_seconds("exit_time") / 86400).cast("long")
     rows = rows.withColumn("_o", F.struct("exit_time", "trade_id"))
     rows = running(rows, [*keys, "day"], {"daily": ("sum", F.col("pnl_pct"))}, "_o", F.floor(F.unix_seconds("exit_time") / 3600).cast("long"))
-    rows = running(rows, [*keys, "week"], {"weekly": ("sum", F.col("pnl_pct"))}, "_o", day_no)
-    rows = curve(rows, keys, "pnl_pct", ["exit_time", "trade_id"], day_no)
+    rows = running(materialize(rows), [*keys, "week"], {"weekly": ("sum", F.col("pnl_pct"))}, "_o", day_no)
+    rows = curve(materialize(rows.drop("_o")), keys, "pnl_pct", ["exit_time", "trade_id"], day_no)
     budget = F.least(
         *[F.greatest(F.lit(limit) - F.abs(F.least(c, F.lit(0.0))), F.lit(0.0))
           for limit, c in ((DAILY_LIMIT, F.col("daily")), (WEEKLY_LIMIT, F.col("weekly")), (ALLTIME_LIMIT, -F.col("drawdown")))]

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.operators.bars import KEYS, true_range
-from tapeline.operators.blocks import RECURSION_BLOCK, framed, recursion
+from tapeline.operators.blocks import RECURSION_BLOCK, framed, halo, recursion
+from tapeline.session import materialize
 
 _I = "bar_idx"
 
@@ -62,14 +63,18 @@ def _moves_with_means(bars: DataFrame, period: int) -> DataFrame:
         frame = w.rowsBetween(1 - period, 0)
         return {f"{c}0": F.avg(c).over(frame) for c in ("_gain", "_loss", "_tr", "_pdm", "_mdm")}
 
-    moved = framed(bars, KEYS, _moves, before=1)
-    return framed(moved, KEYS, build, before=period)
+    # the means are taken over moves, which need one more row: both in one halo
+    window = Window.partitionBy(*KEYS, "_blk").orderBy(_I)
+    spread = halo(bars, before=period + 1)
+    moved = spread.withColumns(_moves(window)).withColumns(build(window))
+    return moved.filter("_core").drop("_blk", "_core")
 
 
-def wilder(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> DataFrame:
-    """Add ``rsi`` (50 until enough bars) and ``atr`` (head filled backwards)."""
+def smoothed(bars: DataFrame, spans: dict[str, int], period: int = 14, size: int = RECURSION_BLOCK) -> DataFrame:
+    """EMAs of the close with ``rsi`` (50 until enough bars) and ``atr`` (head filled
+    backwards), all solved in one recursion pass."""
     keep, weight = (period - 1) / period, 1 / period
-    rows = _moves_with_means(bars, period)
+    rows = materialize(_moves_with_means(bars, period))
     solved = recursion(
         rows,
         KEYS,
@@ -77,6 +82,7 @@ def wilder(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> Da
             "_ag": _seeded(F.col("_gain"), F.col("_gain0"), period, keep, weight),
             "_al": _seeded(F.col("_loss"), F.col("_loss0"), period, keep, weight),
             "_atr": _seeded(F.col("_tr"), F.col("_tr0"), period - 1, keep, weight),
+            **{o: ema_input(F.col("close"), s) for o, s in spans.items()},
         },
         size=size,
     )
@@ -97,10 +103,15 @@ def wilder(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> Da
                 .otherwise(F.col("_atr")),
             }
         )
-        .select(*bars.columns, "rsi", "atr")
+        .select(*bars.columns, "rsi", "atr", *spans)
     )
 
 
+def wilder(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> DataFrame:
+    """Add ``rsi`` and ``atr``."""
+    return smoothed(bars, {}, period, size)
+
+
 def simple_rsi(bars: DataFrame, period: int = 14, out: str = "rsi_simple") -> DataFrame:
     """RSI from the plain means of the last ``period`` changes."""
 
@@ -137,7 +148,7 @@ def adx(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> DataF
     then averaged the same way as RSI.  Zero until 2*period values exist.
     """
     keep = 1 - 1 / period
-    rows = _moves_with_means(bars, period)
+    rows = materialize(_moves_with_means(bars, period))
     first = recursion(
         rows,
         KEYS,
@@ -157,7 +168,7 @@ def adx(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> DataF
     indexed = first.withColumns({"_pdi": pdi, "_mdi": mdi}).withColumn("_dx", dx)
     seeded = framed(indexed, KEYS, lambda w: {"_dx0": F.avg("_dx").over(w.rowsBetween(1 - period, 0))}, before=period)
     second = recursion(
-        seeded,
+        materialize(seeded),
         KEYS,
         {"_adx": _seeded(F.col("_dx"), F.col("_dx0"), 2 * period, (period - 1) / period, 1 / period)},
         size=size,
@@ -175,7 +186,7 @@ def adx(bars: DataFrame, period: int = 14, size: int = RECURSION_BLOCK) -> DataF
 def macd(bars: DataFrame, size: int = RECURSION_BLOCK) -> DataFrame:
     """MACD histogram (12/26/9) of the bar and of the one before; 0 below 35 bars."""
     fast_slow = ema(bars, {"_e12": 12, "_e26": 26}, size=size).withColumn("_line", F.col("_e12") - F.col("_e26"))
-    signal = recursion(fast_slow, KEYS, {"_sig": ema_input(F.col("_line"), 9)}, size=size)
+    signal = recursion(materialize(fast_slow), KEYS, {"_sig": ema_input(F.col("_line"), 9)}, size=size)
     hist = signal.withColumn("_hist", F.col("_line") - F.col("_sig"))
     lagged = framed(hist, KEYS, lambda w: {"_prev": F.lag("_hist").over(w)}, before=1)
     enough = F.col(_I) >= 34
@@ -208,7 +219,7 @@ def _di_steps(pdf: pd.DataFrame, period: int, dm: str):
 def adx_training(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFrame:
     """ADX as the training features use it: 25 until ``2*period`` bars exist."""
     rows = _moves_with_means(wilder(bars, period), period).withColumn("_b", F.floor(F.col(_I) / size).cast("long"))
-    slim = rows.select("symbol", "_b", _I, "atr", "_pdm", "_mdm", "_pdm0", "_mdm0")
+    slim = materialize(rows.select("symbol", "_b", _I, "atr", "_pdm", "_mdm", "_pdm0", "_mdm0"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx")
@@ -251,7 +262,7 @@ def adx_training(bars: DataFrame, period: int = 14, size: int = 4096) -> DataFra
     j = bars.join(solved, ["symbol", _I]).withColumn("_dx", dx)
     seeded = framed(j, KEYS, lambda w: {"_dx0": F.avg("_dx").over(w.rowsBetween(-period, 0))}, before=period)
     smooth = recursion(
-        seeded, KEYS, {"_adx": _seeded(F.col("_dx"), F.col("_dx0"), 2 * period, (period - 1) / period, 1 / period)}
+        materialize(seeded), KEYS, {"_adx": _seeded(F.col("_dx"), F.col("_dx0"), 2 * period, (period - 1) / period, 1 / period)}
     )
     ready = (F.col("n_bars") >= 2 * period + 1) & (F.col(_I) >= 2 * period)
     return smooth.select(*bars.columns, F.when(ready, F.col("_adx")).otherwise(25.0).alias("adx_training"))

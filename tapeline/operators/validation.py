@@ -136,6 +136,11 @@ def pbo_summary(ranked: DataFrame) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Even partitions over all cores before every row is copied many times."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def shuffled_drawdowns(trades: DataFrame, n_simulations: int, tie: str, seed: int = 42, parts: int = 64) -> DataFrame:
     """Worst drawdown of each seeded permutation of the trades' R results.
 
@@ -148,7 +153,7 @@ def shuffled_drawdowns(trades: DataFrame, n_simulations: int, tie: str, seed: in
     steps = trades.select(tie, F.ln(growth).alias("g"))
     sims = trades.sparkSession.range(n_simulations).select(F.col("id").alias("sim"))
     order = F.xxhash64(F.lit(seed), F.col("sim"), F.col(tie))
-    rows = steps.crossJoin(F.broadcast(sims)).withColumn("_o", order)
+    rows = _spread(steps, tie).crossJoin(F.broadcast(sims)).withColumn("_o", order)
     rows = rows.withColumn("_part", F.floor((F.col("_o").cast("double") / float(2**63) + 1) / 2 * parts).cast("int"))
     w = Window.partitionBy("sim", "_part").orderBy("_o", tie).rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("_s", F.sum("g").over(w)).withColumn("_m", F.max("_s").over(w))
@@ -247,7 +252,7 @@ def bootstrap(values: DataFrame, value: str, replicates: int, tie: str, seed: in
         cuts.append(total)
         p /= k + 1
     copies = sum((F.when(F.col("_u") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = values.crossJoin(F.broadcast(reps)).withColumn("_u", u).withColumn("_k", copies)
+    rows = _spread(values, tie).crossJoin(F.broadcast(reps)).withColumn("_u", u).withColumn("_k", copies)
     x = F.col(value) * F.col("_k")
     return rows.groupBy("replicate").agg(
         (F.sum(x) / F.sum("_k")).alias("mean"),

@@ -31,9 +31,10 @@ FEATURES = [
 def zone_counts(t: dict[str, DataFrame], strict: bool) -> DataFrame:
     """Active gaps, order blocks and liquidity levels per bar of every series."""
     tree = extreme_tree(t["bars"])
-    gaps = S.gap_mitigation(t["gaps"], t["bars"], tree)
-    blocks = S.order_block_mitigation(t["blocks"], t["bars"], tree)
-    levels = S.liquidity(t["swings"], t["bars"], tree=tree)
+    # each is read for its starts, its ends and its open zones
+    gaps = materialize(S.gap_mitigation(t["gaps"], t["bars"], tree))
+    blocks = materialize(S.order_block_mitigation(t["blocks"], t["bars"], tree))
+    levels = materialize(S.liquidity(t["swings"], t["bars"], tree=tree))
     # without ``strict`` a level that is swept at any time counts on the first bar only
     gone = F.col("end_idx") if strict else F.when(F.col("end_idx").isNotNull(), F.greatest(F.col("bar_idx"), F.lit(1)))
     levels = levels.withColumn("_end", gone)
@@ -49,11 +50,11 @@ def zone_counts(t: dict[str, DataFrame], strict: bool) -> DataFrame:
         part = start.unionByName(stop).withColumn("zone", F.lit(name))
         deltas = part if deltas is None else deltas.unionByName(part)
     names = [z[0] for z in zones]
-    per_bar = materialize(deltas).groupBy("symbol", "bar_idx").agg(*[F.sum(F.when(F.col("zone") == n, F.col("d"))).alias(f"_{n}") for n in names])
+    per_bar = deltas.groupBy("symbol", "bar_idx").agg(*[F.sum(F.when(F.col("zone") == n, F.col("d"))).alias(f"_{n}") for n in names])
     from tapeline.operators.blocks import running
 
     rows = t["bars"].select("symbol", "bar_idx").join(per_bar, ["symbol", "bar_idx"], "left")
-    counted = running(rows, KEYS, {n: ("sum", F.col(f"_{n}")) for n in names})
+    counted = running(materialize(rows), KEYS, {n: ("sum", F.col(f"_{n}")) for n in names})
     open_zone = (
         gaps.filter("mitigated_idx is null").select("symbol", "bar_idx", F.col("gap").alias("sign"))
         .unionByName(blocks.filter("mitigated_idx is null").select("symbol", "bar_idx", F.col("ob").alias("sign")))
@@ -67,7 +68,7 @@ def zone_counts(t: dict[str, DataFrame], strict: bool) -> DataFrame:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """EMA, ATR, RSI and volume measures of every series in one chain."""
-    rows = X.wilder(X.ema(bars, {"ema20": 20, "ema50": 50}))
+    rows = X.smoothed(bars, {"ema20": 20, "ema50": 50})
     share = lambda c: F.when(F.col("close") > 0, F.col(c) / F.col("close")).otherwise(0.0)
     dist = lambda c: F.when(F.col("close") > 0, (F.col("close") - F.col(c)) / F.col("close")).otherwise(0.0)
     return volume_measures(rows).withColumns(
@@ -81,19 +82,19 @@ def feature_matrix(base: DataFrame, p: G.SignalParams | None = None, decision_tf
     t = G.structure_tables(G.series_table(base, decision_tf), p)
     state = G.running_state(t, G.SignalParams(**{**p.__dict__, "poi_bars": p.poi_bars + 1}))
     counts = zone_counts(t, p.strict)
-    state = materialize(state.join(counts, ["symbol", "bar_idx"]))
+    state = state.join(counts, ["symbol", "bar_idx"])
     state = S.recent_flag(state, {"zone_up": F.col("_open_up"), "zone_dn": F.col("_open_dn")}, p.zone_bars)
     ind = indicators(t["bars"]).select("symbol", "bar_idx", "ema20_dist", "ema50_dist", "atr_norm", "rsi_norm", "volume_ratio", "volume_ok")
-    state = materialize(state.join(ind, ["symbol", "bar_idx"]))
     hourly = X.adx_training(t["bars"].filter("tf = '1h'")).select("symbol", "bar_idx", "adx_training")
-    state = state.join(hourly, ["symbol", "bar_idx"], "left")
-    rows = state.filter(F.col("tf") == decision_tf)
-    trig = {"trigger_up": F.col("break_sign") > 0, "trigger_dn": F.col("break_sign") < 0}
-    rows = S.recent_flag(rows, trig, p.trigger_bars)
+    state = materialize(state.join(ind, ["symbol", "bar_idx"]).join(hourly, ["symbol", "bar_idx"], "left"))
+    hit = lambda c, w: F.coalesce(F.max(c.cast("int")).over(w.rowsBetween(-p.trigger_bars, 0)), F.lit(0)) == 1
     rows = framed(
-        rows, KEYS,
-        lambda w: {"struct_5m": F.coalesce(F.lag("structure").over(w), F.lit(0)), "decay_5m": F.coalesce(F.lag("decay").over(w), F.lit(0.0))},
-        before=1,
+        state.filter(F.col("tf") == decision_tf), KEYS,
+        lambda w: {
+            "trigger_up": hit(F.col("break_sign") > 0, w), "trigger_dn": hit(F.col("break_sign") < 0, w),
+            "struct_5m": F.coalesce(F.lag("structure").over(w), F.lit(0)), "decay_5m": F.coalesce(F.lag("decay").over(w), F.lit(0.0)),
+        },
+        before=max(1, p.trigger_bars),
     )
     rows = rows.select(
         "sym", "ts", "bar_idx", "close", "open", "high", "low", "n_bars", "struct_5m", "decay_5m", "trigger_up", "trigger_dn", "volume_ratio",

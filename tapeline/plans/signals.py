@@ -117,12 +117,10 @@ def entry_zones(t: dict[str, DataFrame], tf: str, p: SignalParams) -> DataFrame:
     )
 
 
-def volume_ok(rows: DataFrame, back: int = 20, ratio: float = 1.2) -> DataFrame:
-    def build(w):
-        past = F.avg("volume").over(w.rowsBetween(-back, -1))
-        return {"volume_ok": F.coalesce((F.col("bar_idx") >= 4) & (past > 0) & (F.col("volume") >= past * ratio), F.lit(False))}
-
-    return framed(rows, KEYS, build, before=back)
+def volume_confirms(w, back: int = 20, ratio: float = 1.2) -> Column:
+    """Volume above the mean of up to 20 earlier bars; needs five bars."""
+    past = F.avg("volume").over(w.rowsBetween(-back, -1))
+    return F.coalesce((F.col("bar_idx") >= 4) & (past > 0) & (F.col("volume") >= past * ratio), F.lit(False))
 
 
 def attach(rows: DataFrame, state: DataFrame, tf: str, columns: dict[str, str], p: SignalParams, how: str = "left") -> DataFrame:
@@ -199,13 +197,15 @@ def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams)
 
 def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, decision_tf: str = "5m") -> DataFrame:
     """Decision bars with all flags, the score and the reason a bar is dropped."""
-    rows = volume_ok(state.filter(F.col("tf") == decision_tf))
-    trig = {"trigger_up": F.col("break_sign") > 0, "trigger_dn": F.col("break_sign") < 0}
-    rows = S.recent_flag(rows, trig, p.trigger_bars)
+    hit = lambda c, w: F.coalesce(F.max(c.cast("int")).over(w.rowsBetween(-p.trigger_bars, 0)), F.lit(0)) == 1
     rows = framed(
-        rows, KEYS,
-        lambda w: {"low21": F.min("low").over(w.rowsBetween(-20, 0)), "high21": F.max("high").over(w.rowsBetween(-20, 0))},
-        before=20,
+        state.filter(F.col("tf") == decision_tf), KEYS,
+        lambda w: {
+            "volume_ok": volume_confirms(w),
+            "trigger_up": hit(F.col("break_sign") > 0, w), "trigger_dn": hit(F.col("break_sign") < 0, w),
+            "low21": F.min("low").over(w.rowsBetween(-20, 0)), "high21": F.max("high").over(w.rowsBetween(-20, 0)),
+        },
+        before=max(20, p.trigger_bars),
     )
     # series too short for structure give no daily bias (day) or no confirmation
     rows = rows.select("sym", "ts", "bar_idx", "n_bars", F.col("close").alias("entry"), "volume_ok", "trigger_up",
