@@ -148,12 +148,11 @@ def running(
             merged[out] = pick(agg(x).over(rows), F.col(carry))
         else:
             raise ValueError(kind)
-    blocked = blocked.withColumns(inputs)
-    carry_table = (
-        blocked.groupBy(*keys, "_b").agg(*reduce_).select(*keys, "_b", *carried)
-    )
-    joined = blocked.join(carry_table, [*keys, "_b"], "left").withColumns(merged)
-    return joined.drop("_b", *inputs, *[f"_c_{o}" for o in specs])
+    blocked = blocked.select("*", *[c.alias(n) for n, c in inputs.items()])
+    carry_table = blocked.groupBy(*keys, "_b").agg(*reduce_).select(*keys, "_b", *carried)
+    joined = blocked.join(carry_table, [*keys, "_b"], "left")
+    kept = [c for c in df.columns if c not in merged]
+    return joined.select(*kept, *[c.alias(n) for n, c in merged.items()])
 
 
 def curve(
@@ -233,7 +232,8 @@ def recursion(
         solved[out] = F.coalesce(local, F.lit(0.0)) * F.pow(F.lit(a), F.col("_pos")) + F.coalesce(
             F.col(carry), F.lit(0.0)
         ) * F.pow(F.lit(a), F.col("_pos") + 1)
-    blocked = blocked.withColumns(inputs)
+    blocked = blocked.select("*", *[c.alias(n) for n, c in inputs.items()])
     carry_table = blocked.groupBy(*keys, "_b").agg(*reduce_).select(*keys, "_b", *carried)
-    joined = blocked.join(carry_table, [*keys, "_b"], "left").withColumns(solved)
-    return joined.drop("_b", "_pos", *inputs, *[f"_c_{o}" for o in specs])
+    joined = blocked.join(carry_table, [*keys, "_b"], "left")
+    kept = [c for c in df.columns if c not in solved]
+    return joined.select(*kept, *[c.alias(n) for n, c in solved.items()])

@@ -75,41 +75,34 @@ def search(
     """
     level1, level2, level3 = tree
     strict = F.lit(strict) if isinstance(strict, bool) else strict
-    keyed = levels.withColumns(
-        {
-            "_down": falling,
-            "_lvl": F.when(falling, level).otherwise(-level),
-            "_strict": strict,
-            "_blk": F.floor(F.col(at) / fan).cast("long"),
-        }
+    df = levels.select(
+        "*", falling.alias("_down"), F.when(falling, level).otherwise(-level).alias("_lvl"), strict.alias("_strict"),
+        F.floor(F.col(at) / fan).cast("long").alias("_blk"),
     )
-    side = F.when(F.col("_down"), F.col("lows")).otherwise(F.col("neg_highs"))
     find, edge, shift = (_last_hit, F.lit(fan), -1) if backward else (_first_hit, F.lit(0), 1)
-    hit = lambda bound: find(side, bound, F.col("_lvl"), F.col("_strict"))
-
-    def step(df, table, on, name, bound):
-        slim = table.select(*on.keys(), "lows", "neg_highs")
-        for column, source in on.items():
-            slim = slim.withColumnRenamed(column, source)
-        return df.join(slim, list(on.values()), "left").withColumn(name, hit(bound)).drop("lows", "neg_highs")
-
-    df = step(keyed, level1, {"symbol": "symbol", "blk": "_blk"}, "_own", F.col(at) % fan)
-    df = df.withColumn("_sup", F.when(F.col("_own").isNull(), F.floor(F.col("_blk") / fan).cast("long")))
-    df = step(df, level2, {"symbol": "symbol", "sup": "_sup"}, "_insup", F.col("_blk") % fan + shift)
-    df = df.withColumn(
-        "_sym", F.when(F.col("_sup").isNotNull() & F.col("_insup").isNull(), F.col("symbol"))
-    )
-    df = step(df, level3, {"symbol": "_sym"}, "_top", F.col("_sup") + shift)
-    df = step(df, level2.withColumnRenamed("sup", "_s"), {"symbol": "symbol", "_s": "_top"}, "_down2", edge)
-    df = df.withColumn(
-        "_far",
-        F.coalesce(F.col("_sup") * fan + F.col("_insup"), F.col("_top") * fan + F.col("_down2")),
-    )
-    df = step(df, level1.withColumnRenamed("blk", "_f"), {"symbol": "symbol", "_f": "_far"}, "_bar", edge)
-    result = F.coalesce(F.col("_blk") * fan + F.col("_own"), F.col("_far") * fan + F.col("_bar"))
-    return df.withColumn(out, result.cast("long")).drop(
-        "_down", "_lvl", "_strict", "_blk", "_own", "_sup", "_insup", "_sym", "_top", "_down2", "_far", "_bar"
-    )
+    blk, own, insup, top = F.col("_blk"), F.col("_own"), F.col("_insup"), F.col("_top")
+    sup = F.floor(blk / fan).cast("long")
+    df = _read(df, level1, "blk", blk, "_own", find, F.col(at) % fan)
+    # levels that are settled keep a spread key, so they do not pile up in one partition
+    df = _read(df, level2, "sup", sup, "_insup", find, blk % fan + shift, own.isNull())
+    df = _read(df, level3, None, None, "_top", find, sup + shift, own.isNull() & insup.isNull())
+    df = _read(df, level2, "sup", F.coalesce(top, -1 - blk), "_down2", find, edge)
+    far = F.when(own.isNull(), F.coalesce(sup * fan + insup, top * fan + F.col("_down2")))
+    df = _read(df, level1, "blk", F.coalesce(far, -1 - blk), "_bar", find, edge)
+    result = F.coalesce(blk * fan + own, far * fan + F.col("_bar"))
+    return df.select(*levels.columns, result.cast("long").alias(out))
+
+
+def _read(df, table, key, value, name, find, bound, when=None):
+    """Left join of one tree row per level row, reduced to the position found in it."""
+    right = table.select(F.col("symbol").alias("_rs"), *([F.col(key).alias("_rk")] if key else []), "lows", "neg_highs")
+    on = F.col("symbol") == F.col("_rs")
+    if key:
+        on = on & (value == F.col("_rk"))
+    if when is not None:
+        on = on & when
+    side = F.when(F.col("_down"), F.col("lows")).otherwise(F.col("neg_highs"))
+    return df.join(right, on, "left").select(*df.columns, find(side, bound, F.col("_lvl"), F.col("_strict")).alias(name))
 
 
 def first_touch(
@@ -137,40 +130,34 @@ def range_extremes(rows: DataFrame, tree, start: str, end: str, low: str, high:
     """
     level1, level2, level3 = tree
     s, e = F.col(start), F.col(end)
-    df = rows.withColumns(
-        {
-            "_bs": F.floor(s / fan).cast("long"),
-            "_be": F.floor(e / fan).cast("long"),
-        }
-    ).withColumns(
-        {
-            "_us": F.when(F.col("_be") - F.col("_bs") > 1, F.floor((F.col("_bs") + 1) / fan).cast("long")),
-            "_ue": F.when(F.col("_be") - F.col("_bs") > 1, F.floor((F.col("_be") - 1) / fan).cast("long")),
-        }
-    ).withColumn("_ut", F.when(F.col("_ue") - F.col("_us") > 1, F.col("symbol")))
-
-    def part(df, table, on, tag, first, last):
-        slim = table.select(*on.keys(), F.col("lows").alias("_l"), F.col("neg_highs").alias("_h"))
-        for column, source in on.items():
-            slim = slim.withColumnRenamed(column, source)
+    df = rows.select("*", F.floor(s / fan).cast("long").alias("_bs"), F.floor(e / fan).cast("long").alias("_be"))
+    bs, be = F.col("_bs"), F.col("_be")
+    us, ue = F.floor((bs + 1) / fan).cast("long"), F.floor((be - 1) / fan).cast("long")
+    inner, same, one = be - bs > 1, bs == be, us == ue
+    none = -1 - bs  # matches no block, and keeps rows spread
+
+    def part(df, table, key, value, tag, first, last, when=None):
+        right = table.select(
+            F.col("symbol").alias("_rs"), *([F.col(key).alias("_rk")] if key else []), F.col("lows").alias("_l"), F.col("neg_highs").alias("_h")
+        )
+        on = F.col("symbol") == F.col("_rs")
+        if key:
+            on = on & (value == F.col("_rk"))
+        if when is not None:
+            on = on & when
         cut = lambda c: F.array_min(F.slice(F.col(c), first + 1, F.greatest(last - first + 1, F.lit(0))))
-        joined = df.join(slim, list(on.values()), "left")
-        return joined.withColumns({f"_{tag}l": cut("_l"), f"_{tag}h": cut("_h")}).drop("_l", "_h")
-
-    same = F.col("_bs") == F.col("_be")
-    df = part(df, level1, {"symbol": "symbol", "blk": "_bs"}, "a", (s % fan).cast("int"),
-              F.when(same, e % fan).otherwise(fan - 1).cast("int"))
-    df = part(df, level1, {"symbol": "symbol", "blk": "_be"}, "b", F.lit(0), F.when(~same, e % fan).otherwise(-1).cast("int"))
-    one = F.col("_us") == F.col("_ue")
-    df = part(df, level2, {"symbol": "symbol", "sup": "_us"}, "c", ((F.col("_bs") + 1) % fan).cast("int"),
-              F.when(one, (F.col("_be") - 1) % fan).otherwise(fan - 1).cast("int"))
-    df = part(df, level2, {"symbol": "symbol", "sup": "_ue"}, "d", F.lit(0),
-              F.when(~one, (F.col("_be") - 1) % fan).otherwise(-1).cast("int"))
-    df = part(df, level3, {"symbol": "_ut"}, "e", (F.col("_us") + 1).cast("int"), (F.col("_ue") - 1).cast("int"))
+        return df.join(right, on, "left").select(*df.columns, cut("_l").alias(f"_{tag}l"), cut("_h").alias(f"_{tag}h"))
+
+    whole = F.lit(fan - 1)
+    df = part(df, level1, "blk", bs, "a", (s % fan).cast("int"), F.when(same, e % fan).otherwise(whole).cast("int"))
+    df = part(df, level1, "blk", F.when(same, none).otherwise(be), "b", F.lit(0), (e % fan).cast("int"))
+    df = part(df, level2, "sup", F.when(inner, us).otherwise(none), "c", ((bs + 1) % fan).cast("int"),
+              F.when(one, (be - 1) % fan).otherwise(whole).cast("int"))
+    df = part(df, level2, "sup", F.when(inner & ~one, ue).otherwise(none), "d", F.lit(0), ((be - 1) % fan).cast("int"))
+    df = part(df, level3, None, None, "e", (us + 1).cast("int"), (ue - 1).cast("int"), inner & (ue - us > 1))
     valid = e >= s
-    return df.withColumns(
-        {
-            low: F.when(valid, F.least(*[F.col(f"_{t}l") for t in "abcde"])),
-            high: F.when(valid, -F.least(*[F.col(f"_{t}h") for t in "abcde"])),
-        }
-    ).drop("_bs", "_be", "_us", "_ue", "_ut", *[f"_{t}{x}" for t in "abcde" for x in "lh"])
+    return df.select(
+        *rows.columns,
+        F.when(valid, F.least(*[F.col(f"_{t}l") for t in "abcde"])).alias(low),
+        F.when(valid, -F.least(*[F.col(f"_{t}h") for t in "abcde"])).alias(high),
+    )
