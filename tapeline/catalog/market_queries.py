@@ -109,7 +109,26 @@ def market_volatility_filter(spark, sf):
     return M.volatility_filter(T.bars(spark, sf), 1.2).select("symbol", "ts", r("atr_share").alias("atr_share"))
 
 
-@query("market_adx_training")
+ADX_TRAINING = """rec AS (
+  SELECT m.symbol, m.bar_idx, s.t AS atr, CASE WHEN s.t > 0 THEN s.p / s.t * 100 ELSE 0 END AS pdi, CASE WHEN s.t > 0 THEN s.m / s.t * 100 ELSE 0 END AS mdi
+  FROM {m} m JOIN (SELECT symbol, (avg(tr) FILTER (bar_idx <= 13) * 13 + max(tr) FILTER (bar_idx = 14)) / 14 AS t,
+    avg(pdm) FILTER (bar_idx BETWEEN 1 AND 14) AS p, avg(mdm) FILTER (bar_idx BETWEEN 1 AND 14) AS m FROM {m} GROUP BY symbol) s USING (symbol) WHERE m.bar_idx = 14
+  UNION ALL
+  SELECT m.symbol, m.bar_idx, (r.atr * 13 + m.tr) / 14,
+    CASE WHEN (r.atr * 13 + m.tr) / 14 > 0 THEN least((r.pdi * 13 + m.pdm) / 14 / ((r.atr * 13 + m.tr) / 14) * 100, 100) ELSE 0 END,
+    CASE WHEN (r.atr * 13 + m.tr) / 14 > 0 THEN least((r.mdi * 13 + m.mdm) / 14 / ((r.atr * 13 + m.tr) / 14) * 100, 100) ELSE 0 END
+  FROM rec r JOIN {m} m ON m.symbol = r.symbol AND m.bar_idx = r.bar_idx + 1),
+dxs AS (SELECT symbol, bar_idx, CASE WHEN pdi + mdi > 0 THEN abs(pdi - mdi) / (pdi + mdi) * 100 ELSE 0 END AS dx FROM rec),
+adxr AS (SELECT symbol, 28::BIGINT AS bar_idx, avg(dx) AS adx FROM dxs WHERE bar_idx BETWEEN 14 AND 28 GROUP BY symbol
+  UNION ALL SELECT d.symbol, d.bar_idx, (a.adx * 13 + d.dx) / 14 FROM adxr a JOIN dxs d ON d.symbol = a.symbol AND d.bar_idx = a.bar_idx + 1),
+adxt AS (SELECT b.symbol, b.bar_idx, CASE WHEN b.n_bars >= 29 AND b.bar_idx >= 28 THEN a.adx ELSE 25 END AS adx FROM {m} b LEFT JOIN adxr a ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx)"""
+
+
+@query(
+    "market_adx_training",
+    "WITH RECURSIVE " + ",\n".join([TICKS, bars_cte(), _MOVES, ADX_TRAINING.format(m="moves")])
+    + f"SELECT b.symbol, b.ts, {R('adx')} AS adx_training FROM adxt a JOIN bars b ON b.symbol = a.symbol AND b.bar_idx = a.bar_idx",
+)
 def market_adx_training(spark, sf):
     return X.adx_training(T.bars(spark, sf)).select("symbol", "ts", r("adx_training").alias("adx_training"))
 
@@ -305,7 +324,20 @@ def market_volume_profile(spark, sf):
     return M.volume_profile(bars, req).select(F.col("req_id").alias("sig_id"), r("profile_score").alias("profile_score"))
 
 
-@query("market_universe_scan")
+_BIAS = "list_sum(list_transform(list(close ORDER BY bar_idx), lambda x, i: x * pow(1 - 2.0::DOUBLE / {n}, len(list(close)) - i))) / list_sum(list_transform(list(close ORDER BY bar_idx), lambda x, i: pow(1 - 2.0::DOUBLE / {n}, len(list(close)) - i)))"
+
+
+@query(
+    "market_universe_scan",
+    with_(TICKS, bars_cte(), _MOVES, f"""l AS (SELECT symbol, ts, bar_idx, n_bars, close, volume, avg(tr) OVER a AS atr, avg(gain) OVER a AS g, avg(loss) OVER a AS ls,
+      avg(volume) OVER v AS v20, avg(volume) OVER w AS v100 FROM moves WINDOW a AS {W.format(13, 'CURRENT ROW')}, v AS {W.format(19, 'CURRENT ROW')}, w AS {W.format(99, 'CURRENT ROW')}),
+      e AS (SELECT symbol, {_BIAS.format(n=21)} AS e20, {_BIAS.format(n=51)} AS e50 FROM bars GROUP BY symbol),
+      x AS (SELECT l.*, e20, e50, CASE WHEN ls = 0 THEN CASE WHEN g > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g / ls) END AS rsi FROM l JOIN e USING (symbol) WHERE bar_idx = n_bars - 1 AND n_bars >= 30 AND close > 0)""")
+    + f"""SELECT symbol, ts, {R('atr / close')} AS atr_share, {R('least(volume / v100, 2) / 2')} AS volume_score,
+      {R('CASE WHEN e20 > e50 THEN least((e20 - e50) / close * 100, 1) ELSE 0 END')} AS trend_score,
+      {R('CASE WHEN rsi BETWEEN 40 AND 60 THEN 1 WHEN rsi BETWEEN 30 AND 70 THEN 0.6 ELSE 0.3 END')} AS momentum_score
+      FROM x WHERE atr / close >= 0.001 AND volume / v20 >= 0.5""",
+)
 def market_universe_scan(spark, sf):
     out = Z.universe_scan(T.bars(spark, sf), 0.001)
     return out.select("symbol", "ts", *[r(c).alias(c) for c in ("atr_share", "volume_score", "trend_score", "momentum_score")])
@@ -330,7 +362,85 @@ def market_episode_ids(spark, sf):
 PARAMS = G.SignalParams(swing_length=3, threshold=0.40)
 
 
-@query("feature_matrix")
+def _features_sql() -> str:
+    """The feature matrix as one statement over the tall table of series."""
+    from tapeline.catalog.signal_queries import L as SL
+    from tapeline.catalog.signal_queries import _state, _tall
+
+    us = {"15m": 900, "1h": 3600, "4h": 14400, "1d": 86400}
+    at = {tf: f"make_timestamp((epoch_us(d.ts) // {n * 1000000}) * {n * 1000000})" for tf, n in us.items()}
+    side = lambda tf, a: f"LEFT JOIN full_state {a} ON {a}.symbol = d.sym || '|{tf}' AND {a}.ts = {at[tf]}"
+    gap_level = "CASE WHEN z.gap > 0 THEN z.gap_bottom ELSE z.gap_top END"
+    ob_level = "CASE WHEN z.ob > 0 THEN z.ob_bottom ELSE z.ob_top END"
+    liq_level = "z.swing_level * (CASE WHEN z.swing < 0 THEN 1 - 0.005::DOUBLE ELSE 1 + 0.005::DOUBLE END)"
+    alive = lambda kind, sign: (
+        f"least((SELECT count(*) FROM life l WHERE l.kind = '{kind}' AND l.symbol = s.symbol AND l.sign {sign} 0 AND l.bar_idx <= s.bar_idx"
+        " AND (l.e IS NULL OR l.e > s.bar_idx)) / 5.0::DOUBLE, 1)"
+    )
+    recent = lambda src, sign, extra: (
+        f"EXISTS (SELECT 1 FROM {src} z WHERE z.symbol = s.symbol AND z.sign {sign} 0 AND z.bar_idx BETWEEN s.bar_idx - 6 AND s.bar_idx{extra})"
+    )
+    ready = f"n_bars >= {2 * SL}"
+    import re
+
+    parts = [
+        TICKS, *_tall(), *_state()[:8], _MOVES, _ema_cte({"ema20": 20, "ema50": 50}),
+        """seed AS (SELECT symbol, avg(gain) FILTER (bar_idx BETWEEN 1 AND 14) AS g, avg(loss) FILTER (bar_idx BETWEEN 1 AND 14) AS l,
+           avg(tr) FILTER (bar_idx <= 13) AS t FROM moves GROUP BY symbol),
+rec AS (SELECT m.symbol, m.bar_idx, s.g, s.l, (s.t * 13 + m.tr) / 14 AS t FROM moves m JOIN seed s USING (symbol) WHERE m.bar_idx = 14
+  UNION ALL SELECT m.symbol, m.bar_idx, (r.g * 13 + m.gain) / 14, (r.l * 13 + m.loss) / 14, (r.t * 13 + m.tr) / 14
+  FROM rec r JOIN moves m ON m.symbol = r.symbol AND m.bar_idx = r.bar_idx + 1)""",
+        "m1h AS (SELECT * FROM moves WHERE tf = '1h')", re.sub(r"\brec\b", "arec", ADX_TRAINING.format(m="m1h")),
+        f"""life AS MATERIALIZED (
+  SELECT 'fvg' AS kind, symbol, bar_idx, gap AS sign, {touch_sql('z.gap > 0', gap_level, '<=')} AS e FROM gaps z WHERE gap IS NOT NULL AND {ready}
+  UNION ALL SELECT 'ob', symbol, bar_idx, ob, {touch_sql('z.ob > 0', ob_level, '<')} FROM obs z
+  UNION ALL SELECT 'liq', symbol, bar_idx, swing, CASE WHEN {touch_sql('z.swing < 0', liq_level, '<')} IS NOT NULL THEN greatest(z.bar_idx, 1) END FROM swung z WHERE swing IS NOT NULL)""",
+        "unmit AS (SELECT * FROM life WHERE kind <> 'liq' AND e IS NULL)",
+        f"""full_state AS MATERIALIZED (
+  SELECT s.*, split_part(s.symbol, '|', 2) AS tf, split_part(s.symbol, '|', 1) AS sym, m.mid,
+    CASE WHEN s.close > 0 THEN (s.close - e.ema20) / s.close ELSE 0 END AS d20, CASE WHEN s.close > 0 THEN (s.close - e.ema50) / s.close ELSE 0 END AS d50,
+    CASE WHEN s.close > 0 THEN coalesce(r.t, sd.t) / s.close ELSE 0 END AS atrn,
+    CASE WHEN r.bar_idx IS NULL OR r.bar_idx = 14 THEN 50 WHEN r.l = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.l) END / 100 AS rsin, x.adx,
+    {recent('zones', '>', '')} AS pu, {recent('zones', '<', '')} AS pd, {recent('unmit', '>', '')} AS zu, {recent('unmit', '<', '')} AS zd,
+    {alive('fvg', '>')} AS fb, {alive('fvg', '<')} AS fs, {alive('ob', '>')} AS ob_u, {alive('ob', '<')} AS ob_d, {alive('liq', '>')} AS la, {alive('liq', '<')} AS lb
+  FROM structure s JOIN mids m ON m.symbol = s.symbol AND m.bar_idx = s.bar_idx JOIN emas e ON e.symbol = s.symbol AND e.bar_idx = s.bar_idx
+  JOIN seed sd ON sd.symbol = s.symbol LEFT JOIN rec r ON r.symbol = s.symbol AND r.bar_idx = s.bar_idx LEFT JOIN adxt x ON x.symbol = s.symbol AND x.bar_idx = s.bar_idx)""",
+        f"""f AS (SELECT d.*, coalesce(lag(d.structure) OVER o, 0) AS s5, coalesce(lag(d.decay) OVER o, 0) AS k5,
+    max(CASE WHEN d.break_sign > 0 THEN 1 ELSE 0 END) OVER t = 1 AS tu, max(CASE WHEN d.break_sign < 0 THEN 1 ELSE 0 END) OVER t = 1 AS td,
+    CASE WHEN count(*) OVER v >= 5 AND avg(d.volume) OVER v > 0 THEN least(d.volume / avg(d.volume) OVER v, 5) ELSE 1 END AS vr,
+    d.bar_idx >= 20 AND coalesce(avg(d.volume) OVER q > 0 AND d.volume >= avg(d.volume) OVER q * 1.2::DOUBLE, false) AS vok
+  FROM full_state d WHERE d.tf = '5m' WINDOW o AS (PARTITION BY d.symbol ORDER BY d.bar_idx), t AS (PARTITION BY d.symbol ORDER BY d.bar_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
+    v AS (PARTITION BY d.symbol ORDER BY d.bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), q AS (PARTITION BY d.symbol ORDER BY d.bar_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""",
+        f"""j AS (SELECT d.sym, d.ts, d.close, d.s5, d.k5, d.tu, d.td, d.vr, d.vok, d.d20, d.d50, d.atrn, d.rsin,
+    coalesce(x1.structure, 0) AS b, x1.decay AS k1d, coalesce(x1.strong, false) AS strong, x1.atrn AS atrd,
+    coalesce(x4.structure, 0) AS s4, x4.decay AS k4, coalesce(x4.pu, false) AS pu, coalesce(x4.pd, false) AS pd, x4.mid,
+    coalesce(xh.structure, 0) AS s1, xh.decay AS k1, coalesce(xh.after_choch, false) AS choch, xh.d20 AS h20, xh.d50 AS h50, xh.atrn AS atrh, xh.rsin AS rsih, xh.adx, xh.n_bars AS n1, xh.la, xh.lb,
+    coalesce(xq.structure, 0) AS sq, xq.decay AS kq, coalesce(xq.zu, false) AS zu, coalesce(xq.zd, false) AS zd, xq.fb, xq.fs, xq.ob_u, xq.ob_d
+  FROM f d {side('1d', 'x1')} {side('4h', 'x4')} {side('1h', 'xh')} {side('15m', 'xq')})""",
+        """g AS (SELECT *, (b > 0 AND s4 > 0) OR (b < 0 AND s4 < 0) AS h4, (b > 0 AND pu) OR (b < 0 AND pd) AS poi, (b > 0 AND s1 > 0) OR (b < 0 AND s1 < 0) AS h1,
+    (b > 0 AND zu) OR (b < 0 AND zd) AS zone, (b > 0 AND tu) OR (b < 0 AND td) AS trig FROM j)""",
+        """trh AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM b1h WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+prof AS (SELECT symbol, sum(tr / close) / count(*) AS v, sum(close * volume) / count(*) AS u FROM trh WHERE close > 0 AND bar_idx < 5000 GROUP BY symbol),
+rk AS (SELECT symbol, CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE (row_number() OVER (ORDER BY v, symbol) - 1) / (count(*) OVER () - 1) END AS vr_, CASE WHEN count(*) OVER () = 1 THEN 0.5
+  ELSE (row_number() OVER (ORDER BY u, symbol) - 1) / (count(*) OVER () - 1) END AS lr_ FROM prof)""",
+    ]
+    exprs = {
+        "struct_1d": "b", "struct_4h": "s4", "struct_1h": "s1", "struct_15m": "sq", "struct_5m": "s5", "decay_1d": "coalesce(k1d, 0)", "decay_4h": "coalesce(k4, 0)",
+        "decay_1h": "coalesce(k1, 0)", "decay_15m": "coalesce(kq, 0)", "decay_5m": "k5", "bias_strong": "strong::INT",
+        "premium_discount": "CASE WHEN close > mid THEN 1 WHEN close < mid THEN -1 ELSE 0 END", "daily_bias": "b", "h4_confirms": "h4::INT", "h4_poi": "poi::INT",
+        "h1_confirms": "h1::INT", "h1_choch": "choch::INT", "has_entry_zone": "zone::INT", "precision_trigger": "trig::INT", "volume_ok": "vok::INT",
+        "ema20_dist_5m": "d20", "ema50_dist_5m": "d50", "ema20_dist_1h": "CASE WHEN n1 > 50 THEN h20 ELSE 0 END", "ema50_dist_1h": "CASE WHEN n1 > 50 THEN h50 ELSE 0 END",
+        "atr_5m_norm": "atrn", "atr_1h_norm": "atrh", "atr_daily_norm": "atrd", "rsi_5m": "rsin", "rsi_1h": "rsih", "volume_ratio": "vr",
+        "adx_1h": "CASE WHEN n1 > 30 THEN least(adx / 50, 2) ELSE 0.5 END",
+        "alignment_score": "(b <> 0)::INT * 0.12::DOUBLE + (b <> 0 AND strong)::INT * 0.08::DOUBLE + h4::INT * 0.08::DOUBLE + poi::INT * 0.08::DOUBLE + h1::INT * 0.08::DOUBLE"
+        " + (h1 AND choch)::INT * 0.06::DOUBLE + zone::INT * 0.15::DOUBLE + trig::INT * 0.15::DOUBLE + vok::INT * 0.10::DOUBLE",
+        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "fvg_bull_active": "fb", "fvg_bear_active": "fs", "ob_bull_active": "ob_u",
+        "ob_bear_active": "ob_d", "liq_above_count": "la", "liq_below_count": "lb", "symbol_volatility_rank": "coalesce(vr_, 0.5)", "symbol_liquidity_rank": "coalesce(lr_, 0.5)",
+    }
+    return "WITH RECURSIVE " + ",\n".join(parts) + " SELECT sym AS symbol, ts, " + ", ".join(f"{R(x)} AS {n}" for n, x in exprs.items()) + " FROM g LEFT JOIN rk ON rk.symbol = g.sym"
+
+
+@query("feature_matrix", _features_sql())
 def feature_matrix(spark, sf):
     base = materialize(B.bars_from_ticks(T.ticks(spark, sf), "5m"))
     f = E.feature_matrix(base, PARAMS)

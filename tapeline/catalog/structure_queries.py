@@ -226,3 +226,23 @@ def macd_histogram(spark, sf):
     return X.macd(T.bars(spark, sf)).select(
         "symbol", "ts", r("macd_hist").alias("macd_hist"), r("macd_prev").alias("macd_prev")
     )
+
+
+@query(
+    "swing_points_centred",
+    BARS + """SELECT symbol, ts, CASE WHEN f AND high = mx THEN 1 ELSE -1 END AS swing, CASE WHEN f AND high = mx THEN high ELSE low END AS swing_level
+    FROM (SELECT *, count(*) OVER w = 10 AS f, max(high) OVER w AS mx, min(low) OVER w AS mn FROM bars
+      WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)) WHERE f AND (high = mx OR low = mn)""",
+)
+def swing_points_centred(spark, sf):
+    return S.swings_centred(T.bars(spark, sf), LENGTH).filter("swing is not null").select("symbol", "ts", "swing", "swing_level")
+
+
+@query(
+    "fair_value_gaps_centred",
+    BARS + """SELECT symbol, ts, CASE WHEN h1 < l2 AND close > open THEN 1 ELSE -1 END AS gap, CASE WHEN h1 < l2 AND close > open THEN l2 ELSE l1 END AS gap_top,
+    CASE WHEN h1 < l2 AND close > open THEN h1 ELSE h2 END AS gap_bottom FROM (SELECT *, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lead(high) OVER w AS h2, lead(low) OVER w AS l2
+      FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)) WHERE (h1 < l2 AND close > open) OR (l1 > h2 AND close < open)""",
+)
+def fair_value_gaps_centred(spark, sf):
+    return S.gaps_centred(T.bars(spark, sf)).filter("gap is not null").select("symbol", "ts", "gap", "gap_top", "gap_bottom")

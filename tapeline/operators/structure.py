@@ -251,3 +251,35 @@ def premium_discount(bars4h: DataFrame, size: int = BLOCK) -> DataFrame:
     return state.withColumn(
         "midpoint", F.when(F.col("_sh") > F.col("_sl"), (F.col("_sh") + F.col("_sl")) / 2)
     ).drop("_sh", "_sl")
+
+
+def swings_centred(bars: DataFrame, length: int, size: int = BLOCK) -> DataFrame:
+    """Swings confirmed by later bars (labels only): extreme of the 2*length bars
+    that end ``length`` bars ahead."""
+
+    def build(w):
+        around = w.rowsBetween(1 - length, length)
+        full = F.count(F.lit(1)).over(around) == 2 * length
+        top, bottom = full & (F.col("high") == F.max("high").over(around)), full & (F.col("low") == F.min("low").over(around))
+        return {
+            "swing": F.when(top, 1).when(bottom, -1),
+            "swing_level": F.when(top, F.col("high")).when(bottom, F.col("low")),
+        }
+
+    return framed(bars, KEYS, build, before=length, after=length, size=size)
+
+
+def gaps_centred(bars: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Three-bar gaps placed on the middle bar, which needs the next bar (labels only)."""
+
+    def build(w):
+        high1, low1, high2, low2 = F.lag("high").over(w), F.lag("low").over(w), F.lead("high").over(w), F.lead("low").over(w)
+        up = (high1 < low2) & (F.col("close") > F.col("open"))
+        down = (low1 > high2) & (F.col("close") < F.col("open"))
+        return {
+            "gap": F.when(up, 1).when(down, -1),
+            "gap_top": F.when(up, low2).when(down, low1),
+            "gap_bottom": F.when(up, high1).when(down, high2),
+        }
+
+    return framed(bars, KEYS, build, before=1, after=1, size=size)
