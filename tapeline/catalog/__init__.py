@@ -12,6 +12,7 @@ MODULES = [
     "market_queries",
     "portfolio_queries",
     "validation_queries",
+    "model_queries",
     "source_queries",
     "stream_queries",
 ]

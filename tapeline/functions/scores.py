@@ -163,3 +163,25 @@ def file_symbol(symbol: Column) -> Column:
 def parameter_key(*columns: str) -> Column:
     """Content hash of a parameter row."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+# Weights of the live parts beyond the nine core ones.
+LIVE_EXTRA = {"adx": 0.02, "session": 0.02, "momentum": 0.02, "agreement": 0.02, "freshness": 0.02}
+
+
+def live_score(flags: dict[str, Column], parts: dict[str, Column], wrong_side: Column) -> Column:
+    """Graded score: core flags, zone and volume by quality, five extra parts.
+
+    ``flags``: bias, bias_strong, h4, h4_poi, h1, h1_choch, trigger.  ``parts``
+    (0..1): zone, volume, session, momentum, agreement, freshness; and ``adx``.
+    A price on the wrong side of the range costs 0.10; no bias scores zero.
+    """
+    total = F.lit(0.0)
+    for name in ("bias", "bias_strong", "h4", "h4_poi", "h1", "h1_choch", "trigger"):
+        total = total + F.when(flags[name], WEIGHTS[name]).otherwise(0.0)
+    total = total - F.when(wrong_side, 0.10).otherwise(0.0)
+    total = total + parts["zone"] * WEIGHTS["zone"] + parts["volume"] * WEIGHTS["volume"]
+    strength = F.least(F.greatest(parts["adx"] - 15.0, F.lit(0.0)) / 35.0, F.lit(1.0))
+    for name, weight in LIVE_EXTRA.items():
+        total = total + (strength if name == "adx" else parts[name]) * weight
+    return F.when(flags["bias"], clip(total, 0.0, 1.0)).otherwise(0.0)

@@ -70,13 +70,10 @@ def fit_value_head(train: DataFrame, features: list[str], label: str, trees: int
 
 def score(model, rows: DataFrame, features: list[str], out: str) -> DataFrame:
     """Probability (classifier) or value (regressor) of each row."""
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    done = model.transform(data)
-    if "probability" in done.columns:
-        done = done.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability")
-    else:
-        done = done.withColumn(out, F.col("prediction"))
-    return done.drop("features", "prediction")
+    data = VectorAssembler(inputCols=features, outputCol="_v").transform(rows)
+    done = model.copy({model.featuresCol: "_v"}).transform(data)
+    value = vector_to_array("probability")[1] if "probability" in done.columns else F.col("prediction")
+    return done.select(*rows.columns, value.alias(out))
 
 
 def auc(scored: DataFrame, label: str, value: str) -> float:

@@ -40,14 +40,25 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(out, key=lambda t: tuple((v is None, str(v)) for v in t))
 
 
+def kinds(columns, rows):
+    """Value kind per column: whole numbers and fractions are told apart."""
+    out = {}
+    for i, c in enumerate(columns):
+        seen = {type(r[i]).__name__ for r in rows if r[i] is not None}
+        out[c] = "/".join(sorted("str" if k == "UUID" else k for k in seen))
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     """Empty string when equal, else what differs."""
     df = fn(spark, sf_dir)
-    got_cols, got = rows_of(df.columns, [tuple(x) for x in df.collect()])
+    raw = [tuple(x) for x in df.collect()]
+    got_cols, got = rows_of(df.columns, raw)
     if sql is None:
         return "" if got else "no rows"
     cur = con.execute(sql)
-    want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    names, other = [d[0] for d in cur.description], cur.fetchall()
+    want_cols, want = rows_of(names, other)
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if len(got) != len(want):
@@ -56,7 +67,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return f"rows {len(got)} != {len(want)}; only ours {extra}; only sql {lacking}"
     bad = [(a, b) for a, b in zip(got, want) if a != b]
     if not bad:
-        return "" if got else "no rows"
+        mine, theirs = kinds(df.columns, raw), kinds(names, other)
+        diff = {c: (mine[c], theirs[c]) for c in mine if mine[c] != theirs[c]}
+        return f"value kinds differ {diff}" if diff else "" if got else "no rows"
     return f"{len(bad)} of {len(got)} rows differ, first\n   {got_cols}\n   {bad[0][0]}\n   {bad[0][1]}"
 
 
