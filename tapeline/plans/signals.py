@@ -63,11 +63,11 @@ def structure_tables(bars: DataFrame, p: SignalParams) -> dict[str, DataFrame]:
 
 
 def zone_events(t: dict[str, DataFrame]) -> DataFrame:
-    """Gaps and order blocks as one table of zones."""
+    """Gaps and order blocks as one table of zones; ``known`` is the bar that shows them."""
     gaps = t["gaps"].select("symbol", "bar_idx", F.lit("fvg").alias("type"), F.col("gap").alias("sign"),
-                            F.col("gap_top").alias("top"), F.col("gap_bottom").alias("bottom"))
+                            F.col("gap_top").alias("top"), F.col("gap_bottom").alias("bottom"), F.col("bar_idx").alias("known"))
     blocks = t["blocks"].select("symbol", "bar_idx", F.lit("ob").alias("type"), F.col("ob").alias("sign"),
-                                F.col("ob_top").alias("top"), F.col("ob_bottom").alias("bottom"))
+                                F.col("ob_top").alias("top"), F.col("ob_bottom").alias("bottom"), F.col("confirmed_idx").alias("known"))
     return gaps.unionByName(blocks)
 
 
@@ -75,7 +75,11 @@ def running_state(t: dict[str, DataFrame], p: SignalParams) -> DataFrame:
     """Per bar of every series: structure, daily bias, zone flags, swing midpoint."""
     state = S.running_structure(t["bars"], t["breaks"])
     mid = S.premium_discount(t["swings"]).select("symbol", "bar_idx", "midpoint")
-    zones = zone_events(t).groupBy("symbol", "bar_idx").agg(
+    events = zone_events(t)
+    if p.strict:  # a zone counts from the bar that shows it, for what is left of its span
+        events = events.withColumn("at", F.explode(F.sequence("bar_idx", F.col("bar_idx") + (p.poi_bars - 1))))
+        events = events.filter("at >= known").withColumn("bar_idx", F.col("at"))
+    zones = events.groupBy("symbol", "bar_idx").agg(
         F.max((F.col("sign") > 0).cast("int")).alias("_up"), F.max((F.col("sign") < 0).cast("int")).alias("_dn")
     )
     daily = ema(t["bars"].filter("tf = '1d' and n_bars >= 200"), {"_ema": 200}).select("symbol", "bar_idx", "_ema")
@@ -88,7 +92,7 @@ def running_state(t: dict[str, DataFrame], p: SignalParams) -> DataFrame:
         "poi_up": F.coalesce("_up", F.lit(0)) == 1,
         "poi_dn": F.coalesce("_dn", F.lit(0)) == 1,
     }
-    rows = S.recent_flag(rows, flags, p.poi_bars - 1)
+    rows = rows.withColumns(flags) if p.strict else S.recent_flag(rows, flags, p.poi_bars - 1)
     fallback = F.when(F.col("_ema").isNull(), 0).when(F.col("close") > F.col("_ema"), 1).otherwise(-1)
     bias = F.when(F.col("structure") != 0, F.col("structure")).otherwise(fallback)
     return rows.withColumn("bias", bias).drop("_up", "_dn", "_ema")
@@ -104,6 +108,8 @@ def entry_zones(t: dict[str, DataFrame], tf: str, p: SignalParams) -> DataFrame:
     offered = zones.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(p.zone_bars - 1)))).withColumn(
         "at", F.col("bar_idx") + F.col("age")
     )
+    if p.strict:
+        offered = offered.filter("at >= known")
     price = t["bars"].select("symbol", F.col("bar_idx").alias("at"), F.col("close").alias("price"))
     height = F.abs(F.col("top") - F.col("bottom"))
     depth = F.when(F.col("sign") > 0, F.col("price") - F.col("bottom")).otherwise(F.col("top") - F.col("price")) / height
