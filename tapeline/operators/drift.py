@@ -25,40 +25,63 @@ def value_counts(train: DataFrame, live: DataFrame, features: list[str]) -> Data
     return a.unionByName(b).groupBy("feature", "value").agg(F.sum("_t").alias("t"), F.sum("_l").alias("l"))
 
 
-def ks_statistic(counts: DataFrame, bins: int = 4096) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic per feature.
+def cumulated(counts: DataFrame, bins: int = 256) -> DataFrame:
+    """Per feature and distinct value the cumulative counts ``ct`` and ``cl``.
 
-    Distinct values are ranged into bins between the feature's extremes; bin
-    totals are scanned first and each bin is then scanned from its own start.
+    The value axis is cut at approximate quantiles of the distinct values (a
+    sketch of bounded size per feature), so bins hold even numbers of rows
+    whatever the outliers.  Bin totals are scanned first, then each bin from
+    its own start; the counts are exact.
     """
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     edge = counts.groupBy("feature").agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("t").alias("_nt"), F.sum("l").alias("_nl")
+        F.percentile_approx("value", shares, F.lit(10_000)).alias("_cuts"), F.sum("t").alias("nt"), F.sum("l").alias("nl")
     )
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(1.0)
-    rows = counts.join(F.broadcast(edge), "feature").withColumn("_b", F.floor((F.col("value") - F.col("_lo")) / width).cast("long"))
+    rows = counts.join(F.broadcast(edge), "feature").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("value"))))
+    rows = rows.drop("_cuts")
     totals = rows.groupBy("feature", "_b").agg(F.sum("t").alias("_bt"), F.sum("l").alias("_bl"))
     before = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
         "feature", "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_bl").over(before), F.lit(0)).alias("_l0")
     )
     w = Window.partitionBy("feature", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(
-        (F.col("_t0") + F.sum("t").over(w)) / F.col("_nt") - (F.col("_l0") + F.sum("l").over(w)) / F.col("_nl")
+    return rows.join(base, ["feature", "_b"]).select(
+        "feature", "value", "t", "l", "nt", "nl", (F.col("_t0") + F.sum("t").over(w)).alias("ct"), (F.col("_l0") + F.sum("l").over(w)).alias("cl")
     )
-    return rows.join(base, ["feature", "_b"]).withColumn("_g", gap).groupBy("feature").agg(F.max("_g").alias("ks"))
 
 
-def psi(counts: DataFrame, buckets: int = 10) -> DataFrame:
+def ks_statistic(cum: DataFrame) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic per feature."""
+    gap = F.abs(F.col("ct") / F.col("nt") - F.col("cl") / F.col("nl"))
+    return cum.filter("nt > 0 and nl > 0").groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
+def train_quantiles(cum: DataFrame, shares: list[float]) -> DataFrame:
+    """Exact interpolated quantiles of the training side, as array ``q``.
+
+    The values at the two ranks around each quantile are picked by their
+    cumulative counts: one aggregation with map-side combine.
+    """
+    holds = lambda k: (F.col("ct") - F.col("t") <= k) & (k < F.col("ct"))
+    at = lambda p: F.floor((F.col("nt") - 1) * p)
+    picks = []
+    for i, p in enumerate(shares):
+        picks += [F.max(F.when(holds(at(p)), F.col("value"))).alias(f"_a{i}"), F.max(F.when(holds(at(p) + 1), F.col("value"))).alias(f"_z{i}")]
+    got = cum.filter("t > 0").groupBy("feature").agg(F.max("nt").alias("nt"), *picks)
+    between = lambda i, p: F.col(f"_a{i}") + (F.coalesce(f"_z{i}", f"_a{i}") - F.col(f"_a{i}")) * ((F.col("nt") - 1) * p - at(p))
+    return got.select("feature", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+
+
+def psi(cum: DataFrame, buckets: int = 10) -> DataFrame:
     """Population stability index on the deciles of the training side.
 
     Live values outside the training range fall into no bucket.
     """
-    shares = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    cuts = counts.filter("t > 0").groupBy("feature").agg(F.percentile("value", shares, F.col("t")).alias("_q"))
-    cuts = cuts.withColumn("_q", F.array_sort(F.array_distinct("_q"))).filter(F.size("_q") >= 2)
+    cuts = train_quantiles(cum, [i / buckets for i in range(buckets + 1)])
+    cuts = cuts.select("feature", F.array_sort(F.array_distinct("q")).alias("_q")).filter(F.size("_q") >= 2)
     bucket = F.least(F.size(F.filter("_q", lambda e: e <= F.col("value"))), F.size("_q") - 1)
     inside = (F.col("value") >= F.col("_q")[0]) & (F.col("value") <= F.element_at("_q", -1))
-    hit = counts.join(F.broadcast(cuts), "feature").filter(inside).groupBy("feature", bucket.alias("bucket")).agg(
+    hit = cum.join(F.broadcast(cuts), "feature").filter(inside).groupBy("feature", bucket.alias("bucket")).agg(
         F.sum("t").alias("t"), F.sum("l").alias("l")
     )
     all_buckets = cuts.select("feature", F.explode(F.sequence(F.lit(1), F.size("_q") - 1)).alias("bucket"))
@@ -85,11 +108,11 @@ def _moments(counts: DataFrame) -> DataFrame:
 
 def drift_report(train: DataFrame, live: DataFrame, features: list[str], critical: list[str], important: list[str]) -> DataFrame:
     """KS, PSI, means, deviations and severity per feature."""
-    counts = materialize(value_counts(train, live, features))
+    cum = materialize(cumulated(value_counts(train, live, features)))
     out = (
-        ks_statistic(counts)
-        .join(psi(counts), "feature", "left")
-        .join(_moments(counts), "feature")
+        ks_statistic(cum)
+        .join(psi(cum), "feature", "left")
+        .join(_moments(cum), "feature")
         .withColumn("psi", F.coalesce("psi", F.lit(0.0)))
     )
     major = (F.col("ks") > MAJOR_KS) | (F.col("psi") > MAJOR_PSI)
