@@ -40,9 +40,7 @@ def signals(spark, sf, tf="1h"):
     return materialize(T.break_signals(bars, S.breaks(S.swings(bars, LENGTH)))), bars
 
 
-@query(
-    "outcome_resolved",
-    with_(*BASE, path_cte(1, H), f"""m AS (SELECT *, coalesce(max(CASE WHEN fav >= 1.5 THEN 1 ELSE 0 END) OVER {PREV}, 0) = 1 AS was FROM path),
+RESOLUTION = f"""m AS (SELECT *, coalesce(max(CASE WHEN fav >= 1.5 THEN 1 ELSE 0 END) OVER {PREV}, 0) = 1 AS was FROM path),
 lv AS (SELECT *, (NOT was AND fav >= 1.5 AND (worst - stop) * direction <= 0) AS clash, (was OR fav >= 1.5) AS rat,
   entry + entry * (0.0004::DOUBLE * 2 + 0.0001::DOUBLE * 2) * direction AS even FROM m),
 l2 AS (SELECT *, CASE WHEN rat THEN CASE WHEN direction > 0 THEN greatest(stop, even) ELSE least(stop, even) END ELSE stop END AS lvl FROM lv),
@@ -52,11 +50,13 @@ e AS (SELECT *, CASE WHEN clash THEN 'loss' WHEN (worst - lvl) * direction <= 0
 d AS (SELECT sig_id, arg_min(ev, step) FILTER (ev IS NOT NULL) AS ev, arg_min(px, step) FILTER (ev IS NOT NULL) AS px,
     arg_min(bar_ts, step) FILTER (ev IS NOT NULL) AS xts, min(step) FILTER (ev IS NOT NULL) AS xs,
     arg_max(bar_close, step) AS lc, max(bar_ts) AS lts, max(step) AS ls, first(entry) AS entry, first(direction) AS direction, first(risk) AS risk
-    FROM e GROUP BY sig_id)""")
-    + f"""SELECT sig_id, coalesce(ev, CASE WHEN (lc - entry) * direction / risk >= 0.5 THEN 'win'
+    FROM e GROUP BY sig_id)"""
+RESOLVED = f"""SELECT sig_id, coalesce(ev, CASE WHEN (lc - entry) * direction / risk >= 0.5 THEN 'win'
       WHEN (lc - entry) * direction / risk <= -0.5 THEN 'loss' ELSE 'breakeven' END) AS outcome, {R('coalesce(px, lc)')} AS exit_price,
-    coalesce(xts, lts) AS exit_ts, coalesce(xs, ls) + 1 AS bars_held, {R('(coalesce(px, lc) - entry) * direction / risk')} AS actual_rr FROM d""",
-)
+    coalesce(xts, lts) AS exit_ts, coalesce(xs, ls) + 1 AS bars_held, {R('(coalesce(px, lc) - entry) * direction / risk')} AS actual_rr FROM d"""
+
+
+@query("outcome_resolved", with_(*BASE, path_cte(1, H), RESOLUTION) + RESOLVED)
 def outcome_resolved(spark, sf):
     sig, bars = signals(spark, sf)
     out = O.resolve(sig, bars, H)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeline.catalog.fragments import TRADES, with_
-from tapeline.catalog.outcome_queries import signals
+from tapeline.catalog.outcome_queries import BASE, H, RESOLUTION, RESOLVED, path_cte, signals
 from tapeline.catalog.registry import R, query, r
 from tapeline.functions import scores
 from tapeline.operators import outcomes as O
@@ -56,7 +56,28 @@ def portfolio_cost_stress(spark, sf):
     return out.select("scenario", "n_trades", *[r(c).alias(c) for c in ("pf_real", "max_drawdown", "sharpe")], "gate_pass")
 
 
-@query("portfolio_variant_book")
+GRADED = """graded AS (SELECT * REPLACE (entry + direction * (2 + (bar_idx % 7) * 0.25::DOUBLE) * abs(entry - stop) AS target), 2 + (bar_idx % 7) * 0.25::DOUBLE AS risk_reward,
+  0.70::DOUBLE + (bar_idx * 37 % 30) / 100.0::DOUBLE AS score FROM sig)"""
+
+
+@query(
+    "portfolio_variant_book",
+    "WITH RECURSIVE " + ",\n".join([
+        *BASE, GRADED, path_cte(1, H, "path", "graded"), RESOLUTION,
+        "res AS (SELECT sig_id, coalesce(px, lc) AS exit_price, coalesce(xts, lts) AS exit_ts FROM d)",
+        "vs(variant, threshold, min_rr, risk, leverage) AS (VALUES ('tight', 0.85::DOUBLE, 2.5::DOUBLE, 0.01::DOUBLE, 5), ('wide', 0.72::DOUBLE, 2.0::DOUBLE, 0.02::DOUBLE, 10))",
+        """cand AS (SELECT variant, s.sig_id, s.ts, exit_ts, least(least(risk_, 0.03) / (abs(entry - stop) / entry), leverage) * ((exit_price - entry) * direction / entry - 0.0012::DOUBLE) AS growth, risk_,
+             row_number() OVER (PARTITION BY variant ORDER BY s.ts, s.sig_id) AS rn
+           FROM (SELECT * EXCLUDE (risk) FROM graded) s JOIN res USING (sig_id), (SELECT variant, threshold, min_rr, risk AS risk_, leverage FROM vs) WHERE score >= threshold AND risk_reward >= min_rr)""",
+        """g AS (SELECT variant, sig_id, ts, rn, growth, risk_, exit_ts AS busy, true AS kept FROM cand c WHERE rn = 1
+           UNION ALL SELECT c.variant, c.sig_id, c.ts, c.rn, c.growth, c.risk_, CASE WHEN c.ts >= g.busy THEN c.exit_ts ELSE g.busy END, c.ts >= g.busy
+           FROM g JOIN cand c ON c.variant = g.variant AND c.rn = g.rn + 1)""",
+        """lgs AS (SELECT *, sum(ln(1 + growth)) OVER (PARTITION BY variant ORDER BY ts, sig_id ROWS UNBOUNDED PRECEDING) AS lg FROM g WHERE kept)""",
+        """pks AS (SELECT *, greatest(0, max(lg) OVER (PARTITION BY variant ORDER BY ts, sig_id ROWS UNBOUNDED PRECEDING)) AS pk FROM lgs)""",
+    ])
+    + f""" SELECT variant, sig_id AS trade_id, CASE WHEN growth / least(risk_, 0.03) > 0.2 THEN 'win' WHEN growth / least(risk_, 0.03) < -0.2 THEN 'loss' ELSE 'breakeven' END AS variant_outcome,
+    {R('100000 * exp(lg)', 4)} AS equity, {R('1 - exp(lg - pk)')} AS dd, {R('growth / least(risk_, 0.03)')} AS actual_rr FROM pks""",
+)
 def portfolio_variant_book(spark, sf):
     sig, bars = graded_signals(spark, sf)
     res = O.resolve(sig, bars, 48).select("sig_id", "outcome", "exit_price", "exit_ts")
@@ -186,7 +207,21 @@ def rank_symbol_percentiles(spark, sf):
     return K.percent_rank(s, ["cycle", "asset_class"], "zone_quality", "volatility_rank").select("cycle", "symbol", r("volatility_rank").alias("volatility_rank"))
 
 
-@query("rank_capital_allocation")
+@query(
+    "rank_capital_allocation",
+    "WITH RECURSIVE " + ",\n".join([*RANKED, "w AS (SELECT cycle, rank, symbol, asset_class, score FROM rk WHERE rank <= 10)", """g AS (
+      SELECT DISTINCT cycle, 0::BIGINT AS rank, ''::VARCHAR AS symbol, ''::VARCHAR AS asset_class, 0 AS taken, 0.0::DOUBLE AS heat, 0 AS n0, 0 AS n1, 0 AS n2, 0 AS n3,
+        NULL::DOUBLE AS risk_pct, ''::VARCHAR AS reason FROM w
+      UNION ALL
+      SELECT cycle, rank, symbol, asset_class, taken + ok::INT, heat + CASE WHEN ok THEN risk ELSE 0 END, n0 + (ok AND asset_class = 'crypto')::INT, n1 + (ok AND asset_class = 'forex')::INT,
+        n2 + (ok AND asset_class = 'stocks')::INT, n3 + (ok AND asset_class = 'commodities')::INT, CASE WHEN ok THEN risk END, reason
+      FROM (SELECT *, reason = 'approved' AS ok FROM (SELECT *, CASE WHEN rank = 3 THEN 'held' WHEN taken >= 5 THEN 'max_positions'
+          WHEN CASE asset_class WHEN 'crypto' THEN n0 WHEN 'forex' THEN n1 WHEN 'stocks' THEN n2 ELSE n3 END >= 2 THEN 'max_class'
+          WHEN 0.06 - heat <= 0.001 THEN 'heat' WHEN rank = 5 THEN 'correlation' WHEN risk < 0.001 THEN 'risk_too_small' ELSE 'approved' END AS reason
+        FROM (SELECT w.*, g.taken, g.heat, g.n0, g.n1, g.n2, g.n3, least(0.005::DOUBLE + (0.015::DOUBLE - 0.005::DOUBLE) * least(w.score, 1), 0.06::DOUBLE - g.heat) AS risk
+              FROM g JOIN w ON w.cycle = g.cycle AND w.rank = g.rank + 1))))"""])
+    + f" SELECT cycle, symbol, asset_class, rank, {R('risk_pct', 8)} AS risk_pct, reason FROM g WHERE rank > 0",
+)
 def rank_capital_allocation(spark, sf):
     ranked = K.opportunities(scans(spark, sf), "cycle").withColumns({"held": F.col("rank") == 3, "conflict": F.col("rank") == 5})
     return P.allocate(ranked, "cycle").select("cycle", "symbol", "asset_class", "rank", r("risk_pct", 8).alias("risk_pct"), "reason")
