@@ -1,0 +1,16 @@
+"""The numbered queries next to their SQL on the smallest tables."""
+
+from pathlib import Path
+
+import pytest
+from compare import compare, duck
+
+from tapeline.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, duck(SF), name, QUERIES[name], SQL[name], SF) == ""
