@@ -69,17 +69,18 @@ def replicate(samples: DataFrame, weights: dict[str, float] | None = None, sampl
     steps = materialize(rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf")).filter(F.col("_cdf")[0] < 1))
     salts = 64
     salted = steps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = samples.withColumns({
-        "_source": F.coalesce(F.col(source).cast("string"), F.lit("~")),
-        "_u": uniform(seed, sample_id),
-        "_salt": F.pmod(F.xxhash64(sample_id), F.lit(salts)).cast("int"),
-    })
+    rows = samples.select(
+        F.struct("*").alias("_row"),
+        F.coalesce(F.col(source).cast("string"), F.lit("~")).alias("_source"),
+        uniform(seed, sample_id).alias("_u"),
+        F.pmod(F.xxhash64(sample_id), F.lit(salts)).cast("int").alias("_salt"),
+        F.coalesce(F.col(sample_id).cast("string"), F.lit("~")).alias("_id"),
+    )
     times = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = rows.join(salted, ["_source", "_salt"]).withColumn("_n", times).filter("_n > 0")
-    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.coalesce(F.col(sample_id).cast("string"), F.lit("~")), F.col(copy)))
-    mixed = copies.withColumn("_order", order).drop("_source", "_salt", "_u", "_cdf", "_n")
-    return mixed.repartition(F.col("_order")).sortWithinPartitions("_order").drop("_order")
+    drawn = rows.join(salted, ["_source", "_salt"]).select("_row", "_id", times.alias("_n")).filter("_n > 0")
+    copies = drawn.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(copy))
+    mixed = copies.withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), "_id", copy)))
+    return mixed.repartition(F.col("_order")).sortWithinPartitions("_order").select("_row.*", copy)
 
 
 def expected_copies(rate: float, u: float) -> int:
