@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import minhash, mixing, secrets
+from tapeline.llm import minhash, mixing, packing, secrets, tokens
+from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +42,16 @@ n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FRO
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INTEGER AS copy FROM n WHERE n > 0"""
 
 
+@query
+def op2_packing(spark, sf_dir):
+    """Token pieces of all documents packed into sequences of 2048."""
+    pieces = materialize(tokens.token_pieces(documents(spark, sf_dir), "word_bpe_49k.json", "doc_id", "text"))
+    # The piece travels as the part of the episode: its place and checksum are needed again.
+    episodes = pieces.select(F.col("log_id").alias("trade_id"), F.struct("piece", "start", "ids_crc32").alias("part"), F.col("length").alias("bars_held"))
+    packed = packing.pack_episodes(episodes, capacity=2048)
+    return packed.select(F.col("trade_id").alias("doc_id"), "part.piece", "part.start", F.col("bars_held").alias("length"), "part.ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op8_secrets(spark, sf_dir):
     """Secrets of all documents; a source is the repository and the owner."""
