@@ -57,7 +57,9 @@ def test_episodes(spark, monkeypatch):
     assert Counter((r.trade_id, r.part, r.bars_held) for r in got) == Counter(r[:3] for r in rows)
     assert all(r.sequence_id is None and r.offset is None for r in got if not r.bars_held)
     n = check([r for r in got if r.bars_held], 30)
-    assert n <= 1.02 * max(-(-sum(r[2] or 0 for r in rows) // 30), sum((r[2] or 0) > 15 for r in rows)) + 2
+    counts = np.zeros(31, np.int64)
+    np.add.at(counts, [r[2] for r in rows if r[2]], 1)
+    assert n <= 1.01 * sum(t for _, t in packing._best_fit([], counts, 30)) + 1
     assert packing.pack_episodes(spark.createDataFrame([], episodes.schema), capacity=30).collect() == []
     with pytest.raises(ValueError):
         packing.pack_episodes(episodes, capacity=20)
