@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import minhash, mixing, packing, secrets, tokens
+from tapeline.llm import minhash, mixing, packing, secrets, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,16 @@ def op2_packing(spark, sf_dir):
     return packed.select(F.col("trade_id").alias("doc_id"), "part.piece", "part.start", F.col("bars_held").alias("length"), "part.ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of all documents; labels of two thirds of the ids are used."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    weights = toxicity.train(docs, labels.filter(~held_out), "doc_id", "text", "toxic")
+    scored = toxicity.score(docs, weights, "doc_id", "text", threshold=0.7)
+    return scored.withColumnRenamed("text_id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_secrets(spark, sf_dir):
     """Secrets of all documents; a source is the repository and the owner."""

@@ -16,9 +16,7 @@ from tapeline.llm.text import LOWER, SPACE, Prints, mix, slices, words
 
 BITS = 20
 #: Labelled texts that the fit takes at most, those with the smallest hash of seed and id.
-MOST_LABELLED = 20_000
-#: Bytes of a labelled text that one record of the fit holds; a longer text is several records with its label.
-SLICE = 1 << 14
+MOST_LABELLED = 10_000
 _APART = SPACE.copy()
 _APART[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -83,14 +81,19 @@ def fit(labelled: Iterator[tuple[np.ndarray, int]], epochs: int = 12, **rates: f
     return at, w[at]
 
 
-def train(labelled: DataFrame, text_id: str = "text_id", text: str = "text", toxic: str = "toxic", most: int = MOST_LABELLED, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse weights from a sample of at most ``most`` labelled texts.
+def train(texts: DataFrame, labels: DataFrame, text_id: str = "text_id", text: str = "text", toxic: str = "toxic", most: int = MOST_LABELLED, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights from at most ``most`` labelled texts: ``labels`` has ``text_id`` and ``toxic``.
 
-    Hashing is spread; the fit is one pass in order over hashed features of the
-    bounded sample, in one task.  Rows without a label take no part.
+    The sample are the ids with the smallest hash, chosen before any text is
+    read, so only a bounded table is sent to the texts.  Hashing is spread; the
+    fit is one pass in order over hashed features of the sample, in one task.
+    Rows without a label or an id take no part; of several labels or texts of
+    one id the smallest counts; without labels all weights are zero.
     """
-    rows = labelled.filter(F.col(toxic).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(text_id)).alias("order"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    sample = rows.orderBy("order", "text").limit(most)
+    known = labels.filter(F.col(toxic).isNotNull() & F.col(text_id).isNotNull()).groupBy(F.col(text_id).cast("bigint").alias("text_id")).agg(F.min(F.col(toxic).cast("int")).alias("toxic"))
+    chosen = known.withColumn("order", F.xxhash64(F.lit(seed), "text_id")).orderBy("order", "text_id").limit(most)
+    rows = texts.select(F.col(text_id).cast("bigint").alias("text_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sample = rows.join(F.broadcast(chosen), "text_id").groupBy("order", "toxic").agg(F.min("text").alias("text")).select("order", "text", "toxic")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):
