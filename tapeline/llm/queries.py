@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import minhash, mixing, packing, secrets, tokens, toxicity
+from tapeline.llm import langid, minhash, mixing, packing, quality, secrets, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,16 @@ def op4_toxicity(spark, sf_dir):
     return scored.withColumnRenamed("text_id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op5_langid(spark, sf_dir):
+    """Language of all documents, learnt from four fifths of the ids."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = langid.train(docs.filter(~held_out), "doc_id", "text", "lang")
+    found = langid.predict(docs, model, "doc_id", "text").withColumnRenamed("text_id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_secrets(spark, sf_dir):
     """Secrets of all documents; a source is the repository and the owner."""
@@ -100,3 +110,11 @@ def op9_minhash(spark, sf_dir):
     """Near copies among all documents, on two-word shingles."""
     found = minhash.near_copies(documents(spark, sf_dir), "doc_id", "text", k=2, percent=80)
     return found.withColumnRenamed("log_id", "doc_id")
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Perplexity of all documents under the model of those that labels call good, and whether they stay."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    found = quality.judged(documents(spark, sf_dir), trusted, "doc_id", "text", "lang")
+    return found.withColumnRenamed("log_id", "doc_id")
