@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import langid, minhash, mixing, packing, quality, secrets, tokens, toxicity
+from tapeline.llm import knn, langid, lattice, minhash, mixing, packing, quality, secrets, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,23 @@ def op2_packing(spark, sf_dir):
     return packed.select(F.col("trade_id").alias("doc_id"), "part.piece", "part.start", F.col("bars_held").alias("length"), "part.ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_knn(spark, sf_dir):
+    """The ten highest integer inner products of every hundredth embedding against all others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    finite = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(1024 * finite(x.cast("double"))).cast("double")).alias("whole"))
+    found = knn.nearest_signals(whole, F.col("signal_id") % 100 == 0, 10, "vec_id", "whole")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("signal_id").alias("vec_id"), "score")
+
+
+SQL["op3_knn"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.w, d.w)::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.w) = len(d.w) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     """Toxicity of all documents; labels of two thirds of the ids are used."""
@@ -72,6 +89,13 @@ def op5_langid(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_lattice(spark, sf_dir):
+    """Near copies among all embeddings."""
+    found = lattice.near_signals(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95, "vec_id", "embedding")
+    return found.withColumnRenamed("signal_id", "vec_id")
+
+
 @query
 def op8_secrets(spark, sf_dir):
     """Secrets of all documents; a source is the repository and the owner."""
