@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import knn, langid, lattice, minhash, mixing, packing, quality, secrets, tokens, toxicity
+from tapeline.llm import knn, langid, lattice, minhash, mixing, packing, quality, secrets, suffixes, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,13 @@ def op6_lattice(spark, sf_dir):
     return found.withColumnRenamed("signal_id", "vec_id")
 
 
+@query
+def op7_suffixes(spark, sf_dir):
+    """Bytes of all documents that 200-byte repetitions cover."""
+    found = suffixes.repeated_passages(documents(spark, sf_dir), "doc_id", "text", length=200, digest=True)
+    return found.select(F.col("log_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 @query
 def op8_secrets(spark, sf_dir):
     """Secrets of all documents; a source is the repository and the owner."""
