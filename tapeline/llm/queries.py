@@ -140,7 +140,7 @@ SQL["op8_secrets"] = _secret_sql()
 def op9_minhash(spark, sf_dir):
     """Near copies among all documents, on two-word shingles."""
     found = minhash.near_copies(documents(spark, sf_dir), "doc_id", "text", k=2, percent=80)
-    return found.withColumnRenamed("log_id", "doc_id")
+    return found.select(F.col("log_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @query

@@ -39,11 +39,15 @@ def _found(text: Column, rank: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty["spans"])
 
 
+def base_spans(message: Column) -> Column:
+    """All pattern matches of a message in order of place and kind, with the hash of each value."""
+    return F.array_sort(F.concat(*[_found(message, k) for k in range(len(KINDS))]))
+
+
 def candidates(logs: DataFrame, log_id: str = "log_id", message: str = "message", log_file: str = "log_file", account: str = "account") -> DataFrame:
     """Stored rows ``row_id, log_id, log_file, account, base``: one per log row, with its base spans in order of place and kind."""
     t = logs.select(F.col(log_id).alias("log_id"), F.coalesce(F.col(message), F.lit("")).alias("t"), F.col(log_file).cast("string").alias("log_file"), F.col(account).cast("string").alias("account"))
-    spans = F.array_sort(F.concat(*[_found(F.col("t"), k) for k in range(len(KINDS))]))
-    return materialize(t.select(F.monotonically_increasing_id().alias("row_id"), "log_id", "log_file", "account", spans.alias("base")))
+    return materialize(t.select(F.monotonically_increasing_id().alias("row_id"), "log_id", "log_file", "account", base_spans(F.col("t")).alias("base")))
 
 
 def live_spans(base: DataFrame, max_owners: int = 1, max_files: int = 1) -> DataFrame:
