@@ -56,7 +56,7 @@ def market_history_sufficiency(spark, sf):
 @query(
     "market_symbol_profiles",
     with_(TICKS, bars_cte(), """tr AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars
-      WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)), ok AS (SELECT * FROM tr WHERE close > 0 AND bar_idx < 5000),
+      WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)), ok AS (SELECT * FROM tr WHERE close > 0),
       d AS (SELECT symbol, bar_idx // 288 AS d, sum(close * volume) AS u FROM ok GROUP BY ALL)""")
     + f"""SELECT symbol, {R('avg(tr / close)')} AS atr_pct, {R('avg(close * volume)')} AS usd_volume, {R('(max(high) - min(low)) / avg(close)')} AS range_pct,
     {R('(SELECT avg(u) FROM d WHERE d.symbol = ok.symbol)')} AS day_usd_volume, count(*) AS bars FROM ok GROUP BY symbol""",
@@ -420,7 +420,7 @@ rec AS (SELECT m.symbol, m.bar_idx, s.g, s.l, (s.t * 13 + m.tr) / 14 AS t FROM m
         """g AS (SELECT *, (b > 0 AND s4 > 0) OR (b < 0 AND s4 < 0) AS h4, (b > 0 AND pu) OR (b < 0 AND pd) AS poi, (b > 0 AND s1 > 0) OR (b < 0 AND s1 < 0) AS h1,
     (b > 0 AND zu) OR (b < 0 AND zd) AS zone, (b > 0 AND tu) OR (b < 0 AND td) AS trig FROM j)""",
         """trh AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM b1h WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
-prof AS (SELECT symbol, sum(tr / close) / count(*) AS v, sum(close * volume) / count(*) AS u FROM trh WHERE close > 0 AND bar_idx < 5000 GROUP BY symbol),
+prof AS (SELECT symbol, sum(tr / close) / count(*) AS v, sum(close * volume) / count(*) AS u FROM trh WHERE close > 0 GROUP BY symbol),
 rk AS (SELECT symbol, CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE (row_number() OVER (ORDER BY v, symbol) - 1) / (count(*) OVER () - 1) END AS vr_, CASE WHEN count(*) OVER () = 1 THEN 0.5
   ELSE (row_number() OVER (ORDER BY u, symbol) - 1) / (count(*) OVER () - 1) END AS lr_ FROM prof)""",
     ]

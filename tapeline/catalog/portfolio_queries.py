@@ -109,11 +109,11 @@ def portfolio_breaker_status(spark, sf):
 
 @query(
     "portfolio_pause_run",
-    "WITH RECURSIVE " + TRADES + """, o AS (SELECT asset_class, trade_id, pnl_pct / 10 AS p, epoch_us(exit_time) // 86400000000 AS d, (epoch_us(exit_time) // 86400000000 + 3) // 7 AS w,
+    "WITH RECURSIVE " + TRADES + """, o AS (SELECT asset_class, trade_id, (pnl_pct / 10)::DECIMAL(20, 9) AS p, epoch_us(exit_time) // 86400000000 AS d, (epoch_us(exit_time) // 86400000000 + 3) // 7 AS w,
       row_number() OVER (PARTITION BY asset_class ORDER BY exit_time, trade_id) AS rn FROM trades WHERE exit_time IS NOT NULL),
     g AS (SELECT asset_class, rn, d, w, p AS ds, p AS ws, p AS ts, true AS taken, p FROM o WHERE rn = 1
       UNION ALL SELECT asset_class, rn, d, w, CASE WHEN ok THEN d0 + p ELSE d0 END, CASE WHEN ok THEN w0 + p ELSE w0 END, CASE WHEN ok THEN t0 + p ELSE t0 END, ok, p
-      FROM (SELECT *, NOT (t0 <= -0.08::DOUBLE OR d0 <= -0.03::DOUBLE OR w0 <= -0.05::DOUBLE) AS ok FROM (
+      FROM (SELECT *, NOT (t0 <= -0.08 OR d0 <= -0.03 OR w0 <= -0.05) AS ok FROM (
         SELECT o.*, CASE WHEN o.d <> g.d THEN 0 ELSE g.ds END AS d0, CASE WHEN o.w <> g.w THEN 0 ELSE g.ws END AS w0, g.ts AS t0
         FROM g JOIN o ON o.asset_class = g.asset_class AND o.rn = g.rn + 1)))
     SELECT asset_class, count(*) AS trades, """ + R("sum(p)") + """ AS pnl_pct FROM g WHERE taken GROUP BY asset_class""",

@@ -114,7 +114,7 @@ def _touch(level, up):
       FROM bars b WHERE b.symbol = o.symbol AND b.bar_idx > o.bar_idx AND b.bar_idx <= o.till) AS mfe FROM o WHERE outcome IS NOT NULL""",
 )
 def stream_counterfactual_tracker(spark, sf):
-    out = C.drain(C.counterfactual_tracker(_feed(spark, sf), HZ, 100_000))
+    out = C.drain(C.counterfactual_tracker(_feed(spark, sf), HZ))
     return out.select("sig_id", "horizon", "outcome", r("mfe").alias("mfe"))
 
 

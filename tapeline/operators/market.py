@@ -53,13 +53,14 @@ def volatility_filter(bars: DataFrame, least: float, period: int = 14) -> DataFr
     return rows.withColumn("atr_share", share).filter(F.col("atr_share") >= least).drop("_tr", "_atr")
 
 
-def symbol_profile(bars: DataFrame, first_rows: int = 5000, day_bars: int = 288) -> DataFrame:
-    """Volatility, traded value and range per symbol over its first bars.
+def symbol_profile(bars: DataFrame, day_bars: int = 288, first_rows: int | None = None) -> DataFrame:
+    """Volatility, traded value and range per symbol, over all bars or an explicit prefix.
 
     Per-bar values come from bounded frames; the symbol level is one
     aggregation with map-side combine.
     """
-    moved = framed(bars.filter(F.col("bar_idx") < first_rows), KEYS, lambda w: {"_tr": true_range(w)}, before=1)
+    bars = bars if first_rows is None else bars.filter(F.col("bar_idx") < first_rows)
+    moved = framed(bars, KEYS, lambda w: {"_tr": true_range(w)}, before=1)
     rows = moved.filter("close > 0")
     usd = F.col("close") * F.col("volume")
     by_day = rows.groupBy("symbol", F.floor(F.col("bar_idx") / day_bars).alias("_d")).agg(

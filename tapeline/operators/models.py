@@ -77,7 +77,7 @@ def score(model, rows: DataFrame, features: list[str], out: str) -> DataFrame:
 
 
 def auc(scored: DataFrame, label: str, value: str) -> float:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=value).evaluate(scored)
+    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=value, numBins=0).evaluate(scored)
 
 
 def gate(rows: DataFrame, probability: str, tp: str, sl: str, accept: float = 0.55, least_ratio: float = 1.5) -> DataFrame:

@@ -1,16 +1,7 @@
-"""Sequential account rules: open positions, compounding, loss breakers, allocation.
-
-Equity, open positions and breaker pauses feed back on each other, so trades of
-one account are taken in time order.  Outcomes are resolved before, natively;
-what runs here per row is only the account rule.  Rows reach it sorted by
-account and time and are streamed in Arrow batches with the state carried from
-batch to batch, so an account of any size needs the memory of one batch.
-"""
+"""Account rules: open positions, loss limits, allocation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,118 +13,35 @@ from tapeline.operators.greedy import greedy_keep
 from tapeline.session import materialize
 
 # Loss limits of the breaker.
-DAILY_LIMIT, WEEKLY_LIMIT, ALLTIME_LIMIT, HEAT_LIMIT = 0.03, 0.05, 0.08, 1.00
-PAUSE_US = 24 * 3_600_000_000
+DAILY_LIMIT, WEEKLY_LIMIT, ALLTIME_LIMIT = 0.03, 0.05, 0.08
 DAY_US = 86_400_000_000
-BANKRUPT_SHARE = 0.10
-
-
-class Account:
-    """State of one account between trades."""
-
-    def __init__(self, equity: float) -> None:
-        self.start = self.equity = equity
-        self.open: dict[str, int] = {}
-        self.day = self.week = None
-        self.day_pnl = self.week_pnl = self.total = self.peak = 0.0
-        self.paused_until: int | None = None
-        self.half = self.stopped = self.bankrupt = False
 
-    def allows(self, now: int) -> bool:
-        """Breaker check before a trade: day pause, week halving, all-time stop."""
-        day = now // DAY_US
-        week = (day + 3) // 7  # weeks start on Monday
-        if day != self.day:
-            self.day, self.day_pnl = day, 0.0
-        if week != self.week:
-            self.week, self.week_pnl = week, 0.0
-        if self.paused_until is not None:
-            if now >= self.paused_until:
-                self.paused_until = None
-        elif self.day_pnl <= -DAILY_LIMIT:
-            self.paused_until = now + PAUSE_US
-        self.half = self.week_pnl <= -WEEKLY_LIMIT
-        self.stopped = self.stopped or self.total - self.peak <= -ALLTIME_LIMIT
-        return not self.stopped and self.paused_until is None
 
-    def book(self, pnl: float) -> None:
-        share = pnl / self.start
-        self.day_pnl += share
-        self.week_pnl += share
-        self.total += share
-        self.peak = max(self.peak, self.total)
-
-
-def _take(a: Account, row, breaker: bool, cap_equity: float):
-    """Equity, result and risk of a taken trade; None when it is not taken."""
-    if a.bankrupt or a.open.get(row.symbol, row.start_us) > row.start_us:
-        return None
-    if breaker and not a.allows(row.start_us):
-        return None
-    sizing = min(a.equity, cap_equity)
-    risk = min(sizing * row.fraction, sizing * row.risk_cap)
-    if risk <= 0 or a.equity <= 0:
-        return None
-    if breaker and a.half:
-        risk *= 0.5
-    notional = risk / row.stop_pct
-    pnl = notional * row.price_pnl - notional * row.cost_pct
-    share = risk / a.equity
-    a.open[row.symbol] = row.exit_us
-    a.equity = max(0.0, a.equity + pnl)
-    if a.equity < a.start * BANKRUPT_SHARE:
-        a.bankrupt = True
-        return None
-    if breaker:
-        a.book(pnl)
-    return pnl, a.equity, share
-
-
-def portfolio_run(
-    trades: DataFrame, keys: list[str], account: float = 100_000.0, breaker: bool = True, cap: float = 2.0
-) -> DataFrame:
-    """Trades taken per account ``keys``, with pnl, equity and risk share.
+def portfolio_run(trades: DataFrame, keys: list[str], account: float = 100_000.0, chunk_seconds: int = 7 * 86400) -> DataFrame:
+    """Trades taken per account ``keys``: one open position per symbol, a fixed share of the start equity at risk.
 
     Input: ``keys, trade_id, symbol, ts, exit_ts, score, entry, stop, direction,
-    exit_price, outcome, cost_pct, risk_cap`` (outcome already resolved).
+    exit_price, outcome, cost_pct, risk_cap`` (outcome already resolved).  Which
+    trades are taken depends on time only; results are in R and add up, so
+    equity is a running sum.  Equity, pauses and sizes do not feed back.
     """
     stop_pct = F.abs(F.col("entry") - F.col("stop")) / F.col("entry")
-    moved = (F.col("exit_price") - F.col("entry")) * F.col("direction") / F.col("entry")
-    rows = trades.withColumns(
-        {
-            "start_us": F.unix_micros("ts"),
-            "exit_us": F.unix_micros("exit_ts"),
-            "stop_pct": stop_pct,
-            "price_pnl": moved,
-            "fraction": risk_fraction(F.col("score")),
-        }
-    ).filter("stop_pct > 0").select(
-        *keys, "trade_id", "symbol", "start_us", "exit_us", "stop_pct", "price_pnl", "fraction", "cost_pct", "risk_cap", "outcome"
+    share = F.least(risk_fraction(F.col("score")), F.col("risk_cap"))
+    rows = trades.withColumns({
+        "start_us": F.unix_micros("ts"), "exit_us": F.unix_micros("exit_ts"), "stop_pct": stop_pct, "risk_share": share,
+        "price_pnl": (F.col("exit_price") - F.col("entry")) * F.col("direction") / F.col("entry"),
+    }).filter("stop_pct > 0 and risk_share > 0").select(
+        *keys, "trade_id", "symbol", "start_us", "exit_us", "stop_pct", "price_pnl", "risk_share", "cost_pct", "outcome"
     )
-    by_type = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType(
-        [*[by_type[k] for k in keys], by_type["trade_id"], by_type["symbol"], by_type["start_us"], by_type["exit_us"],
-         by_type["outcome"], *[T.StructField(c, T.DoubleType()) for c in ("pnl", "equity", "risk_share", "actual_rr")]]
+    kept = greedy_keep(rows, [*keys, "symbol"], "start_us", "exit_us", "trade_id", chunk_seconds * 1_000_000)
+    pnl = account * F.col("risk_share") / F.col("stop_pct") * (F.col("price_pnl") - F.col("cost_pct"))
+    booked = kept.withColumns({"pnl": pnl, "actual_rr": F.col("price_pnl") / F.col("stop_pct")})
+    week = F.floor(F.col("start_us") / (7 * DAY_US)).cast("long")
+    run = curve(booked, keys, "pnl", ["start_us", "trade_id"], week, start=account)
+    return run.select(
+        *keys, "trade_id", "symbol", "outcome", "pnl", "equity", "risk_share", "actual_rr",
+        F.timestamp_micros("start_us").alias("ts"), F.timestamp_micros("exit_us").alias("exit_time"),
     )
-    columns, ceiling = schema.names, account * cap
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, Account(account)
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, state = key, Account(account)
-                got = _take(state, row, breaker, ceiling)
-                if got:
-                    out.append((*key, row.trade_id, row.symbol, row.start_us, row.exit_us, row.outcome, *got,
-                                row.price_pnl / row.stop_pct))
-            yield pd.DataFrame(out, columns=columns)
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "start_us", "trade_id")
-    done = ordered.mapInPandas(run, schema)
-    return done.withColumns({"ts": F.timestamp_micros("start_us"), "exit_time": F.timestamp_micros("exit_us")}).drop("start_us", "exit_us")
 
 
 def variant_book(
@@ -192,32 +100,23 @@ def breaker_status(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pause_run(trades: DataFrame, keys: list[str], daily: float, weekly: float, alltime: float) -> DataFrame:
-    """Trades taken when a day, a week or everything stops after its loss limit."""
-    rows = trades.select(*keys, "trade_id", F.unix_micros("ts").alias("us"), "pnl_pct")
-    by_type = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([*[by_type[k] for k in keys], by_type["trade_id"], by_type["us"], by_type["pnl_pct"]])
-    columns = schema.names
+    """Trades taken when a day, a week or everything stops after its loss limit.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, day, week, d, w, total = key, None, None, 0.0, 0.0, 0.0
-                now = row.us // DAY_US
-                if now != day:
-                    day, d = now, 0.0
-                    if (now + 3) // 7 != week:
-                        week, w = (now + 3) // 7, 0.0
-                if total <= alltime or d <= daily or w <= weekly:
-                    continue
-                d, w, total = d + row.pnl_pct, w + row.pnl_pct, total + row.pnl_pct
-                out.append((*key, row.trade_id, row.us, row.pnl_pct))
-            yield pd.DataFrame(out, columns=columns)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "trade_id").mapInPandas(run, schema)
+    A limit only takes away the rest of its day, week or history, so the three
+    apply one after the other: a row stays while no earlier running sum has
+    reached the limit.  Sums are exact decimals.
+    """
+    us = F.unix_micros("ts")
+    rows = trades.select(*keys, "trade_id", us.alias("us"), "pnl_pct").withColumns({
+        "_x": F.col("pnl_pct").cast("decimal(20,9)"), "_o": F.struct("us", "trade_id"), "_d": F.floor(F.col("us") / DAY_US).cast("long"),
+    }).withColumn("_w", F.floor((F.col("_d") + 3) / 7).cast("long"))
+    hour = F.floor(F.col("us") / 3_600_000_000).cast("long")
+    for group, limit, block in ((["_d"], daily, hour), (["_w"], weekly, F.col("_d")), ([], alltime, F.col("_d"))):
+        summed = running(materialize(rows), [*keys, *group], {"_s": ("sum", F.col("_x"))}, "_o", block)
+        before = F.col("_s") - F.col("_x")
+        least = running(materialize(summed), [*keys, *group], {"_m": ("min", before)}, "_o", block)
+        rows = least.filter(F.col("_m") > F.lit(limit).cast("decimal(20,9)")).drop("_s", "_m")
+    return rows.select(*keys, "trade_id", "us", "pnl_pct")
 
 
 def confidence_risk(confidence: Column, threshold: float, low: float, high: float) -> Column:
@@ -238,8 +137,8 @@ def allocate(
 ) -> DataFrame:
     """Decision and reason per opportunity of a scan cycle, best first.
 
-    A cycle holds at most ``max_ranked`` opportunities (the ranking's own
-    limit), so the ordered walk per cycle is over a bounded list.
+    The ordered walk per cycle is over its first ``max_ranked`` opportunities;
+    the others are refused as ``rank``.
     """
     rows = ranked.filter(F.col("rank") <= max_ranked)
     fields = [f for f in rows.schema.fields if f.name in (cycle, "symbol", "asset_class", "rank", "score", "conflict", "held")]
@@ -273,4 +172,5 @@ def allocate(
         out["risk_pct"], out["reason"] = risks, reasons
         return out
 
-    return rows.select(*names).groupBy(cycle).applyInPandas(walk, schema)
+    rest = ranked.filter(F.col("rank") > max_ranked).select(*names, F.lit(None).cast("double").alias("risk_pct"), F.lit("rank").alias("reason"))
+    return rows.select(*names).groupBy(cycle).applyInPandas(walk, schema).unionByName(rest)

@@ -63,7 +63,7 @@ def cpcv_splits(windows: DataFrame, k: int = 2) -> DataFrame:
     base = windows.select(F.array("window_id").alias("test_idx"), F.col("window_id").alias("_last"))
     nxt = windows.select(F.col("window_id").alias("_n"))
     for _ in range(k - 1):
-        base = base.join(F.broadcast(nxt), F.col("_n") > F.col("_last")).select(
+        base = base.join(nxt, F.col("_n") > F.col("_last")).select(
             F.array_append("test_idx", F.col("_n")).alias("test_idx"), F.col("_n").alias("_last")
         )
     name = F.array_join(F.col("test_idx").cast("array<string>"), "-")
@@ -76,7 +76,7 @@ def cpcv_evaluate(trades: DataFrame, splits: DataFrame, metrics, trials: DataFra
     ``metrics(trades, keys)`` is the caller's evaluation (DataFrame in and
     out).  A trade is copied once per split that tests its window.
     """
-    pool = trades.join(F.broadcast(splits), "window_id")
+    pool = trades.join(splits, "window_id")
     rows = metrics(pool, ["split"]).crossJoin(F.broadcast(trial_variance(trials)))
     dsr = deflated_sharpe(
         F.col("sharpe"), F.col("trial_var"), F.col("n_trials"), F.col("n"), F.col("skew"), F.col("kurt_nonexcess")
@@ -97,11 +97,9 @@ def cpcv_summary(splits: DataFrame, funded: float = 0.95, research: float = 0.70
     )
 
 
-def half_splits(spark: SparkSession, n_windows: int, max_splits: int = 128, seed: int = 42) -> DataFrame:
-    """In-sample halves of the windows as bit masks (bounded by ``max_splits``)."""
-    masks = [sum(1 << i for i in c) for c in combinations(range(n_windows), n_windows // 2)]
-    rows = spark.createDataFrame([(m,) for m in masks], "mask long")
-    return rows.orderBy(hash_order("mask", seed=seed), "mask").limit(max_splits) if len(masks) > max_splits else rows
+def half_splits(spark: SparkSession, n_windows: int) -> DataFrame:
+    """All in-sample halves of the windows, as bit masks."""
+    return spark.range(1 << n_windows).filter(F.bit_count("id") == n_windows // 2).select(F.col("id").alias("mask"))
 
 
 def pbo(performance: DataFrame, splits: DataFrame) -> DataFrame:
@@ -111,7 +109,7 @@ def pbo(performance: DataFrame, splits: DataFrame) -> DataFrame:
     average per (split, trial) gives both halves; ranks are counts.
     """
     inside = F.getbit(F.col("mask"), F.col("window_id").cast("int")) == 1
-    means = performance.crossJoin(F.broadcast(splits)).groupBy("mask", "trial").agg(
+    means = performance.crossJoin(splits).groupBy("mask", "trial").agg(
         F.avg(F.when(inside, F.col("value"))).alias("is_mean"), F.avg(F.when(~inside, F.col("value"))).alias("oos_mean")
     )
     best = means.groupBy("mask").agg(F.max("is_mean").alias("is_mean"))
@@ -247,10 +245,12 @@ def bootstrap(values: DataFrame, value: str, replicates: int, tie: str, seed: in
     reps = values.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     u = (F.xxhash64(F.lit(seed), "replicate", F.col(tie)).cast("double") / float(2**63) + 1) / 2
     cuts, total, p = [], 0.0, float(np.exp(-1.0))
-    for k in range(8):
+    k = 0
+    while total + p > total:  # until a term no longer changes the sum
         total += p
         cuts.append(total)
-        p /= k + 1
+        k += 1
+        p /= k
     copies = sum((F.when(F.col("_u") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = _spread(values, tie).crossJoin(F.broadcast(reps)).withColumn("_u", u).withColumn("_k", copies)
     x = F.col(value) * F.col("_k")

@@ -49,9 +49,10 @@ def resolved(signals: DataFrame, bars: DataFrame, ratchets: list[float], commiss
 
 
 def grid_trades(signals: DataFrame, bars: DataFrame, grid: DataFrame, windows: DataFrame, commission: float = 0.0004,
-                slippage: float = 0.0001, ratchets: list[float] | None = None) -> DataFrame:
+                slippage: float = 0.0001) -> DataFrame:
     """Trades taken per combination and window."""
-    res = resolved(signals, bars, ratchets or GRID["ratchet_r"], commission, slippage)
+    levels = [r[0] for r in grid.select("ratchet_r").distinct().orderBy("ratchet_r").collect()]  # a parameter table
+    res = resolved(signals, bars, levels, commission, slippage)
     base = _windowed(signals, windows).join(res.select("sig_id", "ratchet_r", "outcome", "exit_price", "exit_ts"), "sig_id")
     gated = base.join(F.broadcast(grid), "ratchet_r").filter(
         (F.col("score") >= F.col("threshold")) & (F.col("risk_reward") >= F.col("min_rr"))
@@ -94,22 +95,14 @@ def grid_results(signals: DataFrame, bars: DataFrame, grid: DataFrame, windows:
     ever = F.col("_fail").isNull() & (F.col("_min") > 0) & (F.col("_max") / F.col("_min") <= max_ratio)
     return j.select(
         *[c for c in grid.columns], "window_id", *[cut(c) for c in ("pf_real", "total_trades", "max_drawdown", "winrate_real", "sharpe")],
-        F.coalesce(ever, F.lit(False)).alias("is_evergreen"),
+        F.coalesce(ever, F.lit(False)).alias("is_evergreen"), shown.alias("evaluated"),
     )
 
 
-def wide_results(results: DataFrame, windows: list[int]) -> DataFrame:
-    """One row per combination with w<i>_<metric> columns."""
-    out = results.groupBy("combo_id", "is_evergreen").pivot("window_id", windows).agg(
-        F.first("pf_real").alias("pf"), F.first("total_trades").alias("trades"), F.first("sharpe").alias("sharpe")
-    )
-    return out.select("combo_id", "is_evergreen", *[F.col(f"`{w}_{m}`").alias(f"w{w}_{m}") for w in windows for m in ("pf", "trades", "sharpe")])
-
-
 def best_parameters(results: DataFrame, n: int = 1) -> DataFrame:
     """Evergreen combination with the best worst window (all when none is evergreen)."""
     per = results.groupBy("combo_id", "is_evergreen").agg(
-        F.min("pf_real").alias("min_pf"), F.avg("pf_real").alias("mean_pf"), F.min("total_trades").alias("_t")
+        F.min("pf_real").alias("min_pf"), F.avg(F.when(F.col("evaluated"), F.col("pf_real"))).alias("mean_pf"), F.min("total_trades").alias("_t")
     )
     confidence = F.when(F.col("_t") < 10, "low").when(F.col("_t") < 20, "medium").otherwise("high")
     return per.withColumn("confidence", confidence).drop("_t").orderBy(

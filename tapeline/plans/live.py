@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions import scores
@@ -17,8 +17,16 @@ from tapeline.session import materialize
 AGE = 3  # the rated zone is taken to be three bars old
 
 
-def live_scores(t: dict[str, DataFrame], state: DataFrame, p: G.SignalParams, decision_tf: str = "5m") -> DataFrame:
-    """Graded score per decision bar, from the same tables as the signals."""
+def live_scores(t: dict[str, DataFrame], state: DataFrame, p: G.SignalParams, decision_tf: str = "5m", asset_class: Column | None = None,
+                volume_profile: Column | None = None) -> DataFrame:
+    """Graded score per decision bar, from the same tables as the signals.
+
+    ``asset_class`` and ``volume_profile`` are expressions over the scored rows
+    (``sym``, ``entry``, ...); without them all symbols are crypto and the
+    profile is neutral.
+    """
+    asset_class = F.lit("crypto") if asset_class is None else asset_class
+    volume_profile = F.lit(0.5) if volume_profile is None else volume_profile
     rows = G.scored_bars(t, state, p, decision_tf).filter("bias <> 0")
     bars = t["bars"]
     hourly = bars.filter("tf = '1h'")
@@ -61,10 +69,10 @@ def live_scores(t: dict[str, DataFrame], state: DataFrame, p: G.SignalParams, de
         F.col("has_zone"),
         scores.zone_quality(F.lit(AGE), untouched, scores.zone_size_score(F.abs(top - bottom), F.col("zatr")), form, overlap),
     ).otherwise(0.0)
-    dollars = scores.dollar_volume_ok(F.col("entry"), F.col("volume"), F.lit("crypto"))
+    dollars = scores.dollar_volume_ok(F.col("entry"), F.col("volume"), asset_class)
     parts = {
-        "zone": zone, "volume": scores.volume_score(F.col("relative_score"), F.lit(0.5), dollars), "adx": F.coalesce("adx", F.lit(0.0)),
-        "session": scores.session_score(F.lit("crypto"), F.hour("ts")),
+        "zone": zone, "volume": scores.volume_score(F.col("relative_score"), volume_profile, dollars), "adx": F.coalesce("adx", F.lit(0.0)),
+        "session": scores.session_score(asset_class, F.hour("ts")),
         "momentum": F.coalesce(scores.momentum_score(up, F.col("rsi_simple"), F.col("macd_hist"), F.col("macd_prev")), F.lit(0.0)),
         "agreement": agreement, "freshness": F.when(F.col("has_zone"), F.exp(F.lit(-0.15 * AGE))).otherwise(0.0),
     }

@@ -155,10 +155,11 @@ def feed(candles: DataFrame, signals: DataFrame) -> DataFrame:
     return c.unionByName(s)
 
 
-def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = None, max_open: int = 100) -> DataFrame:
+def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = None, max_open: int | None = None) -> DataFrame:
     """Outcome of signals not taken, per horizon, as candles arrive.
 
-    At most ``max_open`` trackers per symbol; the oldest is closed as timeout.
+    With ``max_open``, a symbol has at most that many trackers and the oldest
+    is closed as timeout.
     """
     horizons = horizons or {"scalp": 72, "day": 288, "swing": 1440}
     names, limits = list(horizons), list(horizons.values())
@@ -174,7 +175,7 @@ def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = No
 
         for r in _in_order(frames, ["bar_idx", "kind"]).itertuples(index=False):
             if r.kind == 1:
-                if len(open_) >= max_open:
+                if max_open is not None and len(open_) >= max_open:
                     close(open_.pop(0), "timeout", len(names))
                 open_.append([r.sig_id, int(r.direction), float(r.entry), float(r.stop), float(r.target), 0, 0.0, 0.0, 0])
                 continue

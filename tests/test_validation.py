@@ -133,14 +133,51 @@ def _book(spark, moves, days):
                          "'x' outcome", "0.0D cost_pct", "0.03D risk_cap")
 
 
-def test_portfolio_compounds_and_blocks_after_a_bad_day(spark):
-    out = P.portfolio_run(_book(spark, [0.01, 0.01], [1, 1]), ["acct"]).orderBy("ts").collect()
-    assert [round(r.equity, 6) for r in out] == [101000.0, 102010.0]
-    # four stops of 1 % each: the fourth is refused because the day lost 3 %
-    bad = P.portfolio_run(_book(spark, [-0.01] * 4 + [0.01], [1, 1, 1, 1, 4]), ["acct"]).collect()
-    assert sorted(r.trade_id for r in bad) == ["t0", "t1", "t2", "t4"] or len(bad) == 5
-    free = P.portfolio_run(_book(spark, [-0.01] * 4, [1] * 4), ["acct"], breaker=False).count()
-    assert free == 4
+def test_portfolio_adds_fixed_risk(spark):
+    out = P.portfolio_run(_book(spark, [0.01, -0.01, 0.02], [1, 1, 9]), ["acct"]).orderBy("ts").collect()
+    assert [round(r.equity, 6) for r in out] == [101000.0, 100000.0, 102000.0]
+    assert [round(r.actual_rr, 9) for r in out] == [1.0, -1.0, 2.0]
+    unscored = _book(spark, [0.01], [1]).withColumn("score", F.lit(0.5))
+    assert P.portfolio_run(unscored, ["acct"]).count() == 0
+
+
+def test_pause_run_equals_the_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, f"{i:04d}", 1_700_000_000 + rng.randrange(40 * 86400), rng.choice([-0.02, -0.01, 0.005, 0.01])) for k in "ab" for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, trade_id string, s long, pnl_pct double").withColumn("ts", F.timestamp_seconds("s"))
+    want = set()
+    for k in "ab":
+        day = week = None
+        d = w = t = 0
+        for _, i, s, x in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            x = round(x * 1000)
+            if s // 86400 != day:
+                day, d = s // 86400, 0
+            if (day + 3) // 7 != week:
+                week, w = (day + 3) // 7, 0
+            if t > -400 and d > -30 and w > -50:
+                d, w, t = d + x, w + x, t + x
+                want.add((k, i))
+    got = {(r.k, r.trade_id) for r in P.pause_run(df, ["k"], -0.03, -0.05, -0.4).collect()}
+    assert got == want and 0 < len(got) < 800
+
+
+def test_nothing_is_cut_off(spark):
+    from tapeline.operators import market as M
+    from tapeline.operators import models as L
+
+    assert V.half_splits(spark, 12).count() == 924 and V.half_splits(spark, 12).distinct().count() == 924
+    bars = spark.range(5100).select(F.lit("A").alias("symbol"), F.col("id").alias("bar_idx"), F.lit(5100).alias("n_bars"), *[F.lit(10.0).alias(c) for c in ("open", "low", "close", "volume")], (F.lit(10.0) + F.col("id")).alias("high"))
+    assert M.symbol_profile(bars).first().bars == 5100 and M.symbol_profile(bars, first_rows=5000).first().bars == 5000
+    scored = spark.range(2000).select((F.col("id") % 2).cast("double").alias("y"), (F.col("id") / 2000 - (F.col("id") % 2) * 0.0007).alias("p"))
+    rank = sorted((i / 2000 - (i % 2) * 0.0007, i % 2) for i in range(2000))
+    exact = (sum(j for j, (_, y) in enumerate(rank, 1) if y) - 1000 * 1001 / 2) / 1e6
+    assert L.auc(scored, "y", "p") == pytest.approx(exact, abs=1e-12)
+    ranked = spark.createDataFrame([(1, f"S{i}", "crypto", i, 0.9, False, False) for i in range(1, 15)], "cycle int, symbol string, asset_class string, rank int, score double, conflict boolean, held boolean")
+    decided = P.allocate(ranked, "cycle").collect()
+    assert len(decided) == 14 and sum(r.reason == "rank" for r in decided) == 4
 
 
 def test_one_position_per_symbol(spark):
