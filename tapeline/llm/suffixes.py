@@ -23,7 +23,7 @@ from tapeline.llm.bloom import Bloom
 from tapeline.llm.text import Prints, mix, slices
 from tapeline.session import materialize
 
-CORE = 64
+CORE = 40
 #: Batches whose arrays enter the index one after another.
 BATCHES = 4
 #: Starts of stretches that one piece holds, from coarse to fine; the first are those of an anchor.

@@ -64,4 +64,4 @@ def test_levels_double(spark):
 def test_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], "log_id long, message string")).collect() == []
     with pytest.raises(ValueError):
-        suffixes.repeated_passages(spark.createDataFrame([], "log_id long, message string"), length=70)
+        suffixes.repeated_passages(spark.createDataFrame([], "log_id long, message string"), length=45)
