@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.text import slices
+from tapeline.session import materialize
 
 WINDOW, WIDE, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 REACH = max(WIDTHS)
@@ -111,8 +112,9 @@ def train(texts: DataFrame, text_id: str = "text_id", text: str = "text", lang:
     order = F.xxhash64(F.lit(seed), F.col(text_id), F.col(text))
     chosen = rows.select(F.col(lang).cast("string").alias("lang"), order.alias("order"), F.col(text).cast("string").alias("text"))
     share = F.least(F.lit(1.0), F.lit(1.1 * most) / F.count(F.lit(1)))
-    cut = chosen.groupBy("lang").agg(share.alias("share"))
-    # One row for each language; hashes are even, so a share of their range holds about that share of the texts.
+    # A stored table of one row for each language: the planner knows its size and sends it to the texts if it is small, so no text is dealt by
+    # language.  Hashes are even, so a share of their range holds about that share of the texts.
+    cut = materialize(chosen.groupBy("lang").agg(share.alias("share")))
     chosen = chosen.join(cut, "lang").filter((F.col("order") / 2.0**64 + 0.5) <= F.col("share")).select("lang", "order", "text")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
