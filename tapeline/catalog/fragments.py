@@ -118,7 +118,7 @@ TRADES = """trades AS (
          CASE WHEN o_orderstatus <> 'O' THEN edge * 40 END AS rr_actual,
          round(l_tax / 10 + 0.002, 4) AS risk_pct,
          round(0.5 + l_quantity / 100, 4) AS score,
-         l_linenumber AS leverage, l_quantity::INT AS bars_held
+         l_linenumber AS leverage, l_quantity::INT AS bars_held, l_linenumber % 3 = 0 AS be_triggered
   FROM (SELECT *, round(l_discount - 0.05, 2) + 0.0 AS edge FROM lineitem) JOIN orders ON l_orderkey = o_orderkey)"""
 
 

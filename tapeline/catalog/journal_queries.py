@@ -41,7 +41,7 @@ def journal_overview(spark, sf):
 ROLLUP = f"""SELECT asset_class, count(*) FILTER (exit_time IS NOT NULL) AS trades,
     count(*) FILTER (outcome = 'win') AS wins, {R('coalesce(sum(pnl_pct * 100000), 0)', 3)} AS pnl,
     count(*) FILTER (exit_time IS NULL) AS active,
-    {R('coalesce(sum(risk_pct) FILTER (exit_time IS NULL) * 100, 0)', 4)} AS heat_pct,
+    {R('coalesce(sum(risk_pct) FILTER (exit_time IS NULL AND NOT be_triggered) * 100, 0)', 4)} AS heat_pct,
     {R('100000 + coalesce(sum(pnl_pct * 100000), 0)', 3)} AS equity,
     {R('100.0 * count(*) FILTER (outcome = $$win$$) / count(*) FILTER (exit_time IS NOT NULL)')} AS win_rate,
     {R('greatest(0, -sum(pnl_pct * 100000) / 100000 * 100)', 4)} AS dd_pct FROM trades GROUP BY asset_class"""

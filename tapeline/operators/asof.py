@@ -10,45 +10,53 @@ from tapeline.operators.blocks import running
 CHUNK_SECONDS = 7 * 86400
 
 
-def asof_key(
+def asof_match(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     left_on: str,
     right_on: str,
+    columns: list[str],
     out: str = "_match",
     direction: str = "backward",
     inclusive: bool = True,
     chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """For each left row the time of the matching right row (null when none).
+    """Left rows with ``out``: a struct of the matching right row's time ``at`` and ``columns`` (null when none).
 
-    Both sides are stacked in time order; the latest right time is a running
-    maximum, computed in time chunks with a carry between chunks.  Forward
-    matching is the same on the negated axis.
+    Both sides are stacked in time order; the latest right row is a running
+    maximum of (time, columns), computed in time chunks with a carry between
+    chunks, so the values travel with the time and nothing is joined again.  Of
+    right rows with one key and time the one with the largest values counts.
+    Forward matching is the same on the negated axis.
     """
     sign = 1 if direction == "backward" else -1
     micros = lambda c: F.unix_micros(F.col(c)) * sign
     # inclusive: right rows sort before left rows of the same instant
     first, second = (0, 1) if inclusive else (1, 0)
+    rhs = right.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        (micros(right_on) * 2 + first).alias("_at"),
+        F.struct(micros(right_on).alias("_t"), *[F.col(c).alias(c) for c in columns]).alias("_rt"),
+    )
     lhs = left.select(
         F.struct(*left.columns).alias("_row"),
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         (micros(left_on) * 2 + second).alias("_at"),
-        F.lit(None).cast("long").alias("_rt"),
-    )
-    rhs = right.select(
-        F.lit(None).cast(lhs.schema["_row"].dataType).alias("_row"),
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        (micros(right_on) * 2 + first).alias("_at"),
-        micros(right_on).alias("_rt"),
+        F.lit(None).cast(rhs.schema["_rt"].dataType).alias("_rt"),
     )
-    both = lhs.unionByName(rhs)
+    rhs = rhs.withColumn("_row", F.lit(None).cast(lhs.schema["_row"].dataType))
     chunk = F.floor(F.col("_at") / (chunk_seconds * 2_000_000)).cast("long")
-    matched = running(both, [f"_k_{k}" for k in keys], {"_m": ("max", F.col("_rt"))}, "_at", chunk)
-    return matched.filter("_row is not null").select(
-        "_row.*", F.timestamp_micros(F.col("_m") * sign).alias(out)
-    )
+    matched = running(lhs.unionByName(rhs), [f"_k_{k}" for k in keys], {"_m": ("max", F.col("_rt"))}, "_at", chunk)
+    found = F.struct(F.timestamp_micros(F.col("_m._t") * sign).alias("at"), *[F.col(f"_m.{c}").alias(c) for c in columns])
+    return matched.filter("_row is not null").select("_row.*", F.when(F.col("_m").isNotNull(), found).alias(out))
+
+
+def asof_key(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, out: str = "_match", direction: str = "backward",
+             inclusive: bool = True, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """For each left row the time of the matching right row (null when none)."""
+    found = asof_match(left, right, keys, left_on, right_on, [], out, direction, inclusive, chunk_seconds)
+    return found.withColumn(out, F.col(f"{out}.at"))
 
 
 def asof_join(
@@ -62,15 +70,9 @@ def asof_join(
     inclusive: bool = True,
     chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Left rows with ``{right column: output name}`` of the as-of match.
-
-    ``right`` must have one row per key and time.
-    """
-    found = asof_key(left, right, keys, left_on, right_on, "_match", direction, inclusive, chunk_seconds)
-    side = right.select(
-        *keys, F.col(right_on).alias("_match"), *[F.col(c).alias(o) for c, o in columns.items()]
-    )
-    return found.join(side, [*keys, "_match"], "left").drop("_match")
+    """Left rows with ``{right column: output name}`` of the as-of match; one row for each left row."""
+    found = asof_match(left, right, keys, left_on, right_on, list(columns), "_match", direction, inclusive, chunk_seconds)
+    return found.select(*left.columns, *[F.col(f"_match.{c}").alias(o) for c, o in columns.items()])
 
 
 def nearest_join(
@@ -83,23 +85,20 @@ def nearest_join(
     tolerance_seconds: float | None = None,
 ) -> DataFrame:
     """Closest right row on either side; ties take the earlier row."""
-    back = asof_key(left, right, keys, left_on, right_on, "_back")
-    both = asof_key(back, right, keys, left_on, right_on, "_fwd", "forward")
-    gap = lambda c: F.abs(F.unix_micros(F.col(c)) - F.unix_micros(F.col(left_on)))
+    back = asof_match(left, right, keys, left_on, right_on, list(columns), "_back")
+    both = asof_match(back, right, keys, left_on, right_on, list(columns), "_fwd", "forward")
+    gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.at")) - F.unix_micros(F.col(left_on)))
     pick = (
         F.when(F.col("_back").isNull(), F.col("_fwd"))
         .when(F.col("_fwd").isNull(), F.col("_back"))
         .when(gap("_back") <= gap("_fwd"), F.col("_back"))
         .otherwise(F.col("_fwd"))
     )
-    matched = both.withColumn("_match", pick).drop("_back", "_fwd")
+    matched = both.withColumn("_match", pick)
     if tolerance_seconds is not None:
         far = gap("_match") > int(tolerance_seconds * 1_000_000)
         matched = matched.withColumn("_match", F.when(~far, F.col("_match")))
-    side = right.select(
-        *keys, F.col(right_on).alias("_match"), *[F.col(c).alias(o) for c, o in columns.items()]
-    )
-    return matched.join(side, [*keys, "_match"], "left").withColumnRenamed("_match", "matched_ts")
+    return matched.select(*left.columns, F.col("_match.at").alias("matched_ts"), *[F.col(f"_match.{c}").alias(o) for c, o in columns.items()])
 
 
 def fan_out(signals: DataFrame, bars: DataFrame, horizon: int, start: int = 1, idx: str = "bar_idx") -> DataFrame:

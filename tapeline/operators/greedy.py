@@ -54,34 +54,51 @@ def select(start: np.ndarray, until: np.ndarray, blocked: int) -> np.ndarray:
     return keep
 
 
-def greedy_keep(df: DataFrame, keys: list[str], start: str, until: str, tie: str, chunk: int) -> DataFrame:
-    """Rows kept by the rule; ``start``/``until`` are long, ``chunk`` in their unit."""
-    chunked = df.withColumn("_c", F.floor(F.col(start) / chunk).cast("long"))
+def _runs(pdf: pd.DataFrame, by: list[str], order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows in order within their keys, and where each key's run starts and the last one ends."""
+    pdf = pdf.sort_values([*by, *order], kind="stable", ignore_index=True)
+    new = np.ones(len(pdf) + 1, dtype=bool)
+    if len(pdf) > 1:
+        new[1:-1] = np.any([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in by], axis=0)
+    return pdf, np.flatnonzero(new)
+
+
+def greedy_keep(df: DataFrame, keys: list[str], start: str, until: str, tie: str, chunk: int, batches: int = 64) -> DataFrame:
+    """Rows kept by the rule; ``start``/``until`` are long, ``chunk`` in their unit.
+
+    Keys of a chunk are solved ``1 / batches`` of them at a time, so that many
+    small keys do not cost a call each.
+    """
+    spread = F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int")
+    chunked = df.withColumn("_c", F.floor(F.col(start) / chunk).cast("long")).withColumn("_h", spread)
     key_fields = [f for f in df.schema.fields if f.name in keys]
     by_chunk, columns = [*keys, "_c"], df.columns
     summary_schema = T.StructType(
-        [*key_fields, T.StructField("_c", T.LongType()), T.StructField("_u", T.ArrayType(T.LongType())),
+        [*key_fields, T.StructField("_c", T.LongType()), T.StructField("_h", T.IntegerType()), T.StructField("_u", T.ArrayType(T.LongType())),
          T.StructField("_e", T.ArrayType(T.LongType()))]
     )
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, tie], kind="stable")
-        u, e = chunk_summary(pdf[start].to_numpy(np.int64), pdf[until].to_numpy(np.int64))
-        row = {k: pdf[k].iloc[0] for k in by_chunk}
-        return pd.DataFrame([{**row, "_u": u.tolist(), "_e": e.tolist()}])
+        pdf, edges = _runs(pdf, keys, [start, tie])
+        s, u = pdf[start].to_numpy(np.int64), pdf[until].to_numpy(np.int64)
+        done = [chunk_summary(s[a:b], u[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        head = pdf.iloc[edges[:-1]][[*by_chunk, "_h"]].reset_index(drop=True)
+        return head.assign(_u=[x.tolist() for x, _ in done], _e=[y.tolist() for _, y in done])
 
     def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        pdf["_in"] = walk([np.asarray(x) for x in pdf["_u"]], [np.asarray(x) for x in pdf["_e"]])
+        pdf, edges = _runs(pdf, keys, ["_c"])
+        ups, ends = [np.asarray(x) for x in pdf["_u"]], [np.asarray(x) for x in pdf["_e"]]
+        pdf["_in"] = [x for a, b in zip(edges[:-1], edges[1:]) for x in walk(ups[a:b], ends[a:b])]
         return pdf[[*by_chunk, "_in"]]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, tie], kind="stable")
-        kept = select(pdf[start].to_numpy(np.int64), pdf[until].to_numpy(np.int64), int(pdf["_in"].iloc[0]))
+        pdf, edges = _runs(pdf, keys, [start, tie])
+        s, u, blocked = (pdf[c].to_numpy(np.int64) for c in (start, until, "_in"))
+        kept = np.concatenate([select(s[a:b], u[a:b], int(blocked[a])) for a, b in zip(edges[:-1], edges[1:])])
         return pdf.loc[kept, columns]
 
-    slim = chunked.select(*by_chunk, start, until, tie)
-    summary = slim.groupBy(*by_chunk).applyInPandas(summarise, summary_schema)
+    slim = chunked.select(*by_chunk, "_h", start, until, tie)
+    summary = slim.groupBy("_c", "_h").applyInPandas(summarise, summary_schema)
     entry_schema = T.StructType([*key_fields, T.StructField("_c", T.LongType()), T.StructField("_in", T.LongType())])
-    entry = summary.groupBy(*keys).applyInPandas(enter, entry_schema)
-    return chunked.join(entry, by_chunk).groupBy(*by_chunk).applyInPandas(pick, df.schema)
+    entry = summary.groupBy("_h").applyInPandas(enter, entry_schema)
+    return chunked.join(entry, by_chunk).groupBy("_c", "_h").applyInPandas(pick, df.schema)

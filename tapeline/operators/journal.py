@@ -47,7 +47,10 @@ def overview(trades: DataFrame) -> DataFrame:
 
 
 def class_rollup(trades: DataFrame) -> DataFrame:
-    """Per asset class: counts, result, open risk and drawdown of its account."""
+    """Per asset class: counts, result, open risk and drawdown of its account.
+
+    A trade whose stop lies at break-even carries no open risk.
+    """
     is_open = F.col("exit_time").isNull()
     pnl = F.coalesce(F.sum(F.col("pnl_pct") * INITIAL_EQUITY), F.lit(0.0))
     base = trades.groupBy("asset_class").agg(
@@ -55,7 +58,7 @@ def class_rollup(trades: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "win").alias("wins"),
         pnl.alias("pnl"),
         F.count_if(is_open).alias("active"),
-        F.coalesce(F.sum(F.when(is_open, F.col("risk_pct"))) * 100, F.lit(0.0)).alias("heat_pct"),
+        F.coalesce(F.sum(F.when(is_open & ~F.coalesce(F.col("be_triggered"), F.lit(False)), F.col("risk_pct"))) * 100, F.lit(0.0)).alias("heat_pct"),
     )
     return base.withColumn("equity", INITIAL_EQUITY + F.col("pnl")).withColumns(
         {

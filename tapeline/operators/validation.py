@@ -135,8 +135,8 @@ def pbo_summary(ranked: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Even partitions over all cores before every row is copied many times."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Even partitions, as many as the shuffle setting says, before every row is copied many times."""
+    return df.repartition(F.col(key))
 
 
 def shuffled_drawdowns(trades: DataFrame, n_simulations: int, tie: str, seed: int = 42, parts: int = 64) -> DataFrame:

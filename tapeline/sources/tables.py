@@ -80,6 +80,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(0.5 + F.col("l_quantity") / 100, 4).alias("score"),
         F.col("l_linenumber").alias("leverage"),
         F.col("l_quantity").cast("int").alias("bars_held"),
+        (F.col("l_linenumber") % 3 == 0).alias("be_triggered"),
     )
 
 
