@@ -85,7 +85,7 @@ def test_range_extremes_equal_a_scan(spark, walk, tree):
 def test_training_adx_equals_the_model(walk_df, walk):
     got = X.adx_training(walk_df, size=64).toPandas().sort_values(["symbol", "bar_idx"])
     for symbol, g in walk.groupby("symbol"):
-        np.testing.assert_allclose(got[got.symbol == symbol]["adx_training"], models.adx_training(g), rtol=1e-9)
+        np.testing.assert_allclose(got[got.symbol == symbol]["adx_training"], models.capped_adx(g), rtol=1e-9)
 
 
 def test_later_bars_do_not_change_earlier_results(walk_df):
