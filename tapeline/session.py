@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, unless they find it by themselves.
+
+    They do when the project's folder is on PYTHONPATH or is the working folder.
+    """
+    root = Path(__file__).resolve().parents[1]
+    found = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    context = spark.sparkContext
+    if any(p.resolve() == root or (p / "tapeline").exists() for p in found) or getattr(context, "_tapeline_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="tapeline-")) / "tapeline_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((root / "tapeline").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(path))
+    context._tapeline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
