@@ -184,6 +184,41 @@ def what_if_exits(spark, sf):
     return out.select("variant", "n_trades", r("sharpe").alias("sharpe"), r("pf").alias("pf"), r("win_rate").alias("win_rate"), r("max_dd", 4).alias("max_dd"))
 
 
+_STOP, _TARGET, _LEVEL = "(0.5 + x_quantity)", "(x_quantity * 4)", "(x_quantity * 3)"
+_SCALED = f"""(CASE WHEN {_STOP} < 0.99 AND mae > {_STOP} THEN -{_STOP} - cost_rr WHEN {_STOP} > 1.01 AND label_outcome = 2 AND mae < {_STOP} AND mfe >= 1 THEN mfe * 0.5 / {_STOP} - cost_rr
+  WHEN ({_STOP} < 0.99 OR {_STOP} > 1.01) AND label_outcome = 1 THEN label_rr / {_STOP} ELSE label_rr END)"""
+_TARGETED = f"(CASE WHEN abs({_TARGET} - tp_rr) > 0.01 AND coalesce(post_tp, mfe) >= {_TARGET} THEN {_TARGET} - cost_rr ELSE {{}} END)"
+_LEVELLED = f"(CASE WHEN {_LEVEL} > 0.1 AND label_outcome = 2 AND mfe >= {_LEVEL} THEN -cost_rr ELSE {{}} END)"
+
+
+@query(
+    "what_if_exit_combos",
+    SM + "SELECT sample_id, " + ", ".join(f"{R(f'least(greatest({x}, -2), 20)')} AS {n}" for n, x in {
+        "stop_only": _SCALED, "target_only": _TARGETED.format("label_rr"), "level_only": _LEVELLED.format("label_rr"), "all_three": _LEVELLED.format(_TARGETED.format(_SCALED))}.items())
+    + " FROM samples WHERE label_action > 0",
+)
+def what_if_exit_combos(spark, sf):
+    q = F.col("x_quantity")
+    stop, target, level = q + 0.5, q * 4, q * 3
+    combos = {"stop_only": L.what_if_combo(stop), "target_only": L.what_if_combo(target=target), "level_only": L.what_if_combo(level=level), "all_three": L.what_if_combo(stop, target, level)}
+    return T.samples(spark, sf).filter("label_action > 0").select("sample_id", *[r(c).alias(n) for n, c in combos.items()])
+
+
+@query(
+    "what_if_accepted_variants",
+    with_(SAMPLES, "v(variant, threshold) AS (VALUES ('loose', 0.3::DOUBLE), ('base', 0.6::DOUBLE), ('tight', 0.9::DOUBLE))",
+          """p AS (SELECT variant, asset_class, label_rr, CASE WHEN label_outcome = 1 THEN abs(label_rr) * 0.005 ELSE -0.005 END - 0.0008 AS pnl FROM samples JOIN v ON x_quantity >= threshold)""")
+    + f"""SELECT variant, asset_class, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, {R('100.0 * count(*) FILTER (pnl > 0) / count(*)')} AS win_rate,
+    {R('least(sum(greatest(pnl, 0)) / CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN sum(greatest(-pnl, 0)) ELSE 0.001 END, 99.9)')} AS pf, {R('avg(abs(label_rr))')} AS avg_rr,
+    {R('sum(pnl) * 100', 4)} AS total_pnl_pct, {R('CASE WHEN stddev_pop(pnl) > 1e-12 THEN avg(pnl) / stddev_pop(pnl) * sqrt(252) ELSE 0 END', 4)} AS sharpe FROM p GROUP BY ALL""",
+)
+def what_if_accepted_variants(spark, sf):
+    v = spark.createDataFrame([("loose", 0.3), ("base", 0.6), ("tight", 0.9)], "variant string, threshold double")
+    out = L.accepted_result(T.samples(spark, sf), v, "x_quantity")
+    digits = {"win_rate": 6, "pf": 6, "avg_rr": 6, "total_pnl_pct": 4, "sharpe": 4}
+    return out.select("variant", "asset_class", "trades", "wins", *[r(c, d).alias(c) for c, d in digits.items()])
+
+
 @query(
     "what_if_sizing",
     with_(SAMPLES, f"""t AS (SELECT a, a * least(greatest(p / 3, 0.33::DOUBLE), 1.5) AS s, p FROM (SELECT {CLIP_RR} AS a, x_quantity * 4 AS p FROM samples WHERE label_action > 0))""")

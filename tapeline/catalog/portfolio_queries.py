@@ -107,6 +107,29 @@ def portfolio_breaker_status(spark, sf):
     return out.select("asset_class", "trade_id", "exit_time", *[r(c).alias(c) for c in ("daily", "weekly", "alltime_dd", "risk_budget")])
 
 
+@query(
+    "portfolio_breaker_windows",
+    with_(TRADES, """c AS (SELECT asset_class, trade_id, exit_time, pnl_pct / 1000 AS p FROM trades WHERE exit_time IS NOT NULL),
+      w AS (SELECT *, sum(p) OVER (PARTITION BY asset_class ORDER BY exit_time RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS d,
+      sum(p) OVER (PARTITION BY asset_class ORDER BY exit_time RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS wk FROM c)""")
+    + f"""SELECT asset_class, trade_id, exit_time, {R('d')} AS rolling_day, {R('wk')} AS rolling_week,
+    CASE WHEN round(d, 9) <= -0.03 THEN exit_time + INTERVAL 24 HOUR END AS paused_until, round(wk, 9) <= -0.05 AS half_size FROM w""",
+)
+def portfolio_breaker_windows(spark, sf):
+    t = T.trades(spark, sf).select("asset_class", "trade_id", "exit_time", (F.col("pnl_pct") / 1000).alias("pnl_pct"))
+    out = P.breaker_windows(t, ["asset_class"])
+    return out.select("asset_class", "trade_id", "exit_time", r("rolling_day").alias("rolling_day"), r("rolling_week").alias("rolling_week"), "paused_until", "half_size")
+
+
+@query(
+    "portfolio_step_multipliers",
+    TR + f"""SELECT trade_id, {R('CASE WHEN score >= 0.9 THEN 1.5 WHEN score >= 0.8 THEN 1.25 WHEN score >= 0.6 THEN 1 WHEN score >= 0.55 THEN 0.5 ELSE 1 END')} AS size_multiplier FROM trades""",
+)
+def portfolio_step_multipliers(spark, sf):
+    bands = [(0.9, 1.5), (0.8, 1.25), (0.6, 1.0), (0.55, 0.5)]
+    return T.trades(spark, sf).select("trade_id", r(scores.step_multiplier(F.col("score"), bands)).alias("size_multiplier"))
+
+
 @query(
     "portfolio_pause_run",
     "WITH RECURSIVE " + TRADES + """, o AS (SELECT asset_class, trade_id, (pnl_pct / 10)::DECIMAL(20, 9) AS p, epoch_us(exit_time) // 86400000000 AS d, (epoch_us(exit_time) // 86400000000 + 3) // 7 AS w,

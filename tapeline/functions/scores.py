@@ -59,6 +59,14 @@ def alignment(flags: dict[str, Column], asset_class: Column | None = None, style
     return F.least(boosted * style_weight, F.lit(1.0))
 
 
+def step_multiplier(value: Column, bands: list[tuple[float, float]]) -> Column:
+    """Multiplier of the first of the falling ``(threshold, multiplier)`` bands that the value reaches, else 1."""
+    out = None
+    for threshold, multiplier in bands:
+        out = F.when(value >= threshold, multiplier) if out is None else out.when(value >= threshold, multiplier)
+    return F.lit(1.0) if out is None else out.otherwise(1.0)
+
+
 def risk_fraction(score: Column) -> Column:
     """Linear from the minimum risk at the gate to the maximum at score 1."""
     scale = clip((score - ALIGNMENT_THRESHOLD) / (1.0 - ALIGNMENT_THRESHOLD), 0.0, 1.0)

@@ -198,6 +198,57 @@ def what_if_sl(predicted: Column) -> Column:
     return clip(F.when(tight, -mult - _c("cost_rr")).when(wide, -_c("cost_rr")).otherwise(rr), -2.0, 20.0)
 
 
+def what_if_combo(stop: Column | None = None, target: Column | None = None, level: Column | None = None) -> Column:
+    """R under a scaled stop, another target and a break-even level together; each is left as it was if not given.
+
+    A wider or tighter stop rescales what the trade earns in units of it; a
+    target that the excursion reaches replaces the result of the stop; a
+    break-even level saves losses that came that far.
+    """
+    rr, cost, mfe, outcome = _c("label_rr"), _c("cost_rr"), _c("mfe"), _c("label_outcome")
+    out = rr
+    if stop is not None:
+        tighter, wider = stop < 0.99, stop > 1.01
+        rescued = wider & (outcome == 2) & (_c("mae") < stop) & (mfe >= 1.0)
+        out = (
+            F.when(tighter & (_c("mae") > stop), -stop - cost)
+            .when(rescued, mfe * 0.5 / stop - cost)
+            .when((tighter | wider) & (outcome == 1), rr / stop)
+            .otherwise(out)
+        )
+    if target is not None:
+        moved = F.abs(target - _c("tp_rr")) > 0.01
+        out = F.when(moved & (F.coalesce("post_tp", "mfe") >= target), target - cost).otherwise(out)
+    if level is not None:
+        out = F.when((level > 0.1) & (outcome == 2) & (mfe >= level), -cost).otherwise(out)
+    return clip(out, -2.0, 20.0)
+
+
+def accepted_result(rows: DataFrame, variants: DataFrame, score: str, risk: float = 0.005, commission: float = 0.0008) -> DataFrame:
+    """Per variant ``variant, threshold`` and asset class: what the accepted samples earn at a fixed risk, net of commission.
+
+    A win earns its R, any other sample loses one R.  Thresholds are few, and
+    rows are reduced per threshold band before they meet the variants.
+    """
+    won = F.col("label_outcome") == 1
+    pnl = F.when(won, F.abs("label_rr") * risk).otherwise(-risk) - commission
+    gain = F.greatest(pnl, F.lit(0.0))
+    banded = rows.groupBy("asset_class", F.col(score).alias("_score")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pnl > 0).alias("w"), F.sum(gain).alias("g"), F.sum(gain - pnl).alias("l"),
+        F.sum(pnl * pnl).alias("q"), F.sum(F.abs("label_rr")).alias("r"),
+    )
+    total = banded.join(variants, F.col("_score") >= F.col("threshold")).groupBy("variant", "asset_class").agg(
+        *[F.sum(c).alias(c) for c in ("n", "w", "g", "l", "q", "r")]
+    )
+    mean = (F.col("g") - F.col("l")) / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    return total.select(
+        "variant", "asset_class", F.col("n").alias("trades"), F.col("w").alias("wins"), (F.col("w") / F.col("n") * 100).alias("win_rate"),
+        F.least(F.col("g") / F.when(F.col("l") > 0, F.col("l")).otherwise(0.001), F.lit(99.9)).alias("pf"), (F.col("r") / F.col("n")).alias("avg_rr"),
+        ((F.col("g") - F.col("l")) * 100).alias("total_pnl_pct"), F.when(spread > 1e-12, mean / spread * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"),
+    )
+
+
 def r_metrics(rows: DataFrame, variants: dict[str, Column], ts: str, tie: str) -> DataFrame:
     """Sharpe, profit factor, win rate and drawdown of R series, one row per variant."""
     tall = rows.select(ts, tie, *[c.alias(n) for n, c in variants.items()]).unpivot([ts, tie], list(variants), "variant", "rr")

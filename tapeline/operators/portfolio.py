@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,23 @@ def breaker_status(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def breaker_windows(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over the last 24 hours and 7 days at each closed trade, with the end of the pause they cause.
+
+    A row goes to the time chunk it lies in and, as history, to the next one, so
+    a window needs one chunk only.
+    """
+    us = F.unix_micros("exit_time")
+    out = trades.filter("exit_time is not null").select(*keys, "trade_id", "exit_time", "pnl_pct", us.alias("_us"))
+    for name, span in (("rolling_day", DAY_US), ("rolling_week", 7 * DAY_US)):
+        own = F.floor(F.col("_us") / span).cast("long")
+        spread = out.withColumn("_own", own).withColumn("_chunk", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+        window = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-span, 0)
+        out = spread.withColumn(name, F.sum("pnl_pct").over(window)).filter("_chunk = _own").drop("_own", "_chunk")
+    pause = F.when(F.round("rolling_day", 9) <= -DAILY_LIMIT, F.timestamp_micros(F.col("_us") + DAY_US))
+    return out.select(*keys, "trade_id", "exit_time", "rolling_day", "rolling_week", pause.alias("paused_until"), (F.round("rolling_week", 9) <= -WEEKLY_LIMIT).alias("half_size"))
+
+
 def pause_run(trades: DataFrame, keys: list[str], daily: float, weekly: float, alltime: float) -> DataFrame:
     """Trades taken when a day, a week or everything stops after its loss limit.
 

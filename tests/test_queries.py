@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "bars_1h", "structure_breaks", "order_blocks", "journal_run_metrics", "journal_equity_curve", "outcome_resolved", "join_asof_backward",
     "join_zone_overlap", "greedy_gap_dedup", "what_if_exits", "sample_folds", "rank_opportunities", "overfit_pbo", "drift_report", "source_window_replaced",
-    "stream_breaker_status",
+    "stream_breaker_status", "what_if_exit_combos", "what_if_accepted_variants", "portfolio_breaker_windows", "portfolio_pause_run", "journal_class_rollup",
 ]
 QUERIES, SQL = load()
 NAMES = list(QUERIES) if os.environ.get("TAPELINE_ALL") else QUICK
