@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeline.catalog.fragments import TRADES, with_
-from tapeline.catalog.outcome_queries import BASE, H, RESOLUTION, RESOLVED, path_cte, signals
+from tapeline.catalog.outcome_queries import BASE, H, RESOLUTION, path_cte, signals
 from tapeline.catalog.registry import R, query, r
 from tapeline.functions import scores
 from tapeline.operators import outcomes as O

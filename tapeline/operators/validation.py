@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from tapeline.operators.sampling import hash_order
-
 EULER_MASCHERONI = 0.5772156649015329  # fixed value
 _NORMAL = NormalDist()
 
