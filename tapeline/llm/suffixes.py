@@ -23,7 +23,7 @@ from tapeline.llm.bloom import Bloom
 from tapeline.llm.text import Prints, mix, slices
 from tapeline.session import materialize
 
-CORE = 40
+CORE = 64
 #: Batches whose arrays enter the index one after another.
 BATCHES = 4
 #: Starts of stretches that one piece holds, from coarse to fine; the first are those of an anchor.
@@ -225,7 +225,8 @@ def repeated_passages(logs: DataFrame, log_id: str = "log_id", message: str = "m
     contexts = materialize(waiting.dropDuplicates(["row_id"]).select("row_id", "kept", "open").mapInArrow(lambda it: _contexts(it, length), "row_id bigint, lo int, hi int, at int, context binary"))
     spans, runs = [], contexts
     for step in PIECES:
-        pieces = materialize(runs.mapInArrow(lambda it, step=step: _finer(it, step, length), PIECE))
+        # Pieces are many and cheap to make from the contexts, so they are made twice and not stored.
+        pieces = runs.mapInArrow(lambda it, step=step: _finer(it, step, length), PIECE)
         found = materialize(_matched(pieces))
         spans.append(found.filter("sure").select("row_id", "lo", "hi"))
         parts = found.filter("open").groupBy("row_id", "at").agg(F.collect_set(span).alias("parts"))
