@@ -420,9 +420,10 @@ rec AS (SELECT m.symbol, m.bar_idx, s.g, s.l, (s.t * 13 + m.tr) / 14 AS t FROM m
         """g AS (SELECT *, (b > 0 AND s4 > 0) OR (b < 0 AND s4 < 0) AS h4, (b > 0 AND pu) OR (b < 0 AND pd) AS poi, (b > 0 AND s1 > 0) OR (b < 0 AND s1 < 0) AS h1,
     (b > 0 AND zu) OR (b < 0 AND zd) AS zone, (b > 0 AND tu) OR (b < 0 AND td) AS trig FROM j)""",
         """trh AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM b1h WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
-prof AS (SELECT symbol, sum(tr / close) / count(*) AS v, sum(close * volume) / count(*) AS u FROM trh WHERE close > 0 GROUP BY symbol),
+prof AS (SELECT symbol, sum(tr / close) / count(*) AS v, sum(close * volume) / count(*) AS u, (max(high) - min(low)) / (sum(close) / count(*)) AS sp FROM trh WHERE close > 0 GROUP BY symbol),
 rk AS (SELECT symbol, CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE (row_number() OVER (ORDER BY v, symbol) - 1) / (count(*) OVER () - 1) END AS vr_, CASE WHEN count(*) OVER () = 1 THEN 0.5
-  ELSE (row_number() OVER (ORDER BY u, symbol) - 1) / (count(*) OVER () - 1) END AS lr_ FROM prof)""",
+  ELSE (row_number() OVER (ORDER BY u, symbol) - 1) / (count(*) OVER () - 1) END AS lr_,
+  CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE (row_number() OVER (ORDER BY sp, symbol) - 1) / (count(*) OVER () - 1) END AS sr_ FROM prof)""",
     ]
     exprs = {
         "struct_1d": "b", "struct_4h": "s4", "struct_1h": "s1", "struct_15m": "sq", "struct_5m": "s5", "decay_1d": "coalesce(k1d, 0)", "decay_4h": "coalesce(k4, 0)",
@@ -435,7 +436,7 @@ rk AS (SELECT symbol, CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE (row_number()
         "alignment_score": "(b <> 0)::INT * 0.12::DOUBLE + (b <> 0 AND strong)::INT * 0.08::DOUBLE + h4::INT * 0.08::DOUBLE + poi::INT * 0.08::DOUBLE + h1::INT * 0.08::DOUBLE"
         " + (h1 AND choch)::INT * 0.06::DOUBLE + zone::INT * 0.15::DOUBLE + trig::INT * 0.15::DOUBLE + vok::INT * 0.10::DOUBLE",
         "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "fvg_bull_active": "fb", "fvg_bear_active": "fs", "ob_bull_active": "ob_u",
-        "ob_bear_active": "ob_d", "liq_above_count": "la", "liq_below_count": "lb", "symbol_volatility_rank": "coalesce(vr_, 0.5)", "symbol_liquidity_rank": "coalesce(lr_, 0.5)",
+        "ob_bear_active": "ob_d", "liq_above_count": "la", "liq_below_count": "lb", "symbol_volatility_rank": "coalesce(vr_, 0.5)", "symbol_liquidity_rank": "coalesce(lr_, 0.5)", "symbol_spread_rank": "coalesce(sr_, 0.5)",
     }
     return "WITH RECURSIVE " + ",\n".join(parts) + " SELECT sym AS symbol, ts, " + ", ".join(f"{R(x)} AS {n}" for n, x in exprs.items()) + " FROM g LEFT JOIN rk ON rk.symbol = g.sym"
 

@@ -24,7 +24,7 @@ FEATURES = [
     "precision_trigger", "volume_ok", "ema20_dist_5m", "ema50_dist_5m", "ema20_dist_1h", "ema50_dist_1h", "atr_5m_norm", "atr_1h_norm",
     "atr_daily_norm", "rsi_5m", "rsi_1h", "volume_ratio", "adx_1h", "alignment_score", "hour_sin", "hour_cos", "fvg_bull_active",
     "fvg_bear_active", "ob_bull_active", "ob_bear_active", "liq_above_count", "liq_below_count", "symbol_volatility_rank",
-    "symbol_liquidity_rank",
+    "symbol_liquidity_rank", "symbol_spread_rank",
 ]
 
 
@@ -152,23 +152,25 @@ def feature_matrix(base: DataFrame, p: G.SignalParams | None = None, decision_tf
 
 
 def with_symbol_ranks(features: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Rank of each symbol by volatility and traded value, one row per symbol."""
+    """Rank of each symbol by volatility, traded value and range, one row per symbol."""
     from tapeline.operators.ranking import percent_rank
 
     ranked = profiles.withColumn("_g", F.lit(0))
-    for source, out in (("atr_pct", "symbol_volatility_rank"), ("usd_volume", "symbol_liquidity_rank")):
+    ranks = {"atr_pct": "symbol_volatility_rank", "usd_volume": "symbol_liquidity_rank", "range_pct": "symbol_spread_rank"}
+    for source, out in ranks.items():
         ranked = percent_rank(ranked, ["_g"], source, out)
-    side = ranked.select("symbol", "symbol_volatility_rank", "symbol_liquidity_rank")
-    return features.join(side, "symbol", "left").fillna(0.5, ["symbol_volatility_rank", "symbol_liquidity_rank"])
+    side = ranked.select("symbol", *ranks.values())
+    return features.join(side, "symbol", "left").fillna(0.5, list(ranks.values()))
 
 
 def training_set(base: DataFrame, p: G.SignalParams, horizon: int, post_bars: int = 200, decision_tf: str = "5m") -> DataFrame:
     """Features joined to the simulated outcome of each candidate entry.
 
     A candidate is a bar with a daily bias and a confirmation, zone or trigger;
-    entry is the next open, the target at least one R.
+    entry is the next open, the target at least one R.  The teacher that finds
+    candidates looks ahead; the features do not.
     """
-    t = G.structure_tables(G.series_table(base, decision_tf), p)
+    t = G.structure_tables(G.series_table(base, decision_tf), p, look_ahead=True)
     state = materialize(G.running_state(t, p))
     bars = t["bars"].filter(F.col("tf") == decision_tf).select(F.col("sym").alias("symbol"), "ts", "bar_idx", "n_bars", "open", "high", "low", "close")
     bars = materialize(bars)

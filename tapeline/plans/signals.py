@@ -49,15 +49,21 @@ def series_table(base: DataFrame, decision_tf: str = "5m") -> DataFrame:
     return materialize(numbered(tall.withColumn("symbol", F.concat_ws("|", "symbol", "tf"))))
 
 
-def structure_tables(bars: DataFrame, p: SignalParams) -> dict[str, DataFrame]:
-    swung = materialize(S.swings(bars, p.swing_length))
+def structure_tables(bars: DataFrame, p: SignalParams, look_ahead: bool = False) -> dict[str, DataFrame]:
+    """Swings, breaks, gaps and order blocks of every series.
+
+    ``look_ahead`` takes the detectors that see later bars; they are for labels
+    only.
+    """
+    find = S.swings_centred if look_ahead else S.swings
+    swung = materialize(find(bars, p.swing_length))
     enough = F.col("n_bars") >= 2 * p.swing_length
     broken = materialize(S.breaks(swung.filter(enough)))
     return {
         "bars": bars,
         "swings": swung,
         "breaks": broken,
-        "gaps": materialize(S.gaps(bars).filter(enough & F.col("gap").isNotNull())),
+        "gaps": materialize((S.gaps_centred if look_ahead else S.gaps)(bars).filter(enough & F.col("gap").isNotNull())),
         "blocks": materialize(S.order_blocks(bars, broken)),
     }
 

@@ -45,3 +45,16 @@ def test_signal_levels_are_consistent(base):
         assert (r.entry - r.stop) * side > 0 or r.zone_type
         assert (r.target - r.entry) * side > 0
         assert r.risk_reward >= 2.0 and r.position_size > 0
+
+
+def test_teacher_tables_look_ahead_and_signal_tables_do_not(base):
+    from tapeline.operators import structure as S
+
+    p = G.SignalParams(**P)
+    series = G.series_table(base, "15m")
+    teacher, causal = G.structure_tables(series, p, look_ahead=True), G.structure_tables(series, p)
+    marks = lambda t: sorted((r.symbol, r.bar_idx, r.swing) for r in t["swings"].filter("swing is not null").collect())
+    wanted = sorted((r.symbol, r.bar_idx, r.swing) for r in S.swings_centred(series, p.swing_length).filter("swing is not null").collect())
+    assert marks(teacher) == wanted != marks(causal)
+    gaps = lambda t: {(r.symbol, r.bar_idx) for r in t["gaps"].collect()}
+    assert {(s, i + 1) for s, i in gaps(teacher)} >= {(s, i) for s, i in gaps(causal) if (s, i - 1) in gaps(teacher)} and gaps(teacher) != gaps(causal)
