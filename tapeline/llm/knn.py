@@ -47,7 +47,8 @@ def _needed(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], ce
             q = matrix(part.column(2))
             far, near, _ = cells[d]
             product, norm = q @ pivots[d].T, np.sqrt((q * q).sum(1))[:, None]
-            lower = (product[:, :, None] - norm[:, :, None] * near).reshape(len(q), -1)
+            # A missing distance bounds nothing: 0 * inf of a zero query would be NaN.
+            lower = np.where(np.isinf(near), -np.inf, product[:, :, None] - norm[:, :, None] * np.where(np.isinf(near), 0.0, near)).reshape(len(q), -1)
             place = lower.shape[1] - (k + 1)
             best = np.partition(lower, place, axis=1)[:, place] if place >= 0 else np.full(len(q), -np.inf)
             slack = 1e-9 * (1 + norm * (np.abs(pivots[d]).max(initial=0) * np.sqrt(d) + far.max(initial=0)))

@@ -28,6 +28,16 @@ def test_knn_equals_brute_force(spark, block):
     assert sorted((r.query_id, r["rank"], r.signal_id, r.score) for r in got) == brute_knn(rows, 4, 5)
 
 
+def test_knn_zero_query_and_small_cells(spark):
+    vectors = np.random.default_rng(2).integers(-300, 300, (300, 6))
+    vectors[100:200] = vectors[100]
+    vectors[[0, 5]] = 0
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(vectors)]
+    signals = spark.createDataFrame(rows, "signal_id long, entry_features array<double>")
+    got = knn.nearest_signals(signals, knn.F.col("signal_id") % 5 == 0, k=10).collect()
+    assert sorted((r.query_id, r["rank"], r.signal_id, r.score) for r in got) == brute_knn(rows, 10, 5)
+
+
 def test_knn_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (5, [3.0, -1.0]), (10, [0.0, 0.0])], "signal_id long, entry_features array<double>")
     got = knn.nearest_signals(few, knn.F.col("signal_id") == 0).collect()
