@@ -20,10 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the trigram model of trusted text rejects go."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
     found = quality.judged(docs, trusted, "doc_id", "text", "lang")
-    # A rejected row is named by id and size, so that rows of one id are told apart.
-    rejected = found.filter("not kept").select(F.col("log_id").alias("i"), F.col("n_bytes").alias("n")).distinct()
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("i")) & (size == F.col("n")), "left_anti").select(COLUMNS)
+    # A rejected row is named by id, language and text, so that rows of one id, or of none, are told apart.
+    rejected = found.filter("not kept").select(F.col("log_id").alias("i"), F.col("lang").alias("l"), F.col("message_hash").alias("h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("lang").eqNullSafe(F.col("l")) & (F.xxhash64("text") == F.col("h"))
+    return docs.join(rejected, same, "left_anti").select(COLUMNS)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

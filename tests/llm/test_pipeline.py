@@ -91,3 +91,15 @@ def test_empty(spark, tables, tmp_path):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, at)
         assert docs.collect() == []
+
+
+def test_rejected_rows_take_no_others_along(spark, tables):
+    """Rows of one id, or of none, that are as long as a rejected one stay."""
+    rows, at = tables
+    junk, clean = rows[-4][1], " ".join(rows[0][1] for _ in range(99))[:360]
+    more = [(i, t, "en", "s0", len(t)) for i in (None, 400) for t in (junk, clean)]
+    assert len(junk) == len(clean)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    got = P.quality_stage(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), at).collect()
+    found = Counter(tuple(r) for r in got)
+    assert all(found[r] == (r[1] == clean) for r in more)
