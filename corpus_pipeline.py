@@ -17,9 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trigram model of trusted text rejects go."""
+    """Documents that the model of trusted text rejects go."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    found = quality.judged(docs, trusted, "doc_id", "text", "lang")
+    found = quality.judged(docs, trusted, "doc_id", "text", "lang", order=quality.ORDER)
     # A rejected row is named by id, language and text, so that rows of one id, or of none, are told apart.
     rejected = found.filter("not kept").select(F.col("log_id").alias("i"), F.col("lang").alias("l"), F.col("message_hash").alias("h")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("lang").eqNullSafe(F.col("l")) & (F.xxhash64("text") == F.col("h"))

@@ -147,5 +147,5 @@ def op9_minhash(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """Perplexity of all documents under the model of those that labels call good, and whether they stay."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    found = quality.judged(documents(spark, sf_dir), trusted, "doc_id", "text", "lang")
+    found = quality.judged(documents(spark, sf_dir), trusted, "doc_id", "text", "lang", order=quality.ORDER)
     return found.withColumnRenamed("log_id", "doc_id").drop("message_hash")
