@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import knn, langid, lattice, minhash, mixing, packing, quality, secrets, suffixes, tokens, toxicity
+from tapeline.llm import conversations, knn, langid, lattice, minhash, mixing, packing, quality, secrets, suffixes, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,55 @@ def op10_quality(spark, sf_dir):
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
     found = quality.judged(documents(spark, sf_dir), trusted, "doc_id", "text", "lang")
     return found.withColumnRenamed("log_id", "doc_id").drop("message_hash")
+
+
+@query
+def op11_hirschberg(spark, sf_dir):
+    """All conversations, damaged by a checksum of id and turn, repaired at least cost."""
+    original = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    damaged = original.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), code.alias("code")).filter("code <> 0")
+    damaged = damaged.withColumns({"text": text, "role": F.when(F.col("code") == 4, "user").otherwise(F.col("role")), "times": F.expr("explode(sequence(1, if(code = 3, 2, 1)))")})
+    done, report = conversations.repair(damaged)
+    found = report.join(conversations.digests(done, report).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = found.select(F.col("conv_id").alias("i"), *numbers, "audit", "sha256")
+    every = original.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("i")), "left")
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# The four states side by side, row by row: each keeps its least (cost, audit) and the rows written so far.
+SQL["op11_hirschberg"] = r"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1), lambda i: [ascii(substr(key, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1))), 4294967295::BIGINT) % 20 AS code FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE code <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, substr(role, 1, 1) AS h FROM d),
+f AS (SELECT conv_id, i, turn, role, text, h, lag(h) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN regexp_full_match(text, '[ 	-]*') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM n),
+step(lead, h, p, q, price, edit) AS (VALUES ('', 's', 0, 1, 0, 'K'), ('', 'u', 0, 2, 0, 'K'), ('', 'u', 1, 2, 0, 'K'), ('', 'u', 3, 2, 0, 'K'), ('', 'a', 2, 3, 0, 'K'),
+  ('', '', 0, 2, 3, 'R'), ('', '', 1, 2, 3, 'R'), ('', '', 2, 3, 3, 'R'), ('', '', 3, 2, 3, 'R'),
+  ('u', 'a', 0, 3, 3, 'IK'), ('u', 'a', 1, 3, 3, 'IK'), ('a', 'u', 2, 2, 3, 'IK'), ('u', 'a', 3, 3, 3, 'IK'),
+  ('u', '', 0, 3, 6, 'IR'), ('u', '', 1, 3, 6, 'IR'), ('a', '', 2, 2, 6, 'IR'), ('u', '', 3, 3, 6, 'IR')),
+walk AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, ''::VARCHAR AS written FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, q, b.cost, b.audit, b.written FROM (
+    SELECT conv_id, i, q, min(struct_pack(cost := cost, audit := audit, written := written)) AS b FROM (
+      SELECT w.conv_id, f.i, w.q, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.written FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+      UNION ALL
+      SELECT w.conv_id, f.i, s.q, w.cost + s.price + CASE WHEN f.fault = 3 THEN 3 ELSE 0 END, w.audit || s.edit,
+        w.written || CASE s.lead WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END
+          || chr(10) || CASE WHEN s.edit LIKE '%R' THEN CASE s.q WHEN 2 THEN 'user' ELSE 'assistant' END ELSE f.role END || ':' || f.text
+      FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN step s ON s.p = w.q AND (s.h = '' OR s.h = f.h) WHERE f.fault NOT IN (1, 2)) GROUP BY conv_id, i, q)),
+ended AS (SELECT conv_id, min(struct_pack(cost := cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, audit := audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    written := written || CASE q WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END)) AS b
+  FROM walk WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM f GROUP BY conv_id) GROUP BY conv_id),
+r AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+  count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE i > 1 AND before || h NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(substr(b.written, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
