@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import conversations, knn, langid, lattice, minhash, mixing, packing, quality, secrets, suffixes, tokens, toxicity
+from tapeline.llm import conversations, knn, langid, lattice, minhash, mixing, packing, phrases, quality, secrets, suffixes, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +178,9 @@ d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, substr(role, 1, 1) AS h FROM d),
 f AS (SELECT conv_id, i, turn, role, text, h, lag(h) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-  CASE WHEN regexp_full_match(text, '[ 	-]*') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM n),
+  CASE WHEN regexp_full_match(text, '[ 	-
+]*') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM n),
 step(lead, h, p, q, price, edit) AS (VALUES ('', 's', 0, 1, 0, 'K'), ('', 'u', 0, 2, 0, 'K'), ('', 'u', 1, 2, 0, 'K'), ('', 'u', 3, 2, 0, 'K'), ('', 'a', 2, 3, 0, 'K'),
   ('', '', 0, 2, 3, 'R'), ('', '', 1, 2, 3, 'R'), ('', '', 2, 3, 3, 'R'), ('', '', 3, 2, 3, 'R'),
   ('u', 'a', 0, 3, 3, 'IK'), ('u', 'a', 1, 3, 3, 'IK'), ('a', 'u', 2, 2, 3, 'IK'), ('u', 'a', 3, 3, 3, 'IK'),
@@ -201,3 +203,27 @@ r AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn),
 SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
   coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(substr(b.written, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    """Phrases of all documents by language."""
+    return phrases.collocations(documents(spark, sf_dir), "text", "lang").withColumnRenamed("asset_class", "lang")
+
+
+SQL["op13_phrases"] = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+q AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q),
+u AS (SELECT id, lang, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM p),
+v AS (SELECT lang, w AS x, lead(w) OVER o AS y, lead(w, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, x AS phrase, [x] AS words, 1 AS k, count(*) AS a FROM v GROUP BY lang, x HAVING count(*) >= 10
+  UNION ALL SELECT lang, x || ' ' || y, [x, y], 2, count(*) FROM v WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= 10
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, [x, y, z], 3, count(*) FROM v WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+cut AS (SELECT c.lang, c.phrase, c.k, c.words, c.a, s.i, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM f c, (VALUES (1), (2)) AS s(i), f x, f y WHERE c.k >= 2 AND s.i < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.words[1:s.i], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.words[s.i + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS part FROM f WHERE k = 3) GROUP BY lang, part),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON b.k = 2 AND o.lang = b.lang AND o.part = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
