@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import conversations, knn, langid, lattice, minhash, mixing, packing, phrases, quality, secrets, suffixes, tokens, toxicity
+from tapeline.llm import conversations, disclosure, knn, langid, lattice, minhash, mixing, packing, phrases, quality, secrets, suffixes, tokens, toxicity
 from tapeline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,45 @@ longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to
 kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON b.k = 2 AND o.lang = b.lang AND o.part = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a),
 r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score FROM kept)
 SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
+
+
+@query
+def op12_disclosure(spark, sf_dir):
+    """Personal data of all documents and the words that disclose it."""
+    found = disclosure.scan(documents(spark, sf_dir), "doc_id", "text")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        F.col("line_id").alias("doc_id"), *[count(i).alias(f"n_{k[0]}") for i, k in enumerate(disclosure.KINDS)],
+        F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"), disclosure.written(F.col("spans")).alias("spans"),
+    )
+
+
+def _disclosure_sql() -> str:
+    # The plain patterns: this engine's matcher is linear in the text.
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN substr({digits}, i, 1)::INT ELSE (substr({digits}, i, 1)::INT * 2) // 10 + (substr({digits}, i, 1)::INT * 2) % 10 END)) % 10 = 0"
+    valid = ["true", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(x, '0'), '') AS BIGINT), 0) > 255)) = 0",
+             f"length({digits}) BETWEEN 12 AND 19 AND CASE WHEN length({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END", f"length({digits}) BETWEEN 9 AND 15"]
+    sums = "(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))::BIGINT"
+    each = lambda source, text, pattern: f"SELECT * EXCLUDE (w, p), w[i] AS m, p[i] AS b, p[i + 1] AS n, {sums} AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS w, string_split_regex({text}, '{pattern}') AS p FROM {source}))"
+    kinds = " UNION ALL ".join(f"SELECT r, {k} AS k, m, b, n, s, s + length(m) AS e FROM ({each('d', 't', patterns[k])}) WHERE {valid[k]}" for k in range(4))
+    low = lambda c: f"translate({c}, '{disclosure.UPPER}', '{disclosure.LOWER}')"
+    names = "['" + "', '".join(disclosure.NAMES) + "']"
+    text = lambda c: f"coalesce(array_to_string(list_transform(list_sort({c}), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS MATERIALIZED ({kinds}),
+    windows AS (SELECT r, k, m AS v, right(b, 40) AS t, s - length(right(b, 40)) AS o, length(b) > 40 AS cut, true AS front FROM spans UNION ALL SELECT r, k, m, left(n, 40), e, length(n) > 40, false FROM spans),
+    near AS MATERIALIZED (SELECT r, k, v, {low('m')} AS term, o + s AS s, o + s + length(m) AS e FROM ({each('windows', 't', disclosure.TERM)}) WHERE NOT cut OR CASE WHEN front THEN s > 0 ELSE s + length(m) < length(t) END),
+    joint AS (SELECT k, v, term, count(DISTINCT r) AS joint FROM near GROUP BY k, v, term HAVING count(DISTINCT r) >= 2),
+    carriers AS (SELECT k, v, count(DISTINCT r) AS carriers FROM (SELECT r, k, m AS v FROM spans) GROUP BY k, v),
+    spread AS (SELECT term, count(*) AS spread FROM (SELECT unnest(list_distinct(regexp_extract_all({low('t')}, '{disclosure.TERM}'))) AS term FROM d) WHERE term IN (SELECT term FROM joint) GROUP BY term),
+    told AS (SELECT j.k, j.v, j.term, round(CASE WHEN n.n > carriers THEN ln(joint * n.n::DOUBLE / (carriers::DOUBLE * spread)) / ln(n.n::DOUBLE / carriers) ELSE 0 END, 9) AS disclosure
+      FROM joint j JOIN carriers c ON c.k = j.k AND c.v = j.v JOIN spread s ON s.term = j.term, (SELECT count(*) AS n FROM d WHERE t <> '') n),
+    extra AS (SELECT DISTINCT x.r, x.s, CASE WHEN t.disclosure >= 0.8 THEN 5 ELSE 4 END AS k, x.e FROM near x JOIN told t ON t.k = x.k AND t.v = x.v AND t.term = x.term WHERE t.disclosure >= 0.5),
+    a AS (SELECT r, list(struct_pack(s := s, k := k, e := e)) FILTER (WHERE k < 4) AS b, list(struct_pack(s := s, k := k, e := e)) AS al FROM (SELECT r, s, k, e FROM spans UNION ALL SELECT r, s, k, e FROM extra) GROUP BY r)
+    SELECT doc_id, {', '.join(f"coalesce(len(list_filter(b, lambda x: x.k = {i})), 0)::BIGINT AS n_{k[0]}" for i, k in enumerate(disclosure.KINDS))},
+    sha256({text('b')}) AS base_sha256, {text('al')} AS spans FROM d LEFT JOIN a USING (r)"""
+
+
+SQL["op12_disclosure"] = _disclosure_sql()
