@@ -38,59 +38,72 @@ def best_value(worth: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
-def fractional(counts: np.ndarray, rounds: int, eta: float = 1.0) -> list[tuple[np.ndarray, float]]:
-    """The configuration program by multiplicative weights: patterns with their amounts.
-
-    A length's weight is its price, its size and a premium for more than half a
-    sequence, times the exponential of the share of it that the patterns so far
-    leave uncovered, against the mean.  Each round prices
-    the best pattern and takes the amount of it that covers a tenth of its
-    scarcest length.
+def fractional(counts: np.ndarray, rounds: int, eta: float = 0.5) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The configuration program by multiplicative weights: patterns with their amounts, and the best dual bound.
+
+    Weights begin as sizes.  Each round prices the pattern of the greatest weight, takes an equal share of all
+    sequences of it (less where that is over what its scarcest length has), and multiplies the weights of its lengths
+    by the exponential of minus ``eta`` times the share of them that it covers, halves those of covered lengths, and
+    divides all by the largest.  The sum of a pattern's shares is its amount in the mean of all rounds.  Weights are
+    prices of the dual program: all lengths at their prices over the dearest pattern is a bound that no packing beats.
     """
     capacity = len(counts) - 1
     size = np.arange(capacity + 1) / capacity
-    base = size + 0.5 * (size > 0.5)
-    here = counts > 0
+    weight = np.where(counts > 0, size, 0.0)
     covered = np.zeros(capacity + 1)
-    out = []
+    share = (counts * size).sum() / rounds
+    amounts: dict[bytes, tuple[np.ndarray, float]] = {}
+    bound = 0.0
     for _ in range(rounds):
-        open_ = np.where(here, 1 - covered / np.maximum(counts, 1), 0)
-        if open_.max(initial=0) <= 0.01:
+        if not weight.any():
             break
-        mean = (open_ * counts * size).sum() / (counts * size).sum()
-        worth = np.where(here & (open_ > 0), base * np.exp(eta * np.clip(open_ - mean, -1, 1)), 0)
-        pattern = best_value(worth, capacity)
-        used = pattern > 0
-        left = (counts - covered)[used] / pattern[used]
-        amount = max(float(left.min()), min(1.0, float(left.max())) * 0.5, float(left.max()) * 0.1)
+        pattern = best_value(weight, capacity)
+        bound = max(bound, float(weight @ counts / (weight @ pattern)))
+        used = np.flatnonzero(pattern)
+        amount = min(share, max(1.0, float((counts[used] / pattern[used]).min())))
         covered += amount * pattern
-        out.append((pattern, amount))
-    return out
+        key = pattern.tobytes()
+        amounts[key] = (pattern, amounts.get(key, (pattern, 0.0))[1] + amount)
+        weight[used] *= np.exp(-eta * np.minimum(1, amount * pattern[used] / counts[used]))
+        weight[(counts > 0) & (covered >= counts)] *= 0.5
+        weight /= weight.max()
+    return list(amounts.values()), bound
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> list[tuple[dict[int, int], int]]:
-    """Patterns ``{length: count}`` and how many sequences follow each; every length is used exactly as often as it occurs.
+def bounded_plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Patterns ``{length: count}`` with the number of sequences that follow each, and a lower bound of all packings.
 
-    The amounts of the fractional solution are rounded down, as far as the
-    counts reach, largest first; what is left goes by best fit, longest first,
-    into the free room of all sequences and into new ones.
-    The work depends on the number of lengths, at most ``capacity``, not on the
-    number of episodes.
+    Every length is used exactly as often as it occurs.  The amounts of the fractional solution are rounded, as far as
+    the counts reach, largest first; what is left goes by best fit, longest first, into the free room of all sequences
+    and into new ones.  If best fit alone needs fewer sequences, that plan is taken.
+    The work depends on the number of lengths, at most ``capacity``, not on the number of episodes.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    done: list[tuple[dict[int, int], int]] = []
+    full: list[tuple[dict[int, int], int]] = []
     if counts[capacity]:
-        done.append(({capacity: 1}, int(counts[capacity])))
+        full.append(({capacity: 1}, int(counts[capacity])))
         counts[capacity] = 0
-    for pattern, amount in sorted(fractional(counts, rounds), key=lambda x: -x[1]):
+    plain = _best_fit(full, counts, capacity)
+    if not counts.any():
+        return plain, sum(t for _, t in plain)
+    amounts, bound = fractional(counts, rounds)
+    done, left = list(full), counts.copy()
+    for pattern, amount in sorted(amounts, key=lambda x: -x[1]):
         used = np.flatnonzero(pattern)
-        times = int(min(np.floor(amount), (counts[used] // pattern[used]).min()))
+        times = int(min(np.floor(amount + 0.5), (left[used] // pattern[used]).min()))
         if times > 0:
             done.append(({int(x): int(pattern[x]) for x in used}, times))
-            counts -= times * pattern
-    return _best_fit(done, counts, capacity)
+            left -= times * pattern
+    priced = _best_fit(done, left, capacity)
+    least = int(np.ceil(bound - 1e-6)) + sum(t for _, t in full)
+    return min((priced, plain), key=lambda made: sum(t for _, t in made)), least
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 600) -> list[tuple[dict[int, int], int]]:
+    """The patterns of ``bounded_plan``."""
+    return bounded_plan(histogram, capacity, rounds)[0]
 
 
 def _best_fit(done: list[tuple[dict[int, int], int]], counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -37,6 +37,19 @@ def test_plan_uses_every_length_and_is_near_the_bound(seed):
     assert sum(t for _, t in made) <= 1.01 * bound + 1
 
 
+@pytest.mark.parametrize("lengths, capacity, better", [
+    ([random.Random(3).randint(1, 30) for _ in range(500)], 30, 0), ([random.Random(i).choice([26, 34, 40]) for i in range(3000)], 100, 100),
+    ([random.Random(i).randint(20, 60) for i in range(4000)], 100, 10), ([5], 5, 0), ([], 5, 0), ([3, 3, 3], 5, 0),
+])
+def test_plan_lies_between_the_dual_bound_and_best_fit(lengths, capacity, better):
+    made, bound = packing.bounded_plan(Counter(lengths), capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    np.add.at(counts, lengths, 1)
+    plain = sum(t for _, t in packing._best_fit([], counts, capacity))
+    n = sum(t for _, t in made)
+    assert bound <= n <= plain - better and bound >= -(-sum(lengths) // capacity)
+
+
 def test_pricing_is_the_best_pattern():
     rng = np.random.default_rng(2)
     worth = np.concatenate([[0], rng.random(9)])
@@ -59,7 +72,7 @@ def test_episodes(spark, monkeypatch):
     n = check([r for r in got if r.bars_held], 30)
     counts = np.zeros(31, np.int64)
     np.add.at(counts, [r[2] for r in rows if r[2]], 1)
-    assert n <= 1.01 * sum(t for _, t in packing._best_fit([], counts, 30)) + 1
+    assert n <= sum(t for _, t in packing._best_fit([], counts, 30))
     assert packing.pack_episodes(spark.createDataFrame([], episodes.schema), capacity=30).collect() == []
     with pytest.raises(ValueError):
         packing.pack_episodes(episodes, capacity=20)
