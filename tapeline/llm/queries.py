@@ -26,19 +26,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_mixing(spark, sf_dir):
     """All documents mixed to equal shares of their sources, by characters."""
-    return mixing.replicate(documents(spark, sf_dir), sample_id="doc_id", source="source", size="n_chars")
+    return mixing.replicate(documents(spark, sf_dir), sample_id="doc_id", source="source", size="n_chars", told_by="text")
 
 
 SQL["op1_mixing"] = """WITH d AS (SELECT *, coalesce(source, '~') AS s,
-  ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+  ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, md5(text), '~')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 sizes AS (SELECT s, sum(greatest(coalesce(n_chars, 0), 0))::DOUBLE AS size FROM d GROUP BY s),
 live AS (SELECT s, size FROM sizes WHERE size > 0),
-rates AS (SELECT s, (SELECT sum(size) FROM sizes) * (1.0::DOUBLE / (SELECT count(*) FROM live)) / size AS rate FROM live),
+rates AS (SELECT s, (SELECT sum(size) FROM sizes) * (1.0::DOUBLE / (SELECT count(*) FROM live)) / size AS rate FROM live UNION ALL SELECT s, 1.0 FROM sizes WHERE size = 0),
 terms AS (SELECT s, rate, k, CASE WHEN k = 0 THEN 0.0 ELSE ln(rate) - ln(greatest(k, 1)::DOUBLE) END AS step
   FROM rates, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS t(k)),
 logs AS (SELECT s, k, rate, sum(step) OVER (PARTITION BY s ORDER BY k) AS lg FROM terms),
 cdf AS (SELECT s, k, sum(exp(lg - rate)) OVER (PARTITION BY s ORDER BY k) AS c FROM logs),
-n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.s = d.s AND cdf.c <= d.u) AS n FROM d WHERE d.s IN (SELECT s FROM live))
+n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.s = d.s AND cdf.c <= d.u) AS n FROM d)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INTEGER AS copy FROM n WHERE n > 0"""
 
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.llm import mixing
 
@@ -41,4 +42,24 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         mixing.replicate(spark.createDataFrame([], "sample_id long, source string, copy int"))
     zero = spark.createDataFrame([(1, "live", 0.0, 1), (2, "rejected", 0.0, 1)], SCHEMA)
-    assert {r.source for r in mixing.replicate(zero, size="label_rr", total=50).collect()} == set()
+    assert {r.source for r in mixing.replicate(zero, size="label_rr", total=50).collect()} <= {"live", "rejected"}
+    none = spark.createDataFrame([(1, "live", 9.0, 1), (2, "rejected", 0.0, 1), (3, "other", None, 1)], SCHEMA)
+    rates = {r.source: r.rate for r in mixing.source_rates(none, size="label_rr").collect()}
+    assert rates == {"live": 1.0, "rejected": 1.0, "other": 1.0}
+    assert {r.source: r.rate for r in mixing.source_rates(none, {"live": 2.0}, size="label_rr").collect()} == {"live": 1.0, "rejected": 0.0, "other": 0.0}
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    rows = [(None, "live", f"text {i}") for i in range(4000)]
+    samples = spark.createDataFrame(rows, "sample_id long, source string, features string")
+    got = Counter(r.features for r in mixing.replicate(samples, told_by="features", total=2000).collect())
+    assert abs(sum(got.values()) / 2000 - 1) < 0.1 and len(got) > 1200
+
+
+def test_fused_sources_of_the_project(spark):
+    from tapeline.operators import sampling
+
+    part = lambda lo, n: spark.createDataFrame([(lo + i, i * 300, 1.0) for i in range(n)], "sample_id long, s long, label double").select("sample_id", F.timestamp_seconds("s").alias("ts"), "label")
+    fused = sampling.fuse(part(0, 300), part(1000, 20), part(2000, 40), "ts", "sample_id")
+    got = {r.source: r["count"] for r in mixing.replicate(fused, {"backtest": 1.0}).groupBy("source").count().collect()}
+    assert set(got) == {"backtest"}

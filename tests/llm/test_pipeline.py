@@ -1,10 +1,12 @@
 """The corpus pipeline on a small table, stage by stage against plain restatements."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_minhash import brute as near_brute
 from test_mixing import draws
 from test_quality import model
@@ -61,8 +63,8 @@ def test_stages(spark, tables, tmp_path):
     for r in secret:
         size[r[3] or "~"] += r[4]
     total, n = sum(size.values()), sum(v > 0 for v in size.values())
-    rates = {s: (total / n / v if v else 0.0) for s, v in size.items()}
-    drawn = draws([(r[0], r[3], r) for r in secret], rates)
+    rates = {s: (total / n / v if v else 1.0) for s, v in size.items()}
+    drawn = draws([(r[0] if r[0] is not None else hashlib.md5(r[1].encode()).hexdigest(), r[3], r) for r in secret], rates)
     assert Counter(mixed) == Counter(k[2] for k in drawn.elements())
 
     ids = tokens.Encoder("word_bpe_49k.json").tokenizer
@@ -93,6 +95,17 @@ def test_empty(spark, tables, tmp_path):
         assert docs.collect() == []
 
 
+def test_extra_columns_of_any_name(spark, tables):
+    """Further columns, named as those that the stages use inside, change nothing."""
+    _, at = tables
+    docs = spark.read.parquet(f"{at}/documents.parquet").filter("doc_id < 40 or doc_id >= 200 or doc_id is null")
+    more = docs.withColumns({c: F.lit(1) for c in ("i", "l", "h", "b", "b0", "live", "base", "masked", "copy", "log_id", "message_hash", "row_id", "kept", "sequence_id")})
+    for name, stage in P.STAGES[:3]:
+        assert sorted(map(str, stage(spark, more, at).collect())) == sorted(map(str, stage(spark, docs, at).collect())), name
+    for _, stage in P.STAGES[3:]:
+        assert stage(spark, more, at).count() == stage(spark, docs, at).count()
+
+
 def test_rejected_rows_take_no_others_along(spark, tables):
     """Rows of one id, or of none, that are as long as a rejected one stay."""
     rows, at = tables
