@@ -17,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trigram model of trusted text rejects go."""
+    """Documents that the model of trusted text rejects go; null and empty texts stay, repeated rows stay or go together."""
+    docs = docs.select(COLUMNS)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
     found = quality.judged(docs, trusted, "doc_id", "text", "lang")
     # A rejected row is named by id, language and text, so that rows of one id, or of none, are told apart.
@@ -29,8 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, on five-word shingles at 0.8: the one with the smallest id.
 
-    Of rows that repeat id and text one stays; rows without an id stay.
+    Of rows that repeat id and text one stays; rows without an id stay, and those with null or empty texts.
     """
+    docs = docs.select(COLUMNS)
     found = minhash.near_copies(docs, "doc_id", "text", k=5, percent=80).filter("log_id is not null")
     dropped = found.filter("not kept").select(F.col("log_id").alias("doc_id"), "message_hash").distinct()
     repeated = materialize(found.filter("kept").groupBy("log_id", "message_hash").count().filter("count > 1").select(F.col("log_id").alias("doc_id"), "message_hash"))
@@ -43,8 +45,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that only one source has are masked; widely copied examples stay as they are.
 
-    Only documents with a span are joined; the others pass as they are.
+    Only documents with a span are joined; the others pass as they are, null and empty texts too.  Repeated rows are
+    masked alike.
     """
+    docs = docs.select(COLUMNS)
     found = secrets.scan(docs, "doc_id", "text", "source", "source").filter(F.size("live") > 0)
     live = materialize(found.select(F.col("log_id").alias("i"), F.xxhash64("base").alias("b"), "live").dropDuplicates(["i", "b"]))
     spanned = docs.withColumn("base", secrets.base_spans(F.coalesce("text", F.lit(""))))
@@ -57,12 +61,16 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources have equal shares of the characters, in random order."""
-    return mixing.replicate(docs, sample_id="doc_id", source="source", size="n_chars").select(COLUMNS)
+    """Documents repeated so that all sources have equal shares of the characters, in random order.
+
+    Null and empty texts are drawn like others; a source without characters stays once; repeated rows get the same
+    number of copies; rows without an id are drawn by their text.
+    """
+    return mixing.replicate(docs.select(COLUMNS), sample_id="doc_id", source="source", size="n_chars", told_by="text").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences of 2048."""
+    """Token pieces of all documents, packed into sequences of 2048; null and empty texts are one piece of one token, repeated rows are packed each."""
     pieces = materialize(tokens.token_pieces(docs, "word_bpe_49k.json", "doc_id", "text"))
     episodes = pieces.select(F.col("log_id").alias("trade_id"), F.struct("piece", "start", "ids_crc32").alias("part"), F.col("length").alias("bars_held"))
     packed = packing.pack_episodes(episodes, capacity=2048)
