@@ -108,7 +108,7 @@ def disclosures(base: DataFrame, lines: DataFrame, value: str = "value", togethe
     once = base.select("row_id", F.explode(F.array_distinct(F.transform("near", lambda s: s["value"]))).alias("value"))
     carriers = once.groupBy("value").agg(F.count(F.lit(1)).alias("carriers"))
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.col(value).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = words.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
+    spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("spread"))  # counted before any join, so that words are never shuffled one by one
     every = base.agg(F.count_if("filled").cast("double").alias("lines"))
     met = joint.join(carriers, "value").join(spread, "term").crossJoin(F.broadcast(every))
     own = F.ln(F.col("lines") / F.col("carriers"))
