@@ -87,3 +87,45 @@ def test_greedy_with_varying_holds_equals_sequential(spark):
                 busy = r.until
     kept = greedy_keep(spark.createDataFrame(pdf), KEYS, "start", "until", "id", 1000)
     assert sorted(r.id for r in kept.collect()) == sorted(want)
+
+
+def test_greedy_on_many_levels_equals_sequential(spark, monkeypatch):
+    """Few rows a chunk and few chunks a node: one symbol has a third of the rows, many share one start."""
+    from tapeline.operators import greedy
+
+    rng = np.random.default_rng(4)
+    symbol = np.where(np.arange(3000) % 3 == 0, "HOT", np.char.add("S", (np.arange(3000) % 40).astype(str)))
+    pdf = pd.DataFrame({"symbol": symbol, "start": np.sort(rng.integers(-90_000, 90_000, 3000))})
+    pdf.loc[pdf.index % 10 == 0, "start"] = 500
+    pdf["until"], pdf["id"] = pdf["start"] + rng.choice([0, 5, 600, 30_000], 3000, p=[0.1, 0.6, 0.29, 0.01]), np.arange(3000)
+    want = []
+    for _, g in pdf.groupby("symbol"):
+        busy = -(10**9)
+        for r in g.sort_values(["start", "id"]).itertuples():
+            if r.start >= busy:
+                want.append(r.id)
+                busy = r.until
+    for name, value in (("ROWS", 40), ("FAN", 3), ("GROUP", 16)):
+        monkeypatch.setattr(greedy, name, value)
+    kept = greedy.greedy_keep(spark.createDataFrame(pdf), KEYS, "start", "until", "id", 20_000)
+    assert sorted(r.id for r in kept.collect()) == sorted(want)
+
+
+def test_greedy_steps_compose():
+    from tapeline.operators import greedy
+
+    rng = np.random.default_rng(5)
+    parts = []
+    for c in range(6):
+        start = np.sort(rng.integers(100 * c, 100 * (c + 1), 20))
+        parts.append(greedy.chunk_summary(start, start + rng.integers(0, 150, 20)))
+    upper, end = greedy.composed(*map(list, zip(*parts)))
+    for blocked in [-1, *range(0, 760, 3)]:
+        entry = greedy.walk([*(u for u, _ in parts), np.zeros(0, np.int64)], [*(e for _, e in parts), np.zeros(0, np.int64)], blocked)
+        k = np.searchsorted(upper, blocked, side="left")
+        assert entry[-1] == (end[k] if k < len(upper) else blocked)
+
+
+def test_greedy_of_nothing(spark):
+    rows = spark.createDataFrame([], "symbol string, id long, start long, until long")
+    assert greedy_keep(rows, KEYS, "start", "until", "id", 100).collect() == []
