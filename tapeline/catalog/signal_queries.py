@@ -9,7 +9,9 @@ from tapeline.catalog.fragments import (
 )
 from tapeline.catalog.registry import R, query, r
 from tapeline.functions import scores
+from tapeline.operators import structure as S
 from tapeline.operators.bars import bars_from_ticks
+from tapeline.operators.blocks import framed
 from tapeline.plans import signals as G
 from tapeline.session import materialize
 from tapeline.sources import tables as T
@@ -172,6 +174,59 @@ def signals_generated(spark, sf):
     )
 
 
+def _bar_times(tf, us):
+    return f"make_timestamp((epoch_us(d.ts) // {us}) * {us})"
+
+
+# Every 15m bar as a candidate, with the coarse bars that closed before it; entry is the next open.
+STRICT = [
+    TICKS, *_tall(), swings_cte(L),
+    f"""swings AS MATERIALIZED (SELECT * FROM swung WHERE symbol LIKE '%|4h' OR symbol LIKE '%|1h')""",
+    """tops AS MATERIALIZED (SELECT symbol, bar_idx, ts, high, low, top, bottom, lag(low, 2) OVER w AS l2, lag(high, 2) OVER w AS h2, lead(ts) OVER w AS next_ts,
+      max(CASE WHEN close < open THEN bar_idx END) OVER b AS red10, max(CASE WHEN close > open THEN bar_idx END) OVER b AS green10 FROM swings
+      WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx), b AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))""",
+    """levels AS (
+      SELECT symbol, 'liq' AS kind, 1 AS side, bar_idx AS known, bar_idx AS at, high AS price, high AS edge FROM tops WHERE top
+      UNION ALL SELECT symbol, 'liq', -1, bar_idx, bar_idx, low, low FROM tops WHERE bottom
+      UNION ALL SELECT symbol, 'fvg', 1, bar_idx, bar_idx, high, l2 FROM tops WHERE high < l2
+      UNION ALL SELECT symbol, 'fvg', -1, bar_idx, bar_idx, low, h2 FROM tops WHERE low > h2
+      UNION ALL SELECT z.symbol, 'ob', 1, z.bar_idx, o.bar_idx, o.low, o.low FROM tops z JOIN tops o ON o.symbol = z.symbol AND o.bar_idx = z.red10 WHERE z.top
+      UNION ALL SELECT z.symbol, 'ob', -1, z.bar_idx, o.bar_idx, o.high, o.high FROM tops z JOIN tops o ON o.symbol = z.symbol AND o.bar_idx = z.green10 WHERE z.bottom)""",
+    """ended AS MATERIALIZED (SELECT z.symbol, z.kind, z.side, z.known, z.price, min(v.bar_idx) AS gone FROM levels z LEFT JOIN tops v ON v.symbol = z.symbol AND v.bar_idx > z.at
+      AND CASE WHEN z.kind = 'liq' THEN CASE WHEN z.side > 0 THEN v.high > z.edge ELSE v.low < z.edge END ELSE CASE WHEN z.side > 0 THEN v.low <= z.edge ELSE v.high >= z.edge END END
+      GROUP BY z.symbol, z.kind, z.side, z.known, z.at, z.price)""",
+    f"""cand AS MATERIALIZED (SELECT split_part(d.symbol, '|', 1) AS sym, d.ts, d.entry, d.direction, d.entry * (0.0035::DOUBLE * (1 + 25 * (d.bar_idx % 3))) AS stop_dist, h4.bar_idx AS idx_4h, h1.bar_idx AS idx_1h
+      FROM (SELECT symbol, ts, bar_idx, lead(open) OVER (PARTITION BY symbol ORDER BY bar_idx) AS entry, CASE WHEN close >= open THEN 1 ELSE -1 END AS direction FROM bars WHERE symbol LIKE '%|15m') d
+      JOIN tops h4 ON h4.symbol = split_part(d.symbol, '|', 1) || '|4h' AND h4.next_ts = {_bar_times('4h', 14400000000)}
+      JOIN tops h1 ON h1.symbol = split_part(d.symbol, '|', 1) || '|1h' AND h1.next_ts = {_bar_times('1h', 3600000000)} WHERE d.entry IS NOT NULL)""",
+    *[f"""n{tf} AS (SELECT c.sym, c.ts, z.kind, CASE WHEN c.direction > 0 THEN min(z.price) ELSE max(z.price) END AS price FROM cand c JOIN ended z ON z.symbol = c.sym || '|{tf}'
+      AND z.side = c.direction AND z.known <= c.idx_{tf} AND (z.gone IS NULL OR z.gone > c.idx_{tf})
+      AND CASE WHEN c.direction > 0 THEN z.price > c.entry + c.stop_dist * 2 ELSE z.price < c.entry - c.stop_dist * 2 END GROUP BY c.sym, c.ts, c.direction, z.kind)""" for tf in ("4h", "1h")],
+    """every AS (SELECT sym, ts, kind || '_4h' AS source, price, CASE kind WHEN 'liq' THEN 0 WHEN 'fvg' THEN 2 ELSE 4 END AS rk FROM n4h WHERE price > 0
+      UNION ALL SELECT sym, ts, kind || '_1h', price, CASE kind WHEN 'liq' THEN 1 WHEN 'fvg' THEN 3 ELSE 5 END FROM n1h WHERE price > 0)""",
+]
+
+
+@query(
+    "signal_strict_targets",
+    with_(*STRICT)
+    + f"""SELECT c.sym AS symbol, c.ts, c.direction, coalesce(arg_min(e.source, e.rk), 'fallback') AS tp_source,
+    {R('coalesce(arg_min(e.price, e.rk), c.entry + c.direction * c.stop_dist * 3)')} AS target
+    FROM cand c LEFT JOIN every e ON e.sym = c.sym AND e.ts = c.ts GROUP BY c.sym, c.ts, c.direction, c.entry, c.stop_dist""",
+)
+def signal_strict_targets(spark, sf):
+    """Targets of every 15m bar that enters at the next open, from the coarse bars closed before it."""
+    strict = G.SignalParams(swing_length=L, strict=True)
+    series = G.series_table(materialize(bars_from_ticks(T.ticks(spark, sf), "5m")))
+    t = {"bars": series, "swings": materialize(S.swings(series, L))}
+    entry = framed(series.filter("tf = '15m'"), ["symbol"], lambda w: {"entry": F.lead("open").over(w)}, after=1).filter("entry is not null")
+    rows = entry.select("sym", "ts", "entry", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("direction"), (F.col("entry") * (0.0035 * (1 + 25 * (F.col("bar_idx") % 3)))).alias("stop_dist"))
+    for tf in ("4h", "1h"):
+        rows = G.attach(rows, series, tf, {"bar_idx": f"idx_{tf}"}, strict, "inner")
+    out = G.structure_target(materialize(rows), t, strict)
+    return out.select(F.col("sym").alias("symbol"), "ts", "direction", "tp_source", r("target").alias("target"))
+
+
 @query(
     "signal_session_scores",
     f"""WITH t AS (SELECT event_type AS symbol, (['crypto', 'forex', 'stocks', 'commodities'])[(user_id % 4 + 1)::INT] AS asset_class, hour(ts) AS h FROM events),

@@ -178,7 +178,7 @@ def training_set(base: DataFrame, p: G.SignalParams, horizon: int, post_bars: in
     nxt = bars.select(F.col("symbol").alias("sym"), (F.col("bar_idx") - 1).alias("bar_idx"), F.col("open").alias("_open"))
     rows = rows.drop("entry").join(nxt, ["sym", "bar_idx"]).withColumnRenamed("_open", "entry").filter(F.col("bar_idx") + 11 < F.col("n_bars"))
     widened = G.SignalParams(**{**p.__dict__, "min_rr": 1.0, "min_stop_pct": 0.001})
-    entries = G.signals_from(rows.withColumn("reason", F.lit("passed")), t, widened)
+    entries = G.signals_from(rows.withColumn("reason", F.lit("passed")), t, widened, searched=True)  # the next open may lie outside the coarse bar
     sig = materialize(entries.select(
         F.concat_ws("-", "sym", "bar_idx").alias("sig_id"), F.col("sym").alias("symbol"), "ts", "bar_idx", "n_bars", "direction", "entry", "stop", "target",
         F.col("risk_reward").alias("label_tp_rr"),

@@ -151,15 +151,96 @@ def attach(rows: DataFrame, state: DataFrame, tf: str, columns: dict[str, str],
     return binned.join(side, ["sym", "_bin"], how).drop("_bin")
 
 
-def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams) -> DataFrame:
-    """Take-profit from structure: unswept swings on 4h then 1h, gaps, else 3R.
+def target_tables(t: dict[str, DataFrame], p: SignalParams) -> dict[str, DataFrame]:
+    """Gaps and opposite candles that can be targets, with the first bar that uses each up, on the timeframes searched.
+
+    ``side`` 1: above the price, for longs.  A gap is used up when a later bar trades to its far side, a candle (the
+    last opposite one of ten bars before a swing) when a later bar trades to its near side.
+    """
+    bars = materialize(t["bars"].filter(F.col("tf").isin("4h", "1h")))
+    reach = max(p.swing_length, 10)
+
+    def build(w):
+        window, ten = w.rowsBetween(-p.swing_length, -1), w.rowsBetween(-10, -1)
+        enough, body = F.col("bar_idx") >= p.swing_length, F.col("close") - F.col("open")
+        return {
+            "top": enough & (F.col("high") >= F.max("high").over(window)), "bottom": enough & (F.col("low") <= F.min("low").over(window)),
+            "h2": F.lag("high", 2).over(w), "l2": F.lag("low", 2).over(w),
+            "red": F.max(F.when(body < 0, F.col("bar_idx"))).over(ten), "green": F.max(F.when(body > 0, F.col("bar_idx"))).over(ten),
+        }
+
+    marked = materialize(framed(bars, KEYS, build, before=reach).select("symbol", "bar_idx", "high", "low", "top", "bottom", "h2", "l2", "red", "green"))
+    zone = lambda side, at, level: F.struct(F.lit(side).alias("side"), F.col(at).alias("at"), F.col(level).alias("level"))
+    gaps = marked.select("symbol", "bar_idx", F.explode(F.array_compact(F.array(
+        F.when(F.col("high") < F.col("l2"), zone(1, "bar_idx", "l2")), F.when(F.col("low") > F.col("h2"), zone(-1, "bar_idx", "h2"))))).alias("z"))
+    named = marked.select("symbol", "bar_idx", F.explode(F.array_compact(F.array(
+        F.when(F.col("top") & F.col("red").isNotNull(), F.struct(F.lit(1).alias("side"), F.col("red").alias("at"))),
+        F.when(F.col("bottom") & F.col("green").isNotNull(), F.struct(F.lit(-1).alias("side"), F.col("green").alias("at")))))).alias("z"))
+    own = bars.select("symbol", F.col("bar_idx").alias("at"), F.col("high").alias("_h"), F.col("low").alias("_l"))
+    blocks = named.select("symbol", "bar_idx", "z.*").join(own, ["symbol", "at"]).withColumn("level", F.when(F.col("side") > 0, F.col("_l")).otherwise(F.col("_h")))
+    tree = extreme_tree(bars)
+
+    def used_up(zones: DataFrame) -> DataFrame:
+        after = zones.withColumn("_next", F.col("at") + 1)
+        return materialize(search(after, tree, "_next", F.col("level"), F.col("side") > 0, False, "end").select("symbol", "bar_idx", "side", "at", "end"))
+
+    return {"bars": bars, "tree": tree, "gaps": used_up(gaps.select("symbol", "bar_idx", "z.*")), "blocks": used_up(blocks.select("symbol", "bar_idx", "side", "at", "level"))}
+
+
+def _pair_tree(bars: DataFrame, zones: DataFrame, value: Column):
+    """A tree whose high side holds a number of the zones above, and whose low side minus that of the zones below."""
+    side = lambda k: F.max(F.when(F.col("side") == k, value))
+    found = zones.groupBy("symbol", "bar_idx").agg(side(1).alias("_up"), side(-1).alias("_dn"))
+    rows = bars.select("symbol", "bar_idx").join(found, ["symbol", "bar_idx"], "left")
+    return extreme_tree(rows.select("symbol", "bar_idx", F.coalesce("_up", F.lit(-1e300)).alias("high"), F.coalesce(-F.col("_dn"), F.lit(1e300)).alias("low")))
+
+
+def alive_zones(rows: DataFrame, zones: dict[str, DataFrame], now: str, up: Column, beyond: Column, gap: str, block: str) -> DataFrame:
+    """Add the prices of the nearest unused gap and order block beyond a price, as of bar ``now`` of series ``symbol``.
+
+    Of zones above that are still unused, a later one lies higher: every bar after a zone stays over it.  m, the last
+    bar that traded to the price ``beyond``, has used up all zones before it that lie farther; so the nearest zone is
+    the first one from m on whose end lies after ``now``.  That is a search on a tree of zone ends, whatever the number
+    of zones.  Blocks are found at the swing that names them; the candles of later swings are never earlier, so the
+    search starts at the first swing whose candle lies after m.  Below the price all signs turn.
+    """
+    bars = zones["bars"]
+    far = F.lit(1e300)
+    ends = _pair_tree(bars, zones["gaps"], F.coalesce(F.col("end").cast("double"), far))
+    block_ends = _pair_tree(bars, zones["blocks"], F.coalesce(F.col("end").cast("double"), far))
+    origins = _pair_tree(bars, zones["blocks"], F.col("at").cast("double"))
+    hl = bars.select("symbol", F.col("bar_idx").alias("_at"), F.col("high").alias("_h"), F.col("low").alias("_l"))
+    signed = lambda c: F.when(up, F.col(c)).otherwise(-F.col(c)).cast("double")
+    found = lambda c: F.when(F.col(c) <= F.col(now), F.col(c))
+    out = rows.withColumn("_x", beyond)
+    out = search(out, zones["tree"], now, F.col("_x"), up, False, "_m", backward=True)
+    out = out.join(hl.withColumnRenamed("_at", "_m"), ["symbol", "_m"], "left")
+    past = F.when(up, F.col("_h") > F.col("_x")).otherwise(F.col("_l") < F.col("_x"))
+    out = out.withColumns({"_from": F.coalesce(F.when(past, F.col("_m")).otherwise(F.col("_m") + 1), F.lit(0)).cast("long"), "_m": F.coalesce("_m", F.lit(-1)).cast("long")}).drop("_h", "_l")
+    out = search(out, ends, "_from", signed(now), ~up, True, "_z")
+    out = out.withColumn("_z", found("_z")).join(hl.withColumnRenamed("_at", "_z"), ["symbol", "_z"], "left")
+    out = out.withColumn(gap, F.when(up, F.col("_h")).otherwise(F.col("_l"))).drop("_h", "_l", "_z")
+    out = out.withColumn("_from", F.greatest(F.col("_m"), F.lit(0)).cast("long"))
+    out = search(out, origins, "_from", signed("_m"), ~up, True, "_s").withColumn("_s", F.coalesce("_s", F.col(now) + 1).cast("long"))
+    out = search(out, block_ends, "_s", signed(now), ~up, True, "_z").withColumn("_z", found("_z"))
+    named = zones["blocks"].groupBy("symbol", F.col("bar_idx").alias("_z"), F.col("side").alias("_side")).agg(F.max("at").alias("_at"))
+    out = out.withColumn("_side", F.when(up, 1).otherwise(-1)).join(named, ["symbol", "_z", "_side"], "left").join(hl, ["symbol", "_at"], "left")
+    return out.withColumn(block, F.when(up, F.col("_l")).otherwise(F.col("_h"))).drop("_h", "_l", "_z", "_s", "_m", "_x", "_from", "_at", "_side")
+
+
+def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams, searched: bool | None = None) -> DataFrame:
+    """Take-profit from structure: unswept swings on 4h then 1h, gaps, order blocks, else 3R.
 
     The nearest unswept swing above a price X is found without listing swings:
     m is the last bar up to now above X; the answer is the last swing top up to
-    m that is not lower than m (every later top or bar is below it).  A gap or
-    order block can only be alive and beyond the target distance while price
-    never came back over it, which leaves the gap completed by the current bar.
+    m that is not lower than m (every later top or bar is below it).  Where the
+    entry is a price of the coarse bar that is attached, a gap or order block
+    can only be alive and beyond the target distance while price never came
+    back over it, which leaves the gap completed by that bar.  Otherwise
+    (``searched``, by default in strict mode, where closed bars are attached)
+    gaps and blocks are searched, see ``alive_zones``.
     """
+    searched = p.strict if searched is None else searched
     up = F.col("direction") > 0
     need = F.col("stop_dist") * p.min_rr
     tree = extreme_tree(t["bars"])
@@ -180,10 +261,13 @@ def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams)
     )
     swing_tree = extreme_tree(only_swings)
     hl = t["bars"].select("symbol", F.col("bar_idx").alias("_at"), F.col("high").alias("_h"), F.col("low").alias("_l"))
-    raw_gap = framed(
-        t["bars"], KEYS,
-        lambda w: {"_h2": F.lag("high", 2).over(w), "_l2": F.lag("low", 2).over(w)}, before=2,
-    ).select("symbol", F.col("bar_idx").alias("_at"), "_h2", "_l2", F.col("high").alias("_gh"), F.col("low").alias("_gl"))
+    if searched:
+        zones = target_tables(t, p)
+    else:
+        raw_gap = framed(
+            t["bars"], KEYS,
+            lambda w: {"_h2": F.lag("high", 2).over(w), "_l2": F.lag("low", 2).over(w)}, before=2,
+        ).select("symbol", F.col("bar_idx").alias("_at"), "_h2", "_l2", F.col("high").alias("_gh"), F.col("low").alias("_gl"))
     out = cands
     for tf in ("4h", "1h"):
         rows = out.withColumns({"symbol": F.concat_ws("|", "sym", F.lit(tf)), "_now": F.col(f"idx_{tf}")})
@@ -194,13 +278,17 @@ def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams)
         rows = search(rows.withColumn("_lv", level), swing_tree, "_m", F.col("_lv"), ~up, False, "_j", backward=True).drop("_h", "_l", "_lv")
         rows = rows.join(hl.withColumnRenamed("_at", "_j"), ["symbol", "_j"], "left")
         rows = rows.withColumn(f"liq_{tf}", F.when(up, F.col("_h")).otherwise(F.col("_l"))).drop("_h", "_l", "_m", "_j")
+        if searched:
+            rows = materialize(rows)
+            out = materialize(alive_zones(rows, zones, "_now", up, beyond, f"fvg_{tf}", f"ob_{tf}").drop("symbol", "_now"))
+            continue
         rows = rows.join(raw_gap.withColumnRenamed("_at", "_now"), ["symbol", "_now"], "left")
         down_gap = up & (F.col("_gh") < F.col("_l2")) & (F.col("_gh") > F.col("entry") + need)
         up_gap = ~up & (F.col("_gl") > F.col("_h2")) & (F.col("_gl") < F.col("entry") - need)
         out = rows.withColumn(
             f"fvg_{tf}", F.when(down_gap, F.col("_gh")).when(up_gap, F.col("_gl"))
         ).drop("symbol", "_now", "_h2", "_l2", "_gh", "_gl")
-    order = ["liq_4h", "liq_1h", "fvg_4h", "fvg_1h"]
+    order = ["liq_4h", "liq_1h", "fvg_4h", "fvg_1h"] + (["ob_4h", "ob_1h"] if searched else [])
     positive = [F.when(F.col(c) > 0, F.col(c)) for c in order]
     source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for c, n in zip(positive, order)], F.lit("fallback"))
     plain = F.col("entry") + F.col("direction") * F.col("stop_dist") * 3.0
@@ -265,7 +353,7 @@ def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, deci
     return rows.withColumn("reason", reason)
 
 
-def signals_from(scored: DataFrame, t: dict[str, DataFrame], p: SignalParams) -> DataFrame:
+def signals_from(scored: DataFrame, t: dict[str, DataFrame], p: SignalParams, searched: bool | None = None) -> DataFrame:
     """Entry, stop, target, reward and size of the bars that passed the gate."""
     up = F.col("direction") > 0
     stop = F.when(
@@ -275,7 +363,7 @@ def signals_from(scored: DataFrame, t: dict[str, DataFrame], p: SignalParams) ->
     rows = scored.filter("reason = 'passed' and entry > 0").withColumn("stop", stop)
     rows = rows.withColumn("stop_dist", F.abs(F.col("entry") - F.col("stop")))
     rows = rows.filter((F.col("stop_dist") > 0) & (F.col("stop_dist") / F.col("entry") >= p.min_stop_pct))
-    rows = structure_target(materialize(rows), t, p)
+    rows = structure_target(materialize(rows), t, p, searched)
     rr = F.abs(F.col("target") - F.col("entry")) / F.col("stop_dist")
     qty = scores.position_size(p.account, p.risk_pct, F.lit(p.leverage), F.col("entry"), F.col("stop"))
     return rows.withColumns({"risk_reward": rr, "position_size": qty}).filter(

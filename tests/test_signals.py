@@ -58,3 +58,51 @@ def test_teacher_tables_look_ahead_and_signal_tables_do_not(base):
     assert marks(teacher) == wanted != marks(causal)
     gaps = lambda t: {(r.symbol, r.bar_idx) for r in t["gaps"].collect()}
     assert {(s, i + 1) for s, i in gaps(teacher)} >= {(s, i) for s, i in gaps(causal) if (s, i - 1) in gaps(teacher)} and gaps(teacher) != gaps(causal)
+
+
+def brute_targets(bars, now, entry, stop, direction, length, min_rr):
+    """Nearest unused gap and order block beyond the price, straight from the definition."""
+    up, need = direction > 0, stop * min_rr
+    sign = 1 if up else -1
+    # below the price everything is mirrored
+    hi, lo, op, cl = (sign * bars[c][: now + 1] for c in ((("high", "low") if up else ("low", "high")) + ("open", "close")))
+    x, n = sign * entry + need, now + 1
+    gaps = [hi[z] for z in range(2, n) if hi[z] < lo[z - 2] and hi[z] > x and not (lo[z + 1 :] <= lo[z - 2]).any()]
+    blocks = []
+    for z in range(length, n):
+        if hi[z] >= hi[z - length : z].max():
+            red = [i for i in range(max(0, z - 10), z) if cl[i] < op[i]]
+            if red and lo[red[-1]] > x and not (lo[red[-1] + 1 :] <= lo[red[-1]]).any():
+                blocks.append(lo[red[-1]])
+    return [sign * min(found) if found else None for found in (gaps, blocks)]
+
+
+def test_unused_zones_equal_the_definition(spark, base):
+    p = G.SignalParams(**P)
+    t = G.structure_tables(G.series_table(base, "15m"), p)
+    zones = G.target_tables(t, p)
+    rng = np.random.default_rng(1)
+    frames = {s: g.sort_values("bar_idx").reset_index(drop=True) for s, g in zones["bars"].toPandas().groupby("symbol")}
+    rows = []
+    for s, g in frames.items():
+        for k in range(200):
+            now = int(rng.integers(0, len(g)))
+            rows.append((s, k, now, float(g["close"][now] + rng.normal(0, 9)), float(rng.choice([0.05, 0.5, 1.5])), int(rng.choice([-1, 1]))))
+    df = spark.createDataFrame(rows, "symbol string, k int, now long, entry double, stop double, direction int")
+    up = F.col("direction") > 0
+    beyond = F.col("entry") + F.col("direction") * F.col("stop") * 2.0
+    got = {(r.symbol, r.k): (r.gap, r.ob) for r in G.alive_zones(df, zones, "now", up, beyond, "gap", "ob").collect()}
+    hits = np.zeros(2)
+    for s, k, now, entry, stop, direction in rows:
+        want = brute_targets({c: frames[s][c].to_numpy() for c in ("open", "high", "low", "close")}, now, entry, stop, direction, p.swing_length, 2.0)
+        assert got[s, k] == tuple(want), (s, k, now, entry, direction)
+        hits += [w is not None for w in want]
+    assert (hits > 10).all() and len(got) == len(rows)
+
+
+def test_searched_targets_equal_the_short_form_on_the_bar_that_holds_the_entry(base):
+    p = G.SignalParams(**P)
+    t = G.structure_tables(G.series_table(base, "15m"), p)
+    rows = G.scored_bars(t, G.running_state(t, p), p, "15m")
+    pick = lambda s: sorted((r.ts, round(r.target, 9), r.tp_source) for r in G.signals_from(rows, t, p, s).collect())
+    assert pick(True) == pick(False) != []
