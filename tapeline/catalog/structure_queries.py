@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeline.catalog.fragments import (
@@ -11,8 +13,9 @@ from tapeline.catalog.registry import R, query, r
 from tapeline.operators import bars as B
 from tapeline.operators import recursive as X
 from tapeline.operators import structure as S
-from tapeline.session import materialize
+from tapeline.session import materialize, shared_dir
 from tapeline.sources import tables as T
+from tapeline.sources.files import cluster_parameters
 
 LENGTH = 5  # swing length of the registered queries
 OHLCV = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -58,6 +61,29 @@ def swing_points(spark, sf):
     )
 
 
+_SPAN = "(PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "swing_points_by_symbol",
+    with_(TICKS, bars_cte("15m"), """own AS (SELECT *, CASE length(symbol) % 3 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 8 END AS n FROM bars)""",
+          "seen AS (SELECT *, CASE n " + " ".join(f"WHEN {n} THEN max(high) OVER {_SPAN.format(n=n)}" for n in (5, 6, 8)) + " END AS most, CASE n "
+          + " ".join(f"WHEN {n} THEN min(low) OVER {_SPAN.format(n=n)}" for n in (5, 6, 8)) + " END AS least FROM own)")
+    + """SELECT symbol, ts, n AS swing_length, CASE WHEN high >= most THEN 1 ELSE -1 END AS swing, CASE WHEN high >= most THEN high ELSE low END AS swing_level
+    FROM seen WHERE bar_idx >= n AND (high >= most OR low <= least)""",
+)
+def swing_points_by_symbol(spark, sf):
+    """Swings with the detector length of each symbol's cluster, read from a parameter file."""
+    ticks = T.ticks(spark, sf)
+    path = f"{shared_dir(spark)}/tapeline/clusters-{uuid.uuid4().hex}"
+    symbols = ticks.select("symbol", (F.length("symbol") % 3).cast("string").alias("c")).distinct()
+    lengths = F.create_map(*[x for c, n in (("0", 5.0), ("1", 6.0)) for x in (F.lit(c), F.struct(F.lit(n).alias("swing_length")))])
+    symbols.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "c"))).alias("symbol_to_cluster")).withColumn("clusters", lengths).write.json(path)
+    own = cluster_parameters(spark, path, {"swing_length": 8.0}).select("symbol", F.col("swing_length").cast("int").alias("swing_length"))
+    bars = materialize(B.numbered(B.bars_from_ticks(ticks, "15m")).join(own, "symbol"))
+    return S.swings_by_symbol(bars).filter("swing is not null").select("symbol", "ts", "swing_length", "swing", "swing_level")
+
+
 @query(
     "fair_value_gaps",
     with_(TICKS, bars_cte(), gaps_cte())

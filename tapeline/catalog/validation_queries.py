@@ -92,8 +92,8 @@ def overfit_cpcv_summary(spark, sf):
 @query("overfit_drawdown_simulation")
 def overfit_drawdown_simulation(spark, sf):
     t = T.trades(spark, sf).filter("exit_time is not null").select("trade_id", F.col("rr_actual").alias("rr"), F.lit(0.002).alias("risk"))
-    out = V.drawdown_tail(V.shuffled_drawdowns(materialize(t), 50, "trade_id"), 50)
-    return out.select(*[r(c).alias(c) for c in out.columns])
+    out = V.drawdown_tail(V.shuffled_drawdowns(materialize(V.with_median_risk(t, "risk")), 50, "trade_id"), 50)
+    return out.select(*[r(c).alias(c) for c in out.columns if c != "robust"], "robust")
 
 
 @query("overfit_bootstrap_interval")
@@ -186,20 +186,125 @@ def fold_trading_metrics(spark, sf):
     )
 
 
+_AUC = """sc AS (SELECT "window" AS w, x_quantity AS score, label_outcome = 1 AS y FROM samples WHERE label_action > 0),
+    fp AS (SELECT f.w AS fold, CASE WHEN f.w = sc.w THEN 'test' ELSE 'train' END AS part, score, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg
+      FROM sc JOIN (SELECT DISTINCT w FROM sc) f ON f.w >= sc.w GROUP BY ALL),
+    rs AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fold, part ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM fp),
+    au AS (SELECT fold, part, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg / 2)) / sum(pos) / sum(neg) ELSE 0 END AS auc FROM rs GROUP BY ALL),
+    gap AS (SELECT fold, coalesce(max(auc) FILTER (part = 'test'), 0) AS test_auc, coalesce(max(auc) FILTER (part = 'train'), 0) AS train_auc FROM au GROUP BY fold)"""
+
+
 @query(
     "fold_classification_metrics",
     with_(SAMPLES, "p AS (SELECT \"window\" AS fold, x_quantity >= 0.5::DOUBLE AS pred, label_outcome = 1 AS y FROM samples WHERE label_action > 0)",
           "c AS (SELECT fold, count(*) FILTER (pred AND y) AS tp, count(*) FILTER (pred AND NOT y) AS fp, count(*) FILTER (NOT pred AND y) AS fn, count(*) AS n, count(*) FILTER (pred = y) AS ok FROM p GROUP BY fold)")
-    + f"""SELECT fold, {R('ok / n')} AS accuracy, {R('tp / (tp + fp)')} AS "precision", {R('tp / (tp + fn)')} AS recall, {R('2 * tp / (2 * tp + fp + fn)')} AS f1 FROM c""",
+    + f""", {_AUC}
+    SELECT fold, {R('ok / n')} AS accuracy, {R('tp / (tp + fp)')} AS "precision", {R('tp / (tp + fn)')} AS recall, {R('2 * tp / (2 * tp + fp + fn)')} AS f1,
+    {R('test_auc')} AS test_auc, {R('train_auc')} AS train_auc, {R('train_auc - test_auc')} AS auc_gap, round(train_auc - test_auc, 12) > 0.10 AS overfit_flag FROM c JOIN gap USING (fold)""",
 )
 def fold_classification_metrics(spark, sf):
     from tapeline.operators import models as M
 
-    s = T.samples(spark, sf).filter("label_action > 0").select(
-        F.col("window").alias("fold"), (F.col("x_quantity") >= 0.5).alias("pred"), (F.col("label_outcome") == 1).alias("y")
-    )
-    out = M.classification_metrics(s, ["fold"])
-    return out.select("fold", *[r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+    s = materialize(T.samples(spark, sf).filter("label_action > 0").select(
+        F.col("window").alias("fold"), (F.col("x_quantity") >= 0.5).alias("pred"), (F.col("label_outcome") == 1).alias("y"), "x_quantity"
+    ))
+    out = M.classification_metrics(s, ["fold"]).join(M.fold_gaps(s, "fold", "x_quantity", "y"), "fold")
+    return out.select("fold", *[r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "test_auc", "train_auc", "auc_gap")], "overfit_flag")
+
+
+@query(
+    "model_retrain_gates",
+    with_(SAMPLES, """p AS (SELECT asset_class, x_quantity AS score, count(*) FILTER (label_outcome = 1) AS pos, count(*) FILTER (label_outcome <> 1) AS neg FROM samples WHERE label_action > 0 GROUP BY ALL)""",
+          "b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY asset_class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p)",
+          """g AS (SELECT asset_class, sum(pos * (below + neg / 2)) / sum(pos) / sum(neg) AS auc, sum(pos) FILTER (score >= 0.5) / greatest(sum(neg) FILTER (score >= 0.5), 1) AS pf FROM b GROUP BY asset_class)""")
+    + f"""SELECT asset_class, {R('auc')} AS auc, {R('pf')} AS profit_factor, round(auc, 12) >= 0.499 AND pf >= 1 AS accepted,
+    CASE WHEN round(auc, 12) < 0.499 THEN 'auc' WHEN pf < 1 THEN 'profit_factor' END AS reason FROM g""",
+)
+def model_retrain_gates(spark, sf):
+    from tapeline.operators import models as M
+
+    s = T.samples(spark, sf).filter("label_action > 0").select("asset_class", "x_quantity", (F.col("label_outcome") == 1).alias("y"))
+    out = M.retrain_gates(materialize(s), ["asset_class"], "x_quantity", "y", 0.499)
+    return out.select("asset_class", r("auc").alias("auc"), r("profit_factor").alias("profit_factor"), "accepted", "reason")
+
+
+@query(
+    "overfit_cpcv_purged",
+    with_(TRADES, "s AS (SELECT trade_id, entry_time AS ts, rr_actual AS rr FROM trades WHERE exit_time IS NOT NULL)",
+          "w AS (SELECT y - 1995 AS window_id, make_timestamp(y, 2, 1, 0, 0, 0) AS test_start, make_timestamp(y, 11, 30, 0, 0, 0) AS test_end FROM range(1995, 1999) t(y))",
+          "sp AS (SELECT a.window_id || '-' || b.window_id AS split, [a.window_id, b.window_id] AS ids FROM w a JOIN w b ON a.window_id < b.window_id)",
+          """m AS (SELECT s.*, list(w.window_id) FILTER (w.test_start <= s.ts AND w.test_end >= s.ts) AS own,
+             list(w.window_id) FILTER (w.test_start <= s.ts + INTERVAL 40 DAY AND w.test_end >= s.ts) AS met FROM s, w GROUP BY ALL)""",
+          "f AS (SELECT split, rr, coalesce(list_has_any(own, ids), false) AS tested, coalesce(list_has_any(met, ids), false) AS hit FROM m, sp)")
+    + f"""SELECT split, count(*) FILTER (tested) AS n_test, count(*) FILTER (NOT tested AND NOT hit) AS n_train, count(*) FILTER (NOT tested AND hit) AS n_purged,
+    {R('avg(rr) FILTER (tested)')} AS test_mean, {R('avg(rr) FILTER (NOT tested AND NOT hit)')} AS train_mean FROM f GROUP BY split""",
+)
+def overfit_cpcv_purged(spark, sf):
+    """Trades of every combinatorial split after purge and embargo; test windows run from February to November of each year."""
+    t = T.trades(spark, sf).filter("exit_time is not null").select(F.col("entry_time").cast("timestamp").alias("ts"), F.col("rr_actual").alias("rr"))
+    w = spark.range(1995, 1999).select((F.col("id") - 1995).alias("window_id"), F.expr("make_timestamp(id, 2, 1, 0, 0, 0)").alias("test_start"), F.expr("make_timestamp(id, 11, 30, 0, 0, 0)").alias("test_end"))
+    out = V.cpcv_purged(t, w, V.cpcv_splits(w, 2), 10 * 86400, 30 * 86400, "rr")
+    return out.select("split", "n_test", "n_train", "n_purged", r("test_mean").alias("test_mean"), r("train_mean").alias("train_mean"))
+
+
+LATTICE = """runs AS (SELECT (l_suppkey % 5)::INT * 4 + 70 AS threshold, (l_linenumber % 4)::INT * 2 + 20 AS min_rr, (year(l_shipdate) - 1992)::INT AS window_id, (l_discount - 0.045) AS edge FROM lineitem),
+    results AS (SELECT threshold || '/' || min_rr AS combo_id, threshold, min_rr, window_id, count(*) AS total_trades, sum(greatest(edge, 0)) / sum(greatest(-edge, 0)) AS pf_real,
+      avg(edge) / stddev_samp(edge) AS sharpe FROM runs GROUP BY ALL),
+    whole AS (SELECT combo_id, threshold, min_rr, sum(total_trades) AS total_trades, avg(pf_real) AS pf_real, avg(sharpe) AS sharpe, min(pf_real) AS worst, min(sharpe) AS low FROM results GROUP BY ALL),
+    moved AS (SELECT a.combo_id, abs(b.pf_real - a.pf_real) / a.pf_real * 100 AS c FROM whole a JOIN whole b ON (a.min_rr = b.min_rr AND a.threshold <> b.threshold AND abs(a.threshold - b.threshold) * 10 <= a.threshold)
+      OR (a.threshold = b.threshold AND a.min_rr <> b.min_rr AND abs(a.min_rr - b.min_rr) * 10 <= a.min_rr)),
+    stab AS (SELECT w.combo_id, count(c) AS neighbours, coalesce(max(c), 0) AS change FROM whole w LEFT JOIN moved m ON m.combo_id = w.combo_id GROUP BY w.combo_id)"""
+
+
+def lattice(spark, sf):
+    """Results of a small parameter lattice by window, and over all windows."""
+    li = T.table(spark, sf, "lineitem").select(
+        ((F.col("l_suppkey") % 5) * 4 + 70).cast("int").alias("threshold"), ((F.col("l_linenumber") % 4) * 2 + 20).cast("int").alias("min_rr"),
+        (F.year("l_shipdate") - 1992).alias("window_id"), (F.col("l_discount") - 0.045).alias("edge"))
+    pf = F.sum(F.greatest("edge", F.lit(0.0))) / F.sum(F.greatest(-F.col("edge"), F.lit(0.0)))
+    rows = li.groupBy(F.concat_ws("/", "threshold", "min_rr").alias("combo_id"), "threshold", "min_rr", "window_id").agg(
+        F.count(F.lit(1)).alias("total_trades"), pf.alias("pf_real"), (F.avg("edge") / F.stddev_samp("edge")).alias("sharpe"))
+    rows = materialize(rows)
+    whole = rows.groupBy("combo_id", "threshold", "min_rr").agg(
+        F.sum("total_trades").alias("total_trades"), F.avg("pf_real").alias("pf_real"), F.avg("sharpe").alias("sharpe"), F.min("pf_real").alias("worst"), F.min("sharpe").alias("low"))
+    return rows, materialize(whole)
+
+
+@query("overfit_lattice_stability", "WITH " + LATTICE + f" SELECT combo_id, neighbours, {R('change')} AS max_pf_change_pct, round(change, 9) < 4 AS stable FROM stab")
+def overfit_lattice_stability(spark, sf):
+    out = V.lattice_stability(lattice(spark, sf)[1], ["threshold", "min_rr"], limit=4.0)
+    return out.select("combo_id", "neighbours", r("max_pf_change_pct").alias("max_pf_change_pct"), "stable")
+
+
+@query(
+    "overfit_qualified_trials",
+    "WITH " + LATTICE + f""", ever AS (SELECT combo_id, min(pf_real) >= 1.15 AS e, min(total_trades) > 0 AS a, avg(sharpe) AS sharpe FROM results GROUP BY combo_id),
+    few AS (SELECT count(*) FILTER (e) < 5 AS used_fallback FROM ever)
+    SELECT combo_id, {R('sharpe')} AS sharpe, used_fallback FROM ever, few WHERE CASE WHEN used_fallback THEN a ELSE e END""",
+)
+def overfit_qualified_trials(spark, sf):
+    rows, whole = lattice(spark, sf)
+    marked = rows.join(whole.select("combo_id", (F.col("worst") >= 1.15).alias("is_evergreen")), "combo_id")
+    return V.qualified_trials(marked).select("combo_id", r("sharpe").alias("sharpe"), "used_fallback")
+
+
+@query(
+    "overfit_gate_reasons",
+    "WITH " + LATTICE + f""", m AS (SELECT w.*, change, round(change, 9) < 4 AS stable, CASE threshold % 3 WHEN 0 THEN 'forex' ELSE 'crypto' END AS asset_class, total_trades % 60 AS n_real, pf_real - 1.2 AS expectancy,
+      low * 2 AS max_drawdown, 0.15 + (min_rr - 20) / 20.0 AS winrate_real, (threshold - 70) / 20.0 AS be_rate, 0.5 + sharpe AS dsr, low AS mc_worst_dd, worst > 1.1 AS mc_robust FROM whole w JOIN stab s ON s.combo_id = w.combo_id)
+    SELECT combo_id, concat_ws(',', CASE WHEN pf_real < 1.5 THEN 'profit_factor' END, CASE WHEN total_trades < CASE asset_class WHEN 'forex' THEN 5 ELSE 20 END THEN 'min_trades' END, CASE WHEN sharpe < 0.5 THEN 'sharpe' END,
+      CASE WHEN max_drawdown < -0.10 THEN 'max_dd' END, CASE WHEN NOT (winrate_real > 0.20 AND expectancy > 0) THEN 'quality' END, CASE WHEN dsr < 0.70 THEN 'dsr' END,
+      CASE WHEN NOT (mc_worst_dd >= -0.10 AND mc_robust) THEN 'monte_carlo' END, CASE WHEN NOT (n_real < 30 OR stable) THEN 'stability' END) AS failed,
+    concat_ws(',', CASE WHEN be_rate > 0.50 THEN 'high_be_rate' END, CASE WHEN n_real < 30 AND NOT stable THEN 'stability_skipped' END) AS warnings FROM m""",
+)
+def overfit_gate_reasons(spark, sf):
+    """All eight gates over a lattice whose metrics spread over both sides of every limit."""
+    _, whole = lattice(spark, sf)
+    m = whole.join(V.lattice_stability(whole, ["threshold", "min_rr"], limit=4.0), "combo_id").withColumns({
+        "asset_class": F.when(F.col("threshold") % 3 == 0, "forex").otherwise("crypto"), "n_real": F.col("total_trades") % 60, "expectancy": F.col("pf_real") - 1.2,
+        "max_drawdown": F.col("low") * 2, "winrate_real": 0.15 + (F.col("min_rr") - 20) / 20, "be_rate": (F.col("threshold") - 70) / 20, "dsr": 0.5 + F.col("sharpe"),
+        "mc_worst_dd": F.col("low"), "mc_robust": F.col("worst") > 1.1})
+    return V.acceptance_gates(m).select("combo_id", F.array_join("failed", ",").alias("failed"), F.array_join("warnings", ",").alias("warnings"))
 
 
 _FEATURES = ["x_price", "x_tax", "x_quantity"]

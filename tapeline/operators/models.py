@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapeline.operators.sampling import hash_order
 
@@ -86,8 +87,58 @@ def gate(rows: DataFrame, probability: str, tp: str, sl: str, accept: float = 0.
     return rows.withColumn("accepted", ok)
 
 
-def retrain_gates(auc_value: float, profit_factor: float, auc_gate: float = 0.55) -> dict[str, bool]:
-    return {"auc_ok": auc_value >= auc_gate, "pf_ok": profit_factor >= 1.0}
+def score_counts(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """``keys, score, pos, neg``: how many of either label share a score."""
+    y = F.col(label).cast("boolean")
+    return rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+
+
+def auc_by_group(counts: DataFrame, keys: list[str], pieces: int = 64) -> DataFrame:
+    """``keys, auc`` from ``score_counts``: the exact rank sum, ties counted half; 0 where one label is missing.
+
+    A group's scores are cut at approximate quantiles; running counts inside a
+    piece and the sums of the pieces before it give every score its rank, so no
+    group is sorted in one task.
+    """
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("score", shares, F.lit(1000))).alias("_q"))
+    rows = counts.join(cuts, keys).withColumn("_b", F.size(F.filter("_q", lambda x: x <= F.col("score")))).drop("_q")
+    inside = Window.partitionBy(*keys, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    below = rows.groupBy(*keys, "_b").agg(F.sum("neg").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(below, [*keys, "_b"])
+    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    # twice the wins, in whole numbers
+    wins = F.sum((F.col("pos") * (2 * (F.col("_before") + F.col("_in")) + F.col("neg"))).cast("decimal(38,0)")).cast("double")
+    return ranked.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), wins / 2 / pos / neg).otherwise(0.0).alias("auc"))
+
+
+def fold_gaps(rows: DataFrame, fold: str, score: str, label: str, overfit: float = 0.10) -> DataFrame:
+    """``fold, test_auc, train_auc, auc_gap, overfit_flag`` of expanding folds: a fold is tested, all folds before it train.
+
+    Counts of equal scores are copied to the later folds, not rows.
+    """
+    counts = score_counts(rows, [fold], score, label)
+    folds = counts.select(F.col(fold).alias("_f")).distinct()
+    both = counts.join(folds, F.col("_f") >= F.col(fold)).select(
+        F.col("_f").alias(fold), F.when(F.col("_f") == F.col(fold), "test").otherwise("train").alias("part"), "score", "pos", "neg")
+    both = both.groupBy(fold, "part", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = auc_by_group(both, [fold, "part"]).groupBy(fold).agg(
+        *[F.coalesce(F.max(F.when(F.col("part") == p, F.col("auc"))), F.lit(0.0)).alias(f"{p}_auc") for p in ("test", "train")])
+    gap = F.col("train_auc") - F.col("test_auc")
+    return found.withColumns({"auc_gap": gap, "overfit_flag": F.round(gap, 12) > overfit})
+
+
+def retrain_gates(rows: DataFrame, keys: list[str], score: str, label: str, auc_gate: float = 0.55) -> DataFrame:
+    """``keys, auc, profit_factor, accepted, reason`` of a candidate model on its validation rows.
+
+    The profit factor is right over wrong predictions of a win at 0.5.
+    """
+    y, p = F.col(label).cast("boolean"), F.col(score) >= 0.5
+    pf = rows.groupBy(*keys).agg((F.count_if(p & y) / F.greatest(F.count_if(p & ~y), F.lit(1))).alias("profit_factor"))
+    found = auc_by_group(score_counts(rows, keys, score, label), keys).join(pf, keys)
+    low_auc, low_pf = F.round("auc", 12) < auc_gate, F.col("profit_factor") < 1.0
+    return found.withColumns({"accepted": ~low_auc & ~low_pf, "reason": F.when(low_auc, "auc").when(low_pf, "profit_factor")})
 
 
 def permutation_importance(model, rows: DataFrame, features: list[str], label: str, tie: str, repeats: int = 1, seed: int = 42) -> DataFrame:

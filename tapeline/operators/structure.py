@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeline.operators.bars import KEYS
 from tapeline.operators.blocks import BLOCK, framed, running
-from tapeline.operators.touch import extreme_tree, first_touch
+from tapeline.operators.touch import extreme_tree, first_touch, range_extremes
 from tapeline.session import materialize
 
 ORDER_BLOCK_REACH = 19  # bars searched back from a break
@@ -38,6 +38,40 @@ def swings(bars: DataFrame, length: int, size: int = BLOCK) -> DataFrame:
     return framed(bars, KEYS, build, before=length, size=size)
 
 
+def swing_marks(bars: DataFrame, length: int | str, tree=None, size: int = BLOCK) -> DataFrame:
+    """Add ``top`` and ``bottom``: not below (above) any of the ``length`` bars before, which must be there.
+
+    ``length`` is a number, or a column with a length for each row (a symbol's
+    own parameter); then the extremes before a bar are read from the tree of
+    block extremes, five equi joins whatever the lengths are.
+    """
+    at = F.col("bar_idx")
+    if isinstance(length, int):
+
+        def build(w):
+            past = w.rowsBetween(-length, -1)
+            full = at >= length
+            return {"top": full & (F.col("high") >= F.max("high").over(past)), "bottom": full & (F.col("low") <= F.min("low").over(past))}
+
+        return framed(bars, KEYS, build, before=length, size=size)
+    ends = {"_from": (at - F.col(length)).cast("long"), "_to": (at - 1).cast("long")}
+    tree = tree if tree is not None else extreme_tree(bars)
+    seen = range_extremes(bars.withColumns(ends), tree, "_from", "_to", "_least", "_most")
+    full = at >= F.col(length)
+    marks = {"top": full & F.coalesce(F.col("high") >= F.col("_most"), F.lit(False)), "bottom": full & F.coalesce(F.col("low") <= F.col("_least"), F.lit(False))}
+    return seen.withColumns(marks).drop("_from", "_to", "_least", "_most")
+
+
+def swings_by_symbol(bars: DataFrame, length: str = "swing_length", tree=None, size: int = BLOCK) -> DataFrame:
+    """``swings`` with the length that each row names (K5: parameters by symbol)."""
+    marked = swing_marks(bars, length, tree, size)
+    found = {
+        "swing": F.when(F.col("top"), 1).when(F.col("bottom"), -1),
+        "swing_level": F.when(F.col("top"), F.col("high")).when(F.col("bottom"), F.col("low")),
+    }
+    return marked.withColumns(found).drop("top", "bottom")
+
+
 def gaps(bars: DataFrame, size: int = BLOCK) -> DataFrame:
     """Three-bar gaps, placed on the bar that completes them (+1 up, -1 down)."""
 

@@ -67,6 +67,34 @@ def cpcv_splits(windows: DataFrame, k: int = 2) -> DataFrame:
     return base.select(name.alias("split"), F.explode("test_idx").alias("window_id"))
 
 
+def cpcv_purged(signals: DataFrame, windows: DataFrame, splits: DataFrame, hold_seconds: int, embargo_seconds: int, value: str, ts: str = "ts") -> DataFrame:
+    """Per split: tested, training and purged signals with the sum and mean of ``value`` of the first two.
+
+    A training signal is purged when its time, holding time and embargo meet a
+    test window of the split (closed ends).  ``windows`` (``window_id,
+    test_start, test_end``) and ``splits`` are parameter tables.  Signals are
+    first added up by their own window and the run of windows their span
+    meets; splits then look at these few classes, so no signal is copied.
+    """
+    table = windows.agg(F.array_sort(F.collect_list(F.struct("test_start", "test_end", "window_id"))).alias("_w"))
+    end = F.col(ts) + F.make_dt_interval(secs=F.lit(hold_seconds + embargo_seconds))
+    ids = lambda cond: F.transform(F.filter("_w", cond), lambda w: w["window_id"])
+    spanned = signals.crossJoin(F.broadcast(table)).select(
+        ids(lambda w: (w["test_start"] <= F.col(ts)) & (w["test_end"] >= F.col(ts))).alias("own"),
+        ids(lambda w: (w["test_start"] <= end) & (w["test_end"] >= F.col(ts))).alias("met"), F.col(value).alias("_v"))
+    classes = spanned.groupBy("own", "met").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+    sets = splits.groupBy("split").agg(F.collect_set("window_id").alias("_t"))
+    j = sets.crossJoin(classes)  # windows x runs of windows, whatever the signals
+    tested = F.arrays_overlap("own", "_t")
+    purged = ~tested & F.arrays_overlap("met", "_t")
+    trains = ~tested & ~purged
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_s"))), F.lit(0.0))
+    out = j.groupBy("split").agg(
+        n(tested).alias("n_test"), n(trains).alias("n_train"), n(purged).alias("n_purged"), total(tested).alias("test_sum"), total(trains).alias("train_sum"))
+    return out.withColumns({f"{p}_mean": F.try_divide(F.col(f"{p}_sum"), F.col(f"n_{p}")) for p in ("test", "train")})
+
+
 def cpcv_evaluate(trades: DataFrame, splits: DataFrame, metrics, trials: DataFrame) -> DataFrame:
     """Metrics of every split on the union of its test windows, with deflated Sharpe.
 
@@ -164,16 +192,27 @@ def shuffled_drawdowns(trades: DataFrame, n_simulations: int, tie: str, seed: in
     )
 
 
-def drawdown_tail(sims: DataFrame, n_simulations: int, confidence: float = 0.95) -> DataFrame:
-    """Value at risk and expected shortfall of the simulated drawdowns."""
+def with_median_risk(trades: DataFrame, risk: str, least: int = 5, fallback: float = 0.01) -> DataFrame:
+    """Trades with ``risk`` set to the median of all, as the simulation uses it; none if there are fewer than ``least``."""
+    middle = trades.agg(F.percentile(risk, F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return trades.drop("risk").crossJoin(F.broadcast(middle)).filter(F.col("_n") >= least).withColumn("risk", F.coalesce("_m", F.lit(fallback))).drop("_m", "_n")
+
+
+def drawdown_tail(sims: DataFrame, n_simulations: int, confidence: float = 0.95, account: float = 100_000.0) -> DataFrame:
+    """Value at risk and expected shortfall of the simulated drawdowns, and the interval of the final results.
+
+    ``robust``: the lower end of the interval is a profit.
+    """
     tail = max(1, int(np.ceil((1 - confidence) * n_simulations)))
     ranked = sims.withColumn("_r", F.row_number().over(Window.orderBy("max_dd", "sim")))  # one row per simulation
     in_tail = F.when(F.col("_r") <= tail, F.col("max_dd"))
+    pnl = account * (F.col("final_growth") - 1)
     return ranked.agg(
         F.avg(in_tail).alias("cvar_dd"), F.max(in_tail).alias("var_dd"), F.percentile("max_dd", F.lit(0.5)).alias("median_dd"),
         F.avg("max_dd").alias("mean_dd"), F.avg((F.col("final_growth") > 1).cast("double")).alias("pct_profitable"),
-        F.count(F.lit(1)).alias("n_simulations"),
-    )
+        F.count(F.lit(1)).alias("n_simulations"), *[F.percentile(pnl, F.lit(q)).alias(n) for n, q in (
+            ("median_final_pnl", 0.5), ("ci_lower_pnl", (1 - confidence) / 2), ("ci_upper_pnl", (1 + confidence) / 2))],
+    ).withColumn("robust", F.coalesce(F.col("ci_lower_pnl") > 0, F.lit(False)))
 
 
 def region_grid(grid: DataFrame, x: str, y: str, value: str, columns: list | None = None) -> DataFrame:
@@ -211,9 +250,47 @@ def region_summary(
     ).drop("_ns")
 
 
-def acceptance_gates(metrics: DataFrame, dsr_threshold: float = 0.70, max_dd: float = -0.10) -> DataFrame:
-    """Gates per run, the list of failed ones and warnings."""
-    c = F.col
+def lattice_stability(results: DataFrame, axes: list[str], metric: str = "pf_real", key: str = "combo_id", reach: float = 0.10, limit: float = 50.0) -> DataFrame:
+    """``key, neighbours, max_pf_change_pct, stable`` of every point of a parameter lattice.
+
+    A neighbour differs in one axis only, by at most ``reach`` of the value.
+    The other axes are equal, so each axis is an equi join of the lattice with
+    itself; a point without neighbours is stable.
+    """
+    pairs = None
+    for axis in axes:
+        same = [a for a in axes if a != axis]
+        other = results.select(*same, F.col(axis).alias("_x"), F.col(metric).alias("_m"))
+        here = results.select(key, *same, F.col(axis).alias("_v"), F.col(metric).alias("_own"))
+        joined = (here.join(other, same) if same else here.crossJoin(other)).filter((F.col("_x") != F.col("_v")) & (F.abs(F.col("_x") - F.col("_v")) <= reach * F.abs(F.col("_v")) * (1 + 1e-9)))
+        moved = joined.select(key, (F.abs(F.col("_m") - F.col("_own")) / F.greatest(F.abs("_own"), F.lit(1e-9)) * 100).alias("_c"))
+        pairs = moved if pairs is None else pairs.unionByName(moved)
+    shift = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("neighbours"), F.max("_c").alias("max_pf_change_pct"))
+    out = results.select(key).join(shift, key, "left").fillna({"neighbours": 0, "max_pf_change_pct": 0.0})
+    return out.withColumn("stable", F.round("max_pf_change_pct", 9) < limit)
+
+
+def qualified_trials(results: DataFrame, key: str = "combo_id", least: int = 5) -> DataFrame:
+    """``key, sharpe, used_fallback``: the trials that count for the deflated Sharpe, with their mean over the windows.
+
+    Evergreen combinations; where there are fewer than ``least``, those that
+    traded in every window.
+    """
+    per = results.groupBy(key).agg(
+        F.max("is_evergreen").alias("_e"), F.min(F.coalesce(F.col("total_trades"), F.lit(0)) > 0).alias("_all"), F.avg(F.when(~F.isnan("sharpe"), F.col("sharpe"))).alias("sharpe"))
+    enough = per.agg((F.count_if(F.coalesce("_e", F.lit(False))) < least).alias("used_fallback"))
+    kept = F.when(F.col("used_fallback"), F.col("_all")).otherwise(F.col("_e"))
+    return per.crossJoin(F.broadcast(enough)).filter(kept & F.col("sharpe").isNotNull()).select(key, "sharpe", "used_fallback")
+
+
+def acceptance_gates(metrics: DataFrame, dsr_threshold: float = 0.70, max_dd: float = -0.10, small_sample: int = 30) -> DataFrame:
+    """All eight gates per run, the list of failed ones, and warnings.
+
+    Columns that are missing skip their gate: ``mc_robust`` and ``mc_worst_dd``
+    (simulated paths), ``stable`` and ``n_real`` (neighbouring parameters;
+    fewer than ``small_sample`` real trades pass, with a warning), ``dsr``.
+    """
+    c, have = F.col, metrics.columns
     least_trades = F.when(c("asset_class").isin("forex", "commodities"), 5).otherwise(20)
     gates = {
         "profit_factor": c("pf_real") >= 1.5,
@@ -221,16 +298,20 @@ def acceptance_gates(metrics: DataFrame, dsr_threshold: float = 0.70, max_dd: fl
         "sharpe": c("sharpe") >= 0.5,
         "max_dd": c("max_drawdown") >= max_dd,
         "quality": (c("winrate_real") > 0.20) & (c("expectancy") > 0),
-        "dsr": c("dsr") >= dsr_threshold,
     }
-    if "mc_worst_dd" in metrics.columns:
-        gates["monte_carlo"] = c("mc_worst_dd") >= max_dd
-    failed = F.array_compact(F.array(*[F.when(~g, F.lit(n)) for n, g in gates.items()]))
-    warn = F.array_compact(F.array(
-        F.when(c("pf_real") > 10, F.lit("suspicious_pf")), F.when(c("winrate_real") > 0.80, F.lit("suspicious_wr")),
-        F.when(c("be_rate") > 0.50, F.lit("high_be_rate")),
-    ))
-    return metrics.withColumns({"failed": failed, "warnings": warn}).withColumn("passed", F.size("failed") == 0)
+    if "dsr" in have:
+        gates["dsr"] = c("dsr") >= dsr_threshold
+    if "mc_worst_dd" in have or "mc_robust" in have:
+        gates["monte_carlo"] = (c("mc_worst_dd") >= max_dd if "mc_worst_dd" in have else F.lit(True)) & (c("mc_robust") if "mc_robust" in have else F.lit(True))
+    warnings = [
+        F.when(c("pf_real") > 10, F.lit("suspicious_pf")), F.when(c("winrate_real") > 0.80, F.lit("suspicious_wr")), F.when(c("be_rate") > 0.50, F.lit("high_be_rate")),
+    ]
+    if "stable" in have:
+        few = (c("n_real") if "n_real" in have else F.lit(0)) < small_sample
+        gates["stability"] = few | c("stable")
+        warnings.append(F.when(few & ~c("stable"), F.lit("stability_skipped")))
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(n)) for n, g in gates.items()]))
+    return metrics.withColumns({"failed": failed, "warnings": F.array_compact(F.array(*warnings))}).withColumn("passed", F.size("failed") == 0)
 
 
 def bootstrap(values: DataFrame, value: str, replicates: int, tie: str, seed: int = 42) -> DataFrame:

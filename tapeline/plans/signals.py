@@ -42,22 +42,41 @@ class SignalParams:
     strict: bool = False
 
 
-def series_table(base: DataFrame, decision_tf: str = "5m") -> DataFrame:
-    """Numbered bars of the decision timeframe and all coarser ones."""
+def series_table(base: DataFrame, decision_tf: str = "5m", lengths: DataFrame | None = None, default: int = SignalParams.swing_length) -> DataFrame:
+    """Numbered bars of the decision timeframe and all coarser ones.
+
+    ``lengths`` (``symbol, swing_length``) gives symbols their own detector
+    length, which then travels with the bars; others take ``default``.
+    """
     wanted = [t for t in HTF if TIMEFRAMES[t] > TIMEFRAMES[decision_tf]]
     tall = all_timeframes(base, decision_tf, wanted).withColumn("sym", F.col("symbol"))
+    if lengths is not None:
+        own = lengths.select(F.col("symbol").alias("sym"), F.col("swing_length").cast("int").alias("swing_length"))
+        tall = tall.join(own, "sym", "left").fillna({"swing_length": default})
     return materialize(numbered(tall.withColumn("symbol", F.concat_ws("|", "symbol", "tf"))))
 
 
+def swing_length(df: DataFrame, p: SignalParams) -> Column:
+    """The detector length of each row."""
+    return F.col("swing_length") if "swing_length" in df.columns else F.lit(p.swing_length)
+
+
+def marked_swings(bars: DataFrame, p: SignalParams) -> DataFrame:
+    return S.swing_marks(bars, "swing_length" if "swing_length" in bars.columns else p.swing_length)
+
+
 def structure_tables(bars: DataFrame, p: SignalParams, look_ahead: bool = False) -> dict[str, DataFrame]:
     """Swings, breaks, gaps and order blocks of every series.
 
     ``look_ahead`` takes the detectors that see later bars; they are for labels
     only.
     """
+    own = "swing_length" in bars.columns
+    if own and look_ahead:
+        raise ValueError("detectors that look ahead take one length")
     find = S.swings_centred if look_ahead else S.swings
-    swung = materialize(find(bars, p.swing_length))
-    enough = F.col("n_bars") >= 2 * p.swing_length
+    swung = materialize(S.swings_by_symbol(bars) if own else find(bars, p.swing_length))
+    enough = F.col("n_bars") >= 2 * swing_length(bars, p)
     broken = materialize(S.breaks(swung.filter(enough)))
     return {
         "bars": bars,
@@ -158,18 +177,15 @@ def target_tables(t: dict[str, DataFrame], p: SignalParams) -> dict[str, DataFra
     last opposite one of ten bars before a swing) when a later bar trades to its near side.
     """
     bars = materialize(t["bars"].filter(F.col("tf").isin("4h", "1h")))
-    reach = max(p.swing_length, 10)
 
     def build(w):
-        window, ten = w.rowsBetween(-p.swing_length, -1), w.rowsBetween(-10, -1)
-        enough, body = F.col("bar_idx") >= p.swing_length, F.col("close") - F.col("open")
+        ten, body = w.rowsBetween(-10, -1), F.col("close") - F.col("open")
         return {
-            "top": enough & (F.col("high") >= F.max("high").over(window)), "bottom": enough & (F.col("low") <= F.min("low").over(window)),
             "h2": F.lag("high", 2).over(w), "l2": F.lag("low", 2).over(w),
             "red": F.max(F.when(body < 0, F.col("bar_idx"))).over(ten), "green": F.max(F.when(body > 0, F.col("bar_idx"))).over(ten),
         }
 
-    marked = materialize(framed(bars, KEYS, build, before=reach).select("symbol", "bar_idx", "high", "low", "top", "bottom", "h2", "l2", "red", "green"))
+    marked = materialize(framed(marked_swings(bars, p), KEYS, build, before=10).select("symbol", "bar_idx", "high", "low", "top", "bottom", "h2", "l2", "red", "green"))
     zone = lambda side, at, level: F.struct(F.lit(side).alias("side"), F.col(at).alias("at"), F.col(level).alias("level"))
     gaps = marked.select("symbol", "bar_idx", F.explode(F.array_compact(F.array(
         F.when(F.col("high") < F.col("l2"), zone(1, "bar_idx", "l2")), F.when(F.col("low") > F.col("h2"), zone(-1, "bar_idx", "h2"))))).alias("z"))
@@ -244,16 +260,7 @@ def structure_target(cands: DataFrame, t: dict[str, DataFrame], p: SignalParams,
     up = F.col("direction") > 0
     need = F.col("stop_dist") * p.min_rr
     tree = extreme_tree(t["bars"])
-    s = t["swings"]
-    window = lambda w: w.rowsBetween(-p.swing_length, -1)
-    both = framed(
-        s, KEYS,
-        lambda w: {
-            "top": (F.col("bar_idx") >= p.swing_length) & (F.col("high") >= F.max("high").over(window(w))),
-            "bottom": (F.col("bar_idx") >= p.swing_length) & (F.col("low") <= F.min("low").over(window(w))),
-        },
-        before=p.swing_length,
-    )
+    both = marked_swings(t["swings"], p)
     only_swings = both.select(
         "symbol", "bar_idx",
         F.when(F.col("top"), F.col("high")).otherwise(-1e300).alias("high"),
@@ -309,8 +316,8 @@ def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, deci
     )
     # series too short for structure give no daily bias (day) or no confirmation
     rows = rows.select("sym", "ts", "bar_idx", "n_bars", F.col("close").alias("entry"), "volume_ok", "trigger_up",
-                       "trigger_dn", "low21", "high21")
-    ready = state.filter(F.col("n_bars") >= 2 * p.swing_length)
+                       "trigger_dn", "low21", "high21", *[c for c in ("swing_length",) if c in rows.columns])
+    ready = state.filter(F.col("n_bars") >= 2 * swing_length(state, p))
     rows = attach(rows, ready, "1d", {"bias": "bias", "strong": "bias_strong"}, p, "inner")
     rows = attach(rows, ready, "1h", {"structure": "s1h", "after_choch": "choch1h"}, p, "inner")
     rows = attach(rows, state, "1h", {"bar_idx": "idx_1h"}, p)
@@ -340,7 +347,7 @@ def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, deci
          "h1": F.col("h1_ok"), "h1_choch": F.col("choch1h"), "zone": F.col("has_zone"), "trigger": F.col("precision"),
          "volume": F.col("volume_ok")}
     )
-    rows = rows.withColumn("score", score).filter(F.col("bar_idx") >= 2 * p.swing_length)
+    rows = rows.withColumn("score", score).filter(F.col("bar_idx") >= 2 * swing_length(rows, p))
     reason: Column = (
         F.when(F.col("bias") == 0, "neutral")
         .when(F.col("dp_zone") == F.col("direction"), "premium_discount")
@@ -371,9 +378,9 @@ def signals_from(scored: DataFrame, t: dict[str, DataFrame], p: SignalParams, se
     )
 
 
-def generate(base: DataFrame, p: SignalParams | None = None, decision_tf: str = "5m") -> DataFrame:
-    """All signals of all symbols from stored decision bars."""
+def generate(base: DataFrame, p: SignalParams | None = None, decision_tf: str = "5m", lengths: DataFrame | None = None) -> DataFrame:
+    """All signals of all symbols from stored decision bars; ``lengths`` as in ``series_table``."""
     p = p or SignalParams()
-    t = structure_tables(series_table(base, decision_tf), p)
+    t = structure_tables(series_table(base, decision_tf, lengths, p.swing_length), p)
     state = materialize(running_state(t, p))
     return signals_from(scored_bars(t, state, p, decision_tf), t, p)

@@ -92,3 +92,12 @@ def test_later_bars_do_not_change_earlier_results(walk_df):
     cut = walk_df.filter("bar_idx < 50")
     for fn in (lambda d: S.breaks(S.swings(d, LENGTH)).filter("bar_idx < 50"), lambda d: X.ema(d, {"e": 20}).filter("bar_idx < 50").select("symbol", "bar_idx", F.round("e", 9))):
         assert sorted(map(tuple, fn(walk_df).collect())) == sorted(map(tuple, fn(cut).collect()))
+
+
+def test_each_symbol_has_its_own_swing_length(spark, walk_df):
+    lengths = {"A": 2, "B": 7, "C": 40}
+    own = spark.createDataFrame(list(lengths.items()), "symbol string, swing_length int")
+    got = S.swings_by_symbol(walk_df.join(own, "symbol")).select("symbol", "bar_idx", "swing", "swing_level")
+    for symbol, n in lengths.items():
+        want = S.swings(walk_df.filter(F.col("symbol") == symbol), n).select("symbol", "bar_idx", "swing", "swing_level")
+        assert sorted(map(str, got.filter(F.col("symbol") == symbol).collect())) == sorted(map(str, want.collect()))

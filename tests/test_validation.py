@@ -183,3 +183,46 @@ def test_nothing_is_cut_off(spark):
 def test_one_position_per_symbol(spark):
     two = _book(spark, [0.01, 0.01], [1, 1]).withColumn("symbol", F.lit("S")).withColumn("exit_ts", F.expr("ts + interval 5 hours"))
     assert P.portfolio_run(two, ["acct"]).count() == 1
+
+
+def test_auc_of_groups_with_ties(spark):
+    from tapeline.operators import models as M
+
+    rng = np.random.default_rng(6)
+    rows = [(g, float(s), bool(y)) for g, n in (("hot", 600), ("b", 40)) for s, y in zip(rng.integers(0, 50, n) / 7, rng.random(n) < 0.3, strict=True)]
+    rows += [("one", 1.0, True), ("one", 2.0, True), ("b", None, True), ("b", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, s double, y boolean")
+    got = {r.g: r.auc for r in M.auc_by_group(M.score_counts(df, ["g"], "s", "y"), ["g"], pieces=7).collect()}
+    for g in ("hot", "b"):
+        pos = np.array([s for k, s, y in rows if k == g and y and s is not None])
+        neg = np.array([s for k, s, y in rows if k == g and y is False])
+        want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg)
+        assert abs(got[g] - want) < 1e-12
+    assert got["one"] == 0.0
+
+
+def test_fold_gap_uses_earlier_folds_only(spark):
+    from tapeline.operators import models as M
+
+    rows = [(0, 0.9, True), (0, 0.1, False), (1, 0.2, True), (1, 0.8, False), (2, 0.7, True), (2, 0.3, False)]
+    got = {r.f: (r.test_auc, r.train_auc, r.overfit_flag) for r in M.fold_gaps(spark.createDataFrame(rows, "f int, s double, y boolean"), "f", "s", "y").collect()}
+    assert got == {0: (1.0, 0.0, False), 1: (0.0, 1.0, True), 2: (1.0, 0.5, False)}
+
+
+def test_purge_with_embargo(spark):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    w = spark.createDataFrame([(0, day(1), day(5)), (1, day(10), day(15)), (2, day(20), day(25))], "window_id int, a string, b string").selectExpr(
+        "window_id", "timestamp(a) test_start", "timestamp(b) test_end")
+    s = spark.createDataFrame([(day(2), 1.0), (day(8), 2.0), (day(9), 4.0), (day(12), 8.0), (day(28), 16.0)], "t string, rr double").selectExpr("timestamp(t) ts", "rr")
+    got = {r.split: (r.n_test, r.n_train, r.n_purged, r.test_sum, r.train_sum) for r in V.cpcv_purged(s, w, V.cpcv_splits(w, 1), 43_200, 43_200, "rr").collect()}
+    # one day after its signal a trade is over: that of the 9th meets the second window, that of the 8th does not
+    assert got == {"0": (1, 4, 0, 1.0, 30.0), "1": (1, 3, 1, 8.0, 19.0), "2": (0, 5, 0, 0.0, 31.0)}
+
+
+def test_few_trades_give_no_simulation(spark):
+    t = spark.createDataFrame([(i, 1.0, r) for i, r in enumerate([0.01, 0.03, 0.02, 0.5, 0.01])], "trade_id long, rr double, risk double")
+    assert {r.risk for r in V.with_median_risk(t, "risk").collect()} == {0.02}
+    assert V.with_median_risk(t.limit(4), "risk").collect() == []
+    sims = V.shuffled_drawdowns(V.with_median_risk(t, "risk"), 20, "trade_id")
+    tail = V.drawdown_tail(sims, 20).first()
+    assert tail.robust and abs(tail.median_final_pnl - 100_000 * (1.02**5 - 1)) < 1e-6
