@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeline.catalog.fragments import TICKS, TRADES, bars_cte, breaks_cte, swings_cte, with_
@@ -10,7 +12,7 @@ from tapeline.catalog.portfolio_queries import BREAKER
 from tapeline.catalog.registry import R, SQL, query, r
 from tapeline.operators import drift as D
 from tapeline.plans import signals as G
-from tapeline.session import materialize
+from tapeline.session import materialize, shared_dir
 from tapeline.sources import tables as T
 from tapeline.streaming import candles as C
 
@@ -25,11 +27,31 @@ def _ticks(spark, sf):
                      F.col("value").alias("price"), F.lit(1.0).alias("volume"), "props")
 
 
+#: Rows of one slice of a replayed table.
+SLICE = 2_000_000
+
+
 def _stored(spark, df):
-    """A stored table as a stream."""
+    """A stored table as a stream, and how late its rows may be.
+
+    Slices of time are written one after another, so files arrive in order of
+    their slice, whatever the order in which the tasks of one write end.  A last
+    file moves the clock on, as the next rows of a live feed do.
+    """
     m = materialize(df)
-    path = m.inputFiles()[0].rsplit("/", 1)[0]
-    return C.open_stream(spark, path, m.schema)
+    time = "ts" if "ts" in df.columns else "exit_time"
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    n = max(4, m.count() // SLICE)
+    cuts = [int(x) for x in m.agg(F.percentile_approx(us, F.array(*[F.lit(i / n) for i in range(n + 1)]), F.lit(10_000))).first()[0] or [0]]
+    low, top = [int(x or 0) for x in m.agg(F.min(us), F.max(us)).first()]
+    edges = sorted({low, *[c for c in cuts if low < c <= top]}) + [top + 1]
+    delay = max(b - a for a, b in zip(edges[:-1], edges[1:])) // 1_000_000 + 1
+    path = f"{shared_dir(spark)}/tapeline/replay-{uuid.uuid4().hex}"
+    for a, b in zip(edges[:-1], edges[1:]):
+        m.filter((us >= a) & (us < b)).write.mode("append").parquet(path)
+    later = F.timestamp_micros(F.lit(top + 3 * (delay + 86_400) * 1_000_000)).cast(m.schema[time].dataType)
+    spark.range(1).select(*[(later if c == time else F.lit(None).cast(m.schema[c].dataType)).alias(c) for c in m.columns]).write.mode("append").parquet(path)
+    return C.open_stream(spark, path, m.schema), f"{delay} seconds"
 
 
 CLOSED = "epoch_us(ts) + {s}::BIGINT * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000"
@@ -63,19 +85,19 @@ def stream_heartbeat_counts(spark, sf):
 
 @query("stream_indicators")
 def stream_indicators(spark, sf):
-    out = C.drain(C.incremental_indicators(_stored(spark, T.bars(spark, sf))))
+    rows, delay = _stored(spark, T.bars(spark, sf))
+    out = C.drain(C.incremental_indicators(rows, delay=delay))
     return out.select("symbol", "ts", *[r(c).alias(c) for c in ("ema20", "ema50", "rsi", "atr")])
 
 
 @query(
     "stream_rolling_buffer",
-    with_(TICKS, bars_cte()) + f"""SELECT symbol, max(ts) AS ts, {R('avg(close) FILTER (bar_idx >= n_bars - 50)')} AS mean_close,
-    count(*) FILTER (bar_idx >= n_bars - 50) AS held FROM bars GROUP BY symbol""",
+    with_(TICKS, bars_cte()) + f"""SELECT symbol, ts, {R('sum(close) OVER w', 3)} AS sum_close, count(*) OVER w AS held FROM bars
+    WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)""",
 )
 def stream_rolling_buffer(spark, sf):
-    out = C.drain(C.rolling_buffer(_stored(spark, T.bars(spark, sf).coalesce(1)), 50))
-    mean = F.aggregate("closes", F.lit(0.0), lambda a, x: a + x) / F.size("closes")
-    return out.select("symbol", "ts", r(mean).alias("mean_close"), F.size("closes").cast("long").alias("held"))
+    rows, delay = _stored(spark, T.bars(spark, sf))
+    return C.drain(C.rolling_buffer(rows, delay=delay)).select("symbol", "ts", r(F.col("mean_close") * F.col("held"), 3).alias("sum_close"), "held")
 
 
 @query(
@@ -89,15 +111,16 @@ def stream_rolling_buffer(spark, sf):
 )
 def stream_rejection_dedup(spark, sf):
     sig, _ = signals(spark, sf)
-    return C.drain(C.rejection_dedup(_stored(spark, sig)))
+    rows, delay = _stored(spark, sig)
+    return C.drain(C.rejection_dedup(rows, delay=delay))
 
 
 def _feed(spark, sf):
     sig, bars = signals(spark, sf)
-    return _stored(spark, C.feed(bars, sig).coalesce(1))
+    return _stored(spark, C.feed(bars, sig))
 
 
-HZ = {"scalp": 24, "day": 72, "swing": 240}
+HZ = {"scalp": 72, "day": 288, "swing": 1440}
 
 
 def _touch(level, up):
@@ -114,13 +137,15 @@ def _touch(level, up):
       FROM bars b WHERE b.symbol = o.symbol AND b.bar_idx > o.bar_idx AND b.bar_idx <= o.till) AS mfe FROM o WHERE outcome IS NOT NULL""",
 )
 def stream_counterfactual_tracker(spark, sf):
-    out = C.drain(C.counterfactual_tracker(_feed(spark, sf), HZ))
+    rows, delay = _feed(spark, sf)
+    out = C.drain(C.counterfactual_tracker(rows, delay=delay))
     return out.select("sig_id", "horizon", "outcome", r("mfe").alias("mfe"))
 
 
 @query("stream_trade_lifecycle")
 def stream_trade_lifecycle(spark, sf):
-    out = C.drain(C.trade_lifecycle(_feed(spark, sf)))
+    rows, delay = _feed(spark, sf)
+    out = C.drain(C.trade_lifecycle(rows, delay=delay))
     return out.select("sig_id", "phase", "bar_index", *[r(c).alias(c) for c in ("move_pct", "mfe", "mae", "profit_share")])
 
 
@@ -131,7 +156,8 @@ def stream_trade_lifecycle(spark, sf):
 def stream_breaker_status(spark, sf):
     t = T.trades(spark, sf).filter("exit_time is not null").select(
         F.col("asset_class").alias("account"), "trade_id", "exit_time", (F.col("pnl_pct") / 1000).alias("pnl_pct"))
-    out = C.drain(C.breaker_stream(_stored(spark, t.coalesce(1))))
+    rows, delay = _stored(spark, t)
+    out = C.drain(C.breaker_stream(rows, delay=delay))
     return out.select("account", "trade_id", *[r(c).alias(c) for c in ("daily", "weekly", "alltime_dd")])
 
 
@@ -146,6 +172,17 @@ def stream_staleness(spark, sf):
     return C.staleness(last.withColumn("asset_class", T.class_of(F.col("user_id"))), "2024-01-30 12:00:00", "asset_class", 86400)
 
 
+@query(
+    "stream_stale_symbols",
+    """WITH o AS (SELECT event_type AS symbol, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next FROM events)
+    SELECT symbol, ts AS last_ts FROM o WHERE next IS NULL OR next - ts > INTERVAL 420 SECOND""",
+)
+def stream_stale_symbols(spark, sf):
+    """Silences of symbols in the feed of ticks."""
+    rows, delay = _stored(spark, T.ticks(spark, sf).select("symbol", "ts"))
+    return C.drain(C.stale_symbols(rows, delay=delay))
+
+
 @query("stream_drift_batches")
 def stream_drift_batches(spark, sf):
     """Drift of each micro-batch of ticks against all ticks before the middle."""

@@ -1,15 +1,16 @@
 """Streaming candles: intake, bars, indicators, tracking, breaker, staleness.
 
 State per key is small and bounded (a few numbers, open trackers, one open
-trade).  A trigger should be limited at the source (``maxFilesPerTrigger`` or
-``maxBytesPerTrigger``), because the rows of one key in one trigger are put in
-time order before the state sees them.
+trade).  Operators that depend on the order hold rows back in their state until
+the watermark has passed them (``delay`` says by how much rows may be late),
+then take them in event time, so that their result does not depend on how rows
+were dealt to files and triggers.  Rows later than that are dropped.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,93 +70,125 @@ def heartbeat_counts(candles: DataFrame, group: str = "symbol", every: str = "5
     )
 
 
-def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
+DELAY = "10 minutes"
 
 
-def _stateful(rows: DataFrame, keys: list[str], fn, out: str, state: str, timeout=GroupStateTimeout.NoTimeout) -> DataFrame:
-    return rows.groupBy(*keys).applyInPandasWithState(fn, out, state, "append", timeout)
+def _ordered(rows: DataFrame, keys: list[str], ties: list[str], start: Callable[[], tuple], take: Callable, out: str, state: str, delay: str,
+             silence: Callable | None = None) -> DataFrame:
+    """Rows of each key in order of ``ts`` and ``ties``, one after another, through ``take(key, inner, row, emit)``.
 
-
-def incremental_indicators(candles: DataFrame, period: int = 14) -> DataFrame:
+    ``inner`` is the key's own state, a list of the fields of ``state``.  Rows
+    the watermark has not passed wait in the state, with a timer at the first
+    of them.  ``silence(inner)`` may name a further time (microseconds) for the
+    timer; ``take`` is then called with no row once the watermark passes it.
+    """
+    fields = [f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields]
+    names = rows.columns
+    # whole numbers next to nulls come as fractions, which the state would not keep
+    casts = [(f.name, int if f.name == "ts" or f.dataType.typeName() in ("integer", "long") else lambda v: v) for f in rows.schema.fields]
+    columns = [c.strip().split(" ")[0] for c in out.split(",")]
+    inner_fields = [f.strip().split(" ", 1) for f in state.split(";")]
+    at = names.index("ts")
+
+    def step(key, frames, group: GroupState):
+        pending, inner = [], list(start())
+        if group.exists:
+            held, kept = group.get
+            pending = [tuple(r) for r in held]
+            inner = [x if not isinstance(x, list) else [tuple(y) if isinstance(y, tuple) else y for y in x] for x in kept]
+        if not group.hasTimedOut:
+            for f in frames:
+                f = f.assign(ts=f["ts"].astype("datetime64[us]").astype("int64"))
+                pending += zip(*[[None if v is None or v != v else whole(v) for v in f[c].tolist()] for c, whole in casts])
+        passed = group.getCurrentWatermarkMs() * 1000
+        place = [at, *(names.index(t) for t in ties)]
+        ready = sorted((r for r in pending if r[at] <= passed), key=lambda r: tuple((r[i] is not None, r[i]) for i in place))
+        pending = [r for r in pending if r[at] > passed]
+        found: list[tuple] = []
+        for r in ready:
+            take(key, inner, dict(zip(names, r)), found.append)
+        due = silence(inner) if silence else None
+        if due is not None and due <= passed:
+            take(key, inner, None, found.append)
+            due = None
+        group.update(([tuple(r) for r in pending], tuple(inner)))
+        waits = [r[at] for r in pending] + ([due] if due is not None else [])
+        if waits:
+            group.setTimeoutTimestamp(max(min(waits) // 1000, group.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=columns)
+
+    kept = f"pending array<struct<{', '.join(f if not f.startswith('ts:') else 'ts: bigint' for f in fields)}>>, inner struct<{', '.join(': '.join(f) for f in inner_fields)}>"
+    marked = rows.withWatermark("ts", delay)
+    return marked.groupBy(*keys).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _time(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+def incremental_indicators(candles: DataFrame, period: int = 14, delay: str = DELAY) -> DataFrame:
     """EMA20/50, Wilder RSI and ATR per candle from carried state.
 
     Equal to the batch recursions from the first full period on.
     """
-    def step(key, frames, state: GroupState):
-        n, e20, e50, gain, loss, atr, prev = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        out = []
-        for r in _in_order(frames, ["ts"]).itertuples(index=False):
-            c = r.close
-            tr = r.high - r.low if n == 0 else max(r.high - r.low, abs(r.high - prev), abs(r.low - prev))
-            up, down = (0.0, 0.0) if n == 0 else (max(c - prev, 0.0), max(prev - c, 0.0))
-            e20 = c if n == 0 else e20 + 2 / 21 * (c - e20)
-            e50 = c if n == 0 else e50 + 2 / 51 * (c - e50)
-            if n < period:
-                atr = (atr * n + tr) / (n + 1)
-            else:
-                atr = (atr * (period - 1) + tr) / period
-            if 1 <= n <= period:
-                gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
-            elif n > period:
-                gain, loss = (gain * (period - 1) + up) / period, (loss * (period - 1) + down) / period
-            rsi = 50.0 if n <= period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-            prev, n = c, n + 1
-            out.append((key[0], r.ts, n, e20, e50, rsi, atr))
-        state.update((n, e20, e50, gain, loss, atr, prev))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "n", "ema20", "ema50", "rsi", "atr"])
-
-    return _stateful(
-        candles.select("symbol", "ts", "high", "low", "close"), ["symbol"], step,
+    def take(key, s, r, emit):
+        n, e20, e50, gain, loss, atr, prev = s
+        c = r["close"]
+        tr = r["high"] - r["low"] if n == 0 else max(r["high"] - r["low"], abs(r["high"] - prev), abs(r["low"] - prev))
+        up, down = (0.0, 0.0) if n == 0 else (max(c - prev, 0.0), max(prev - c, 0.0))
+        e20 = c if n == 0 else e20 + 2 / 21 * (c - e20)
+        e50 = c if n == 0 else e50 + 2 / 51 * (c - e50)
+        atr = (atr * n + tr) / (n + 1) if n < period else (atr * (period - 1) + tr) / period
+        if 1 <= n <= period:
+            gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+        elif n > period:
+            gain, loss = (gain * (period - 1) + up) / period, (loss * (period - 1) + down) / period
+        rsi = 50.0 if n <= period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+        s[:] = n + 1, e20, e50, gain, loss, atr, c
+        emit((key[0], _time(r["ts"]), n + 1, e20, e50, rsi, atr))
+
+    return _ordered(
+        candles.select("symbol", "ts", "high", "low", "close"), ["symbol"], ["close"], lambda: (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), take,
         "symbol string, ts timestamp, n long, ema20 double, ema50 double, rsi double, atr double",
-        "n long, e20 double, e50 double, gain double, loss double, atr double, prev double",
+        "n long; e20 double; e50 double; gain double; loss double; atr double; prev double", delay,
     )
 
 
-def rolling_buffer(candles: DataFrame, size: int = 300) -> DataFrame:
-    """Closes of the last ``size`` candles per symbol, sent on with every trigger."""
-    def step(key, frames, state: GroupState):
-        old = list(state.get[0]) if state.exists else []
-        new = _in_order(frames, ["ts"])
-        kept = (old + new["close"].tolist())[-size:]
-        state.update((kept,))
-        yield pd.DataFrame({"symbol": [key[0]], "ts": [new["ts"].iloc[-1]], "closes": [kept]})
+def rolling_buffer(candles: DataFrame, size: int = 300, delay: str = DELAY) -> DataFrame:
+    """Number and mean of the closes of the last ``size`` candles per symbol, for every candle."""
+    def take(key, s, r, emit):
+        s[0] = [*s[0], r["close"]][-size:]
+        emit((key[0], _time(r["ts"]), len(s[0]), sum(s[0]) / len(s[0])))
 
-    return _stateful(candles.select("symbol", "ts", "close"), ["symbol"], step,
-                     "symbol string, ts timestamp, closes array<double>", "closes array<double>")
+    return _ordered(candles.select("symbol", "ts", "close"), ["symbol"], ["close"], lambda: ([],), take,
+                    "symbol string, ts timestamp, held long, mean_close double", "closes array<double>", delay)
 
 
-def rejection_dedup(rejections: DataFrame, bars_apart: int = 6) -> DataFrame:
+def rejection_dedup(rejections: DataFrame, bars_apart: int = 6, delay: str = DELAY) -> DataFrame:
     """One rejection per direction within six bars of the last kept one."""
-    def step(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in _in_order(frames, ["bar_idx"]).itertuples(index=False):
-            if last is None or r.bar_idx - last >= bars_apart:
-                last = int(r.bar_idx)
-                out.append((r.sig_id, key[0], int(key[1]), last))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["sig_id", "symbol", "direction", "bar_idx"])
+    def take(key, s, r, emit):
+        if s[0] < 0 or r["bar_idx"] - s[0] >= bars_apart:
+            s[0] = r["bar_idx"]
+            emit((r["sig_id"], key[0], int(key[1]), s[0]))
 
-    return _stateful(rejections.select("sig_id", "symbol", "direction", "bar_idx"), ["symbol", "direction"], step,
-                     "sig_id string, symbol string, direction int, bar_idx long", "last long")
+    return _ordered(rejections.select("sig_id", "symbol", "direction", "bar_idx", "ts"), ["symbol", "direction"], ["bar_idx", "sig_id"], lambda: (-1,), take,
+                    "sig_id string, symbol string, direction int, bar_idx long", "last long", delay)
 
 
-_FEED = ["kind", "sig_id", "symbol", "bar_idx", "direction", "entry", "stop", "target", "high", "low", "close"]
+_FEED = ["ts", "kind", "sig_id", "symbol", "direction", "entry", "stop", "target", "high", "low", "close"]
 
 
 def feed(candles: DataFrame, signals: DataFrame) -> DataFrame:
     """Candles and signals as one stream of rows, signals after their candle."""
     none = lambda t: F.lit(None).cast(t)
-    c = candles.select(F.lit(0).alias("kind"), none("string").alias("sig_id"), "symbol", "bar_idx", none("int").alias("direction"),
+    c = candles.select("ts", F.lit(0).alias("kind"), none("string").alias("sig_id"), "symbol", none("int").alias("direction"),
                        *[none("double").alias(x) for x in ("entry", "stop", "target")], "high", "low", "close")
-    s = signals.select(F.lit(1).alias("kind"), "sig_id", "symbol", "bar_idx", "direction", "entry", "stop", "target",
+    s = signals.select("ts", F.lit(1).alias("kind"), "sig_id", "symbol", "direction", "entry", "stop", "target",
                        *[none("double").alias(x) for x in ("high", "low", "close")])
     return c.unionByName(s)
 
 
-def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = None, max_open: int | None = None) -> DataFrame:
+def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = None, max_open: int | None = None, delay: str = DELAY) -> DataFrame:
     """Outcome of signals not taken, per horizon, as candles arrive.
 
     With ``max_open``, a symbol has at most that many trackers and the oldest
@@ -164,25 +197,23 @@ def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = No
     horizons = horizons or {"scalp": 72, "day": 288, "swing": 1440}
     names, limits = list(horizons), list(horizons.values())
 
-    def step(key, frames, state: GroupState):
-        open_ = [list(t) for t in state.get[0]] if state.exists else []
-        out = []
+    def take(key, s, r, emit):
+        open_ = [list(t) for t in s[0]]
 
         def close(t, outcome, level):
             for k in range(int(t[8]), level):
-                out.append((t[0], key[0], names[k], outcome, t[6], t[7]))
+                emit((t[0], key[0], names[k], outcome, t[6], t[7]))
             t[8] = level
 
-        for r in _in_order(frames, ["bar_idx", "kind"]).itertuples(index=False):
-            if r.kind == 1:
-                if max_open is not None and len(open_) >= max_open:
-                    close(open_.pop(0), "timeout", len(names))
-                open_.append([r.sig_id, int(r.direction), float(r.entry), float(r.stop), float(r.target), 0, 0.0, 0.0, 0])
-                continue
+        if r["kind"] == 1:
+            if max_open is not None and len(open_) >= max_open:
+                close(open_.pop(0), "timeout", len(names))
+            open_.append([r["sig_id"], int(r["direction"]), float(r["entry"]), float(r["stop"]), float(r["target"]), 0, 0.0, 0.0, 0])
+        else:
             alive = []
             for t in open_:
                 t[5] += 1
-                best, worst = (r.high, r.low) if t[1] > 0 else (r.low, r.high)
+                best, worst = (r["high"], r["low"]) if t[1] > 0 else (r["low"], r["high"])
                 t[6] = max(t[6], (best - t[2]) * t[1] / t[2])
                 t[7] = max(t[7], (t[2] - worst) * t[1] / t[2])
                 stop, target = (worst - t[3]) * t[1] <= 0, (best - t[4]) * t[1] >= 0
@@ -194,100 +225,86 @@ def counterfactual_tracker(rows: DataFrame, horizons: dict[str, int] | None = No
                 if t[8] < len(names):
                     alive.append(t)
             open_ = alive
-        state.update(([tuple(t) for t in open_],))
-        yield pd.DataFrame(out, columns=["sig_id", "symbol", "horizon", "outcome", "mfe", "mae"])
+        s[0] = [tuple(t) for t in open_]
 
     tracker = "struct<id: string, direction: int, entry: double, stop: double, target: double, bars: int, mfe: double, mae: double, done: int>"
-    return _stateful(rows.select(*_FEED), ["symbol"], step,
-                     "sig_id string, symbol string, horizon string, outcome string, mfe double, mae double", f"open array<{tracker}>")
+    return _ordered(rows.select(*_FEED), ["symbol"], ["kind", "sig_id"], lambda: ([],), take,
+                    "sig_id string, symbol string, horizon string, outcome string, mfe double, mae double", f"open array<{tracker}>", delay)
 
 
-def trade_lifecycle(rows: DataFrame, post_bars: int = 50) -> DataFrame:
+def trade_lifecycle(rows: DataFrame, post_bars: int = 50, delay: str = DELAY) -> DataFrame:
     """Bars of the open trade of each symbol, then the bars after its exit.
 
     A signal opens a trade when none is open; stop goes before target; after
     the exit up to ``post_bars`` bars report the move that was missed.
     """
-    def step(key, frames, state: GroupState):
-        t = list(state.get) if state.exists else None
-        out = []
-        for r in _in_order(frames, ["bar_idx", "kind"]).itertuples(index=False):
-            if r.kind == 1:
-                if t is None or t[9] > 0:
-                    t = [r.sig_id, int(r.direction), float(r.entry), float(r.stop), float(r.target), 0, 0.0, 0.0, 0, 0, 0.0]
-                continue
-            if t is None:
-                continue
-            up = t[1]
-            if t[9] == 0:  # open
-                t[5] += 1
-                best, worst = (r.high, r.low) if up > 0 else (r.low, r.high)
-                now = (r.close - t[2]) * up / t[2]
-                t[6], t[7] = max(t[6], (best - t[2]) * up / t[2]), max(t[7], (t[2] - worst) * up / t[2])
-                t[8] += int(now > 0)
-                out.append((t[0], key[0], "bar", t[5], now, abs(r.close - t[3]) / r.close if r.close else 0.0, t[6], t[7], t[8] / t[5]))
-                stop, target = (worst - t[3]) * up <= 0, (best - t[4]) * up >= 0
-                if stop or target:
-                    t[9], t[10], t[5] = 1, t[3] if stop else t[4], 0
-            else:
-                t[5] += 1
-                moved = (r.close - t[10]) * up / t[10]
-                out.append((t[0], key[0], "post", t[5], moved, 0.0, t[6], t[7], 0.0))
-                if t[5] >= post_bars:
-                    t = None
-        if t is None:
-            if state.exists:
-                state.remove()
+    idle = ("", 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0, -1, 0.0)
+
+    def take(key, s, r, emit):
+        if r["kind"] == 1:
+            if s[9] != 0:
+                s[:] = r["sig_id"], int(r["direction"]), float(r["entry"]), float(r["stop"]), float(r["target"]), 0, 0.0, 0.0, 0, 0, 0.0
+            return
+        if s[9] < 0:
+            return
+        up = s[1]
+        s[5] += 1
+        if s[9] == 0:  # open
+            best, worst = (r["high"], r["low"]) if up > 0 else (r["low"], r["high"])
+            now = (r["close"] - s[2]) * up / s[2]
+            s[6], s[7] = max(s[6], (best - s[2]) * up / s[2]), max(s[7], (s[2] - worst) * up / s[2])
+            s[8] += int(now > 0)
+            emit((s[0], key[0], "bar", s[5], now, abs(r["close"] - s[3]) / r["close"] if r["close"] else 0.0, s[6], s[7], s[8] / s[5]))
+            stop, target = (worst - s[3]) * up <= 0, (best - s[4]) * up >= 0
+            if stop or target:
+                s[9], s[10], s[5] = 1, s[3] if stop else s[4], 0
         else:
-            state.update(tuple(t))
-        yield pd.DataFrame(out, columns=["sig_id", "symbol", "phase", "bar_index", "move_pct", "sl_distance_pct", "mfe", "mae", "profit_share"])
+            emit((s[0], key[0], "post", s[5], (r["close"] - s[10]) * up / s[10], 0.0, s[6], s[7], 0.0))
+            if s[5] >= post_bars:
+                s[:] = idle
 
-    return _stateful(
-        rows.select(*_FEED), ["symbol"], step,
+    return _ordered(
+        rows.select(*_FEED), ["symbol"], ["kind", "sig_id"], lambda: idle, take,
         "sig_id string, symbol string, phase string, bar_index int, move_pct double, sl_distance_pct double, mfe double, mae double, profit_share double",
-        "id string, direction int, entry double, stop double, target double, bars int, mfe double, mae double, in_profit int, phase int, exit_price double",
+        "id string; direction int; entry double; stop double; target double; bars int; mfe double; mae double; in_profit int; phase int; exit_price double", delay,
     )
 
 
-def breaker_stream(closed: DataFrame, daily: float = 0.03, weekly: float = 0.05, alltime: float = 0.08) -> DataFrame:
+def breaker_stream(closed: DataFrame, daily: float = 0.03, weekly: float = 0.05, alltime: float = 0.08, delay: str = DELAY) -> DataFrame:
     """Loss-limit flags of each account after every closed trade."""
-    def step(key, frames, state: GroupState):
-        day, week, d, w, total, peak = state.get if state.exists else (-1, -1, 0.0, 0.0, 0.0, 0.0)
-        out = []
-        for r in _in_order(frames, ["exit_time", "trade_id"]).itertuples(index=False):
-            today = r.exit_time.value // 86_400_000_000_000
-            if today != day:
-                day, d = today, 0.0
-            if (today + 3) // 7 != week:
-                week, w = (today + 3) // 7, 0.0
-            d, w, total = d + r.pnl_pct, w + r.pnl_pct, total + r.pnl_pct
-            peak = max(peak, total)
-            out.append((key[0], r.trade_id, r.exit_time, d, w, total - peak, d <= -daily, w <= -weekly, total - peak <= -alltime))
-        state.update((day, week, d, w, total, peak))
-        yield pd.DataFrame(out, columns=["account", "trade_id", "exit_time", "daily", "weekly", "alltime_dd", "day_pause", "half_size", "stopped"])
-
-    return _stateful(
-        closed.select("account", "trade_id", "exit_time", "pnl_pct"), ["account"], step,
+    def take(key, s, r, emit):
+        day, week, d, w, total, peak = s
+        today = r["ts"] // 86_400_000_000
+        d = 0.0 if today != day else d
+        w = 0.0 if (today + 3) // 7 != week else w
+        d, w, total = d + r["pnl_pct"], w + r["pnl_pct"], total + r["pnl_pct"]
+        peak = max(peak, total)
+        s[:] = today, (today + 3) // 7, d, w, total, peak
+        emit((key[0], r["trade_id"], _time(r["ts"]), d, w, total - peak, d <= -daily, w <= -weekly, total - peak <= -alltime))
+
+    return _ordered(
+        closed.select("account", "trade_id", F.col("exit_time").alias("ts"), "pnl_pct"), ["account"], ["trade_id"], lambda: (-1, -1, 0.0, 0.0, 0.0, 0.0), take,
         "account string, trade_id string, exit_time timestamp, daily double, weekly double, alltime_dd double, day_pause boolean, half_size boolean, stopped boolean",
-        "day long, week long, daily double, weekly double, total double, peak double",
+        "day long; week long; daily double; weekly double; total double; peak double", delay,
     )
 
 
-def stale_symbols(candles: DataFrame, silence_ms: int = 420_000) -> DataFrame:
-    """A row for a symbol that sent no candle for seven minutes of wall time."""
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"symbol": [key[0]], "last_ts": [pd.Timestamp(last, unit="us")]})
-            return
-        newest = max(int(f["ts"].max().value // 1000) for f in frames)
-        state.update((max(newest, state.get[0]) if state.exists else newest,))
-        state.setTimeoutDuration(silence_ms)
-        yield pd.DataFrame({"symbol": pd.Series(dtype=str), "last_ts": pd.Series(dtype="datetime64[ns]")})
+def stale_symbols(candles: DataFrame, silence_seconds: int = 420, delay: str = DELAY) -> DataFrame:
+    """``symbol, last_ts``: a row whenever a symbol sent no candle for seven minutes, on the clock of the stream.
+
+    A timer of the symbol's state fires when the watermark, which all symbols
+    move, passes the limit; a symbol that went on meanwhile is found by its gap.
+    """
+    limit = silence_seconds * 1_000_000
+
+    def take(key, s, r, emit):
+        if r is None or (s[0] >= 0 and not s[1] and r["ts"] - s[0] > limit):
+            emit((key[0], _time(s[0])))
+        s[:] = (s[0], True) if r is None else (r["ts"], False)
 
-    return _stateful(candles.select("symbol", "ts"), ["symbol"], step, "symbol string, last_ts timestamp", "last long",
-                     GroupStateTimeout.ProcessingTimeTimeout)
+    # one microsecond over the limit
+    return _ordered(candles.select("symbol", "ts"), ["symbol"], [], lambda: (-1, False), take, "symbol string, last_ts timestamp", "last long; told boolean", delay,
+                    lambda s: s[0] + limit + 1 if s[0] >= 0 and not s[1] else None)
 
 
 def staleness(last_seen: DataFrame, as_of: str, group: str, limit_seconds: int = 420) -> DataFrame:

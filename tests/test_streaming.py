@@ -1,6 +1,8 @@
 """A stream over several files gives the batch result."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tapeline.operators import outcomes as O
@@ -8,31 +10,58 @@ from tapeline.operators import recursive as X
 from tapeline.streaming import candles as C
 
 
-def stream_of(spark, df, order, path, parts=4):
-    """Write ``df`` as files in time order and open them one per trigger."""
-    n = df.agg(F.max(order)).first()[0] + 1
+FAR = "3650 days"
+
+
+def stream_of(spark, df, path, parts=4, seed=0):
+    """``df`` dealt to shuffled files, opened one per trigger; the last file moves the clock on."""
+    dealt = df.withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(parts))).cache()
     for k in range(parts):
-        lo, hi = n * k // parts, n * (k + 1) // parts
-        df.filter((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(1).write.mode("append").parquet(str(path))
-    return C.open_stream(spark, str(path), df.schema, 1)
+        dealt.filter(F.col("_f") == k).drop("_f").orderBy(F.xxhash64(*df.columns)).coalesce(1).write.mode("append").parquet(str(path))
+    later = F.lit(df.agg(F.max("ts")).first()[0]) + F.expr("interval 8000 days")
+    spark.range(1).select(*[(later if c == "ts" else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns]).write.mode("append").parquet(str(path))
+    return C.open_stream(spark, str(path), df.schema, max(1, parts // 5))
 
 
-def test_indicators(spark, walk_df, tmp_path):
-    live = C.drain(C.incremental_indicators(stream_of(spark, walk_df, "bar_idx", tmp_path / "a"))).toPandas()
-    batch = X.wilder(X.ema(walk_df, {"ema20": 20, "ema50": 50})).filter("bar_idx >= 14").toPandas()
+@pytest.mark.parametrize("parts", [1, 7, 150])
+def test_results_do_not_depend_on_files_and_triggers(spark, walk_df, tmp_path, parts):
+    """Shuffled rows in 1, 7 and 150 files."""
+    if parts == 150:
+        rows = walk_df.filter("symbol = 'C'")
+    else:
+        rows = walk_df
+    live = C.drain(C.incremental_indicators(stream_of(spark, rows, tmp_path / "a", parts), delay=FAR)).toPandas()
+    batch = X.wilder(X.ema(rows, {"ema20": 20, "ema50": 50})).filter("bar_idx >= 14").toPandas()
     j = live.merge(batch, on=["symbol", "ts"], suffixes=("", "_b"))
-    assert len(j) == len(batch)
+    assert len(live) == rows.count() and len(j) == len(batch)
     for c in ("ema20", "ema50", "rsi", "atr"):
         np.testing.assert_allclose(j[c], j[f"{c}_b"], rtol=1e-9)
 
 
+def test_silences_of_a_symbol(spark, tmp_path):
+    ts = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    df = spark.createDataFrame([(k, ts(s)) for k, times in {"A": (0, 300, 600, 2000, 2100), "B": (0, 420, 840), "C": range(0, 4000, 400)}.items() for s in times], "symbol string, ts timestamp")
+    want = {("A", ts(600)), ("A", ts(2100)), ("B", ts(840)), ("C", ts(3600))}
+    for parts in (1, 5):
+        got = C.drain(C.stale_symbols(stream_of(spark, df, tmp_path / f"s{parts}", parts), delay=FAR)).collect()
+        assert sorted((r.symbol, r.last_ts) for r in got) == sorted(want)
+
+
+def test_a_timer_reports_a_silent_symbol_before_it_sends_again(spark, tmp_path):
+    ts = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    for rows in ([("A", ts(0)), ("B", ts(0))], [("B", ts(1000))], [("B", ts(1300))]):
+        spark.createDataFrame(rows, "symbol string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    got = C.drain(C.stale_symbols(C.open_stream(spark, str(tmp_path / "t"), "symbol string, ts timestamp", 1), delay="10 seconds")).collect()
+    assert sorted((r.symbol, r.last_ts) for r in got) == [("A", ts(0)), ("B", ts(0))]
+
+
 def test_counterfactual_tracker(spark, walk_df, tmp_path):
     sig = walk_df.filter("bar_idx % 9 = 4").selectExpr(
-        "concat(symbol, '-', bar_idx) sig_id", "symbol", "bar_idx", "n_bars", "cast(if(bar_idx % 2 = 0, 1, -1) as int) direction",
+        "concat(symbol, '-', bar_idx) sig_id", "symbol", "ts", "bar_idx", "n_bars", "cast(if(bar_idx % 2 = 0, 1, -1) as int) direction",
         "close entry", "close - if(bar_idx % 2 = 0, 5, -5) stop", "close + if(bar_idx % 2 = 0, 7, -7) target",
     )
     hz = {"scalp": 12, "swing": 40}
-    live = C.drain(C.counterfactual_tracker(stream_of(spark, C.feed(walk_df, sig), "bar_idx", tmp_path / "b"), hz, 1000)).collect()
+    live = C.drain(C.counterfactual_tracker(stream_of(spark, C.feed(walk_df, sig), tmp_path / "b"), hz, 1000, FAR)).collect()
     got = {(r.sig_id, r.horizon): (r.outcome, round(r.mfe, 9)) for r in live}
     want = {}
     for r in O.counterfactual(sig, walk_df, hz).collect():
@@ -44,20 +73,20 @@ def test_counterfactual_tracker(spark, walk_df, tmp_path):
 
 def test_tumbling_bars_drop_late_and_repeat(spark, walk_df, tmp_path):
     ticks = walk_df.select("symbol", "ts", F.col("bar_idx").alias("seq"), F.col("close").alias("price"), F.lit(1.0).alias("volume"))
-    out = C.drain(C.tumbling_bars(stream_of(spark, ticks, "seq", tmp_path / "c"), "1h", "2 hours"))
+    out = C.drain(C.tumbling_bars(stream_of(spark, ticks, tmp_path / "c"), "1h", "2 hours"))
     assert out.count() == out.select("symbol", "ts").distinct().count() > 0
 
 
 def test_rejections_six_bars_apart(spark, tmp_path):
     rows = [(f"s{i}", "A", 1, i) for i in (0, 3, 5, 6, 11, 12)]
-    df = spark.createDataFrame(rows, "sig_id string, symbol string, direction int, bar_idx long")
-    kept = C.drain(C.rejection_dedup(stream_of(spark, df, "bar_idx", tmp_path / "d", 3)))
+    df = spark.createDataFrame(rows, "sig_id string, symbol string, direction int, bar_idx long").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("bar_idx") * 300))
+    kept = C.drain(C.rejection_dedup(stream_of(spark, df, tmp_path / "d", 3), delay=FAR))
     assert sorted(r.bar_idx for r in kept.collect()) == [0, 6, 12]
 
 
 def test_oldest_tracker_is_closed_when_full(spark, tmp_path):
-    bars = spark.createDataFrame([("A", i, 101.0, 99.0, 100.0) for i in range(6)], "symbol string, bar_idx long, high double, low double, close double")
+    bars = spark.createDataFrame([("A", i, 101.0, 99.0, 100.0) for i in range(6)], "symbol string, bar_idx long, high double, low double, close double").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("bar_idx") * 300))
     sig = spark.createDataFrame([(f"s{i}", "A", i, 1, 100.0, 50.0, 200.0) for i in range(4)],
-                                "sig_id string, symbol string, bar_idx long, direction int, entry double, stop double, target double")
-    out = C.drain(C.counterfactual_tracker(stream_of(spark, C.feed(bars, sig), "bar_idx", tmp_path / "e", 2), {"swing": 100}, 2))
+                                "sig_id string, symbol string, bar_idx long, direction int, entry double, stop double, target double").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("bar_idx") * 300))
+    out = C.drain(C.counterfactual_tracker(stream_of(spark, C.feed(bars, sig), tmp_path / "e", 2), {"swing": 100}, 2, FAR))
     assert sorted((r.sig_id, r.outcome) for r in out.collect()) == [("s0", "timeout"), ("s1", "timeout")]

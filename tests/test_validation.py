@@ -206,7 +206,7 @@ def test_fold_gap_uses_earlier_folds_only(spark):
 
     rows = [(0, 0.9, True), (0, 0.1, False), (1, 0.2, True), (1, 0.8, False), (2, 0.7, True), (2, 0.3, False)]
     got = {r.f: (r.test_auc, r.train_auc, r.overfit_flag) for r in M.fold_gaps(spark.createDataFrame(rows, "f int, s double, y boolean"), "f", "s", "y").collect()}
-    assert got == {0: (1.0, 0.0, False), 1: (0.0, 1.0, True), 2: (1.0, 0.5, False)}
+    assert got == {0: (1.0, 0.0, False), 1: (0.0, 1.0, True), 2: (1.0, 0.75, False)}
 
 
 def test_purge_with_embargo(spark):
