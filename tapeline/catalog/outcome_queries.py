@@ -120,6 +120,57 @@ def outcome_exit_episodes(spark, sf):
     return out.select("sig_id", "bars_held", "label_hold_better", *[r(c).alias(c) for c in cols])
 
 
+_DEV = "greatest(CASE WHEN b.bar_idx > 0 THEN b.dev ELSE b.nxt * 0.005::DOUBLE END, b.nxt * 0.002::DOUBLE)"
+EPISODES = [TICKS, bars_cte(), swings_cte(LENGTH), breaks_cte(),
+    "wide AS (SELECT *, stddev_samp(close) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS dev, lead(open) OVER (PARTITION BY symbol ORDER BY bar_idx) AS nxt FROM bars)",
+    f"""sig AS (SELECT b.symbol || '-' || b.bar_idx AS sig_id, b.symbol, b.ts, b.bar_idx, b.n_bars, k.sign AS direction, b.nxt AS entry, b.nxt - k.sign * {_DEV} AS stop, b.nxt + k.sign * {_DEV} * 2.5::DOUBLE AS target,
+      abs(b.nxt - (b.nxt - k.sign * {_DEV})) AS risk FROM wide b JOIN breaks k ON k.symbol = b.symbol AND k.bar_idx = b.bar_idx WHERE b.nxt > 0 AND b.bar_idx + 10 < b.n_bars)""", *_FWD]
+
+
+def episodes(spark, sf):
+    """Trades at breaks, entered at the next open, their bars, and the state of the market at each bar."""
+    bars = T.bars(spark, sf)
+    broken = materialize(S.breaks(S.swings(bars, LENGTH)))
+    entries = broken.select(F.concat_ws("-", "symbol", "bar_idx").alias("sig_id"), "symbol", "bar_idx", F.col("sign").alias("direction"), F.lit(2.5).alias("tp_rr"))
+    path = materialize(O.forward_paths(O.episode_signals(entries, bars), bars, H))
+    return path, O.exit_bar_state(bars, broken)
+
+
+_EXIT = ["bar_unrealized_rr", "sl_distance_pct", "max_favorable_seen", "be_triggered", "asset_class_id", "bars_held_normalized", "pnl_velocity", "mfe_drawdown", "time_in_profit_ratio", "regime_volatility",
+         "opposing_structure_count"]
+
+
+@query(
+    "outcome_exit_features",
+    with_(*EPISODES, """rg AS (SELECT symbol, bar_idx, CASE WHEN stddev_pop(close) OVER l > 0 THEN least(greatest(stddev_pop(close) OVER s / stddev_pop(close) OVER l, 0.5), 2) ELSE 1 END AS regime FROM bars
+            WINDOW l AS (PARTITION BY symbol ORDER BY bar_idx ROWS 199 PRECEDING), s AS (PARTITION BY symbol ORDER BY bar_idx ROWS 49 PRECEDING))""",
+          "against AS (SELECT f.sig_id, f.path_idx, count(k.bar_idx) AS n FROM fwd f LEFT JOIN breaks k ON k.symbol = f.symbol AND k.sign = -f.direction AND k.bar_idx > f.bar_idx AND k.bar_idx <= f.path_idx GROUP BY ALL)")
+    + f"""SELECT f.sig_id, f.bars_held::DOUBLE AS bars_held, {R('least(greatest(unrealized, -3), 10)')} AS bar_unrealized_rr, {R('least(greatest((bar_close - lvl) * direction / bar_close, 0), 0.1)')} AS sl_distance_pct,
+    {R('least(f.mfe, 10)')} AS max_favorable_seen, be::INT::DOUBLE AS be_triggered, 0.33::DOUBLE AS asset_class_id, {R(f'least(f.bars_held / {H}, 1)')} AS bars_held_normalized,
+    {R('least(greatest(unrealized - coalesce(lag(unrealized) OVER w, 0), -1), 1)')} AS pnl_velocity, {R('least(greatest(CASE WHEN f.mfe > 0 THEN (f.mfe - unrealized) / f.mfe ELSE 0 END, 0), 1)')} AS mfe_drawdown,
+    {R('least(sum(CASE WHEN unrealized > 0 THEN 1 ELSE 0 END) OVER w / greatest(f.bars_held, 1), 1)')} AS time_in_profit_ratio, {R('regime', 4)} AS regime_volatility, least(n, 10)::DOUBLE AS opposing_structure_count
+    FROM fwd f JOIN rg ON rg.symbol = f.symbol AND rg.bar_idx = f.path_idx JOIN against a ON a.sig_id = f.sig_id AND a.path_idx = f.path_idx
+    WINDOW w AS (PARTITION BY f.sig_id ORDER BY step ROWS UNBOUNDED PRECEDING)""",
+)
+def outcome_exit_features(spark, sf):
+    """Exit features that SQL can state; the smoothed indicators among them have queries of their own."""
+    path, state = episodes(spark, sf)
+    out = O.exit_features(path, state, H, "forex")
+    rounded = [r(c, 4 if c == "regime_volatility" else 6).alias(c) for c in _EXIT if c not in ("be_triggered", "asset_class_id", "opposing_structure_count")]
+    return out.select("sig_id", "bars_held", "be_triggered", "asset_class_id", "opposing_structure_count", *rounded)
+
+
+@query(
+    "outcome_exit_bounds",
+    with_(*EPISODES) + """SELECT (SELECT count(*) FROM fwd) AS "rows", unnest([""" + ", ".join(f"'{c}'" for c in O.EXIT_BOUNDS) + """]) AS "column", 0::BIGINT AS violations""",
+)
+def outcome_exit_bounds(spark, sf):
+    """All 16 exit features of every bar lie within their bounds."""
+    from tapeline.operators import labels as L
+
+    return L.range_violations(O.exit_features(*episodes(spark, sf), H), O.EXIT_BOUNDS)
+
+
 @query(
     "outcome_retrodictive",
     with_(*BASE, "limit_sig AS (SELECT * REPLACE (entry - direction * 0.25::DOUBLE * risk AS entry, risk * 0.75::DOUBLE AS risk) FROM sig)",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.operators.asof import fan_out
+from tapeline.operators.blocks import framed
 from tapeline.operators.touch import extreme_tree, first_touch, range_extremes
 
 def path_window():
@@ -257,6 +258,78 @@ def exit_episodes(path: DataFrame, results: DataFrame, horizon: int) -> DataFram
     )
 
 
+# Bounds of the exit features, in their order, and numbers of the asset classes.
+EXIT_BOUNDS = {
+    "bar_index": (0.0, 576.0), "bars_held": (0.0, 576.0), "bar_unrealized_rr": (-3.0, 10.0), "sl_distance_pct": (0.0, 0.1), "max_favorable_seen": (0.0, 10.0),
+    "be_triggered": (0.0, 1.0), "asset_class_id": (0.0, 1.0), "rsi_5m": (0.0, 1.0), "bars_held_normalized": (0.0, 1.0), "pnl_velocity": (-1.0, 1.0),
+    "mfe_drawdown": (0.0, 1.0), "time_in_profit_ratio": (0.0, 1.0), "sl_distance_atr": (0.0, 5.0), "regime_volatility": (0.5, 2.0), "adx_1h": (0.0, 1.0),
+    "opposing_structure_count": (0.0, 10.0),
+}
+CLASS_IDS = {"crypto": 0.0, "forex": 0.33, "stocks": 0.66, "commodities": 1.0}
+
+
+def episode_signals(entries: DataFrame, bars: DataFrame, tp_rr: str = "tp_rr", closes: int = 15, floor: float = 0.002) -> DataFrame:
+    """Trades entered at the next open with a stop one deviation of the last 15 closes away.
+
+    ``entries``: ``sig_id, symbol, bar_idx, direction`` and the wanted reward
+    (over 0.5); the deviation (sample form) is at least ``floor`` of the price,
+    and 0.5 % of it where there is one close only.
+    """
+    def build(w):
+        return {"_dev": F.stddev_samp("close").over(w.rowsBetween(1 - closes, 0)), "_entry": F.lead("open").over(w), "_seen": F.col("bar_idx") > 0}
+
+    seen = framed(bars, ["symbol"], build, before=closes - 1, after=1).select("symbol", "bar_idx", "ts", "n_bars", "_dev", "_entry", "_seen")
+    rows = entries.select("sig_id", "symbol", "bar_idx", "direction", F.col(tp_rr).alias("tp_rr")).filter("tp_rr > 0.5")
+    rows = rows.join(seen, ["symbol", "bar_idx"]).filter((F.col("_entry") > 0) & (F.col("bar_idx") + 10 < F.col("n_bars")))
+    wide = F.greatest(F.when(F.col("_seen"), F.col("_dev")).otherwise(F.col("_entry") * 0.005), F.col("_entry") * floor)
+    at = lambda k: F.col("_entry") + F.col("direction") * wide * k
+    return rows.select("sig_id", "symbol", "ts", "bar_idx", "n_bars", "direction", F.col("_entry").alias("entry"), at(F.lit(-1)).alias("stop"), at(F.col("tp_rr")).alias("target"), "tp_rr")
+
+
+def exit_bar_state(bars: DataFrame, broken: DataFrame) -> DataFrame:
+    """Per bar what exit features need of the market: RSI, ATR, ADX, regime and the numbers of breaks so far in either direction."""
+    from tapeline.operators.blocks import running
+    from tapeline.operators.market import regime_volatility
+    from tapeline.operators.recursive import adx_training, wilder
+
+    keys = ["symbol", "bar_idx"]
+    smooth = wilder(bars).select(*keys, "close", "rsi", "atr").join(adx_training(bars).select(*keys, F.col("adx_training").alias("adx")), keys)
+    regime = regime_volatility(bars).select(*keys, "regime_volatility")
+    events = broken.select(*keys, (F.col("sign") > 0).cast("int").alias("_u"), (F.col("sign") < 0).cast("int").alias("_d"))
+    counted = running(bars.select(*keys).join(events, keys, "left"), ["symbol"], {"breaks_up": ("sum", F.col("_u")), "breaks_down": ("sum", F.col("_d"))})
+    return smooth.join(regime, keys).join(counted.select(*keys, "breaks_up", "breaks_down"), keys)
+
+
+def exit_features(path: DataFrame, state: DataFrame, horizon: int = 576, asset_class: Column | str = "crypto") -> DataFrame:
+    """The 16 exit features of every bar of a trade, within ``EXIT_BOUNDS``.
+
+    ``path`` is ``forward_paths``, ``state`` is ``exit_bar_state``; breaks
+    against the trade are the difference of two running counts, at the bar and
+    at the signal.
+    """
+    clip = lambda c, n: F.least(F.greatest(c.cast("double"), F.lit(EXIT_BOUNDS[n][0])), F.lit(EXIT_BOUNDS[n][1]))
+    kind = F.lit(asset_class) if isinstance(asset_class, str) else asset_class
+    ids = F.create_map(*[F.lit(x) for kv in CLASS_IDS.items() for x in kv])
+    here = state.select("symbol", F.col("bar_idx").alias("path_idx"), "rsi", "atr", "adx", "regime_volatility", "breaks_up", "breaks_down")
+    start = state.select("symbol", "bar_idx", F.col("breaks_up").alias("_u0"), F.col("breaks_down").alias("_d0"))
+    prev = F.coalesce(F.lag("unrealized").over(path_window()), F.lit(0.0))
+    won = F.sum((F.col("unrealized") > 0).cast("int")).over(so_far())
+    rows = path.withColumns({"_prev": prev, "_won": won}).join(here, ["symbol", "path_idx"]).join(start, ["symbol", "bar_idx"])
+    price, up = F.col("bar_close"), F.col("direction") > 0
+    distance = F.greatest(F.when(price > 0, (price - F.col("stop_level")) * F.col("direction") / price).otherwise(0.0), F.lit(0.0))
+    share = F.when((price > 0) & (F.col("atr") > 0), F.col("atr") / price).otherwise(0.005)
+    against = F.when(up, F.col("breaks_down") - F.col("_d0")).otherwise(F.col("breaks_up") - F.col("_u0"))
+    values = {
+        "bar_index": F.col("bars_held"), "bars_held": F.col("bars_held"), "bar_unrealized_rr": F.col("unrealized"), "sl_distance_pct": distance,
+        "max_favorable_seen": F.col("mfe"), "be_triggered": F.col("be_on").cast("int"), "asset_class_id": F.coalesce(ids[kind], F.lit(0.0)), "rsi_5m": F.col("rsi") / 100,
+        "bars_held_normalized": F.col("bars_held") / horizon, "pnl_velocity": F.col("unrealized") - F.col("_prev"),
+        "mfe_drawdown": F.when(F.col("mfe") > 0, (F.col("mfe") - F.col("unrealized")) / F.col("mfe")).otherwise(0.0),
+        "time_in_profit_ratio": F.col("_won") / F.greatest(F.col("bars_held"), F.lit(1)), "sl_distance_atr": distance / F.greatest(share, F.lit(1e-6)),
+        "regime_volatility": F.col("regime_volatility"), "adx_1h": F.coalesce("adx", F.lit(25.0)) / 50, "opposing_structure_count": against,
+    }
+    return rows.select("sig_id", "symbol", F.col("path_idx"), *[clip(v, n).alias(n) for n, v in values.items()])
+
+
 def bracket_fill(rows: DataFrame) -> DataFrame:
     """Fill of open orders on one bar; the stop goes first."""
     stop = (F.col("stop") > 0) & ((F.col("worst") - F.col("stop")) * F.col("direction") <= 0)
