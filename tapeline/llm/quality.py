@@ -19,6 +19,8 @@ from tapeline.session import materialize
 #: Bytes of text whose trigrams are counted, asked for and scored together.
 BLOCK = 1 << 24
 GRAMS = 1 << 24
+#: Blocks over which the rows of one id are spread.
+SHARES = 16
 PACK = "block int, ids array<bigint>, langs array<string>, hashes array<bigint>, sizes array<int>, packed binary"
 
 
@@ -141,33 +143,44 @@ def perplexities(logs: DataFrame, trusted: DataFrame, log_id: str = "log_id", me
     text = F.col(message).cast("string")
     blocks = max(1, -(-int(logs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block))
     number = F.col(log_id).cast("bigint")
-    spread = F.when(number.isNull(), F.pmod(F.xxhash64(text), F.lit(blocks))).otherwise(F.pmod(F.xxhash64(number), F.lit(blocks))).cast("int")
+    # Rows of one id lie in up to SHARES blocks, by their text; a trusted id is named in all of them.
+    shares = min(blocks, SHARES)
+    first = F.pmod(F.xxhash64(number), F.lit(blocks))
+    spread = F.when(number.isNull(), F.pmod(F.xxhash64(text), F.lit(blocks))).otherwise(F.pmod(first + F.pmod(F.xxhash64(text), F.lit(shares)), F.lit(blocks))).cast("int")
     packs = logs.select(spread.alias("block"), number.alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("hash"), text.alias("message")).mapInArrow(_packed, PACK)
     good = trusted.select(F.col(log_id).cast("bigint").alias("log_id")).filter("log_id is not null").distinct()
-    good = good.select(F.pmod(F.xxhash64("log_id"), F.lit(blocks)).cast("int").alias("block"), "log_id")
-    counted = packs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_counted, "block int, gram int, n bigint").repartition(F.col("gram"))
-    bits = trigram_bits(counted.groupBy("gram").agg(F.sum("n").alias("n")))
+    good = good.select("log_id", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("k"))
+    good = good.select(F.pmod(F.pmod(F.xxhash64("log_id"), F.lit(blocks)) + F.col("k"), F.lit(blocks)).cast("int").alias("block"), "log_id")
+    # Stored once: the model reads the counts many times, the texts are counted once.
+    counted = materialize(packs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_counted, "block int, gram int, n bigint"))
+    bits = trigram_bits(materialize(counted.groupBy("gram").agg(F.sum("n").alias("n"))))
     answers = counted.select("block", "gram").join(bits, "gram")
     return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "log_id bigint, lang string, message_hash bigint, n_bytes bigint, bits double")
 
 
-def judged(logs: DataFrame, trusted: DataFrame, log_id: str = "log_id", message: str = "message", lang: str = "lang", width: float = 5.0, evidence: float = 64.0, block: int = BLOCK) -> DataFrame:
+def judged(logs: DataFrame, trusted: DataFrame, log_id: str = "log_id", message: str = "message", lang: str = "lang", quantile: float = 0.994, settled: int = 400, block: int = BLOCK) -> DataFrame:
     """``log_id, lang, message_hash, n_bytes, bits_per_byte, perplexity, threshold, kept`` of every message.
 
-    A language's threshold, in bits a byte, is the median of its trusted
-    messages plus ``width`` times the way from there to their 90th percentile;
-    a language without trusted messages takes that of all, null is a language
-    of its own.  A message is rejected if it exceeds the threshold by at least
-    ``evidence`` bits in all, so that a few odd letters do not reject a short
-    one.  Null and empty messages have no perplexity and are kept: nothing
-    speaks against them.  Without trusted messages all are kept.
+    The bits a byte of a short message scatter more, as one over the root of
+    its length up to ``settled`` bytes.  A language's cut is the ``quantile`` of
+    its trusted messages' distances from their median, each times that root;
+    ``threshold`` is the median plus the cut over the root of the message's own
+    length, and a message above it is rejected.  A language without trusted
+    messages takes the median and cut of all, null is a language of its own.
+    Null and empty messages have no perplexity and are kept: nothing speaks
+    against them.  Repeated rows are judged alike and counted each.  Without
+    trusted messages all are kept.
     """
+    root = F.sqrt(F.least(F.col("n_bytes"), F.lit(settled)).cast("double"))
     scores = materialize(perplexities(logs, trusted, log_id, message, lang, block)).withColumn("rate", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes"))).withColumn("key", F.coalesce("lang", F.lit("")))
-    good = scores.join(trusted.select(F.col(log_id).cast("bigint").alias("log_id")).distinct(), "log_id", "left_semi")
-    limit = F.percentile_approx("rate", F.array(F.lit(0.5), F.lit(0.9)), F.lit(10000))
-    above = lambda q: q[0] + width * (q[1] - q[0])
-    own = materialize(good.groupBy("key").agg(above(limit).alias("own")))
-    every = good.agg(above(limit).alias("every"))
-    out = scores.join(own, "key", "left").crossJoin(F.broadcast(every)).withColumn("threshold", F.coalesce("own", "every"))
-    kept = ~F.coalesce((F.col("rate") - F.col("threshold")) * F.col("n_bytes") >= evidence, F.lit(False))
+    good = scores.join(trusted.select(F.col(log_id).cast("bigint").alias("log_id")).distinct(), "log_id", "left_semi").filter("rate is not null")
+    middle = F.percentile_approx("rate", F.lit(0.5), F.lit(10000))
+    cut = F.percentile_approx((F.col("rate") - F.col("middle")) * root, F.lit(quantile), F.lit(10000))
+    middles = materialize(good.groupBy("key").agg(middle.alias("middle")))
+    own = materialize(good.join(middles, "key").groupBy("key").agg(F.max("middle").alias("own_middle"), cut.alias("own_cut")))
+    center = good.agg(middle.alias("all_middle"))
+    every = good.crossJoin(F.broadcast(center)).withColumnRenamed("all_middle", "middle").agg(F.max("middle").alias("all_middle"), cut.alias("all_cut"))
+    out = scores.join(own, "key", "left").crossJoin(F.broadcast(every))
+    out = out.withColumn("threshold", F.coalesce("own_middle", "all_middle") + F.coalesce("own_cut", "all_cut") / F.when(F.col("n_bytes") > 0, root))
+    kept = ~F.coalesce(F.col("rate") > F.col("threshold"), F.lit(False))
     return out.select("log_id", "lang", "message_hash", "n_bytes", F.col("rate").alias("bits_per_byte"), F.pow(F.lit(2.0), "rate").alias("perplexity"), "threshold", kept.alias("kept"))

@@ -62,7 +62,29 @@ def test_equals_the_definition(spark, logs, block):
             assert r.bits_per_byte is None and r.kept
         else:
             assert r.bits_per_byte == pytest.approx(bits(t) / len(t.encode()), rel=1e-4)
-    assert not any(by[200 + i, 200].kept for i in range(10)) and all(r.kept for r in got if r.log_id is not None and r.log_id < 120 and r.log_id != 5)
+    assert not any(by[200 + i, 200].kept for i in range(10))
+    rank = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]
+    root = lambda r: math.sqrt(min(r.n_bytes, 400))
+    cuts = {}
+    good = [r for r in got if r.log_id in {i for i in range(120) if i % 2} and r.n_bytes]
+    for key, rows in [(None, good), *((g, [r for r in good if r.lang == g]) for g in ("en", "de"))]:
+        middle = rank([r.bits_per_byte for r in rows], 0.5)
+        cuts[key] = middle, rank([(r.bits_per_byte - middle) * root(r) for r in rows], 0.994)
+    for r in got:
+        middle, cut = cuts.get(r.lang, cuts[None])
+        if r.n_bytes:
+            assert r.threshold == pytest.approx(middle + cut / root(r)) and r.kept == (r.bits_per_byte <= r.threshold)
+    assert all(r.kept for r in good)
+
+
+def test_a_hot_id_is_spread_over_blocks(spark):
+    """A third of the rows have one id; the model and every score are those of one block."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["open", "close", "long", "short"]) for _ in range(30))
+    rows = [(7 if i % 3 == 0 else i, text(), "en") for i in range(150)]
+    df, trusted = spark.createDataFrame(rows, "log_id long, message string, lang string"), spark.createDataFrame([(7,), (8,), (10,)], "log_id long")
+    one, many = (Counter((r.log_id, r.message_hash, round(r.bits, 2)) for r in quality.perplexities(df, trusted, block=b).collect()) for b in (1 << 24, 700))
+    assert one == many
 
 
 def test_nothing_trusted_and_nothing_at_all(spark, logs):
