@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.catalog.fragments import TICKS, bars_cte, with_
+from tapeline.catalog.fragments import TICKS, bars_cte, breaks_cte, swings_cte, with_
 from tapeline.catalog.registry import R, query, r
 from tapeline.catalog.structure_queries import _MOVES, _ema_cte
 from tapeline.operators import models as M
+from tapeline.operators import structure as S
 from tapeline.operators import validation as V
 from tapeline.operators.bars import bars_from_ticks
 from tapeline.plans import live as E
@@ -111,6 +112,43 @@ def observation_vectors(spark, sf):
     return o.select("symbol", "ts", *[r(c).alias(c) for c in ("atr_share", "ema20_distance", "volume_ratio", "return_1", "return_20", "rsi")])
 
 
+_OWN = {
+    "alignment_score": "b.bar_idx % 10 / 10.0", "direction_sign": "CASE WHEN k.sign > 0 THEN 1 ELSE -1 END",
+    "setup_tier": "CASE b.bar_idx % 3 WHEN 1 THEN 1.0 ELSE 0.5 END", "trade_style": "CASE b.bar_idx % 4 WHEN 0 THEN 0.0 WHEN 2 THEN 1.0 ELSE 0.5 END", "rr_ratio": "least((2 + b.bar_idx % 12) / 10.0, 1)",
+    "daily_atr_pct": "0.1", "adx": "least(b.bar_idx % 7 / 5.0, 1)", "session_score": "hour(b.ts) / 24.0", "zone_quality": "0.0", "volume_score": "least(b.volume / 10, 1)", "momentum_score": "0.0",
+    "tf_agreement": "0.0", "spread_quality": "1 - (b.bar_idx % 5) / 5.0", "asset_class_id": "CASE length(b.symbol) % 4 WHEN 1 THEN 0.33 WHEN 2 THEN 0.66 WHEN 3 THEN 1.0 ELSE 0.0 END",
+}
+_BAR = {
+    "atr_share": "atr / close", "ema20_distance": "(close - e20) / close", "ema50_distance": "(close - e50) / close", "ema_cross": "(e20 > e50)::INT", "volume_ratio": "least(volume / v20, 5)",
+    "return_1": "CASE WHEN c1 > 0 THEN (close - c1) / c1 ELSE 0 END", "return_5": "CASE WHEN c5 > 0 THEN (close - c5) / c5 ELSE 0 END", "return_20": "CASE WHEN c20 > 0 THEN (close - c20) / c20 ELSE 0 END",
+    "range_share": "(high - low) / close", "rsi": "CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g / l) END / 100",
+}
+
+
+@query(
+    "observation_signal_vectors",
+    "WITH RECURSIVE " + ",\n".join([TICKS, bars_cte(), _MOVES, _ema_cte({"e20": 20, "e50": 50}), swings_cte(5), breaks_cte()])
+    + f""", o AS (SELECT m.symbol, m.ts, m.bar_idx, close, high, low, volume, e20, e50, avg(tr) OVER w AS atr, avg(gain) OVER w AS g, avg(loss) OVER w AS l,
+      avg(volume) OVER v AS v20, lag(close, 1) OVER x AS c1, lag(close, 5) OVER x AS c5, lag(close, 20) OVER x AS c20 FROM moves m JOIN emas e ON e.symbol = m.symbol AND e.bar_idx = m.bar_idx
+      WINDOW w AS (PARTITION BY m.symbol ORDER BY m.bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), v AS (PARTITION BY m.symbol ORDER BY m.bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+        x AS (PARTITION BY m.symbol ORDER BY m.bar_idx)),
+    b AS (SELECT o.*, k.sign FROM o JOIN breaks k ON k.symbol = o.symbol AND k.bar_idx = o.bar_idx)
+    SELECT b.symbol || '-' || b.bar_idx AS sig_id, """
+    + ", ".join(R(f"CASE WHEN b.bar_idx >= 49 AND close > 0 THEN {v.replace('k.sign', 'b.sign')} ELSE 0 END") + f" AS {c}" for c, v in {**_OWN, **_BAR}.items()) + " FROM b",
+)
+def observation_signal_vectors(spark, sf):
+    """All 24 values of every break signal, the early ones too."""
+    bars = T.bars(spark, sf)
+    i = F.col("bar_idx")
+    kind = F.element_at(F.array(*[F.lit(c) for c in ("crypto", "forex", "stocks", "commodities")]), F.length("symbol") % 4 + 1)
+    sig = S.breaks(S.swings(bars, 5)).select("symbol", "bar_idx", "sign").join(bars.select("symbol", "bar_idx", "ts", "volume"), ["symbol", "bar_idx"]).select(
+        F.concat_ws("-", "symbol", "bar_idx").alias("sig_id"), "symbol", "bar_idx", F.col("sign").alias("direction"), (i % 10 / 10).alias("alignment_score"),
+        F.when(i % 3 == 0, "AAA+").when(i % 3 == 1, "AAA++").alias("setup_tier"), F.when(i % 4 == 0, "scalp").when(i % 4 == 1, "day").when(i % 4 == 2, "swing").alias("trade_style"),
+        (2 + i % 12).alias("rr_ratio"), (i % 7 / 5).alias("adx"), (F.hour("ts") / 24).alias("session_score"), (F.col("volume") / 10).alias("volume_score"), (i % 5 / 5).alias("spread"), kind.alias("asset_class"))
+    out = E.observation_vectors(sig, bars)
+    return out.select("sig_id", *[r(c).alias(c) for c in E.VECTOR])
+
+
 @query("signal_live_scores")
 def signal_live_scores(spark, sf):
     p = G.SignalParams(swing_length=3, threshold=0.40)

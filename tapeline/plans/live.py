@@ -105,3 +105,40 @@ def observations(bars: DataFrame) -> DataFrame:
         "rsi": F.col("rsi_simple") / 100,
     }
     return rows.select("symbol", "ts", "bar_idx", *[F.when(ok, v).otherwise(0.0).alias(k) for k, v in values.items()])
+
+
+# Numbers of setup tiers and trade styles; unknown ones take the middle.
+TIERS, STYLES, UNKNOWN = {"AAA+": 0.5, "AAA++": 1.0}, {"scalp": 0.0, "day": 0.5, "swing": 1.0}, 0.5
+VECTOR = [
+    "alignment_score", "direction_sign", "atr_share", "ema20_distance", "ema50_distance", "ema_cross", "volume_ratio", "return_1", "return_5", "return_20", "range_share", "rsi",
+    "setup_tier", "trade_style", "rr_ratio", "daily_atr_pct", "adx", "session_score", "zone_quality", "volume_score", "momentum_score", "tf_agreement", "spread_quality", "asset_class_id",
+]
+# What a signal has where it says nothing.
+UNSAID = {"alignment_score": 0.0, "rr_ratio": 3.0, "daily_atr_pct": 0.01, "adx": 0.0, "session_score": 0.5, "zone_quality": 0.0, "volume_score": 0.0, "momentum_score": 0.0, "tf_agreement": 0.0, "spread": 0.0}
+
+
+def observation_vectors(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """``sig_id, symbol, ts`` and the 24 values of ``VECTOR`` of every signal, all zero before 50 bars.
+
+    ``signals``: ``sig_id, symbol, bar_idx, direction``, and what else of
+    ``UNSAID``, ``setup_tier``, ``trade_style`` and ``asset_class`` they have.
+    """
+    from tapeline.operators.outcomes import CLASS_IDS
+
+    have = signals.columns
+    said = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(UNSAID[c])) if c in have else F.lit(UNSAID[c])
+    table = lambda t: F.create_map(*[F.lit(x) for kv in t.items() for x in kv])
+    named = lambda c, t, other: F.coalesce(table(t)[F.col(c)], F.lit(other)) if c in have else F.lit(other)
+    unit = lambda c: scores.clip(c, 0.0, 1.0)
+    own = {
+        "alignment_score": said("alignment_score"), "direction_sign": F.when(F.col("direction") > 0, 1.0).otherwise(-1.0),
+        "setup_tier": named("setup_tier", TIERS, UNKNOWN), "trade_style": named("trade_style", STYLES, UNKNOWN), "rr_ratio": F.least(said("rr_ratio") / 10, F.lit(1.0)),
+        "daily_atr_pct": F.least(said("daily_atr_pct") * 10, F.lit(1.0)), "adx": F.least(said("adx"), F.lit(1.0)),
+        **{c: unit(said(c)) for c in ("session_score", "zone_quality", "volume_score", "momentum_score", "tf_agreement")},
+        "spread_quality": unit(1 - said("spread")), "asset_class_id": unit(named("asset_class", CLASS_IDS, 0.0)),
+    }
+    rows = signals.select("sig_id", "symbol", "bar_idx", *[v.alias(k) for k, v in own.items()]).join(observations(bars), ["symbol", "bar_idx"])
+    close = bars.select("symbol", "bar_idx", F.col("close").alias("_close"))
+    rows = rows.join(close, ["symbol", "bar_idx"])
+    ready = (F.col("bar_idx") >= 49) & (F.col("_close") > 0)
+    return rows.select("sig_id", "symbol", "ts", *[F.when(ready, F.col(c)).otherwise(0.0).alias(c) for c in VECTOR])
