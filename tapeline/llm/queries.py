@@ -269,3 +269,34 @@ def _disclosure_sql() -> str:
 
 
 SQL["op12_disclosure"] = _disclosure_sql()
+
+
+SQL["op6_lattice"] = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.y, reach.c FROM reach JOIN l ON l.x = reach.n),
+m AS (SELECT n, min(c) AS c FROM reach GROUP BY n), k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, e.vec_id = m.c AS kept FROM embeddings e LEFT JOIN k ON k.x = e.vec_id JOIN m ON m.n = e.vec_id"""
+
+SQL["op7_suffixes"] = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i + 1:i + 200]) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+o AS (SELECT r, i, CASE WHEN i <= lag(i) OVER q + 200 THEN 0 ELSE 1 END AS fresh FROM s WINDOW q AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM o),
+x AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY r, k),
+e AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM x),
+p AS (SELECT e.r, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS front, max(z) AS last, sum(z - a) AS removed, count(*) AS spans FROM e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN last IS NULL THEN b ELSE unhex(front || hex(b[last + 1:octet_length(b)])) END) AS kept_sha256 FROM d LEFT JOIN p USING (r)"""
+
+SQL["op9_minhash"] = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM d),
+g AS (SELECT doc_id, CASE WHEN n = 1 THEN w ELSE w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY i) END AS g FROM u),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE g IS NOT NULL),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+t AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS n, doc_id AS c FROM documents UNION SELECT t.y, reach.c FROM reach JOIN t ON t.x = reach.n),
+m AS (SELECT n, min(c) AS c FROM reach GROUP BY n)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN z USING (doc_id) JOIN m ON m.n = d.doc_id"""
