@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tapeline.catalog.fragments import SAMPLES, TICKS, bars_cte, with_
+from tapeline.catalog.fragments import SAMPLES, TICKS, TRADES, bars_cte, with_
 from tapeline.catalog.registry import R, query, r
 from tapeline.functions import scores
 from tapeline.operators.bars import bars_from_ticks
@@ -234,3 +234,37 @@ def source_display_time(spark, sf):
     five = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 300) * 300)
     return ev.select("event_id", F.from_utc_timestamp("ts", "Europe/Zurich").alias("local_ts"), five.alias("five_min"), r(sin).alias("hour_sin"),
                      r(cos).alias("hour_cos"), F.date_trunc("week", "ts").cast("date").alias("week"))
+
+
+_BAR_OF = """bars3 AS (SELECT trade_id, asset_class, direction, outcome, exit_time, pnl_pct, i AS bar_index, round(pnl_pct * (i - 1), 6) AS unrealized FROM trades, range(1, 4) t(i))"""
+
+
+@query(
+    "source_journal_tables",
+    with_(TRADES) + f"""SELECT asset_class, direction, count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, {R('avg(rr_actual)', 4)} AS mean_rr, sum(bars_held)::BIGINT AS bars, sum(be_triggered::INT)::BIGINT AS ratchets,
+    max(entry_time) AS last_entry FROM trades WHERE exit_time IS NOT NULL AND asset_class <> 'stocks' GROUP BY ALL""",
+)
+def source_journal_tables(spark, sf):
+    """The journal written and read with its declared types."""
+    path = _folder(spark)
+    S.write_journal(spark, T.trades(spark, sf), path)
+    closed = S.read_journal(spark, path).filter("exit_time is not null and asset_class <> 'stocks'")
+    return closed.groupBy("asset_class", "direction").agg(
+        F.count(F.lit(1)).alias("trades"), F.count_if(F.col("outcome") == "win").alias("wins"), r(F.avg("rr_actual"), 4).alias("mean_rr"), F.sum("bars_held").alias("bars"),
+        F.sum("be_triggered").alias("ratchets"), F.max("entry_time").alias("last_entry"))
+
+
+@query(
+    "source_exported_episodes",
+    with_(TRADES, _BAR_OF) + """SELECT asset_class, direction, bar_index, count(*) AS rows, sum((pnl_pct - unrealized > 0)::INT)::BIGINT AS hold_better FROM bars3 WHERE exit_time IS NOT NULL GROUP BY ALL""",
+)
+def source_exported_episodes(spark, sf):
+    """Labelled bars of closed trades, exported and read; every bar is written to the journal twice."""
+    path, out = _folder(spark), _folder(spark) + "-episodes"
+    trades = T.trades(spark, sf)
+    S.write_journal(spark, trades, path)
+    bars = trades.select("trade_id", "pnl_pct", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("bar_index"))
+    bars = bars.withColumn("unrealized_pnl_pct", F.round(F.col("pnl_pct") * (F.col("bar_index") - 1), 6))
+    S.write_journal(spark, bars.unionByName(bars), path, "trade_bars")
+    S.export_episodes(spark, path, out)
+    return spark.read.parquet(out).groupBy("asset_class", "direction", "bar_index").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_hold_better").alias("hold_better"))

@@ -357,3 +357,25 @@ def dataset_feature_stats(spark, sf):
     old, new = F.when(F.col("window") < 4, F.col("value")), F.when(F.col("window") >= 4, F.col("value"))
     return t.groupBy("feature").agg(*[r(f(c)).alias(n) for n, f, c in (
         ("old_mean", F.avg, old), ("old_std", F.stddev_samp, old), ("new_mean", F.avg, new), ("new_std", F.stddev_samp, new))])
+
+
+@query(
+    "walk_forward_callables",
+    with_(SAMPLES, """e AS (SELECT "window" AS w, x_price AS x, label_outcome = 1 AS y, label_rr FROM samples WHERE label_action > 0)""",
+          "f AS (SELECT DISTINCT w FROM e WHERE w > (SELECT min(w) FROM e))",
+          "m AS (SELECT f.w, (avg(x) FILTER (y) + avg(x) FILTER (NOT y)) / 2 AS middle, avg(x) FILTER (y) >= avg(x) FILTER (NOT y) AS up FROM f JOIN e ON e.w < f.w GROUP BY f.w)",
+          "s AS (SELECT e.*, (round(x - middle, 12) >= 0) = up AS pred FROM e JOIN m USING (w))")
+    + f"""SELECT w AS "window", count(*) AS n, {R('count(*) FILTER (pred = y) / count(*)')} AS accuracy, count(*) FILTER (pred) AS taken, {R('coalesce(sum(label_rr) FILTER (pred), 0)', 4)} AS total_rr FROM s GROUP BY w""",
+)
+def walk_forward_callables(spark, sf):
+    """A cut between the mean prices of winners and losers, fitted before each window."""
+    from tapeline.plans.walk_forward import walk_forward
+
+    entries = T.samples(spark, sf).filter("label_action > 0").select("window", F.col("x_price").alias("x"), "label_outcome", "label_rr")
+    mean = lambda c: F.avg(F.when(c, F.col("x")))
+    won, lost = mean(F.col("y")), mean(~F.col("y"))
+    return walk_forward(
+        entries, label=lambda d: d.withColumn("y", F.col("label_outcome") == 1), fit=lambda d: d.agg(((won + lost) / 2).alias("middle"), (won >= lost).alias("up")),
+        score=lambda m, d: d.crossJoin(F.broadcast(m)).withColumn("pred", (F.round(F.col("x") - F.col("middle"), 12) >= 0) == F.col("up")),
+        evaluate=lambda d: d.agg(F.count(F.lit(1)).alias("n"), r(F.avg((F.col("pred") == F.col("y")).cast("double"))).alias("accuracy"), F.count_if("pred").alias("taken"),
+                                 r(F.coalesce(F.sum(F.when(F.col("pred"), F.col("label_rr"))), F.lit(0.0)), 4).alias("total_rr")))

@@ -26,6 +26,35 @@ TRADE_BAR_SCHEMA = (
 )
 
 
+JOURNAL = {"trades": TRADE_SCHEMA, "trade_bars": TRADE_BAR_SCHEMA, "post_trade_bars": TRADE_BAR_SCHEMA}
+
+
+def write_journal(spark: SparkSession, rows: DataFrame, path: str, table: str = "trades") -> None:
+    """Append rows to a table of the journal, in its columns and types; columns the rows lack are null, others are left out.
+
+    Bars of a trade are unique by (trade, bar): of repeated rows one is kept.
+    """
+    schema = T.StructType.fromDDL(JOURNAL[table])
+    typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    if table != "trades":
+        typed = typed.dropDuplicates(["trade_id", "bar_index"])
+    typed.write.mode("append").parquet(f"{path}/{table}")
+
+
+def read_journal(spark: SparkSession, path: str, table: str = "trades") -> DataFrame:
+    """A table of the journal with its declared types; filters and columns reach the scan."""
+    return spark.read.schema(JOURNAL[table]).parquet(f"{path}/{table}")
+
+
+def export_episodes(spark: SparkSession, path: str, out: str) -> None:
+    """Bars of closed trades with what is known of the trade and the hold label, as Parquet by asset class."""
+    closed = read_journal(spark, path).filter(F.col("exit_time").isNotNull())
+    known = closed.select("trade_id", "symbol", "asset_class", "direction", "outcome", F.col("pnl_pct").alias("final_pnl_pct"))
+    bars = read_journal(spark, path, "trade_bars").join(known, "trade_id")
+    label = (F.col("final_pnl_pct") - F.col("unrealized_pnl_pct") > 0).cast("int")
+    bars.withColumn("label_hold_better", label).repartition("asset_class", F.pmod(F.xxhash64("trade_id"), F.lit(16))).write.mode("errorifexists").partitionBy("asset_class").parquet(out)
+
+
 def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     """Cast to double; what is not a number becomes null, NaN too."""
     def clean(c):

@@ -226,3 +226,23 @@ def test_few_trades_give_no_simulation(spark):
     sims = V.shuffled_drawdowns(V.with_median_risk(t, "risk"), 20, "trade_id")
     tail = V.drawdown_tail(sims, 20).first()
     assert tail.robust and abs(tail.median_final_pnl - 100_000 * (1.02**5 - 1)) < 1e-6
+
+
+@pytest.mark.parametrize("together", [1, 4])
+def test_walk_forward_equals_a_loop(spark, together):
+    """The caller's model may be a plain value that its fit computes at once."""
+    from tapeline.plans.walk_forward import walk_forward
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"window": rng.integers(0, 5, 200), "x": rng.random(200), "rr": rng.normal(0, 1, 200)})
+    rows = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 0.5, 9.0)], "window long, x double, rr double"))
+    run = lambda df: walk_forward(
+        df, label=lambda d: d.withColumn("y", F.col("rr") > 0), fit=lambda d: d.filter("y").agg(F.avg("x")).first()[0], score=lambda m, d: d.withColumn("take", F.col("x") >= (m or 0.0)),
+        evaluate=lambda d: d.agg(F.count_if("take").alias("taken"), F.sum(F.when(F.col("take"), F.col("rr"))).alias("sum_r")), together=together)
+    got = {r.window: (r.taken, r.sum_r) for r in run(rows).collect()}
+    for w in range(1, 5):
+        train, test = pdf[pdf.window < w], pdf[pdf.window == w]
+        take = test.x >= train[train.rr > 0].x.mean()
+        assert got[w][0] == take.sum() and abs(got[w][1] - test[take].rr.sum()) < 1e-9
+    assert set(got) == {1, 2, 3, 4}
+    assert run(rows.filter("window = 0")).collect() == []
