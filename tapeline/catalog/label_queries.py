@@ -8,6 +8,7 @@ from tapeline.catalog.fragments import SAMPLES, TRADES, with_
 from tapeline.catalog.registry import R, query, r
 from tapeline.operators import labels as L
 from tapeline.operators import sampling as P
+from tapeline.operators import training_rows as R_
 from tapeline.sources import tables as T
 
 SM = with_(SAMPLES)
@@ -362,3 +363,65 @@ def walk_forward_windows(spark, sf):
     return w.withColumn("window_id", F.col("window_id").cast("long")).join(hits, "window_id", "left").withColumn(
         "test_trades", F.coalesce("n", F.lit(0))
     ).drop("n")
+
+
+_REJECTED = """rej AS (SELECT sample_id, symbol, (mech % 2)::INT AS direction, ts, mfe / 100 AS mfe, 100 + tp_rr * 2 AS tp, x_price, x_tax, x_quantity, mech, label_outcome, x_tax * 10 AS style,
+    CASE label_outcome WHEN 1 THEN 'win' WHEN 2 THEN 'loss' ELSE 'timeout' END AS scalp, CASE WHEN label_outcome = 1 AND mech < 3 THEN 'win' ELSE 'loss' END AS day, CASE WHEN mech = 1 THEN 'win' ELSE 'loss' END AS swing
+    FROM samples WHERE label_action = 0)"""
+
+
+def _spacing(source):
+    """Greedy spacing of half an hour, row by row."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY ts, sample_id) AS rn FROM {source}),
+    g AS (SELECT symbol, direction, rn, ts AS kept, true AS keep FROM n WHERE rn = 1
+      UNION ALL SELECT n.symbol, n.direction, n.rn, CASE WHEN n.ts >= g.kept + INTERVAL 1800 SECOND THEN n.ts ELSE g.kept END, n.ts >= g.kept + INTERVAL 1800 SECOND FROM g JOIN n ON n.symbol = g.symbol AND n.direction = g.direction AND n.rn = g.rn + 1),
+    k AS (SELECT n.* FROM n JOIN g USING (symbol, direction, rn) WHERE g.keep)"""
+
+
+def rejected(spark, sf):
+    """Samples without a trade as rejected signals; every fifth kind lacks a feature."""
+    s = T.samples(spark, sf).filter("label_action = 0")
+    say = lambda c, other="loss": F.when(c, "win").otherwise(other)
+    pair = lambda k, c: (F.lit(k), F.col(c) * 10 if k == "style_id" else F.col(c))
+    full = F.create_map(*[x for k, c in (("x_price", "x_price"), ("x_tax", "x_tax"), ("style_id", "x_tax"), ("x_quantity", "x_quantity")) for x in pair(k, c)])
+    part = F.create_map(*[x for k, c in (("x_price", "x_price"), ("x_tax", "x_tax"), ("style_id", "x_tax")) for x in pair(k, c)])
+    won = F.col("label_outcome") == 1
+    return s.select(
+        "sample_id", "symbol", (F.col("mech") % 2).alias("direction"), "ts", F.lit(100.0).alias("entry_price"), F.lit(99.0).alias("sl_price"), (100 + F.col("tp_rr") * 2).alias("tp_price"),
+        F.when(F.col("mech") == 4, part).otherwise(full).alias("entry_features"), (F.col("mfe") / 100).alias("mfe_scalp"), F.when(won, "win").when(F.col("label_outcome") == 2, "loss").otherwise("timeout").alias("outcome_scalp"),
+        say(won & (F.col("mech") < 3)).alias("outcome_day"), say(F.col("mech") == 1).alias("outcome_swing"))
+
+
+@query(
+    "label_counterfactual_spaced",
+    "WITH RECURSIVE " + ",\n".join([SAMPLES, _REJECTED, _spacing("rej")])
+    + """ SELECT sample_id, CASE scalp WHEN 'win' THEN 1 WHEN 'loss' THEN 0 ELSE CASE WHEN mfe / (abs(tp - 100) / 100) > 0.6::DOUBLE THEN 1 ELSE 0 END END AS label, 0.3::DOUBLE AS sample_weight FROM k WHERE mech <> 4""",
+)
+def label_counterfactual_spaced(spark, sf):
+    return R_.counterfactual_rows(rejected(spark, sf), ["x_price", "x_tax", "x_quantity"], tie="sample_id").select("sample_id", "label", "sample_weight")
+
+
+@query(
+    "label_missed_win_rows",
+    "WITH RECURSIVE " + ",\n".join([SAMPLES, _REJECTED, """w AS (SELECT * FROM rej WHERE mech <> 4 AND 'win' = CASE WHEN style <= 0.25 THEN scalp WHEN style > 0.75 THEN swing ELSE day END)""", _spacing("w")])
+    + " SELECT sample_id, CASE WHEN style <= 0.25 THEN 0.0 WHEN style > 0.75 THEN 1.0 ELSE 0.5 END::DOUBLE AS style, 1 AS label, 1.0::DOUBLE AS sample_weight FROM k",
+)
+def label_missed_win_rows(spark, sf):
+    return R_.missed_win_rows(rejected(spark, sf), ["x_price", "x_tax", "x_quantity"], tie="sample_id").select("sample_id", "style", "label", "sample_weight")
+
+
+@query(
+    "label_live_training_rows",
+    with_(TRADES) + f"""SELECT trade_id, asset_class, {R('score')} AS score, 0.0::DOUBLE AS absent, CASE outcome WHEN 'win' THEN 1 WHEN 'loss' THEN 2 ELSE 3 END AS label_outcome,
+    CASE outcome WHEN 'win' THEN 1 WHEN 'loss' THEN 2 ELSE 4 END AS label_exit_mechanism, {R('rr_target')} AS label_tp_rr,
+    {R('CASE WHEN leverage % 2 = 0 THEN least(abs(pnl_pct) * 1.5::DOUBLE / (abs(entry_price * 0.98::DOUBLE - entry_price) / entry_price), 20) ELSE 0 END')} AS mfe_rr,
+    {R('CASE WHEN leverage % 2 = 0 THEN least(abs(pnl_pct) * 3 / (abs(entry_price * 0.98::DOUBLE - entry_price) / entry_price), 5) ELSE 0 END')} AS mae_rr, 2.0::DOUBLE AS sample_weight FROM trades WHERE outcome IS NOT NULL""",
+)
+def label_live_training_rows(spark, sf):
+    """Trades as training rows; half of them have no stop distance to measure by."""
+    t = T.trades(spark, sf).withColumns({
+        "exit_reason": F.when(F.col("outcome") == "win", "tp_hit").when(F.col("outcome") == "loss", "sl_hit"), "sl_original": F.when(F.col("leverage") % 2 == 0, F.col("entry_price") * 0.98).otherwise(F.col("entry_price")),
+        "max_favorable_pct": F.abs("pnl_pct") * 1.5, "max_adverse_pct": F.abs("pnl_pct") * 3, "entry_features": F.create_map(F.lit("score"), F.col("score").cast("double"))})
+    out = R_.live_rows(t, ["score", "absent"])
+    return out.select("trade_id", "asset_class", r("score").alias("score"), "absent", "label_outcome", "label_exit_mechanism", r("label_tp_rr").alias("label_tp_rr"),
+                      r("label_max_favorable_rr").alias("mfe_rr"), r("label_mae_rr").alias("mae_rr"), "sample_weight")
