@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeline.catalog.fragments import TRADES, with_
 from tapeline.catalog.registry import R, query, r
+from tapeline.functions import scores
 from tapeline.operators import journal as J
 from tapeline.session import materialize
 from tapeline.sources import tables as T
@@ -276,3 +277,14 @@ def journal_episode_labels(spark, sf):
         "trade_id", "bar_index", "part", F.substring("symbol", 2, 20).cast("long").alias("account"),
         r("bar_unrealized_rr").alias("bar_unrealized_rr"), "label_hold_better",
     )
+
+
+@query(
+    "journal_hold_hours",
+    TR + f"""SELECT asset_class, outcome, count(*) AS trades, {R('avg((epoch_us(exit_time) - epoch_us(entry_time)) / 3600000000)')} AS mean_hours, {R('max((epoch_us(exit_time) - epoch_us(entry_time)) / 3600000000)')} AS longest
+    FROM trades WHERE exit_time IS NOT NULL GROUP BY ALL""",
+)
+def journal_hold_hours(spark, sf):
+    """Hours from entry to exit by class and outcome."""
+    t = T.trades(spark, sf).filter("exit_time is not null").withColumn("h", scores.hold_hours(F.col("entry_time"), F.col("exit_time")))
+    return t.groupBy("asset_class", "outcome").agg(F.count(F.lit(1)).alias("trades"), r(F.avg("h")).alias("mean_hours"), r(F.max("h")).alias("longest"))

@@ -425,3 +425,14 @@ def label_live_training_rows(spark, sf):
     out = R_.live_rows(t, ["score", "absent"])
     return out.select("trade_id", "asset_class", r("score").alias("score"), "absent", "label_outcome", "label_exit_mechanism", r("label_tp_rr").alias("label_tp_rr"),
                       r("label_max_favorable_rr").alias("mfe_rr"), r("label_mae_rr").alias("mae_rr"), "sample_weight")
+
+
+@query(
+    "label_value_faults",
+    with_(SAMPLES, """v AS (SELECT mech, post_tp, CASE mech WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE ELSE x_price END AS x FROM samples)""",
+          "n AS (SELECT count(*) AS n, count(*) FILTER (mech = 0) AS a, count(*) FILTER (mech = 1) AS b, count(*) FILTER (mech = 2) AS c, count(*) FILTER (post_tp IS NULL) AS d FROM v)")
+    + """SELECT 'x' AS "column", n AS "rows", 0::BIGINT AS nulls, a AS nans, b AS plus_infinite, c AS minus_infinite FROM n UNION ALL SELECT 'post_tp', n, d, 0, 0, 0 FROM n""",
+)
+def label_value_faults(spark, sf):
+    bad = F.when(F.col("mech") == 0, float("nan")).when(F.col("mech") == 1, float("inf")).when(F.col("mech") == 2, float("-inf")).otherwise(F.col("x_price"))
+    return L.value_faults(T.samples(spark, sf).select("post_tp", bad.alias("x")), ["x", "post_tp"])

@@ -66,6 +66,17 @@ def market_symbol_profiles(spark, sf):
     return p.select("symbol", *[r(c).alias(c) for c in ("atr_pct", "usd_volume", "range_pct", "day_usd_volume")], "bars")
 
 
+@query(
+    "market_instrument_profiles",
+    with_(TICKS, bars_cte("5m"), """tr AS (SELECT *, CASE WHEN bar_idx > 0 THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+      a AS (SELECT *, avg(tr) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 13 PRECEDING) AS atr FROM tr)""")
+    + f"""SELECT symbol, {R('avg(atr / close) FILTER (bar_idx >= 14 AND close > 0) * sqrt(288)')} AS daily_atr_pct, {R('count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000, 1)')} AS bars_per_day, count(*) AS bars FROM a GROUP BY symbol""",
+)
+def market_instrument_profiles(spark, sf):
+    p = M.instrument_profile(T.bars(spark, sf, "5m"))
+    return p.select("symbol", r("daily_atr_pct").alias("daily_atr_pct"), r("bars_per_day").alias("bars_per_day"), "bars")
+
+
 @query(
     "market_volume_measures",
     BARS + f"""SELECT symbol, ts, {R(f'CASE WHEN count(*) OVER a >= 5 AND avg(volume) OVER a > 0 THEN least(volume / avg(volume) OVER a, 5) ELSE 1 END')} AS volume_ratio,

@@ -112,6 +112,22 @@ def signal_funnel(spark, sf):
     return scored(spark, sf)[0].groupBy("reason").agg(F.count(F.lit(1)).alias("bars"))
 
 
+NEAR = G.SignalParams(swing_length=L, threshold=0.60)
+
+
+@query(
+    "signal_near_misses",
+    with_(*[c.replace(f"round(score, 9) >= {P.threshold}", f"round(score, 9) >= {NEAR.threshold}") for c in SCORED])
+    + f"""SELECT reason, direction, count(*) AS bars, {R('avg(0.60::DOUBLE - round(score, 9))')} AS mean_gap, {R('max(score)')} AS best FROM scored
+    WHERE reason IN ('no_confirm', 'no_zone', 'no_trigger', 'low_score') AND round(score, 9) >= 0.45::DOUBLE AND round(score, 9) < 0.60::DOUBLE GROUP BY ALL""",
+)
+def signal_near_misses(spark, sf):
+    base = materialize(bars_from_ticks(T.ticks(spark, sf), "5m"))
+    t = G.structure_tables(G.series_table(base), NEAR)
+    rows = G.near_misses(G.scored_bars(t, materialize(G.running_state(t, NEAR)), NEAR), NEAR)
+    return rows.groupBy("reason", "direction").agg(F.count(F.lit(1)).alias("bars"), r(F.avg("gap")).alias("mean_gap"), r(F.max("score")).alias("best"))
+
+
 def _liq(tf):
     return f"""coalesce(CASE WHEN c.direction > 0 THEN
       (SELECT min(z.high) FROM tops z WHERE z.symbol = c.sym || '|{tf}' AND z.bar_idx <= c.idx_{tf} AND z.top AND z.high > c.entry + c.stop_dist * 2
@@ -174,6 +190,12 @@ def signals_generated(spark, sf):
     )
 
 
+@query("signal_target_sources", with_(*GENERATED) + "SELECT tp_source, count(*) AS signals, count(*) FILTER (direction > 0) AS longs FROM sized WHERE risk_reward >= 2.0 AND position_size > 0 GROUP BY tp_source")
+def signal_target_sources(spark, sf):
+    out = G.generate(materialize(bars_from_ticks(T.ticks(spark, sf), "5m")), P)
+    return out.groupBy("tp_source").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col("direction") > 0).alias("longs"))
+
+
 def _bar_times(tf, us):
     return f"make_timestamp((epoch_us(d.ts) // {us}) * {us})"
 

@@ -163,10 +163,8 @@ def model_agreement(spark, sf):
 )
 def threshold_sweep(spark, sf):
     s = T.samples(spark, sf).filter("label_action > 0").select("x_quantity", "label_rr")
-    th = spark.range(1, 10).select((F.col("id") / 10.0).alias("threshold"))
-    return s.crossJoin(F.broadcast(th)).filter("x_quantity >= threshold").groupBy("threshold").agg(
-        F.count(F.lit(1)).alias("accepted"), r(F.sum("label_rr"), 4).alias("sum_r")
-    )
+    out = V.threshold_sweep(s, "x_quantity", "label_rr", [t / 10 for t in range(1, 10)])
+    return out.select("threshold", "accepted", r("sum_value", 4).alias("sum_r"))
 
 
 FOLD = with_(SAMPLES) + f"""SELECT "window" AS fold, asset_class, count(*) AS trades, {R('avg((label_outcome = 1)::INT)')} AS win_rate,

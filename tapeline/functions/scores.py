@@ -193,3 +193,9 @@ def live_score(flags: dict[str, Column], parts: dict[str, Column], wrong_side: C
     for name, weight in LIVE_EXTRA.items():
         total = total + (strength if name == "adx" else parts[name]) * weight
     return F.when(flags["bias"], clip(total, 0.0, 1.0)).otherwise(0.0)
+
+
+def hold_hours(entry: Column, exit_: Column) -> Column:
+    """Hours between two times; null while a trade is open."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(exit_) - micros(entry)) / 3_600_000_000

@@ -157,6 +157,14 @@ def align_schema(df: DataFrame, wanted: list[str], max_missing: int = 5) -> Data
     return df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
 
 
+def value_faults(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, rows, nulls, nans, plus_infinite, minus_infinite``: one scan, one aggregation."""
+    inf = float("inf")
+    kinds = {"nulls": lambda c: c.isNull(), "nans": F.isnan, "plus_infinite": lambda c: c == inf, "minus_infinite": lambda c: c == -inf}
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*[F.count_if(F.coalesce(f(F.col(c).cast("double")), F.lit(False))).alias(k) for k, f in kinds.items()]).alias(c) for c in columns])
+    return counts.unpivot(["rows"], columns, "column", "_v").select("column", "rows", "_v.*")
+
+
 def range_violations(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows outside or without a value, per column: one scan, one aggregation."""
     outside = lambda c, lo, hi: F.count_if(F.col(c).isNull() | F.isnan(c) | (F.col(c) < lo) | (F.col(c) > hi))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.functions import scores
 from tapeline.operators.bars import KEYS, true_range
 from tapeline.operators.blocks import framed
+from tapeline.operators.recursive import simple_atr
 
 BINS = 10
 LOOKBACK = 100
@@ -76,6 +77,18 @@ def symbol_profile(bars: DataFrame, day_bars: int = 288, first_rows: int | None
     )
 
 
+def instrument_profile(bars: DataFrame, day_bars: int = 288, period: int = 14) -> DataFrame:
+    """Per symbol: mean share of the full ATR in the close scaled to a day, bars per day, bars.
+
+    The scale is the root of the bars of a full day.  Days are whole days from
+    the first bar to the last; within one day all bars count as one day's.
+    """
+    share = F.when((F.col("bar_idx") >= period) & (F.col("close") > 0), F.col("atr_simple") / F.col("close"))
+    p = simple_atr(bars, period).groupBy("symbol").agg(F.avg(share).alias("_a"), F.count(F.lit(1)).alias("bars"), F.min("ts").alias("_x"), F.max("ts").alias("_y"))
+    days = F.floor((F.unix_seconds("_y") - F.unix_seconds("_x")) / 86_400)
+    return p.select("symbol", (F.coalesce("_a", F.lit(0.0)) * F.sqrt(F.lit(float(day_bars)))).alias("daily_atr_pct"), (F.col("bars") / F.greatest(days, F.lit(1))).alias("bars_per_day"), "bars")
+
+
 def volume_profile(bars: DataFrame, requests: DataFrame) -> DataFrame:
     """Profile score of requests ``req_id, symbol, bar_idx, entry, target, direction``.
 

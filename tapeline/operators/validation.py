@@ -314,6 +314,20 @@ def acceptance_gates(metrics: DataFrame, dsr_threshold: float = 0.70, max_dd: fl
     return metrics.withColumns({"failed": failed, "warnings": F.array_compact(F.array(*warnings))}).withColumn("passed", F.size("failed") == 0)
 
 
+def threshold_sweep(rows: DataFrame, score: str, value: str, thresholds: list[float]) -> DataFrame:
+    """``threshold, accepted, sum_value`` of the rows at or above each threshold.
+
+    Rows are added up by the band between two thresholds; the sums of a
+    threshold are those of the bands above it.  Null scores are accepted nowhere.
+    """
+    limits = sorted(thresholds)
+    table = F.array(*[F.lit(float(t)) for t in limits])
+    bands = rows.filter(F.col(score).isNotNull()).groupBy(F.size(F.filter(table, lambda t: t <= F.col(score))).alias("_band")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
+    each = bands.filter("_band > 0").select("_n", "_v", F.explode(F.sequence(F.lit(1), F.col("_band"))).alias("_k"))
+    return each.groupBy(F.element_at(table, F.col("_k")).alias("threshold")).agg(F.sum("_n").alias("accepted"), F.sum("_v").alias("sum_value"))
+
+
 def bootstrap(values: DataFrame, value: str, replicates: int, tie: str, seed: int = 42) -> DataFrame:
     """Mean and profit factor of resamples, by Poisson(1) weights per row.
 

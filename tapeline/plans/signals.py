@@ -360,6 +360,13 @@ def scored_bars(t: dict[str, DataFrame], state: DataFrame, p: SignalParams, deci
     return rows.withColumn("reason", reason)
 
 
+def near_misses(scored: DataFrame, p: SignalParams, least: float = 0.40, below: float = 0.15) -> DataFrame:
+    """Bars whose score lies under the threshold, but not under the near-miss floor, with their gap to it."""
+    score = F.round("score", 9)
+    floor = F.greatest(F.lit(least), F.round(F.lit(p.threshold - below), 9))
+    return scored.filter(F.col("reason").isin("no_confirm", "no_zone", "no_trigger", "low_score") & (score >= floor) & (score < p.threshold)).withColumn("gap", F.round(p.threshold - score, 9))
+
+
 def signals_from(scored: DataFrame, t: dict[str, DataFrame], p: SignalParams, searched: bool | None = None) -> DataFrame:
     """Entry, stop, target, reward and size of the bars that passed the gate."""
     up = F.col("direction") > 0
