@@ -19,6 +19,8 @@ from tapeline.session import materialize
 #: Bytes of text whose trigrams are counted, asked for and scored together.
 BLOCK = 1 << 24
 GRAMS = 1 << 24
+#: Bytes of text that are taken apart at a time.
+PIECE = 1 << 22
 #: Blocks over which the rows of one id are spread.
 SHARES = 16
 PACK = "block int, ids array<bigint>, langs array<string>, hashes array<bigint>, sizes array<int>, packed binary"
@@ -45,7 +47,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(block, kind="stable")
         batch = batch.take(pa.array(order))
         block = block[order]
-        for part, data, offsets in slices([batch], "message", 1 << 24):
+        for part, data, offsets in slices([batch], "message", PIECE):
             own = part.column(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
             ids, langs, hashes, sizes = part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), np.diff(offsets).astype(np.int32)
