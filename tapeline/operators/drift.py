@@ -34,9 +34,10 @@ def cumulated(counts: DataFrame, bins: int = 256) -> DataFrame:
     its own start; the counts are exact.
     """
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edge = counts.groupBy("feature").agg(
+    # Stored: a sketch may differ when it is made again, and both uses below must cut alike.
+    edge = materialize(counts.groupBy("feature").agg(
         F.percentile_approx("value", shares, F.lit(10_000)).alias("_cuts"), F.sum("t").alias("nt"), F.sum("l").alias("nl")
-    )
+    ))
     rows = counts.join(F.broadcast(edge), "feature").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("value"))))
     rows = rows.drop("_cuts")
     totals = rows.groupBy("feature", "_b").agg(F.sum("t").alias("_bt"), F.sum("l").alias("_bl"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.operators.sampling import hash_order
+from tapeline.session import materialize
 
 
 def classification_metrics(rows: DataFrame, keys: list[str], pred: str = "pred", label: str = "y") -> DataFrame:
@@ -101,7 +102,8 @@ def auc_by_group(counts: DataFrame, keys: list[str], pieces: int = 64) -> DataFr
     group is sorted in one task.
     """
     shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("score", shares, F.lit(1000))).alias("_q"))
+    # Stored: a sketch may differ when it is made again, and both uses below must cut alike.
+    cuts = materialize(counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("score", shares, F.lit(1000))).alias("_q")))
     rows = counts.join(cuts, keys).withColumn("_b", F.size(F.filter("_q", lambda x: x <= F.col("score")))).drop("_q")
     inside = Window.partitionBy(*keys, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,9 +103,10 @@ def time_slice(numbered: DataFrame, start: str, end: str, keys: list[str], warm_
 
 
 def discover_symbols(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """Symbols by bytes on disk, largest first (folders partitioned by symbol)."""
-    files = spark.read.parquet(path).select("symbol", "_metadata.file_path", "_metadata.file_size").distinct()
-    return files.groupBy("symbol").agg(F.sum("file_size").alias("bytes")).orderBy(F.desc("bytes"), "symbol").limit(n)
+    """Symbols by bytes on disk, largest first (folders partitioned by symbol); the listing alone is read, no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    named = files.select(F.url_decode(F.regexp_extract("path", "/symbol=([^/]+)/", 1)).alias("symbol"), "length").filter("symbol <> ''")
+    return named.groupBy("symbol").agg(F.sum("length").alias("bytes")).orderBy(F.desc("bytes"), "symbol").limit(n)
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
