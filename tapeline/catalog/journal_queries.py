@@ -228,13 +228,15 @@ def journal_run_metrics(spark, sf):
 
 @query(
     "journal_replay_metrics",
-    TR + f"""SELECT asset_class, count(*) AS trades, {R('count(*) FILTER (outcome = $$win$$) / count(*)')} AS win_rate,
+    with_(TRADES, "run AS (SELECT asset_class, exit_time, trade_id, sum(pnl_pct) OVER (PARTITION BY asset_class ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING) AS total FROM trades WHERE exit_time IS NOT NULL)",
+          "fall AS (SELECT asset_class, max(peak - total) AS dd FROM (SELECT *, greatest(max(total) OVER (PARTITION BY asset_class ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING), 0) AS peak FROM run) GROUP BY asset_class)")
+    + f"""SELECT asset_class, count(*) AS trades, {R('count(*) FILTER (outcome = $$win$$) / count(*)')} AS win_rate,
     {R('avg(rr_actual)')} AS avg_rr, {R('sum(pnl_pct) FILTER (pnl_pct > 0) / abs(sum(pnl_pct) FILTER (pnl_pct < 0))')} AS profit_factor,
-    {R('avg(pnl_pct) / stddev_pop(pnl_pct)')} AS sharpe FROM trades WHERE exit_time IS NOT NULL GROUP BY asset_class""",
+    {R('avg(pnl_pct) / stddev_pop(pnl_pct)')} AS sharpe, {R('max(dd)', 4)} AS max_drawdown FROM trades JOIN fall USING (asset_class) WHERE exit_time IS NOT NULL GROUP BY asset_class""",
 )
 def journal_replay_metrics(spark, sf):
     m = J.replay_metrics(T.trades(spark, sf), ["asset_class"])
-    return m.select("asset_class", "trades", *[r(c).alias(c) for c in ("win_rate", "avg_rr", "profit_factor", "sharpe")])
+    return m.select("asset_class", "trades", *[r(c).alias(c) for c in ("win_rate", "avg_rr", "profit_factor", "sharpe")], r("max_drawdown", 4).alias("max_drawdown"))
 
 
 @query(

@@ -194,16 +194,18 @@ def run_metrics(trades: DataFrame, keys: list[str], account: float = INITIAL_EQU
 
 
 def replay_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Replay summary with population deviation and per-trade Sharpe."""
+    """Replay summary with population deviation, per-trade Sharpe and the deepest fall of the running result in exit order."""
     x = F.col("pnl_pct")
     gains, losses = F.sum(F.when(x > 0, x).otherwise(0.0)), F.abs(F.sum(F.when(x < 0, x).otherwise(0.0)))
     dev = F.stddev_pop(x)
-    return closed(trades).groupBy(*keys).agg(
+    run = curve(closed(trades), keys, "pnl_pct", ["exit_time", "trade_id"], day_number("exit_time"))
+    return run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"),
         (F.count_if(F.col("outcome") == "win") / F.count(F.lit(1))).alias("win_rate"),
         F.avg("rr_actual").alias("avg_rr"),
         profit_factor(gains, losses, 999.0).alias("profit_factor"),
         F.when(dev > 0, F.avg(x) / dev).otherwise(0.0).alias("sharpe"),
+        F.max("drawdown").alias("max_drawdown"),
     )
 
 
