@@ -186,7 +186,7 @@ def stream_stale_symbols(spark, sf):
 @query("stream_drift_batches")
 def stream_drift_batches(spark, sf):
     """Drift of each micro-batch of ticks against all ticks before the middle."""
-    train = T.ticks(spark, sf).filter("ts < '2024-01-15'").select("price")
+    train = materialize(T.ticks(spark, sf).filter("ts < '2024-01-15'").select("price"))
     results = []
 
     def check(batch, number):
@@ -195,7 +195,7 @@ def stream_drift_batches(spark, sf):
         results.append(materialize(rep))
 
     C.drain_batches(_ticks(spark, sf).select("ts", "price"), check)
-    out = results[0]
+    out = spark.createDataFrame([], "batch int, feature string, ks double, psi double, severity string") if not results else results[0]
     for extra in results[1:]:
         out = out.unionByName(extra)
     return out.select("batch", "feature", r("ks").alias("ks"), r("psi").alias("psi"), "severity")
@@ -213,7 +213,7 @@ def stream_signals_on_close(spark, sf):
             results.append(materialize(out.select(F.col("sym").alias("symbol"), "ts", "direction", "entry", "score")))
 
     C.drain_batches(C.tumbling_bars(_ticks(spark, sf), "5m", DELAY), on_close)
-    out = results[0]
+    out = spark.createDataFrame([], "symbol string, ts timestamp, direction int, entry double, score double") if not results else results[0]
     for extra in results[1:]:
         out = out.unionByName(extra)
     return out.select("symbol", "ts", "direction", r("entry").alias("entry"), r("score").alias("score"))
